@@ -1,17 +1,689 @@
-"""The queries of the library and the SQL that each is held against."""
+"""The queries of the library and the SQL that each is held against.
+
+Names are those of the operator inventory.  ``ORACLES`` holds DuckDB SQL that
+says the query another way; queries without SQL are tested in ``tests/``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import text as T
+from ..functions import vectors as V
+from ..functions.acronym_dictionary import COMMON_WORDS, KNOWN
+from ..operators import chunking, citations, evaluation, metadata, retrieval, structure
+from ..operators import vectors as S
+from ..operators.chunking import ChunkSizes
+from ..sources.tables import page_tables, table
+from . import corpus, pipeline
 
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "retrieve"
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
 
+def query(oracle: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLES[f.__name__] = oracle
+        return f
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
+
+
+def _six(column: str):
+    return F.round(column, 6).alias(column)
+
+
+# --- search -----------------------------------------------------------------
+
+_Q = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, label AS want_label FROM embeddings WHERE vec_id % 50 = 0)"
+_V = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings)"
+_COS = "list_inner_product(e, q) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(q, q)))"
+
+
+def _questions(vectors: DataFrame) -> DataFrame:
+    return vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("vec_id").alias("want_id"))
+
+
+def _ranked(scored: str, where: str = "TRUE", k: int = 5) -> str:
+    return f"""WITH {_Q}, {_V}, s AS (SELECT query_id, vec_id, label, {scored} AS score FROM v CROSS JOIN q WHERE {where}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, vec_id, rank, round(score, 6) AS score FROM r WHERE rank <= {k}"""
+
+
+@query(_ranked(_COS))
+def knn(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return S.knn(vectors, _questions(vectors), 5).select("query_id", "vec_id", "rank", _six("score"))
+
+
+@query(_ranked(_COS, "label = 3"))
+def knn_filtered_pre(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return S.knn(vectors, _questions(vectors), 5, where=F.col("label") == 3).select("query_id", "vec_id", "rank", _six("score"))
+
+
+@query(
+    f"""WITH {_Q}, {_V}, s AS (SELECT query_id, vec_id, label, {_COS} AS score FROM v CROSS JOIN q),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS first FROM s),
+f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r WHERE first <= 15 AND label = 3)
+SELECT query_id, vec_id, rank, round(score, 6) AS score FROM f WHERE rank <= 5"""
+)
+def knn_filtered(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return S.knn_overfetch(vectors, _questions(vectors), F.col("label") == 3, 5, keep=("label",)).select("query_id", "vec_id", "rank", _six("score"))
+
+
+@query(_ranked("1 / (1 + list_inner_product(list_transform(list_zip(e, q), lambda x: x[1] - x[2]), list_transform(list_zip(e, q), lambda x: x[1] - x[2])))"))
+def idx_flat(spark, sf_dir):
+    """Flat L2 search: similarity falls with the squared distance."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return S.knn(S.build_index(vectors, "flat"), _questions(vectors), 5, metric="l2").select("query_id", "vec_id", "rank", _six("score"))
+
+
+@query()
+def idx_ivf(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return S.build_index(vectors, "ivf").search(_questions(vectors), 5, probes=8).select("query_id", "vec_id", "rank", _six("score"))
+
+
+@query(
+    f"""WITH {_Q}, {_V}, s AS (SELECT query_id, vec_id, {_COS} AS score FROM v CROSS JOIN q), o AS (SELECT query_id, max(score) FILTER (vec_id = query_id) AS own FROM s GROUP BY 1)
+SELECT query_id, query_id AS target, 1 + count(*) FILTER (score > own) AS rank FROM s JOIN o USING (query_id) GROUP BY 1, 2"""
+)
+def reembed(spark, sf_dir):
+    """The rank of a row among all for its own vector, as a rebuild reports it."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return S.rank_of(vectors, _questions(vectors))
+
+
+@query("SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: round(x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6)) AS unit FROM embeddings")
+def l2_normalize(spark, sf_dir):
+    return S.normalized(table(spark, sf_dir, "embeddings")).select("vec_id", F.transform("unit", lambda x: F.round(x, 6)).alias("unit"))
+
+
+@query(
+    """WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents WHERE length(text) < 1500),
+b AS (SELECT doc_id, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64) AS bucket FROM w)
+SELECT doc_id, bucket, count(*) AS n FROM b GROUP BY 1, 2"""
+)
+def embed_one(spark, sf_dir):
+    """The hashed bag of words, as (document, bucket, count); the stand-in for short texts only."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") < 1500)
+    rows = S.hashed_embedding(docs, "text").select("doc_id", F.posexplode("embedding").alias("bucket", "n")).where("n > 0")
+    return rows.select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("n").cast("long").alias("n"))
+
+
+# --- text -------------------------------------------------------------------
+
+_WORDS = "list_distinct(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]{{4,}}'))"
+
+
+@query(
+    f"""WITH p AS (SELECT u.conv_id, u.turn, {_WORDS.format("u.text")} AS a, {_WORDS.format("n.text")} AS b FROM conversations u JOIN conversations n ON u.conv_id = n.conv_id AND n.turn = u.turn + 1 WHERE u.role = 'user')
+SELECT conv_id, turn, round(CASE WHEN len(a) = 0 OR len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END, 6) AS jaccard FROM p"""
+)
+def word_jaccard(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    nxt = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reply"))
+    return turns.where("role = 'user'").join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(T.word_jaccard(F.col("text"), F.col("reply")), 6).alias("jaccard"))
+
+
+@query("SELECT doc_id, (length(text) // 4)::INT AS tokens, (length(text) // 4) <= 800 AS fits FROM documents")
+def tok_count(spark, sf_dir):
+    tokens = T.token_count(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", tokens.alias("tokens"), (tokens <= 800).alias("fits"))
+
+
+@query("SELECT conv_id, turn, round(greatest(0.0, least(1.0, 0.5 + CASE WHEN contains(text, 'Section') AND contains(text, 'page') THEN 0.2 ELSE 0 END + CASE WHEN length(text) > 100 THEN 0.1 ELSE 0 END - CASE WHEN contains(lower(text), 'cannot find') OR contains(lower(text), 'don''t know') OR contains(lower(text), 'unclear') OR contains(lower(text), 'not specified') OR contains(lower(text), 'not mentioned') THEN 0.3 ELSE 0 END)), 6)::DOUBLE AS confidence FROM conversations")
+def confidence(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(T.confidence(F.col("text")), 6).alias("confidence"))
+
+
+_CAPTIONS = "concat(CASE p_partkey % 6 WHEN 0 THEN 'FIGURE ' WHEN 1 THEN 'Fig. ' WHEN 2 THEN 'Table ' WHEN 3 THEN 'TABLE ' WHEN 4 THEN 'Appendix C Table ' ELSE '' END, CASE p_partkey % 4 WHEN 0 THEN concat(p_size, '.', p_partkey % 9, '-', p_partkey % 7) WHEN 1 THEN concat(p_size, '.', p_partkey % 9) WHEN 2 THEN concat('B-', p_size) ELSE concat('', p_size) END, ': ', p_name)"
+
+
+@query(
+    f"""WITH c AS (SELECT p_partkey, {_CAPTIONS} AS caption FROM part), x AS (SELECT p_partkey, caption, nullif(regexp_extract(caption, '(?i)fig(?:ure|\\.)?\\s+(\\d+\\.\\d+-\\d+|\\d+\\.\\d+|\\d+-\\d+|[A-Z]-\\d+|\\d+)', 1), '') AS figure_number FROM c)
+SELECT p_partkey, figure_number,
+ coalesce(nullif(regexp_extract(caption, '[Tt]able\\s+([A-Z0-9]+[-.]?[0-9]*)', 1), ''), nullif(regexp_extract(caption, '^([0-9]+\\.[0-9]+)', 1), '')) AS table_number FROM x"""
+)
+def figure_number(spark, sf_dir):
+    """Numbers in captions of figures and tables."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.expr(_CAPTIONS).alias("caption"))
+    return rows.select("p_partkey", T.figure_number(F.col("caption")).alias("figure_number"), T.table_number(F.col("caption")).alias("table_number"))
+
+
+@query("WITH r AS (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) SELECT doc_id FROM r WHERE n = 1")
+def dedup_first(spark, sf_dir):
+    """The first document of each text."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.groupBy(F.sha2("text", 256).alias("h"), F.length("text").alias("n")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+# --- acronyms ---------------------------------------------------------------
+
+_KNOWN_SQL = "known(acronym, definition) AS (VALUES " + ", ".join("('{}', '{}')".format(a, d.replace("'", "''")) for a, d in KNOWN.items()) + ")"
+_COMMON_SQL = "(" + ", ".join(f"'{w}'" for w in COMMON_WORDS) + ")"
+_COUNTS_SQL = f"""{_KNOWN_SQL}, t AS (SELECT unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents),
+counted AS (SELECT k.acronym, k.definition, count(t.w) AS frequency FROM known k LEFT JOIN t ON t.w = k.acronym AND regexp_full_match(t.w, '[A-Z]{{2,}}') GROUP BY 1, 2)"""
+
+
+def _frequencies(spark, sf_dir):
+    return metadata.acronym_counts(table(spark, sf_dir, "documents"), metadata.acronym_dictionary(spark))
+
+
+@query(f"WITH {_COUNTS_SQL} SELECT acronym, frequency FROM counted WHERE acronym NOT IN {_COMMON_SQL}")
+def acr_freq(spark, sf_dir):
+    return _frequencies(spark, sf_dir).select("acronym", "frequency")
+
+
+@query(f"WITH {_COUNTS_SQL} SELECT acronym, frequency FROM counted ORDER BY frequency DESC, acronym LIMIT 20")
+def acr_top(spark, sf_dir):
+    return metadata.top_acronyms(_frequencies(spark, sf_dir)).select("acronym", "frequency")
+
+
+@query(f"WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS acronym FROM documents) SELECT acronym, count(*) AS n FROM t WHERE regexp_full_match(acronym, '[A-Z]{{2,}}') AND acronym NOT IN {_COMMON_SQL} GROUP BY 1")
+def acr_stop(spark, sf_dir):
+    """All capital words of the documents but the common ones."""
+    found = table(spark, sf_dir, "documents").select(F.explode(T.acronyms(F.col("text"))).alias("acronym"))
+    return metadata.drop_common_words(found).groupBy("acronym").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_KNOWN_SQL} SELECT acronym, definition FROM known")
+def acr_dict(spark, sf_dir):
+    return metadata.acronym_dictionary(spark)
+
+
+@query(
+    f"""WITH {_KNOWN_SQL}, s AS ({corpus.SECTIONS}), f AS (SELECT section_seq, 0 AS turn, page_start, regexp_extract(content, '([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\s*\\(([A-Z]{{2,}})\\)', 2) AS acronym, regexp_extract(content, '([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)\\s*\\(([A-Z]{{2,}})\\)', 1) AS definition FROM s
+ UNION ALL SELECT section_seq, 1, page_start, regexp_extract(content, '\\(([A-Z]{{2,}})\\)\\s+([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)', 1), regexp_extract(content, '\\(([A-Z]{{2,}})\\)\\s+([A-Z][a-z]+(?:\\s+[A-Z][a-z]+)*)', 2) FROM s),
+r AS (SELECT *, row_number() OVER (PARTITION BY acronym ORDER BY section_seq, turn) AS n FROM f WHERE acronym <> '')
+SELECT coalesce(k.acronym, r.acronym) AS acronym, coalesce(r.definition, k.definition) AS definition, coalesce(r.page_start, 0) AS first_page FROM known k FULL JOIN (SELECT * FROM r WHERE n = 1) r ON k.acronym = r.acronym"""
+)
+def acr_define(spark, sf_dir):
+    return metadata.define_acronyms(corpus.sections(spark, sf_dir)).select("acronym", "definition", "first_page")
+
+
+@query(
+    f"""WITH {_KNOWN_SQL}, s AS ({corpus.CHUNKS}), w AS (SELECT DISTINCT chunk_id, chunk_seq, unnest(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM s), m AS (SELECT chunk_id, acronym FROM w JOIN known ON w = acronym)
+SELECT (SELECT count(DISTINCT chunk_id) FROM m) AS with_acronyms, (SELECT count(*) FROM s) - (SELECT count(DISTINCT chunk_id) FROM m) AS without_acronyms, (SELECT count(DISTINCT acronym) FROM m) AS n_acronyms"""
+)
+def acr_coverage(spark, sf_dir):
+    rows = corpus.chunks(spark, sf_dir).withColumn("kind_ord", F.lit(0)).withColumn("kind_seq", F.col("chunk_seq")).withColumn("local_seq", F.lit(0))
+    known = metadata.acronym_dictionary(spark).withColumn("doc_id", F.lit(1).cast("long"))
+    return chunking.acronym_coverage(chunking._acronym_maps(rows, known, "content"))
+
+
+@query(
+    f"""WITH s AS ({corpus.SECTIONS}) SELECT section_seq, regexp_replace(regexp_replace(content, '\\bSEMP\\b', 'Systems Engineering Management Plan (SEMP)'), '\\bCDR\\b', 'Critical Design Review (CDR)') AS expanded FROM s"""
+)
+def acr_expand(spark, sf_dir):
+    pairs = F.array(*[F.struct(F.lit(a).alias("acronym"), F.lit(KNOWN[a]).alias("definition")) for a in ("SEMP", "CDR")])
+    return corpus.sections(spark, sf_dir).select("section_seq", metadata.expand_acronyms(F.col("content"), pairs).alias("expanded"))
+
+
+# --- sections ---------------------------------------------------------------
+
+@query(f"WITH s AS ({corpus.SECTIONS}) SELECT p.section_number, p.title, p.level, p.parent_section AS parent, coalesce(string_agg(c.section_number, ',' ORDER BY c.section_seq), '') AS children FROM s p LEFT JOIN s c ON c.parent_section = p.section_number GROUP BY ALL")
+def hierarchy(spark, sf_dir):
+    return corpus.nodes(spark, sf_dir).select("section_number", "title", "level", "parent", F.array_join("children", ",").alias("children"))
+
+
+_PATHS = f"""RECURSIVE s AS ({corpus.SECTIONS}), w(section_number, up, path, depth) AS (
+ SELECT section_number, parent_section, section_number, 1 FROM s
+ UNION ALL SELECT w.section_number, s.parent_section, w.up || '/' || w.path, depth + 1 FROM w LEFT JOIN s ON s.section_number = w.up WHERE w.up IS NOT NULL),
+p AS (SELECT section_number, arg_max(path, depth) AS path FROM w GROUP BY 1)"""
+
+
+@query(f"WITH {_PATHS} SELECT section_number, path FROM p")
+def section_path(spark, sf_dir):
+    return metadata.section_paths_by_number(corpus.nodes(spark, sf_dir)).select("section_number", F.array_join("path", "/").alias("path"))
+
+
+@query(
+    f"""WITH {_PATHS}, u AS (SELECT section_number, unnest(string_split(path, '/')) AS step, generate_subscripts(string_split(path, '/'), 1) AS k FROM p),
+b AS (SELECT u.section_number, string_agg(s.title, ' > ' ORDER BY k) AS breadcrumb, coalesce(string_agg(s.title, ',' ORDER BY k) FILTER (u.step <> u.section_number), '') AS parent_titles FROM u JOIN s ON s.section_number = u.step GROUP BY 1),
+k AS (SELECT a.section_number, string_agg(c.section_number, ',' ORDER BY c.section_seq) AS siblings FROM s a JOIN s c ON a.parent_section = c.parent_section AND a.section_number <> c.section_number JOIN s p ON p.section_number = a.parent_section GROUP BY 1)
+SELECT b.section_number, parent_titles, coalesce(siblings, '') AS siblings, breadcrumb FROM b LEFT JOIN k USING (section_number)"""
+)
+def section_ctx(spark, sf_dir):
+    rows = metadata.section_context(corpus.nodes(spark, sf_dir))
+    return rows.select("section_number", F.array_join("parent_titles", ",").alias("parent_titles"), F.array_join("siblings", ",").alias("siblings"), "breadcrumb")
+
+
+_REFS = f"""s AS ({corpus.SECTIONS}), b AS (SELECT section_seq, section_number AS source, content || ' ' || title AS body FROM s),
+x AS (SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)see\\s+Section\\s+(\\d+(?:\\.\\d+)*)', 1)) AS target, 'explicit' AS kind FROM b
+ UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)(?:described|discussed|shown|defined)\\s+in\\s+Section\\s+(\\d+(?:\\.\\d+)*)', 1)), 'explicit' FROM b
+ UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)Section\\s+(\\d+(?:\\.\\d+)*)', 1)), 'implicit' FROM b
+ UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)Chapter\\s+(\\d+)', 1)), 'implicit' FROM b
+ UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)refer\\s+to\\s+Section\\s+(\\d+(?:\\.\\d+)*)', 1)), 'see_also' FROM b)"""
+
+
+@query(f"WITH {_REFS} SELECT source, target, kind, count(*) AS n FROM x GROUP BY ALL")
+def xref_extract(spark, sf_dir):
+    return metadata.cross_references(corpus.sections(spark, sf_dir)).groupBy("source", "target", "kind").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_REFS} SELECT DISTINCT source, target, kind FROM x")
+def xref_dedup(spark, sf_dir):
+    return corpus.references(spark, sf_dir).select("source", "target", "kind")
+
+
+@query(
+    f"""WITH {_REFS}, d AS (SELECT DISTINCT source, target, kind FROM x), o AS (SELECT source AS section_number, string_agg(DISTINCT target, ',' ORDER BY target) AS outgoing, count(*) AS total_outgoing FROM d GROUP BY 1),
+i AS (SELECT target AS section_number, string_agg(DISTINCT source, ',' ORDER BY source) AS incoming, count(*) AS total_incoming FROM d GROUP BY 1)
+SELECT coalesce(o.section_number, i.section_number) AS section_number, coalesce(outgoing, '') AS outgoing, coalesce(incoming, '') AS incoming, coalesce(total_outgoing, 0) AS total_outgoing, coalesce(total_incoming, 0) AS total_incoming FROM o FULL JOIN i USING (section_number)"""
+)
+def xref_section(spark, sf_dir):
+    rows = metadata.references_by_section(corpus.references(spark, sf_dir))
+    return rows.select("section_number", F.array_join("outgoing", ",").alias("outgoing"), F.array_join("incoming", ",").alias("incoming"), "total_outgoing", "total_incoming")
+
+
+@query(f"WITH s AS ({corpus.SECTIONS}) SELECT section_number, trim(title) AS title, content, level, parent_section, ((section_seq - 1) // 2 + 2)::INT AS page_start, ((section_seq - 1) // 2 + 2)::INT AS page_end FROM s")
+def sections_regex(spark, sf_dir):
+    """Sections found again in the page texts that were made of them."""
+    rows = structure.sections_from_text(corpus.pages(spark, sf_dir))
+    return rows.select("section_number", "title", "content", "level", "parent_section", "page_start", "page_end")
+
+
+@query(
+    f"""WITH s AS ({corpus.SECTIONS}), p AS (SELECT *, (section_seq - 1) // 2 AS pair, section_number || ' ' || title || chr(10) || content AS body FROM s)
+SELECT a.section_number, CASE WHEN a.section_seq % 2 = 1 AND b.body IS NOT NULL THEN a.body || chr(10) || b.body ELSE a.body END AS content FROM p a LEFT JOIN p b ON b.pair = a.pair AND b.section_seq = a.section_seq + 1"""
+)
+def sections_pages(spark, sf_dir):
+    """Page by page: the first of two headings on a page takes the whole rest of it."""
+    return structure.sections_from_pages(corpus.pages(spark, sf_dir)).select("section_number", "content")
+
+
+@query(f"WITH s AS ({corpus.SECTIONS}) SELECT 1 AS page_no, TRUE AS is_toc UNION ALL SELECT DISTINCT ((section_seq - 1) // 2 + 2)::INT, FALSE FROM s")
+def toc_page(spark, sf_dir):
+    return structure.toc_pages(corpus.pages(spark, sf_dir)).select("page_no", "is_toc")
+
+
+@query(
+    """WITH p AS (SELECT conv_id AS doc_id, turn AS page_no, text, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM conversations),
+q AS (SELECT DISTINCT doc_id, off + x AS pos FROM p CROSS JOIN (VALUES (0), (7), (100)) v(x)), e AS (SELECT doc_id, off, max(page_no) AS page FROM p GROUP BY ALL)
+SELECT q.doc_id, q.pos, e.page::INT AS page FROM q ASOF JOIN e ON q.doc_id = e.doc_id AND q.pos >= e.off"""
+)
+def pos_to_page(spark, sf_dir):
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_no"), "text")
+    starts = structure.page_offsets(pages)
+    asked = starts.select("doc_id", F.explode(F.array(*[F.col("offset") + x for x in (0, 7, 100)])).alias("pos")).distinct()
+    return structure.page_of_position(asked, pages)
+
+
+@query(f"WITH s AS ({corpus.SECTIONS}) SELECT section_number, CASE WHEN contains(section_number, '.') THEN array_to_string(string_split(section_number, '.')[:-2], '.') END AS parent, len(string_split(section_number, '.'))::INT AS level FROM s")
+def parent_number(spark, sf_dir):
+    number = F.col("section_number")
+    return corpus.sections(spark, sf_dir).select("section_number", T.parent_number(number).alias("parent"), T.level_of(number).alias("level"))
+
+
+@query("WITH c AS (SELECT p_size, count(*) AS n FROM part GROUP BY 1) SELECT p_size::DOUBLE AS body_size FROM c ORDER BY n DESC, p_size LIMIT 1")
+def sections_blocks(spark, sf_dir):
+    """The commonest font size, by which heading blocks are told; sizes of parts stand in for spans."""
+    spans = table(spark, sf_dir, "part").select(F.lit(1).alias("doc_id"), F.col("p_size").cast("double").alias("size"))
+    return structure.body_font(spans).select("body_size")
+
+
+# --- tables and diagrams ----------------------------------------------------
+
+_ROWS = "WITH r AS (SELECT l_orderkey, l_partkey::VARCHAR AS a, l_suppkey::VARCHAR AS b, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i FROM lineitem)"
+
+
+def _order_tables(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("r"))
+    groups = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(row)).getField("r").alias("rows"))
+    return groups.select("l_orderkey", F.col("l_orderkey").cast("string").alias("table_number"), F.lit("Lines").alias("caption"), F.array(F.lit("part"), F.lit("supplier")).alias("headers"), "rows")
+
+
+@query(f"{_ROWS} SELECT l_orderkey, '**Table ' || l_orderkey || ': Lines**' || chr(10) || chr(10) || '| # | part | supplier |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || i || ' | ' || a || ' | ' || b || ' |', chr(10) ORDER BY i) AS markdown FROM r GROUP BY 1")
+def table_markdown(spark, sf_dir):
+    return _order_tables(spark, sf_dir).select("l_orderkey", structure.table_markdown().alias("markdown"))
+
+
+@query(
+    f"""{_ROWS}, p AS (SELECT *, (i - 1) // 5 AS part FROM r)
+SELECT l_orderkey, part::INT AS local_seq, '**Table ' || l_orderkey || ': Lines** (Rows ' || (part * 5 + 1) || '-' || max(i) || ')' || chr(10) || chr(10) || '| # | part | supplier |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || i || ' | ' || a || ' | ' || b || ' |', chr(10) ORDER BY i) AS markdown FROM p GROUP BY l_orderkey, part"""
+)
+def chunk_table_split(spark, sf_dir):
+    """Tables in parts of the least number of rows, as a small chunk size gives."""
+    step = chunking.rows_per_chunk(ChunkSizes(size=120, overlap=10, least=10))
+    parts = _order_tables(spark, sf_dir).withColumn("step", step).select("*", F.posexplode(F.sequence(F.lit(0), F.size("rows") - 1, F.col("step"))).alias("local_seq", "first"))
+    last = F.least(F.col("first") + F.col("step"), F.size("rows"))
+    return parts.select("l_orderkey", "local_seq", structure.table_markdown(F.col("first"), last, part_info=True).alias("markdown"))
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey AS doc_id, (l_linenumber - 1) // 3 AS page, count(*) AS n FROM lineitem WHERE l_orderkey < 2000 GROUP BY 1, 2),
+m AS (SELECT *, CASE WHEN lag(page) OVER o IS NULL OR page <> lag(page) OVER o + 1 OR doc_id % 5 = 0 THEN 1 ELSE 0 END AS brk FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY page)),
+g AS (SELECT *, sum(brk) OVER (PARTITION BY doc_id ORDER BY page) AS grp FROM m)
+SELECT doc_id, min(page) AS table_seq, min(page)::INT + 1 AS first_page, max(page)::INT + 1 AS last_page,
+ (sum(n) + CASE WHEN min(page) % 2 = 1 THEN 1 ELSE 0 END)::INT AS n_rows FROM g GROUP BY doc_id, grp"""
+)
+def table_merge(spark, sf_dir):
+    rows = structure.merge_tables(corpus.fragments(spark, sf_dir))
+    return rows.select("doc_id", "table_seq", F.array_min("page_range").alias("first_page"), F.array_max("page_range").alias("last_page"), F.size("rows").alias("n_rows"))
+
+
+_PAGES_ASKED = "a AS (SELECT DISTINCT CAST(1 AS BIGINT) AS doc_id, c_custkey AS page FROM customer WHERE c_custkey < 80)"
+
+
+@query(
+    f"""WITH s AS ({corpus.SECTIONS}), {_PAGES_ASKED}, i AS (SELECT a.page, s.section_number, row_number() OVER (PARTITION BY a.page ORDER BY level DESC, section_seq) AS n FROM a JOIN s ON a.page BETWEEN page_start AND page_end),
+l AS (SELECT a.page, s.section_number, row_number() OVER (PARTITION BY a.page ORDER BY section_seq DESC) AS n FROM a JOIN s ON page_end <= a.page)
+SELECT a.page::INT AS page, coalesce(i.section_number, l.section_number) AS section_number FROM a LEFT JOIN i ON i.page = a.page AND i.n = 1 LEFT JOIN l ON l.page = a.page AND l.n = 1"""
+)
+def table_section(spark, sf_dir):
+    asked = table(spark, sf_dir, "customer").where("c_custkey < 80").select(F.lit(1).cast("long").alias("doc_id"), F.array(F.col("c_custkey").cast("int")).alias("page_range")).distinct()
+    return structure.sections_of_tables(asked, corpus.sections(spark, sf_dir)).select(F.col("page_range")[0].alias("page"), "section_number")
+
+
+@query(f"WITH s AS ({corpus.SECTIONS}), {_PAGES_ASKED}, i AS (SELECT a.page, arg_min(section_number, section_seq) AS section_number FROM a JOIN s ON a.page BETWEEN page_start AND page_end GROUP BY 1) SELECT a.page::INT AS page, section_number FROM a LEFT JOIN i USING (page)")
+def diagram_section(spark, sf_dir):
+    asked = table(spark, sf_dir, "customer").where("c_custkey < 80").select(F.lit(1).cast("long").alias("doc_id"), F.col("c_custkey").cast("int").alias("page")).distinct()
+    return structure.sections_of_diagrams(asked, corpus.sections(spark, sf_dir)).select("page", "section_number")
+
+
+@query("WITH f AS (SELECT l_orderkey AS doc_id, l_linenumber AS page, l_quantity * 1000 AS n_bytes FROM lineitem WHERE l_orderkey < 500) SELECT doc_id, page, count(*) AS n_images FROM f WHERE n_bytes >= 10000 GROUP BY GROUPING SETS ((doc_id, page), (doc_id))")
+def image_count(spark, sf_dir):
+    """Images per page with each document's total; order lines stand in for images."""
+    images = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), (F.col("l_quantity") * 1000).alias("n_bytes"))
+    return structure.image_counts(images)
+
+
+@query(
+    """WITH c AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS seq, l_linenumber AS page, l_partkey % 4 AS fig, l_quantity AS n_drawings, l_suppkey % 20 * 1000 AS image_bytes FROM lineitem WHERE l_orderkey < 2000),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, fig ORDER BY n_drawings DESC, seq) AS n FROM c WHERE n_drawings >= 1)
+SELECT doc_id, 'diagram_p' || page || '_f2-' || fig AS diagram_id, page, '2-' || fig AS figure_number FROM r WHERE n = 1 AND image_bytes >= 8000"""
+)
+def diagram_scan(spark, sf_dir):
+    """The best candidate of each figure; order lines stand in for captions."""
+    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000")
+    seq = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    captions = lines.select(F.col("l_orderkey").alias("doc_id"), seq.alias("seq"), F.col("l_linenumber").alias("page"), F.lit(300).alias("y"), F.concat(F.lit("Figure 2-"), F.col("l_partkey") % 4, F.lit(" Flow")).alias("text"), F.col("l_quantity").alias("n_drawings"), (F.col("l_suppkey") % 20 * 1000).alias("image_bytes"))
+    return structure.pick_diagrams(captions).select("doc_id", "diagram_id", "page", "figure_number")
+
+
+# --- chunks -----------------------------------------------------------------
+
+_TAIL = "list_reduce(list_reverse(string_split({0}, '. ')), lambda st, x: CASE WHEN st.full OR (length(CASE WHEN ends_with(x.kept, '.') THEN x.kept ELSE x.kept || '. ' END || st.kept) // 4) > {1} THEN {{'kept': st.kept, 'full': TRUE}} ELSE {{'kept': CASE WHEN ends_with(x.kept, '.') THEN x.kept ELSE x.kept || '. ' END || st.kept, 'full': FALSE}} END, {{'kept': '', 'full': FALSE}})"
+_TAIL_ROWS = "list_transform(string_split({0}, '. '), lambda s: {{'kept': s, 'full': FALSE}})"
+
+
+def _tail_sql(text: str, tokens: int) -> str:
+    rows = _TAIL_ROWS.format(text)
+    return "trim(" + _TAIL.format("@", tokens).replace("string_split(@, '. ')", rows) + ".kept, ' ' || chr(9) || chr(10) || chr(13))"
+
+
+@query(f"SELECT doc_id, {_tail_sql('text', 150)} AS tail FROM documents")
+def overlap_tail(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.overlap_tail(F.col("text"), 150).alias("tail"))
+
+
+@query(
+    f"""WITH RECURSIVE p AS (SELECT doc_id, string_split(text, chr(10)) AS ps FROM documents WHERE text IS NOT NULL),
+f(doc_id, i, cur, chunk, content, tokens) AS (
+ SELECT doc_id, 0, '', 0, NULL::VARCHAR, NULL::BIGINT FROM p
+ UNION ALL
+ SELECT f.doc_id, i + 1,
+  CASE WHEN i >= len(ps) THEN NULL WHEN cur <> '' AND length(cur) // 4 + length(ps[i + 1]) // 4 > 800 THEN {_tail_sql('cur', 150)} || chr(10) || ps[i + 1] WHEN cur = '' THEN ps[i + 1] ELSE cur || chr(10) || ps[i + 1] END,
+  CASE WHEN cur <> '' AND (CASE WHEN i >= len(ps) THEN length(cur) // 4 >= 200 ELSE length(cur) // 4 + length(ps[i + 1]) // 4 > 800 END) THEN chunk + 1 ELSE chunk END,
+  CASE WHEN cur <> '' AND (CASE WHEN i >= len(ps) THEN length(cur) // 4 >= 200 ELSE length(cur) // 4 + length(ps[i + 1]) // 4 > 800 END) THEN trim(cur, ' ' || chr(9) || chr(10) || chr(13)) END, length(cur) // 4
+ FROM f JOIN p ON p.doc_id = f.doc_id WHERE cur IS NOT NULL AND i <= len(ps))
+SELECT doc_id, (chunk - 1)::INT AS chunk_index, content, tokens::INT AS tokens FROM f WHERE content IS NOT NULL"""
+)
+def chunk_split(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(chunking.split_text(F.col("text"), separator="\n")).alias("chunk_index", "p")).select("doc_id", "chunk_index", "p.content", "p.tokens")
+
+
+@query(f"SELECT chunk_type, count(*) AS n_chunks FROM ({corpus.CHUNKS}) c GROUP BY 1")
+def chunk_stats(spark, sf_dir):
+    return chunking.chunk_counts(corpus.chunks(spark, sf_dir))
+
+
+@query(
+    f"""SELECT chunk_id, concat_ws(' | ', 'Chapter ' || string_split(section_number, '.')[1], CASE WHEN chunk_type = 'table' THEN 'Table: ' || nullif(regexp_extract(content, '^\\*\\*([^*]+)\\*\\*', 1), '') END,
+ 'Section ' || section_number || ': ' || section_title, 'Type: ' || chunk_type) || chr(10) || chr(10) || content AS context FROM ({corpus.CHUNKS}) c"""
+)
+def ctx_string(spark, sf_dir):
+    rows = corpus.chunks(spark, sf_dir).withColumn("section_path", F.array(F.substring_index("section_number", ".", 1)))
+    return rows.select("chunk_id", chunking.context_string(rows).alias("context"))
+
+
+@query(f"SELECT chunk_id FROM ({corpus.CHUNKS}) c WHERE chunk_type = 'text' AND page_start >= 3 AND page_end <= 20")
+def meta_filter(spark, sf_dir):
+    return corpus.chunks(spark, sf_dir).where(S.chunk_filter(chunk_type="text", min_page=3, max_page=20)).select("chunk_id")
+
+
+@query(f"SELECT chunk_id, chunk_seq FROM ({corpus.CHUNKS}) c WHERE section_number = '1.1'")
+def by_section(spark, sf_dir):
+    return S.chunks_of_section(corpus.chunks(spark, sf_dir), "1.1").select("chunk_id", "chunk_seq")
+
+
+@query(f"SELECT chunk_id, section_number FROM ({corpus.CHUNKS}) c WHERE chunk_id = 'chunk_20'")
+def by_id(spark, sf_dir):
+    return S.chunk_by_id(corpus.chunks(spark, sf_dir), "chunk_20").select("chunk_id", "section_number")
+
+
+@query(f"SELECT chunk_id, CASE WHEN chunk_type = 'diagram_ref' THEN upper(content) ELSE content END AS content FROM ({corpus.CHUNKS}) c")
+def upsert_diagrams(spark, sf_dir):
+    chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "chunk_type", "content")
+    fresh = chunks.where("chunk_type = 'diagram_ref'").withColumn("content", F.upper("content"))
+    return S.upsert(chunks, fresh, columns=("content",)).select("chunk_id", "content")
+
+
+@query()
+def chunk_doc(spark, sf_dir):
+    """Chunks of the whole program: pages to sections, metadata and chunks."""
+    return pipeline.ingest(corpus.pages(spark, sf_dir)).chunks.select("doc_id", "chunk_seq", "chunk_id", "content", "chunk_type", "section_number", "section_title", "section_level", "parent_section", "section_path", "page_start", "page_end", "token_count", "acronyms")
+
+
+# --- retrieval --------------------------------------------------------------
+
+_EDGES = f"{_REFS}, e AS (SELECT DISTINCT source, target FROM x)"
+
+
+@query(
+    f"""WITH {_EDGES}, seeds AS (SELECT section_seq AS query_id, section_number FROM s WHERE section_seq % 4 = 0),
+h1 AS (SELECT DISTINCT query_id, target AS section_number FROM seeds JOIN e ON source = section_number), f1 AS (SELECT * FROM h1 EXCEPT SELECT * FROM seeds),
+h2 AS (SELECT DISTINCT query_id, target AS section_number FROM f1 JOIN e ON source = section_number), f2 AS (SELECT * FROM h2 EXCEPT SELECT * FROM f1 EXCEPT SELECT * FROM seeds),
+a AS (SELECT *, 0.35 AS score FROM f1 UNION ALL SELECT *, 0.245 FROM f2)
+SELECT query_id, chunk_id, round(score, 6)::DOUBLE AS score FROM a JOIN ({corpus.CHUNKS}) c USING (section_number)"""
+)
+def hops(spark, sf_dir):
+    seeds = corpus.sections(spark, sf_dir).where("section_seq % 4 = 0").select(F.col("section_seq").alias("query_id"), "section_number")
+    return retrieval.hop_hits(seeds, corpus.references(spark, sf_dir), corpus.chunks(spark, sf_dir)).select("query_id", "chunk_id", _six("score"))
+
+
+_PARENT = "array_to_string(string_split(x.section, '.')[:-2], '.')"
+
+
+@query(
+    f"""WITH h AS ({corpus.HITS}), l AS (SELECT query_id, list({{'section': section_number, 'score': score, 'seen': []::VARCHAR[], 'out': []::STRUCT(p VARCHAR, s DOUBLE)[]}} ORDER BY pos) AS l FROM h GROUP BY 1),
+f AS (SELECT query_id, list_reduce(l, lambda st, x: {{'section': '', 'score': 0.0::DOUBLE,
+  'seen': CASE WHEN list_contains(st.seen, x.section) THEN st.seen ELSE list_concat(st.seen, CASE WHEN contains(x.section, '.') THEN [x.section, {_PARENT}] ELSE [x.section] END) END,
+  'out': CASE WHEN NOT list_contains(st.seen, x.section) AND contains(x.section, '.') AND NOT list_contains(st.seen, {_PARENT}) THEN list_append(st.out, {{'p': {_PARENT}, 's': x.score * 0.6::DOUBLE}}) ELSE st.out END}},
+  {{'section': '', 'score': 0.0::DOUBLE, 'seen': []::VARCHAR[], 'out': []::STRUCT(p VARCHAR, s DOUBLE)[]}}) AS r FROM l), u AS (SELECT query_id, unnest(r.out) AS o FROM f)
+SELECT query_id, chunk_id, round(o.s, 6) AS score FROM u JOIN ({corpus.CHUNKS}) c ON c.section_number = o.p"""
+)
+def parents(spark, sf_dir):
+    return retrieval.parent_hits(corpus.hits(spark, sf_dir), corpus.chunks(spark, sf_dir)).select("query_id", "chunk_id", _six("score"))
+
+
+@query(
+    f"""WITH q AS ({corpus.QUESTIONS}), c AS ({corpus.CHUNKS}), x AS (SELECT query_id, chunk_id, chunk_seq,
+ len(list_filter(regexp_extract_all(query, '(?:Section\\s+)?(\\d+(?:\\.\\d+)*)', 1), lambda s: starts_with(section_number, s))) AS n,
+ len(list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda a: regexp_full_match(a, '[A-Z]{{2,}}') AND contains(content, a))) AS m FROM q CROSS JOIN c WHERE query_id > 900000)
+SELECT query_id, chunk_id, round(0.5 * (0.7 + 0.3 * (1 + 0.3 * n + 0.2 * m)), 6)::DOUBLE AS score FROM x"""
+)
+def kw_boost(spark, sf_dir):
+    chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "chunk_seq", "section_number", "content")
+    asked = corpus.questions(spark, sf_dir).where("query_id > 900000").select("query_id", "query")
+    hits = chunks.join(F.broadcast(asked.limit(100))).withColumn("score", F.lit(0.5)).withColumn("pos", F.col("chunk_seq"))  # four questions
+    return retrieval.keyword_boost(hits).select("query_id", "chunk_id", _six("score"))
+
+
+@query(
+    f"""WITH h AS ({corpus.HITS}), a AS (SELECT query_id, chunk_id, score, 0 AS stage, pos FROM h WHERE pos < 6 UNION ALL SELECT query_id, chunk_id, score * 1.5, 1, 10 - pos FROM h WHERE pos > 3),
+g AS (SELECT query_id, chunk_id, max(score) AS score, min(stage * 1000 + pos) AS first FROM a GROUP BY 1, 2)
+SELECT query_id, chunk_id, round(score, 6)::DOUBLE AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first) - 1 AS pos FROM g"""
+)
+def fuse(spark, sf_dir):
+    hits = corpus.hits(spark, sf_dir)
+    second = hits.where("pos > 3").withColumn("score", F.col("score") * 1.5).withColumn("pos", 10 - F.col("pos"))
+    return retrieval.fuse(hits.where("pos < 6"), second).select("query_id", "chunk_id", _six("score"), "pos")
+
+
+@query(
+    f"""WITH q AS ({corpus.QUESTIONS}), c AS ({corpus.CHUNKS}), x AS (SELECT query_id, chunk_id, chunk_type, lower(query) AS q, lower(content) AS c, lower(section_title) AS t, {_WORDS.format("query")} AS qw, {_WORDS.format("regexp_extract(content, '^\\*\\*([^*]+)\\*\\*', 1)")} AS cw FROM q CROSS JOIN c WHERE query_id > 900000),
+o AS (SELECT *, CASE WHEN chunk_type = 'table' AND len(qw) > 0 AND len(cw) > 0 THEN len(list_intersect(qw, cw))::DOUBLE / len(qw) ELSE 0 END AS ov FROM x)
+SELECT query_id, chunk_id, round((CASE WHEN contains(c, q) THEN 1.2 ELSE 1 END * CASE WHEN contains(t, q) THEN 1.15 ELSE 1 END * CASE WHEN ov >= 0.35 THEN 1 + ov * 0.6 ELSE 1 END
+ * CASE WHEN chunk_type = 'table' AND contains(q, 'what are') THEN 1.1 ELSE 1 END * CASE WHEN chunk_type = 'diagram_ref' AND (contains(q, 'show') OR contains(q, 'look like')) THEN 1.15 ELSE 1 END)::DOUBLE, 6) AS factor FROM o"""
+)
+def rerank(spark, sf_dir):
+    """The keyword factor of every chunk for the special questions."""
+    chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "content", "section_title", "chunk_type")
+    asked = corpus.questions(spark, sf_dir).where("query_id > 900000").select("query_id", "query")
+    met = chunks.join(F.broadcast(asked.limit(100)))  # four questions
+    return met.select("query_id", "chunk_id", F.round(retrieval.rerank_factor(F.col("query"), F.col("content"), F.col("section_title"), F.col("chunk_type")), 6).alias("factor"))
+
+
+@query()
+def retrieve(spark, sf_dir):
+    """The whole retrieval for all questions, every stage."""
+    hits = retrieval.retrieve(corpus.questions(spark, sf_dir), corpus.embedded_chunks(spark, sf_dir), corpus.references(spark, sf_dir))
+    return hits.select("query_id", "stage", "pos", "chunk_id", _six("score"))
+
+
+@query()
+def ctx_format(spark, sf_dir):
+    chunks = corpus.chunks(spark, sf_dir)
+    return retrieval.context_text(corpus.hits(spark, sf_dir).drop("section_number").where("pos < 5"), chunks)
+
+
+# --- answers ----------------------------------------------------------------
+
+@query()
+def ask(spark, sf_dir):
+    """Answers of all questions by extraction, with their citations counted and verified."""
+    done = pipeline.ask(corpus.questions(spark, sf_dir), corpus.embedded_chunks(spark, sf_dir), corpus.references(spark, sf_dir))
+    cited = done["citations"].groupBy("query_id").agg(F.count("*").alias("n_citations"))
+    sure = done["verification"].groupBy("query_id").agg(F.count_if(F.col("status") == "verified").alias("n_verified"))
+    return done["answers"].join(cited, "query_id", "left").join(sure, "query_id", "left").select("query_id", "query", "answer", _six("confidence"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))
+
+
+_CITE = "[Ss]ection\\s+(\\d{1,2}(?:\\.\\d{1,2}){0,3})(?:[,\\s]+(?:p(?:age|\\.)?\\.?\\s*)(\\d+))?"
+_CITED = f"""a AS ({corpus.ANSWERS}), c AS (SELECT query_id, answer, unnest(regexp_extract_all(answer, '{_CITE}', 1)) AS section_number, unnest(regexp_extract_all(answer, '{_CITE}', 2)) AS page,
+ generate_subscripts(regexp_extract_all(answer, '{_CITE}', 1), 1) - 1 AS pos FROM a), cited AS (SELECT query_id, answer, pos::INT AS pos, section_number, nullif(page, '')::INT AS page_cited FROM c)"""
+_CLAIM = "coalesce(list_filter(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1␞', 'g'), '␞'), lambda s: contains(s, 'Section ' || section_number))[1], answer)"
+
+
+@query(f"WITH {_CITED} SELECT query_id, pos, section_number, page_cited FROM cited")
+def cite_parse(spark, sf_dir):
+    return citations.parse_citations(corpus.answers(spark, sf_dir))
+
+
+@query(f"WITH {_CITED} SELECT query_id, pos, {_CLAIM} AS claim FROM cited")
+def cite_claim(spark, sf_dir):
+    answers = corpus.answers(spark, sf_dir)
+    return citations.claims(answers, citations.parse_citations(answers)).select("query_id", "pos", "claim")
+
+
+@query(
+    f"""WITH {_CITED}, k AS (SELECT *, min(chunk_seq) OVER (PARTITION BY section_number) AS sf FROM ({corpus.CHUNKS}) kk), m AS (SELECT cited.query_id, cited.pos, cited.section_number, page_cited, chunk_id, sf, chunk_seq, {_WORDS.format(_CLAIM.replace("section_number", "cited.section_number"))} AS a, {_WORDS.format("k.content")} AS b,
+ coalesce(page_cited BETWEEN page_start AND page_end, FALSE) AS ok FROM cited LEFT JOIN k ON k.section_number = cited.section_number OR starts_with(k.section_number, cited.section_number || '.')),
+r AS (SELECT *, CASE WHEN chunk_id IS NULL OR len(a) = 0 OR len(b) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))) END AS raw FROM m),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id, pos ORDER BY raw + CASE WHEN ok THEN 0.1 ELSE 0 END DESC, sf, chunk_seq) AS n FROM r),
+j AS (SELECT query_id, pos, section_number, page_cited, CASE WHEN chunk_id IS NULL THEN 'not_found' WHEN raw >= 0.15 AND (page_cited IS NULL OR ok) THEN 'verified' ELSE 'partial' END AS status, round(raw, 4) AS grounding_score, chunk_id, ok FROM best WHERE n = 1),
+d AS (SELECT *, row_number() OVER (PARTITION BY query_id, section_number ORDER BY grounding_score DESC, pos) AS n FROM j)
+SELECT query_id, section_number, page_cited, status, grounding_score, chunk_id IS NOT NULL AS chunk_found, ok AS page_in_range, chunk_id AS matched_chunk_id FROM d WHERE n = 1"""
+)
+def cite_verify(spark, sf_dir):
+    return citations.verify_citations(corpus.answers(spark, sf_dir), corpus.chunks(spark, sf_dir))
+
+
+_EXTRACTED = f"""h AS (SELECT * FROM ({corpus.HITS}) hh WHERE score >= 0.1), n AS (SELECT *, row_number() OVER (PARTITION BY query_id, section_number ORDER BY pos) AS k FROM h),
+ex AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank, section_number, chunk_id, score FROM n WHERE k = 1)"""
+
+
+@query(f"WITH {_EXTRACTED} SELECT query_id, rank, section_number, round(score, 6) AS confidence FROM ex")
+def cite_extract(spark, sf_dir):
+    hits = corpus.hits(spark, sf_dir).drop("section_number")
+    return citations.extract_citations(hits, corpus.chunks(spark, sf_dir), least=0.1).select("query_id", "rank", "section_number", _six("confidence"))
+
+
+@query(f"WITH s AS ({corpus.SECTIONS}) SELECT section_seq, CASE WHEN page_end <> page_start THEN format('Section {{}}, pages {{}}-{{}}', section_number, page_start, page_end) ELSE format('Section {{}}, page {{}}', section_number, page_start) END AS section_page, format('§{{}} (p. {{}})', section_number, page_start) AS paragraph, '[' || section_number || ']' AS other FROM s")
+def cite_format(spark, sf_dir):
+    place = (F.col("section_number"), F.col("page_start"), F.col("page_end"))
+    return corpus.sections(spark, sf_dir).select("section_seq", *[T.citation_text(*place, style).alias(style) for style in ("section_page", "paragraph", "other")])
+
+
+@query(f"WITH {_EXTRACTED}, v AS ({corpus.SECTIONS}) SELECT ex.query_id, rank, ex.section_number, CASE WHEN section_seq % 2 = 0 THEN 'verified' END AS status FROM ex JOIN v ON v.section_number = ex.section_number WHERE rank <= 5")
+def cite_badges(spark, sf_dir):
+    hits, chunks = corpus.hits(spark, sf_dir).drop("section_number"), corpus.chunks(spark, sf_dir)
+    cited = citations.extract_citations(hits, chunks, least=0.1)
+    even = corpus.sections(spark, sf_dir).where("section_seq % 2 = 0").select("section_number")
+    marks = cited.join(even, "section_number", "left_semi").select("query_id", "section_number", F.lit("verified").alias("status"), F.lit(0.5).alias("grounding_score"))
+    return citations.citation_badges(cited, marks).select("query_id", "rank", "section_number", "status")
+
+
+def _gold(spark, sf_dir):
+    rows = corpus.sections(spark, sf_dir)
+    terms = F.when(F.col("section_seq") % 4 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lower("title"), F.lit("semp"), F.lit("unclear")))
+    expected = F.when(F.col("section_seq") % 6 == 0, F.array().cast("array<string>")).otherwise(F.array(F.substring_index("section_number", ".", 1), F.lit("9")))
+    return rows.where("section_seq % 3 = 0").select(F.col("section_seq").alias("query_id"), F.concat(F.lit("kind"), F.col("section_seq") % 5).alias("category"), expected.alias("expected_sections"), terms.alias("expected_terms"))
+
+
+def _evaluated(spark, sf_dir):
+    answers = corpus.answers(spark, sf_dir).withColumn("confidence", T.confidence(F.col("answer")))
+    cited = citations.extract_citations(corpus.hits(spark, sf_dir).drop("section_number"), corpus.chunks(spark, sf_dir), least=0.1)
+    return evaluation.evaluate(_gold(spark, sf_dir), answers, cited)
+
+
+_CONF = "greatest(0.0, least(1.0, 0.5 + CASE WHEN contains(answer, 'Section') AND contains(answer, 'page') THEN 0.2 ELSE 0 END + CASE WHEN length(answer) > 100 THEN 0.1 ELSE 0 END - CASE WHEN contains(lower(answer), 'unclear') THEN 0.3 ELSE 0 END))::DOUBLE"
+_EVAL = f"""{_EXTRACTED}, s AS ({corpus.SECTIONS}), a AS ({corpus.ANSWERS}), g AS (SELECT section_seq AS query_id, 'kind' || (section_seq % 5) AS category, answer,
+ CASE WHEN section_seq % 6 = 0 THEN [] ELSE [string_split(section_number, '.')[1], '9'] END AS es, CASE WHEN section_seq % 4 = 0 THEN [] ELSE [lower(title), 'semp', 'unclear'] END AS et FROM s JOIN a ON a.query_id = section_seq WHERE section_seq % 3 = 0),
+ct AS (SELECT query_id, list(section_number) AS cited FROM ex GROUP BY 1),
+e AS (SELECT g.query_id, category, length(answer) > 0 AS answer_provided, coalesce(len(cited), 0) > 0 AS has_citations,
+ CASE WHEN len(es) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(es, lambda x: len(list_filter(coalesce(cited, []), lambda c: starts_with(c, x))) > 0))::DOUBLE / len(es) END AS section_recall,
+ CASE WHEN len(et) = 0 THEN 1.0::DOUBLE ELSE len(list_filter(et, lambda x: contains(lower(answer), x)))::DOUBLE / len(et) END AS term_coverage, {_CONF} AS confidence FROM g LEFT JOIN ct USING (query_id)),
+ev AS (SELECT *, 0.2 * answer_provided::INT + 0.2 * has_citations::INT + 0.3 * section_recall + 0.2 * term_coverage + 0.1 * confidence AS overall_score FROM e)"""
+
+
+@query(f"WITH {_EVAL} SELECT query_id, category, answer_provided, has_citations, round(section_recall, 6) AS section_recall, round(term_coverage, 6) AS term_coverage, round(confidence, 6) AS confidence, round(overall_score, 6) AS overall_score FROM ev")
+def eval_one(spark, sf_dir):
+    return _evaluated(spark, sf_dir).select("query_id", "category", "answer_provided", "has_citations", *[_six(c) for c in ("section_recall", "term_coverage", "confidence", "overall_score")])
+
+
+@query(f"WITH {_EVAL} SELECT category, count(*) AS total_queries, count(*) FILTER (answer_provided) AS successful_answers, round(avg(section_recall), 6) AS citation_accuracy, round(avg(confidence), 6) AS avg_confidence, round(avg(overall_score), 6) AS performance FROM ev GROUP BY GROUPING SETS ((category), ())")
+def eval_agg(spark, sf_dir):
+    return evaluation.summarize(_evaluated(spark, sf_dir)).select("category", "total_queries", "successful_answers", *[_six(c) for c in ("citation_accuracy", "avg_confidence", "performance")])
+
+
+@query(f"WITH {_EVAL} SELECT query_id, CASE WHEN overall_score > 0.7 THEN '✓' WHEN overall_score > 0.5 THEN '⚠' ELSE '✗' END AS mark FROM ev")
+def sink_report(spark, sf_dir):
+    return evaluation.report_lines(_evaluated(spark, sf_dir)).select("query_id", "mark")
+
+
+@query("SELECT page_id AS doc_id, length(html) > 0 AS has_text FROM pages")
+def src_pdf_pages(spark, sf_dir):
+    """Page texts of the HTML table."""
+    return page_tables(table(spark, sf_dir, "pages")).select("doc_id", (F.length("text") > 0).alias("has_text"))
