@@ -27,9 +27,12 @@ def norm(vector: Column) -> Column:
 
 
 def unit(vector: Column) -> Column:
-    """The vector at length 1; a zero vector is left as it is."""
-    length = norm(vector)
-    return F.when(length > 0, F.transform(doubles(vector), lambda x: x / length)).otherwise(doubles(vector))
+    """The vector at length 1; a zero vector is left as it is.
+
+    The length is bound once by a transform over a one-element array, not worked out for each element.
+    """
+    scaled = lambda n: F.transform(doubles(vector), lambda x: F.when(n > 0, x / n).otherwise(x))
+    return F.transform(F.array(norm(vector)), scaled)[0]
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions import vectors as V
+from ..session import settled
 from . import vectors as S
 
 
@@ -138,7 +139,7 @@ def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFram
     ``chunks.content_vec`` is the vector of the content alone, stored beside the context vector.
     """
     met = hits.join(questions.select("query_id", "query", "query_vec"), "query_id").join(chunks.select("chunk_id", "content", "section_title", "chunk_type", "content_vec"), "chunk_id")
-    similar = V.dot(V.unit(F.col("query_vec")), V.unit(F.col("content_vec")))
+    similar = V.cosine(F.col("query_vec"), F.col("content_vec"))
     score = (0.7 * similar + 0.3 * F.col("score")) * rerank_factor(F.col("query"), F.col("content"), F.col("section_title"), F.col("chunk_type"))
     return _places(met.withColumn("score", score), F.desc("score"), F.col("pos")).select("query_id", "chunk_id", "chunk_seq", "score", "pos")
 
@@ -155,7 +156,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, edges: DataFrame, options:
     primary = first.join(described, "chunk_seq").join(questions.select("query_id", "query"), "query_id")
     if options.strategy == "hybrid":
         primary = keyword_boost(primary)
-    primary = primary.persist()  # k rows a question, read by every later stage
+    primary = settled(primary)  # k rows a question, read by every later stage
     lists, stages = [primary], ["primary"]
     if options.multi_hop:
         lists.append(hop_hits(primary.where("chunk_type = 'text'"), edges, chunks, options.max_hops, also_visited=primary))

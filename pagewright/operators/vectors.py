@@ -74,11 +74,12 @@ def scores(index: DataFrame, questions: DataFrame, metric: str = "cosine", key:
     """
     if metric not in ("cosine", "ip", "l2"):
         raise ValueError(f"unknown metric {metric!r}")
-    prepare = V.unit if metric == "cosine" else V.doubles
-    left = index.select(key, *keep, prepare(F.col(vector)).alias("__v"))
-    right = questions.select("query_id", *[c for c in questions.columns if c.startswith("want_")], prepare(F.col("query_vec")).alias("__q"))
-    score = 1 / (1 + V.squared_distance(F.col("__v"), F.col("__q"))) if metric == "l2" else V.dot(F.col("__v"), F.col("__q"))
-    return left.join(_questions(index, right)).withColumn("score", score).drop("__v", "__q")
+    left = index.select(key, *keep, V.doubles(F.col(vector)).alias("__v"), V.norm(F.col(vector)).alias("__vn"))
+    right = questions.select("query_id", *[c for c in questions.columns if c.startswith("want_")], V.doubles(F.col("query_vec")).alias("__q"), V.norm(F.col("query_vec")).alias("__qn"))
+    lengths = F.col("__vn") * F.col("__qn")
+    inner = V.dot(F.col("__v"), F.col("__q"))
+    score = {"l2": 1 / (1 + V.squared_distance(F.col("__v"), F.col("__q"))), "ip": inner, "cosine": F.when(lengths > 0, inner / lengths).otherwise(0.0)}[metric]
+    return left.join(_questions(index, right)).withColumn("score", score).drop("__v", "__q", "__vn", "__qn")
 
 
 def top_k(scored: DataFrame, k: int, key: str = "vec_id") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import chunking, metadata
+from ..session import settled
 from ..sources.tables import table
 
 #: Sections; level 3 is left out on purpose, so that some parents do not exist.
@@ -95,7 +96,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metadata.dedup_references(metadata.cross_references(sections(spark, sf_dir))).persist()
+    return settled(metadata.dedup_references(metadata.cross_references(sections(spark, sf_dir))))
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,11 +110,11 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with both vectors: of the context string and of the raw content."""
     rows = chunks(spark, sf_dir).withColumn("section_path", F.array(F.substring_index("section_number", ".", 1)))
-    return rows.withColumn("context_vec", V.hashed_words(chunking.context_string(rows))).withColumn("content_vec", V.hashed_words(F.col("content"))).persist()
+    return settled(rows.withColumn("context_vec", V.hashed_words(chunking.context_string(rows))).withColumn("content_vec", V.hashed_words(F.col("content"))))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sql(spark, sf_dir, QUESTIONS).withColumn("query_vec", V.hashed_words(F.col("query"))).persist()
+    return settled(sql(spark, sf_dir, QUESTIONS).withColumn("query_vec", V.hashed_words(F.col("query"))))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:

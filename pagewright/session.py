@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
+#: Shared folder that is used only where the session names none.
+DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/pagewright"
 ROOT = str(Path(__file__).resolve().parents[1])
 
 
@@ -31,3 +33,11 @@ def ensure_importable(spark: SparkSession) -> None:
     held = environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in held.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (held, ROOT) if x)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """A checkpoint of ``df`` in the shared folder: worked out once, a leaf of every later plan."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_CHECKPOINT_DIR)
+    return df.checkpoint()
