@@ -27,6 +27,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +55,25 @@ def families(text: str) -> Counter[str]:
     return Counter(dict.fromkeys(words, 1)) | Counter({s: min(3, n) for s, n in stems.items()})
 
 
+def first_copies(texts: list[str], sketch: int = 32, shared: int = 6) -> list[int]:
+    """Positions of texts that are no near copy of an earlier one.
+
+    Two texts are copies if ``shared`` of the ``sketch`` least hashes of their
+    five-word shingles agree.  Copies would count as evidence many times.
+    """
+    kept, holders = [], {}
+    for at, text in enumerate(texts):
+        words = text.encode("utf-8", "surrogatepass").lower().split()
+        hashes = sorted({xxhash.xxh64_intdigest(b" ".join(words[i : i + 5])) for i in range(max(1, len(words) - 4))})[:sketch]
+        met = Counter(h for x in hashes for h in holders.get(x, ()))
+        if met and met.most_common(1)[0][1] >= min(shared, len(hashes)):
+            continue
+        kept.append(at)
+        for x in hashes:
+            holders.setdefault(x, []).append(at)
+    return kept
+
+
 def choose_families(texts: list[str], labels: np.ndarray) -> list[str]:
     """Families that go with label 1 more often than chance allows, purest first.
 
@@ -255,7 +275,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 3
 
 
 def fit(texts: list[str], labels: np.ndarray) -> Model:
-    """Voters, label model and classifier from labelled rows; one class or none: a constant score."""
+    """Voters, label model and classifier from labelled rows, near copies counted once; one class or none: a constant score."""
+    kept = first_copies(texts)
+    texts, labels = [texts[i] for i in kept], labels[kept]
     rate = float(labels.mean()) if len(labels) else 0.0
     voters = Voters(tuple(choose_families(texts, labels)))
     if not 0 < rate < 1:
