@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, delete_path, scratch_path
 
 #: Line keys up to this many are broadcast (about 24 bytes each); beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
@@ -54,19 +54,20 @@ def _half_keys() -> list[Column]:
 
 
 def _marked(distinct: DataFrame) -> DataFrame:
-    """``(h1, h2)`` of lines that may be one edit from another, with what to emit.
+    """``h1`` of lines that may be one edit from another, with what to emit.
 
     ``same``/``less``: sides (bit 1: shared first half, bit 2: shared last half)
     on which a line of the same length, or one shorter, shares a half;
-    ``short``: a longer line may contain this one.
+    ``short``: a longer line may contain this one.  The first hash alone names
+    a line here: a chance collision only marks one line more.
     """
-    keyed = distinct.select("h1", "h2", F.posexplode("keys").alias("p", "key"))
+    keyed = distinct.select("h1", F.posexplode("keys").alias("p", "key")).select("key", "h1", F.col("p").cast("tinyint").alias("p"))
     longer = F.col("p") < 2
     shared = keyed.groupBy("key").agg(F.count_if(longer).alias("long"), F.count_if(~longer).alias("short")).where("`long` > 1 or (`long` > 0 and short > 0)")
     met = keyed.join(shared, "key")
     side = F.when(F.col("p") % 2 == 0, 1).otherwise(2)
     return (
-        met.groupBy("h1", "h2")
+        met.groupBy("h1")
         .agg(
             F.bit_or(F.when(longer & (F.col("long") > 1), side).otherwise(0)).alias("same"),
             F.bit_or(F.when(longer & (F.col("short") > 0), side).otherwise(0)).alias("less"),
@@ -97,10 +98,9 @@ def _variants(lines: DataFrame) -> DataFrame:
 def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     """``(h1, h2)`` of distinct lines that lie one edit from an earlier line."""
     marked = cut(_marked(distinct))
-    first = marked.join(distinct.select("h1", "h2", "at"), ["h1", "h2"])
     small = marked.count() <= BROADCAST_ROWS
-    found = lines.select("at", "h1", "h2", "n", "line").join(F.broadcast(first) if small else first, ["h1", "h2", "at"])
-    texts = cut(found.dropDuplicates(["h1", "h2"]))
+    found = lines.join(F.broadcast(marked) if small else marked, "h1")
+    texts = cut(found.groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("line", "n", "same", "less", "short")]))
     holder = F.struct("at", "h1", "h2")
     key = Window.partitionBy("key")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, holder)).over(key)
@@ -119,14 +119,18 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lines = _lines(docs, id_col, text_col)
     keys = [x.alias(f"k{i}") for i, x in enumerate(_half_keys())] if max_edits else []
     least = [F.min(f"k{i}").alias(f"k{i}") for i in range(len(keys))]
-    distinct = lines.select("at", "h1", "h2", *keys).groupBy("h1", "h2").agg(F.min("at").alias("at"), F.max("at").alias("last"), *least)
+    distinct = lines.select("at", "h1", "h2", *keys).groupBy("h1", "h2").agg(F.min("at").alias("first"), (F.count("*") > 1).alias("repeated"), *least)
+    repeated = lambda df: df.where("repeated").select("h1", "h2", "first", F.lit(False).alias("near"))
     if max_edits:
-        distinct = cut(distinct.select("h1", "h2", "at", "last", F.array("k0", "k1", "k2", "k3").alias("keys")))
-        judged = distinct.select("h1", "h2", "at", "last").join(_near(lines, distinct).withColumn("near", F.lit(True)), ["h1", "h2"], "left")
-        judged = judged.withColumn("near", F.coalesce("near", F.lit(False)))
+        held = scratch_path(docs.sparkSession, "lines")
+        distinct.select("h1", "h2", "first", "repeated", F.array("k0", "k1", "k2", "k3").alias("keys")).write.option("compression", "zstd").parquet(held)
+        distinct = docs.sparkSession.read.parquet(held)
+        near = _near(lines, distinct).select("h1", "h2", F.lit(None).alias("first"), F.lit(True).alias("near"))
+        both = repeated(distinct).unionByName(near).groupBy("h1", "h2").agg(F.max("first").alias("first"), F.max("near").alias("near"))
+        doomed = cut(both)
+        delete_path(docs.sparkSession, held)
     else:
-        judged = distinct.select("h1", "h2", "at", "last", F.lit(False).alias("near"))
-    doomed = cut(judged.where("near or last > at").select("h1", "h2", F.col("at").alias("first"), "near"))
+        doomed = cut(repeated(distinct))
     small = doomed.count() <= BROADCAST_ROWS
     gone = lines.select("at", "h1", "h2").join(F.broadcast(doomed) if small else doomed, ["h1", "h2"]).where(F.col("near") | (F.col("at") > F.col("first")))
     return gone.groupBy("at.d", "at.th").agg(F.collect_set("at.i").alias("gone"))
