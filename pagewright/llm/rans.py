@@ -14,8 +14,8 @@ import zlib
 
 import numpy as np
 
-LANES = 512
-SCALE_BITS = 22
+LANES = 1_024
+SCALE_BITS = 18
 _LOW = np.uint64(1 << 31)
 _HEAD = struct.Struct("<IIII")
 
@@ -64,8 +64,8 @@ def encode(symbols: np.ndarray, table: Table, every: int = 256) -> bytes:
             words.append(out)
             written += len(out)
             x = np.where(full, x >> np.uint64(32), x)
-        high, low = np.divmod(x, f)
-        state[: len(f)] = (high << shift) + low + c
+        high = x // f
+        state[: len(f)] = (high << shift) + (x - high * f) + c
         if step % every == 0:
             marks.append((written, state.copy()))
     payload = np.concatenate(words[::-1]).astype("<u4").tobytes() if words else b""

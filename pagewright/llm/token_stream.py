@@ -10,9 +10,12 @@ decoded alone, and its checksum tells damage.  The files are Parquet tables
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +28,11 @@ from . import rans
 from .common import delete_path, scratch_path
 
 #: A block ends with the document that brings it to this many ids.
-BLOCK_TOKENS = 1 << 18
-#: Words whose ids a worker remembers; beyond it the memory starts anew.
-CACHE_WORDS = 250_000
+BLOCK_TOKENS = 1 << 19
+#: Words whose ids a worker remembers; the ids of further words are found anew each time.
+CACHE_WORDS = 1_200_000
+#: A comma or full stop between an ASCII letter and white space: a piece of its own in any case.
+_LOOSE = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|$)")
 
 
 @lru_cache(maxsize=2)
@@ -42,61 +47,108 @@ def tokenizer(path: str):
 class WordCoder:
     """Ids of texts as little-endian bytes, word by word.
 
-    For tokenizers whose normaliser and pre-tokeniser never join what ASCII
-    white space separates and drop the white space itself: then a text's ids are
-    those of its words, and a word is encoded once.
+    For tokenizers that lower-case, whose normaliser and pre-tokeniser never
+    join what ASCII white space separates, drop the white space itself, and
+    part letters from punctuation: then a text's ids are those of its words,
+    and a word is encoded once.  ASCII capitals and loose punctuation are taken
+    off beforehand, which leaves fewer different words.
     """
 
     def __init__(self, path: str, end_id: int):
         self.tokenizer = tokenizer(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
         self.end = np.array([end_id], dtype=self.dtype).tobytes()
+        self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
         self.known: dict[bytes, bytes] = {}
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+    def encode(self, texts: list[bytes | None]) -> list[bytes]:
+        words = [self._words(t or b"") for t in texts]
+        new = set(chain.from_iterable(words)).difference(self.known)
+        self._learn(new)
+        find = self.known.__getitem__
+        out = [b"".join(map(find, ws)) + self.end for ws in words]
         if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list({w for ws in words for w in ws if w not in self.known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, dtype=self.dtype).tobytes()) for w, e in zip(part, coded, strict=True))
-        return [b"".join(map(self.known.__getitem__, ws)) + self.end for ws in words]
+            for word in new:
+                del self.known[word]
+        return out
+
+    def _learn(self, new: set[bytes]) -> None:
+        """Encode new words.  Words of Latin letters alone are one piece each: they
+        are encoded together and their ids told apart by the word-end marks."""
+        kind, plain, other = self.dtype.char, [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            (plain if text.isalpha() and max(text) < "\u0250" else other).append((word, text))
+        for at in range(0, len(plain), 256):
+            part = plain[at : at + 256]
+            cur, found = array(kind), []
+            for i in self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids:
+                cur.append(i)
+                if i in self.ends:
+                    found.append(cur.tobytes())
+                    cur = array(kind)
+            if len(found) == len(part):
+                self.known.update((w, ids) for (w, _), ids in zip(part, found, strict=True))
+            else:  # a tokenizer without such marks
+                other += part
+        for at in range(0, len(other), 20_000):
+            part = other[at : at + 20_000]
+            coded = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
+            self.known.update((w, array(kind, e.ids).tobytes()) for (w, _), e in zip(part, coded, strict=True))
+
+    @staticmethod
+    def _words(text: bytes) -> list[bytes]:
+        # special tokens are told by their letters' case
+        return text.split() if b"<|" in text else _LOOSE.sub(rb" \g<0>", text.lower()).split()
 
 
-def _tokenised(docs: DataFrame, path: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
+@lru_cache(maxsize=2)
+def word_coder(path: str, end_id: int) -> WordCoder:
+    """A worker's coder, with what it remembers from earlier tasks."""
+    return WordCoder(path, end_id)
+
+
+def _tokenised(docs: DataFrame, path: str, end_id: int, vocabulary: int, id_col: str, text_col: str) -> DataFrame:
+    """Rows of documents in order, and for each part one row with the counts of its ids."""
+    names = ["part", "doc_id", "begin", "n", "ids", "counts"]
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, at = WordCoder(path, end_id), TaskContext.get().partitionId(), 0
+        coder, part, at = word_coder(path, end_id), TaskContext.get().partitionId(), 0
+        counts = np.zeros(vocabulary, dtype=np.int64)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                rows = batch.slice(low, 512)
-                ids = coder.encode(rows.column(1).to_pylist())
+            for low in range(0, batch.num_rows, 1_024):
+                rows = batch.slice(low, 1_024)
+                ids = coder.encode(rows.column(1).cast(pa.binary()).to_pylist())
                 sizes = np.array([len(x) // coder.dtype.itemsize for x in ids], dtype=np.int64)
                 begins = at + np.cumsum(sizes) - sizes
                 at += int(sizes.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(ids), part, dtype=np.int32)), rows.column(0), pa.array(begins), pa.array(sizes), pa.array(ids, pa.binary())], names=["part", "doc_id", "begin", "n", "ids"]
-                )
+                counts += np.bincount(np.frombuffer(b"".join(ids), dtype=coder.dtype), minlength=vocabulary)
+                parts = pa.array(np.full(len(ids), part, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([parts, rows.column(0), pa.array(begins), pa.array(sizes), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        if at:
+            one = [pa.array([part], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()])]
+            yield pa.RecordBatch.from_arrays(one, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("x"))
-    return ordered.mapInArrow(work, "part int, doc_id long, begin long, n long, ids binary")
+    return ordered.mapInArrow(work, "part int, doc_id long, begin long, n long, ids binary, counts binary")
+
 
+def _counts(tokens: DataFrame) -> DataFrame:
+    """``(id, count)`` over all parts."""
 
-def _counts(tokens: DataFrame, dtype: str) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, dtype=np.int64)
+        total = None
         for batch in batches:
-            counted = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=dtype))
-            if len(counted) > len(total):
-                total = np.concatenate((total, np.zeros(len(counted) - len(total), dtype=np.int64)))
-            total[: len(counted)] += counted
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "count"])
+            for counts in batch.column(0):
+                one = np.frombuffer(counts.as_py(), dtype="<i8")
+                total = one if total is None else total + one
+        if total is not None:
+            used = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["id", "count"])
 
-    return tokens.select("ids").mapInArrow(work, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
+    return tokens.where("counts is not null").select("counts").mapInArrow(work, "id long, count long").groupBy("id").agg(F.sum("count").alias("count"))
 
 
 def _table(counts: DataFrame, vocabulary: int) -> np.ndarray:
@@ -142,9 +194,10 @@ def write_stream(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2
     coder = WordCoder(tokenizer_path, end_id)
     dtype, vocabulary = coder.dtype.str, max(coder.tokenizer.get_vocab_size(), end_id + 1)
     held = scratch_path(spark, "tokens")
-    _tokenised(docs, tokenizer_path, end_id, id_col, text_col).write.option("compression", "zstd").parquet(held)
-    tokens = spark.read.parquet(held)
-    _counts(tokens, dtype).write.parquet(f"{out}/counts")
+    _tokenised(docs, tokenizer_path, end_id, vocabulary, id_col, text_col).write.option("compression", "snappy").parquet(held)
+    stored = spark.read.parquet(held)
+    tokens = stored.where("counts is null")
+    _counts(stored).write.parquet(f"{out}/counts")
     counts = _table(spark.read.parquet(f"{out}/counts"), vocabulary)
     ends = tokens.groupBy("part").agg(F.sum("n").alias("size"))
     offset = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
