@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PROJECTIONS, THRESHOLD, CONFIDENCE = 64, 0.8, 0.9
+PROJECTIONS, THRESHOLD, CONFIDENCE = 64, 0.7, 0.8
 #: Vectors in a shard and queries in a block, about; what a task holds.
-SHARD, BLOCK = 16_384, 512
+SHARD, BLOCK = 32_768, 512
 SEED = 20
-_WIDEN = 1.6
+#: The first half-width, in units of the usual distance of a k-th neighbour, and its growth.
+_START, _WIDEN = 1.2, 1.45
+_PROBED = 16
 
 
 def directions(dim: int, projections: int = PROJECTIONS, seed: int = SEED) -> np.ndarray:
@@ -62,13 +64,28 @@ class Shard:
         unit = vectors / longest
         rest = np.sqrt(np.maximum(0.0, 1.0 - (unit * unit).sum(axis=1)))
         placed = np.hstack([unit, rest[:, None]]) @ self.axes * math.sqrt(self.dim)
-        self.order = np.ascontiguousarray(np.argsort(placed, axis=0).T.astype(np.int32))
+        self.order = np.ascontiguousarray(np.argsort(placed, axis=0).T)
         self.sorted = np.take_along_axis(placed.T, self.order, axis=1)
+        self.begin: dict[int, float] = {}
         self.longest, self.reach = longest, _reach(projections, threshold, confidence)
 
-    def _collisions(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    def _first_width(self, k: int) -> float:
+        """From the exact k-th neighbours of a few members: where the first windows begin."""
+        if k not in self.begin:
+            some = self.vectors[:: max(1, len(self.vectors) // _PROBED)][:_PROBED] / self.longest
+            inner = np.sort(some @ (self.vectors / self.longest).T, axis=1)[:, -min(k + 1, len(self.vectors))]
+            square = (some * some).sum(axis=1)
+            self.begin[k] = _START * float(np.median(np.sqrt(np.maximum(1e-6, 1 + square - 2 * inner))))
+        return self.begin[k]
+
+    def _window(self, place: np.ndarray, width: float) -> tuple[list[int], list[int]]:
+        """First and last position within the width of the query, in each sorted array."""
+        ends = [s.searchsorted((p - width, p + width)) for s, p in zip(self.sorted, place.tolist(), strict=True)]
+        return [int(e[0]) for e in ends], [int(e[1]) for e in ends]
+
+    def _collisions(self, low: list[int], high: list[int]) -> np.ndarray:
         """Collisions of every vector, from the windows or from what they leave, whichever is shorter."""
-        n, inside = len(self.ids), int((high - low).sum())
+        n, inside = len(self.ids), sum(high) - sum(low)
         if 2 * inside <= self.order.size:
             return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]), minlength=n)
         outside = [o[:a] for o, a in zip(self.order, low, strict=True)] + [o[b:] for o, b in zip(self.order, high, strict=True)]
@@ -87,10 +104,9 @@ class Shard:
         at, score = np.zeros(0, dtype=np.int64), np.zeros(0)
         if k == 0:
             return at, score
-        width, norm, last = 0.25, float(np.linalg.norm(vector)), False
+        width, norm, last = self._first_width(k), float(np.linalg.norm(vector)), False
         while True:
-            low = np.array([np.searchsorted(s, p - width) for s, p in zip(self.sorted, place, strict=True)])
-            high = np.array([np.searchsorted(s, p + width, side="right") for s, p in zip(self.sorted, place, strict=True)])
+            low, high = self._window(place, width)
             passed = np.flatnonzero((self._collisions(low, high) >= self.need) & ~seen)
             if len(passed):
                 seen[passed] = True
