@@ -145,11 +145,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     comes first in the order.  ``__pw_lines`` counts the lines of a text (an
     empty one has one), ``__pw_gone`` those taken out.
     """
-    gone = removed_lines(docs, id_col, text_col, max_edits)
+    gone = removed_lines(docs, id_col, text_col, max_edits).select(F.col("d").alias("__pw_d"), F.col("th").alias("__pw_t"), F.col("gone").alias("__pw_list"))
     keyed = docs.withColumn("__pw_th", F.xxhash64(text_col))
-    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("d")) & (F.col("__pw_th") == F.col("th")), "left").drop("d", "th")
+    joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__pw_d")) & (F.col("__pw_th") == F.col("__pw_t")), "left").drop("__pw_d", "__pw_t", "__pw_th")
     pieces = F.split(F.col(text_col), "\n")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "\n"))
-    counts = joined.withColumn("__pw_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(pieces))).withColumn("__pw_gone", F.coalesce(F.size("gone"), F.lit(0)))
-    return counts.withColumn(text_col, text).drop("gone", "__pw_th")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__pw_list"))
+    text = F.when(F.col("__pw_list").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(pieces, i)), "\n"))
+    counts = joined.withColumn("__pw_lines", F.when(F.col(text_col).isNull(), 0).otherwise(F.size(pieces))).withColumn("__pw_gone", F.coalesce(F.size("__pw_list"), F.lit(0)))
+    return counts.withColumn(text_col, text).drop("__pw_list")
