@@ -1,17 +1,18 @@
 """License scan by conditional compression.
 
 A candidate block is a line with a licence word (native filter; the text is
-never cut).  It is compressed alone and with each template as a raw
-zstandard dictionary; the templates are ranked by how much they save.  The
-best ones are confirmed by the exact differences in wording: the words that a
-minimal edit script inserts or deletes between the template and the closest
-stretch of the block.
+never cut).  Every stretch of its words that is a template up to a share of
+differing words is found by exact edit distance; runs of words in common, which
+such a stretch must have, say where to look.  A bounded window around each
+stretch is compressed alone and with the template as a raw zstandard
+dictionary; the templates are ranked by how much they save.
 """
 
 from __future__ import annotations
 
+from bisect import bisect
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
-from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,8 +35,6 @@ TEMPLATES: dict[str, str] = {
 CANDIDATE = r"(?i)licen[sc]|copyright|redistribution|waived all|creative commons|public domain|spdx|warrant"
 #: Differing words that a confirmed notice may have, as a share of the template's words.
 MAX_DIFFERENCE = 0.2
-#: Templates whose saving is at least this share of the best one's are confirmed too.
-RANKED = 0.5
 
 
 def words(text: str) -> list[str]:
@@ -63,38 +62,85 @@ def savings(block: str, templates: Mapping[str, str] = TEMPLATES) -> list[tuple[
     return sorted(((alone - len(c.compress(data)), name) for name, c in primed.items()), key=lambda x: (-x[0], x[1]))
 
 
-def differences(block: str, template: str) -> int:
-    """Words to delete, insert or replace between the template and its closest stretch of the block.
+def stretches(mine: list[str], theirs: list[str], most: int) -> list[tuple[int, int, int]]:
+    """``(differences, begin, end)`` of the stretches of ``mine`` that are ``theirs`` up to ``most`` words.
 
-    The stretch lies around the longest common run of words, with as many words
-    to spare on each side as the template has; what the block has before and
-    after the stretch is no difference.
+    Differences are words to delete, insert or replace.  Of overlapping stretches
+    the closest one counts; what lies before and after a stretch is no difference.
+    """
+    costs, begins, near = list(range(len(theirs) + 1)), [0] * (len(theirs) + 1), []
+    for j, other in enumerate(mine, 1):
+        last, first, costs[0], begins[0] = costs[0], begins[0], 0, j
+        for i, word in enumerate(theirs, 1):
+            cost, begin = last + (word != other), first
+            if costs[i] + 1 < cost:
+                cost, begin = costs[i] + 1, begins[i]
+            if costs[i - 1] + 1 < cost:
+                cost, begin = costs[i - 1] + 1, begins[i - 1]
+            last, first, costs[i], begins[i] = costs[i], begins[i], cost, begin
+        if costs[-1] <= most and begins[-1] < j:
+            near.append((costs[-1], begins[-1], j))
+    taken: list[tuple[int, int, int]] = []
+    for cost, begin, end in sorted(near):
+        at = bisect(taken, begin, key=lambda x: x[1])
+        if (at == 0 or taken[at - 1][2] <= begin) and (at == len(taken) or end <= taken[at][1]):
+            taken.insert(at, (cost, begin, end))
+    return taken
+
+
+def _places(mine: list[str], theirs: list[str], most: int, at: Mapping[tuple[str, ...], list[int]]) -> list[tuple[int, int]]:
+    """Disjoint spans of ``mine`` that hold all its stretches; ``at`` has the positions of single words and of pairs.
+
+    ``most`` differences cut what is in common into ``most + 1`` runs at most, so
+    the longest one has that share of the words left: two or more, or one.
     """
-    mine, theirs = words(block), words(template)
-    run = SequenceMatcher(None, mine, theirs, autojunk=False).find_longest_match()
-    if not run.size:
-        return len(theirs)
-    spare = len(theirs)
-    near = mine[max(0, run.a - run.b - spare) : run.a + spare - run.b + spare]
-    costs = [0] * (len(near) + 1)
-    for i, word in enumerate(theirs, 1):
-        last, costs[0] = costs[0], i
-        for j, other in enumerate(near, 1):
-            last, costs[j] = costs[j], min(last + (word != other), costs[j] + 1, costs[j - 1] + 1)
-    return min(costs)
+    left = len(theirs) - most
+    if left <= 0:
+        return [(0, len(mine))]
+    run = 2 if left > most + 1 else 1
+    reach, spans = len(theirs) + most, []
+    for p in sorted({p for i in range(len(theirs) - run + 1) for p in at.get(tuple(theirs[i : i + run]), ())}):
+        if spans and p - reach <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], min(len(mine), p + reach))
+        else:
+            spans.append((max(0, p - reach), min(len(mine), p + reach)))
+    wanted = Counter(theirs)
+    return [(a, b) for a, b in spans if (wanted & Counter(mine[a:b])).total() >= left]
+
+
+def notices(mine: list[str], templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> list[tuple[str, int, int, int]]:
+    """``(template, differing words, begin, end)`` of every stretch that is a template within the bound, all templates."""
+    at, out = defaultdict(list), []
+    known = {w for text in templates.values() for w in words(text)}
+    for i, word in enumerate(mine):
+        if word in known:
+            at[(word,)].append(i)
+            if i and mine[i - 1] in known:
+                at[(mine[i - 1], word)].append(i - 1)
+    for name, text in templates.items():
+        theirs = words(text)
+        most = int(max_difference * len(theirs))
+        for a, b in _places(mine, theirs, most, at):
+            out += [(name, edits, a + begin, a + end) for edits, begin, end in stretches(mine[a:b], theirs, most)]
+    return out
+
+
+def differences(block: str, template: str) -> int:
+    """Words to delete, insert or replace between the template and its closest stretch of the block."""
+    theirs = words(template)
+    return min((x[0] for x in stretches(words(block), theirs, len(theirs))), default=len(theirs))
+
+
+def _saved(mine: list[str], name: str, begin: int, end: int, templates: Mapping[str, str]) -> int:
+    """Bytes that the template saves on a stretch with as many words again on each side."""
+    around = " ".join(mine[max(0, 2 * begin - end) : 2 * end - begin])
+    return next(saved for saved, other in savings(around, templates) if other == name)
 
 
 def scan_block(block: str, templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> list[tuple[str, int, int]]:
     """``(template, bytes saved, differing words)`` of the confirmed winners of a block, best first."""
-    ranked = savings(block, templates)
-    best = ranked[0][0] if ranked else 0
-    found = []
-    for saved, name in ranked:
-        if saved <= 0 or saved < RANKED * best:
-            break
-        edits = differences(block, templates[name])
-        if edits <= max_difference * len(words(templates[name])):
-            found.append((name, saved, edits))
+    mine = words(block)
+    found = [(name, _saved(mine, name, begin, end, templates), edits) for name, edits, begin, end in notices(mine, templates, max_difference)]
     return sorted(found, key=lambda x: (x[2], -x[1], x[0]))[:1]
 
 

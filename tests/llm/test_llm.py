@@ -107,6 +107,14 @@ def test_license_query_finds_exactly_the_notices(spark):
     assert found == wanted
 
 
+@pytest.mark.parametrize("n", [0, 500, 2_000, 20_000])
+def test_licenses_in_long_lines(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(i, name, " ".join([*(prose := [f"w{x}" for x in rng.integers(50_000, size=n)])[: n // 3], text, *prose[n // 3 :]])) for i, (name, text) in enumerate(licenses.TEMPLATES.items())]
+    got = {(r.doc_id, r.license, r.differences) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()}
+    assert got == {(i, name, 0) for i, name, _ in rows}
+
+
 def test_mixing_targets_and_copies(odd, docs, none):
     for df in (odd, docs):
         rows = mixing.mix(df).collect()
