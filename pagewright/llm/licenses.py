@@ -1,8 +1,9 @@
 """License scan by conditional compression.
 
-A candidate block is a line with a licence word (native filter; the text is
-never cut).  Every stretch of its words that is a template up to a share of
-differing words is found by exact edit distance; runs of words in common, which
+A candidate is a text with a licence word (native filter; the text is never
+cut).  Its lines are read on as one sequence of words, so that notices may be
+wrapped.  Every stretch that is a template up to a share of differing words is
+found by exact edit distance; runs of words in common, which
 such a stretch must have, say where to look.  A bounded window around each
 stretch is compressed alone and with the template as a raw zstandard
 dictionary; the templates are ranked by how much they save.
@@ -10,6 +11,7 @@ dictionary; the templates are ranked by how much they save.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Mapping
@@ -31,15 +33,16 @@ TEMPLATES: dict[str, str] = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
-#: Words without which a line is no candidate.
+#: Words without which a text is no candidate.
 CANDIDATE = r"(?i)licen[sc]|copyright|redistribution|waived all|creative commons|public domain|spdx|warrant"
 #: Differing words that a confirmed notice may have, as a share of the template's words.
 MAX_DIFFERENCE = 0.2
+_WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 
 
 def words(text: str) -> list[str]:
-    """Lower-cased words without punctuation at their ends."""
-    return [w for w in (x.strip(".,;:!?()[]\"'") for x in text.lower().split()) if w]
+    """Lower-cased words without punctuation at their ends; marks that hold no letter or digit, as of comments, are none."""
+    return _WORD.findall(text.lower())
 
 
 @lru_cache(maxsize=8)
@@ -138,40 +141,55 @@ def _saved(mine: list[str], name: str, begin: int, end: int, templates: Mapping[
 
 
 def scan_block(block: str, templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> list[tuple[str, int, int]]:
-    """``(template, bytes saved, differing words)`` of the confirmed winners of a block, best first."""
-    mine = words(block)
-    found = [(name, _saved(mine, name, begin, end, templates), edits) for name, edits, begin, end in notices(mine, templates, max_difference)]
-    return sorted(found, key=lambda x: (x[2], -x[1], x[0]))[:1]
-
+    """``(template, bytes saved, differing words)`` of every confirmed notice of a block, best first."""
+    return sorted((x[2:] for x in scan_text(block, templates, max_difference)), key=lambda x: (x[2], -x[1], x[0]))
+
+
+def scan_text(text: str, templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> list[tuple[int, int, str, int, int]]:
+    """``(line, number on that line, template, bytes saved, differing words)`` of every confirmed notice, by the line where it begins."""
+    lines = [words(x) for x in text.split("\n")]
+    mine, line_of = [w for line in lines for w in line], [i for i, line in enumerate(lines) for _ in line]
+    found = [(line_of[begin], edits, -_saved(mine, name, begin, end, templates), name, begin) for name, edits, begin, end in notices(mine, templates, max_difference)]
+    out: list[tuple[int, int, str, int, int]] = []
+    for line, edits, cost, name, _ in sorted(found):
+        out.append((line, out[-1][1] + 1 if out and out[-1][0] == line else 0, name, -cost, edits))
+    return out
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> DataFrame:
-    """``(doc_id, line, license, saved_bytes, differences)``, one row a confirmed line.
 
-    Lines are numbered from 0.  Null and empty texts have none; rows that repeat an id
-    each give their own.
-    """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line", "block")).where(F.col("block").rlike(CANDIDATE))
+def _scan(docs: DataFrame, id_col: str, text_col: str, templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> DataFrame:
+    # marks and line ends may stand between the words of a candidate
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE.replace(" ", r"[\W_]+")))
     fixed = dict(templates)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, *x) for i, block in enumerate(batch.column("block").to_pylist()) for x in scan_block(block, fixed, max_difference)]
+            rows = [(i, *x) for i, text in enumerate(batch.column("text")) for x in scan_text(text.as_py(), fixed, max_difference)]
             at = pa.array([r[0] for r in rows], pa.int64())
-            found = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.string()), (2, pa.int32()), (3, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("line").take(at), *found], names=["doc_id", "line", "license", "saved_bytes", "differences"])
+            found = [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.string()), (4, pa.int32()), (5, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), *found], names=["doc_id", "line", "nth", "license", "saved_bytes", "differences"])
+
+    return base.mapInArrow(work, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, line int, nth int, license string, saved_bytes int, differences int")
 
-    return base.mapInArrow(work, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, line int, license string, saved_bytes int, differences int")
+
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> DataFrame:
+    """``(doc_id, line, license, saved_bytes, differences)``, one row a confirmed notice.
+
+    ``line``, from 0, is that where the notice begins.  Where templates share words,
+    each one within the bound has its row.  Null and empty texts have none; rows that
+    repeat an id each give their own.
+    """
+    return _scan(docs, id_col, text_col, templates, max_difference).drop("nth")
 
 
 def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(doc_id, n_lines, licenses, least_differences)`` for every document id.
 
-    ``licenses`` joins the sorted names with ``;`` (empty: none found),
+    ``n_lines`` counts the lines where notices begin; ``licenses`` joins the sorted names with ``;`` (empty: none found),
     ``least_differences`` is null then.  Repeated ids give one row.
     """
-    found = scan_licenses(docs, id_col, text_col, **options)
+    found = _scan(docs, id_col, text_col, **options)
     summed = found.groupBy("doc_id").agg(
-        F.count("*").alias("n_lines"), F.array_join(F.array_sort(F.collect_set("license")), ";").alias("licenses"), F.min("differences").alias("least_differences")
+        F.count_if(F.col("nth") == 0).alias("n_lines"), F.array_join(F.array_sort(F.collect_set("license")), ";").alias("licenses"), F.min("differences").alias("least_differences")
     )
     ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
     joined = ids.join(summed.withColumnRenamed("doc_id", "__pw_id"), F.col("doc_id").eqNullSafe(F.col("__pw_id")), "left")

@@ -115,6 +115,22 @@ def test_licenses_in_long_lines(spark, n):
     assert got == {(i, name, 0) for i, name, _ in rows}
 
 
+@pytest.mark.parametrize("lead", ["", "# ", " * ", "//"])
+def test_licenses_wrapped_over_lines(spark, lead):
+    wrap = lambda text, n: "\n".join(lead + " ".join(text.split()[i : i + n]) for i in range(0, len(text.split()), n))
+    rows = [(i * 10 + n, name, f"code\n\n{wrap(text, n)}\nmore") for i, (name, text) in enumerate(licenses.TEMPLATES.items()) for n in (1, 3, 8)]
+    got = {(r.doc_id, r.line, r.license, r.differences) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, name string, text string")).collect()}
+    assert got == {(i, 2, name, 0) for i, name, _ in rows}
+
+
+def test_all_licenses_of_a_line(spark):
+    both = [f"{licenses.TEMPLATES[a]} or {licenses.TEMPLATES[b]}" for a in licenses.TEMPLATES for b in licenses.TEMPLATES]
+    docs = spark.createDataFrame([(i, f"{text}\n{text}") for i, text in enumerate([*both, " and ".join(licenses.TEMPLATES.values())])], "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.licenses, r.least_differences) for r in licenses.document_licenses(docs).collect()}
+    pairs = [";".join(sorted({a, b})) for a in licenses.TEMPLATES for b in licenses.TEMPLATES]
+    assert got == {i: (2, names, 0) for i, names in enumerate([*pairs, ";".join(sorted(licenses.TEMPLATES))])}
+
+
 def test_mixing_targets_and_copies(odd, docs, none):
     for df in (odd, docs):
         rows = mixing.mix(df).collect()
