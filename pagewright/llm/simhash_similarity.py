@@ -10,12 +10,14 @@ similarity of the texts' shingles.
 
 As in ``simhash.py``, buckets are dealt out by pairs of chunks and give links
 that connect what is near, not all pairs: small groups all their near pairs;
-larger ones a spanning forest of the surely near (so that confirmation keeps
-it), and the nearest pair between any two of its trees.
+larger ones a spanning forest of the nearest, and the nearest pair between any
+two of its trees.  Confirmation breaks some of these links, so the larger groups
+are searched again for every near pair whose ends it left apart.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,7 @@ from .components import connected_components
 from .runs import blocks_of_runs
 
 WORDS, BLOCK_BITS, COMPARED = 16, 16, 4
-#: Differing bits of the compared 256: surely alike; possibly 0.8 (three deviations above the mean of such pairs).
+#: Differing bits of the compared 256: joined first; possibly 0.8 (three deviations above the mean of such pairs).
 SURE, POSSIBLE = 40, 57
 #: Differing bits of all 1,024: again three deviations above the mean at 0.8.
 MOST = 190
@@ -37,6 +39,8 @@ MOST = 190
 _SMALL_GROUP = 12
 #: Ids up to this many are broadcast when their texts are fetched; more are shuffled.
 BROADCAST_IDS = 200_000
+#: Pairs of a tile on average.
+TILE_PAIRS = 1_000
 _MIX = np.random.default_rng(11).integers(1 << 62, dtype=np.uint64, size=WORDS) * np.uint64(2) + np.uint64(1)
 
 
@@ -75,8 +79,9 @@ def _prints(rows: DataFrame, shingle: int) -> DataFrame:
 
 
 def _blocks(prints: DataFrame) -> DataFrame:
-    """``(t, k, id, f0..)``: a row for each block of each fingerprint."""
-    names = ["t", "k", "id", *[f"f{i}" for i in range(COMPARED)]]
+    """``(t, k, id, f0.., *what follows fp)``: a row for each block of each fingerprint."""
+    more = prints.columns[2:]
+    names = ["t", "k", "id", *[f"f{i}" for i in range(COMPARED)], *more]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,10 +91,10 @@ def _blocks(prints: DataFrame) -> DataFrame:
                 keys = words.view(np.uint16).astype(np.int32)
                 n = keys.shape[1]
                 some = np.repeat(words[:, :: WORDS // COMPARED].view(np.int64), n, axis=0)
-                columns = [np.tile(np.arange(n, dtype=np.int32), len(keys)), keys.ravel(), np.repeat(part.column(0).to_numpy(), n), *np.ascontiguousarray(some.T)]
+                columns = [np.tile(np.arange(n, dtype=np.int32), len(keys)), keys.ravel(), np.repeat(part.column(0).to_numpy(), n), *np.ascontiguousarray(some.T), *[np.repeat(c.to_numpy(), n) for c in part.columns[2:]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return prints.mapInArrow(work, "t int, k int, id long, " + ", ".join(f"f{i} long" for i in range(COMPARED)))
+    return prints.mapInArrow(work, "t int, k int, id long, " + ", ".join(f"{x} long" for x in names[3:]))
 
 
 def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -125,6 +130,32 @@ def _connect(prints: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _dealt(blocks: DataFrame, chunk: int) -> DataFrame:
+    """Blocks by pairs ``(a, b)`` of chunks; ``n`` is the size of the block's bucket, null for small ones."""
+    keys = ["t", "k", "a", "b"]
+    return (
+        blocks.withColumn("g", F.coalesce(F.ceil(F.col("n") / chunk).cast("int"), F.lit(1)))
+        .withColumn("c", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+        .select("t", "k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), *[x for x in blocks.columns if x not in ("t", "k", "n")])
+        .repartition(*keys)
+        .sortWithinPartitions(*keys)
+    )
+
+
+def _search_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of larger groups all near pairs of different ``part``; ``_search`` gave those of small ones."""
+    for table, bounds in blocks_of_runs(batches, ["t", "k", "a", "b"]):
+        ids, parts = (table.column(x).to_numpy() for x in ("id", "part"))
+        prints = np.stack([table.column(f"f{i}").to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
+        for i in np.flatnonzero(np.diff(bounds) > _SMALL_GROUP):
+            for at in range(bounds[i], bounds[i + 1] - 1):
+                others = np.flatnonzero(parts[at + 1 : bounds[i + 1]] != parts[at]) + at + 1
+                found = ids[others[_distances(prints[at], prints[others]) <= POSSIBLE]]
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], found)), pa.array(np.maximum(ids[at], found))], names=["a", "b"])
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table, bounds in blocks_of_runs(batches, ["t", "k", "a", "b"]):
         ids = table.column("id").to_numpy()
@@ -153,16 +184,17 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """Pairs whose whole fingerprints differ in ``MOST`` bits at most: far fewer texts to fetch."""
+    """``(a, b, d)``: pairs whose whole fingerprints differ in ``d`` bits, ``MOST`` at most: far fewer texts to fetch."""
     one, two = (prints.select(F.col("id").alias(name), F.col("fp").alias(f"f{name}")) for name in ("a", "b"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, WORDS) for i in (2, 3))
-            yield batch.select(["a", "b"]).filter(pa.array(np.bitwise_count(fa ^ fb).sum(axis=1, dtype=np.int32) <= MOST))
+            d = np.bitwise_count(fa ^ fb).sum(axis=1, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "d"]).filter(pa.array(d <= MOST))
 
-    return met.mapInArrow(work, "a long, b long")
+    return met.mapInArrow(work, "a long, b long, d int")
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -184,6 +216,33 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: floa
     return met.mapInArrow(work, "a long, b long")
 
 
+def _confirmed_tiles(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``_confirmed`` for many pairs of few texts: pairs are dealt over tiles, and a text goes to each of its tiles once."""
+    side = math.ceil(math.sqrt((pairs.count() + 1) / TILE_PAIRS))
+    tiled = pairs.select("a", "b", F.pmod("a", F.lit(side)).alias("i"), F.pmod("b", F.lit(side)).alias("j"))
+    needed = tiled.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = needed.select("id").distinct()
+    hint = F.broadcast if ids.count() <= BROADCAST_IDS else lambda x: x
+    texts = rows.select("id", "x").join(hint(ids), "id").dropDuplicates(["id"])
+
+    def work(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = {i: shingle_hashes(x.as_py(), shingle) for i, x in zip(right.column("id").to_pylist(), right.column("x"), strict=True)}
+        keep = []
+        for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True):
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            keep.append(common >= similarity * (len(sets[a]) + len(sets[b]) - common))
+        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return tiled.groupBy("i", "j").cogroup(needed.join(texts, "id").groupBy("ti", "tj")).applyInArrow(work, "a long, b long")
+
+
+def _across(pairs: DataFrame, groups: DataFrame, *more) -> DataFrame:
+    """``(a, b, *more)`` of the pairs whose ends lie in different groups, ``pa`` and ``pb``."""
+    side = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"p{name}"))
+    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return met.withColumn("pa", F.coalesce("pa", "a")).withColumn("pb", F.coalesce("pb", "b")).where("pa <> pb").select("a", "b", *more)
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 1_024) -> DataFrame:
     """``(doc_id, component_id)``, one row for each row of ``docs``; component_id is the smallest doc_id of its group.
 
@@ -194,24 +253,28 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = cut(rows.groupBy("id").agg(F.min("doc_id").alias("first_id")))
     prints = cut(_prints(rows, shingle))
     blocks = _blocks(prints)
-    sizes = cut(blocks.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > chunk))
-    small = sizes.count() <= BROADCAST_IDS
-    dealt = (
-        blocks.join(F.broadcast(sizes) if small else sizes, ["t", "k"], "left")
-        .withColumn("g", F.coalesce(F.ceil(F.col("n") / chunk).cast("int"), F.lit(1)))
-        .withColumn("c", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
-        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        .select("t", "k", F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b"), "id", *[f"f{i}" for i in range(COMPARED)])
-    )
-    keys = ["t", "k", "a", "b"]
-    pairs = cut(_close(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_search, "a long, b long").distinct(), prints))
+    sizes = cut(blocks.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > _SMALL_GROUP))
+    hint = F.broadcast if sizes.count() <= BROADCAST_IDS else lambda x: x
+    found = _dealt(blocks.join(hint(sizes.where(F.col("n") > chunk)), ["t", "k"], "left"), chunk).mapInArrow(_search, "a long, b long").distinct()
+    pairs = cut(_close(found, prints).select("a", "b"))
     # each text's pair with its least partner first; then only pairs that these leave apart
     first = cut(_confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), rows, shingle, similarity))
     met = connected_components(first, "a", "b")
-    side = lambda name: met.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
-    apart = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    rest = _confirmed(cut(apart), rows, shingle, similarity)
-    groups = connected_components(first.unionByName(rest), "a", "b")
+    rest = cut(_confirmed(cut(_across(pairs, met)), rows, shingle, similarity))
+    linked = first.unionByName(rest)
+    groups = connected_components(linked, "a", "b")
+    # what confirmation left apart in larger groups: the nearest pair of any two parts first; then all
+    labelled = prints.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("component", "id").alias("part"))
+    crowded = _blocks(labelled).join(hint(sizes), ["t", "k"])
+    mixed = cut(crowded.groupBy("t", "k").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("t", "k"))
+    apart = _dealt(crowded.join(hint(mixed), ["t", "k"], "left_semi"), chunk).mapInArrow(_search_apart, "a long, b long").distinct()
+    late = cut(_close(apart.join(pairs, ["a", "b"], "left_anti"), prints))
+    if not late.isEmpty():
+        sides = _across(late, groups, "d", F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
+        nearest = cut(sides.groupBy("x", "y").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b"))
+        linked = cut(linked.unionByName(_confirmed_tiles(nearest, rows, shingle, similarity)))
+        left = cut(_across(late.join(nearest, ["a", "b"], "left_anti"), connected_components(linked, "a", "b")))
+        groups = connected_components(linked.unionByName(_confirmed_tiles(left, rows, shingle, similarity)), "a", "b")
     joined = named.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "first_id", F.coalesce("component", "id").alias("component"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "id").join(joined.join(least, "component").select("id", "component_id"), "id").select("doc_id", "component_id")

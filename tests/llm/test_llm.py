@@ -323,6 +323,16 @@ def test_similar_texts_equal_brute_force(spark, none):
     assert simhash_similarity.similar_components(none).count() == 0
 
 
+def test_a_twin_among_texts_below_the_similarity(spark):
+    rng = np.random.default_rng(1)
+    word = lambda k: [f"w{x}" for x in rng.integers(10**9, size=k)]
+    common = word(500)
+    rows = [(i, " ".join(common + word(70))) for i in range(300)]
+    rows.append((300, " ".join(rows[150][1].split()[:-45] + word(45))))
+    got = {r.doc_id: r.component_id for r in simhash_similarity.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: 150 if i == 300 else i for i, _ in rows}
+
+
 def test_pipeline_stages(spark, docs, none):
     out = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
