@@ -21,6 +21,8 @@ from ..functions import vectors as V
 
 #: Questions up to this many are broadcast to the index; more are joined in blocks.
 BROADCAST_QUESTIONS = 10_000
+#: Rows by which the number of probes of a recall is measured.
+SAMPLE = 500
 
 
 class Embedder(Protocol):
@@ -150,13 +152,34 @@ class IvfIndex:
         centres = index.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
         return cls(model.transform(unit).withColumnRenamed("prediction", "cell").drop("features"), centres)
 
-    def search(self, questions: DataFrame, k: int = 5, probes: int = 1, key: str = "vec_id") -> DataFrame:
+    def _ranked_cells(self, questions: DataFrame) -> DataFrame:
+        """``(query_id, q, cell, rn)``: all cells of each question, the nearest with ``rn`` 1."""
         asked = questions.select("query_id", V.unit(F.col("query_vec")).alias("q"))
         distance = F.coalesce(V.squared_distance(F.col("centre"), F.col("q")), F.lit(0.0))
-        near = asked.join(F.broadcast(self.centres)).withColumn("rn", F.row_number().over(Window.partitionBy("query_id").orderBy(distance, "cell"))).where(F.col("rn") <= probes)
+        return asked.join(F.broadcast(self.centres)).select("query_id", "q", "cell", F.row_number().over(Window.partitionBy("query_id").orderBy(distance, "cell")).alias("rn"))
+
+    def search(self, questions: DataFrame, k: int = 5, probes: int = 1, key: str = "vec_id") -> DataFrame:
+        near = self._ranked_cells(questions).where(F.col("rn") <= probes)
         met = self.rows.select(key, "cell", "unit").join(near.select("query_id", "q", "cell"), "cell")
         return top_k(met.withColumn("score", V.dot(F.col("unit"), F.col("q"))).select("query_id", key, "score"), k, key)
 
+    def probes_for(self, k: int = 5, recall: float = 0.9, key: str = "vec_id", sample: int = SAMPLE, seed: int = 1) -> int:
+        """The least number of cells that finds ``recall`` of the true ``k`` nearest of sampled rows.
+
+        ``sample`` rows, those of the least hashes of their keys, are asked against
+        brute force over the whole index; a true neighbour is found by as many probes
+        as the rank of its cell among those nearest to the question.
+        """
+        asked = self.rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).select(F.col(key).alias("query_id"), F.col("unit").alias("query_vec"))
+        true = knn(self.rows, asked, k, "ip", key=key, vector="unit", keep=("cell",)).select("query_id", "cell")
+        ranks = true.join(self._ranked_cells(asked), ["query_id", "cell"]).groupBy("rn").agg(F.count("*").alias("n")).orderBy("rn").collect()
+        wanted, held = recall * sum(r["n"] for r in ranks), 0
+        for r in ranks:
+            held += r["n"]
+            if held >= wanted:
+                return r["rn"]
+        return 1
+
 
 def build_index(index: DataFrame, kind: str = "flat", **options) -> DataFrame | IvfIndex:
     """flat: the rows themselves; ivf: cells; any other kind is an error."""

@@ -12,7 +12,7 @@ from pagewright.functions import text as T
 from pagewright.operators import chunking, citations, evaluation, metadata, retrieval, structure
 from pagewright.operators import vectors as S
 from pagewright.operators.chunking import ChunkSizes
-from pagewright.plans import pipeline
+from pagewright.plans import catalogue, pipeline
 from pagewright.sources import tables as sources
 from pagewright.streaming.ingest import ingest_stream
 
@@ -235,6 +235,13 @@ def test_ivf_finds_most_of_the_nearest(spark):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_the_ivf_query_finds_most_of_the_nearest(spark, sf):
+    exact, found = ({(r.query_id, r.vec_id) for r in catalogue.queries()[name](spark, f"/root/testdata/{sf}").collect()} for name in ("knn", "idx_ivf"))
+    print(sf, "recall", len(exact & found) / len(exact))
+    assert len(exact & found) >= 0.9 * len(exact)
+
+
 def test_stores_and_sources(spark, tmp_path):
     path = str(tmp_path / "store")
     df = spark.createDataFrame([("c", [1.0])], "chunk_id string, embedding array<float>")
