@@ -571,7 +571,7 @@ def rerank(spark, sf_dir):
 @query()
 def retrieve(spark, sf_dir):
     """The whole retrieval for all questions, every stage."""
-    hits = retrieval.retrieve(corpus.questions(spark, sf_dir), corpus.embedded_chunks(spark, sf_dir), corpus.references(spark, sf_dir))
+    hits = retrieval.retrieve(corpus.all_questions(spark, sf_dir), corpus.embedded_chunks(spark, sf_dir), corpus.references(spark, sf_dir))
     return hits.select("query_id", "stage", "pos", "chunk_id", _six("score"))
 
 
@@ -586,7 +586,7 @@ def ctx_format(spark, sf_dir):
 @query()
 def ask(spark, sf_dir):
     """Answers of all questions by extraction, with their citations counted and verified."""
-    done = pipeline.ask(corpus.questions(spark, sf_dir), corpus.embedded_chunks(spark, sf_dir), corpus.references(spark, sf_dir))
+    done = pipeline.ask(corpus.all_questions(spark, sf_dir), corpus.embedded_chunks(spark, sf_dir), corpus.references(spark, sf_dir))
     cited = done["citations"].groupBy("query_id").agg(F.count("*").alias("n_citations"))
     sure = done["verification"].groupBy("query_id").agg(F.count_if(F.col("status") == "verified").alias("n_verified"))
     return done["answers"].join(cited, "query_id", "left").join(sure, "query_id", "left").select("query_id", "query", "answer", _six("confidence"), F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("n_verified", F.lit(0)).alias("n_verified"))

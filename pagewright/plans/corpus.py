@@ -54,6 +54,8 @@ UNION ALL SELECT CAST(900002 AS BIGINT), 'Show how Section 2 and CDR or SEMP dat
 UNION ALL SELECT CAST(900003 AS BIGINT), 'ASIA'
 UNION ALL SELECT CAST(900004 AS BIGINT), 'What does Critical Design Review look like in 3.4?'
 """
+#: User turns of all conversations with the same special questions, whose ids the turns leave free.
+ALL_QUESTIONS = QUESTIONS.replace("conv_id * 100 + turn", "conv_id * 100 + turn + CASE WHEN conv_id >= 9000 THEN 1000000 ELSE 0 END").replace(" AND conv_id < 20", "")
 #: Answers with citations of various forms.
 ANSWERS = f"""
 SELECT section_seq AS query_id,
@@ -117,6 +119,10 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(sql(spark, sf_dir, QUESTIONS).withColumn("query_vec", V.hashed_words(F.col("query"))))
 
 
+def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return settled(sql(spark, sf_dir, ALL_QUESTIONS).withColumn("query_vec", V.hashed_words(F.col("query"))))
+
+
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, ANSWERS)
 

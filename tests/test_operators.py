@@ -242,6 +242,13 @@ def test_the_ivf_query_finds_most_of_the_nearest(spark, sf):
     assert len(exact & found) >= 0.9 * len(exact)
 
 
+def test_all_user_turns_are_asked(spark):
+    sf = "/root/testdata/sf0.01"
+    turns = {r.q for r in spark.read.parquet(f"{sf}/conversations.parquet").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("q")).collect()}
+    assert max(turns) > 2_000
+    assert sorted(r.query_id for r in catalogue.queries()["ask"](spark, sf).collect()) == sorted(turns | {900_001, 900_002, 900_003, 900_004})
+
+
 def test_stores_and_sources(spark, tmp_path):
     path = str(tmp_path / "store")
     df = spark.createDataFrame([("c", [1.0])], "chunk_id string, embedding array<float>")
