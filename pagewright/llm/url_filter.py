@@ -55,15 +55,35 @@ def alias_key(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.when(rest == "", "/").otherwise(rest)))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with ``/`` without its ``.`` and ``..`` segments."""
+    steps = F.split(F.substring(path, 2, 1 << 30), "/")
+    up = F.element_at(steps, -1).isin(".", "..")
+    dropped = lambda kept: F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), lambda held, x: F.when(x == "..", dropped(held)).when(x == ".", held).otherwise(F.concat(held, F.array(x))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(up & (F.size(kept) > 0), "/").otherwise(""))
+
+
 def page_links(pages: DataFrame) -> DataFrame:
     """``(src, dst)`` URLs of canonical links and refresh redirects in the pages' HTML.
 
-    Targets that begin with ``//`` or ``/`` are completed from the page's URL;
-    other relative targets name no host and are left out.
+    Targets that name no host are completed from the page's URL: ``/`` from its host,
+    ``?`` from its path, others from the directory of its path, with ``.`` and ``..``
+    taken out.  Targets of other schemes (``mailto:``) are left out.
     """
     named = pages.where("url is not null and html is not null").select("url", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), 1), F.regexp_extract_all("html", F.lit(_REFRESH), 1)))).alias("to"))
     scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
-    full = F.when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), "to")).when(F.startswith("to", F.lit("/")), F.concat(scheme, F.lit("://"), host_of(F.col("url")), "to")).when(F.contains("to", F.lit("://")), F.col("to"))
+    root = F.concat(scheme, F.lit("://"), host_of(F.col("url")))
+    own = F.when(path_of(F.col("url")) == "", "/").otherwise(path_of(F.col("url")))
+    path, rest = F.regexp_extract("to", r"(?s)^[^?#]*", 0), F.regexp_extract("to", r"(?s)^[^?#]*(.*)$", 1)
+    below = F.concat(root, _without_dots(F.concat(F.regexp_extract(own, r"(?s)^.*/", 0), path)), rest)
+    full = (
+        F.when(F.startswith("to", F.lit("//")), F.concat(scheme, F.lit(":"), "to"))
+        .when(F.col("to").rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.when(F.contains("to", F.lit("://")), F.col("to")))
+        .when(F.startswith("to", F.lit("/")), F.concat(root, "to"))
+        .when(path == "", F.concat(root, own, F.when(F.startswith("to", F.lit("?")), "").otherwise(F.regexp_extract("url", r"(?s)^[^?#]*(\?[^#]*)", 1)), rest))
+        .otherwise(below)
+    )
     return named.select(F.col("url").alias("src"), full.alias("dst")).where("dst is not null")
 
 

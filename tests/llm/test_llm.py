@@ -211,6 +211,17 @@ def test_aliases_take_over_blocks_but_not_over_allows(spark):
     assert got == {1: (None, "block"), 2: (None, "block"), 3: ("org/fr/", "allow"), 4: (None, "block"), 5: (None, "allow"), 6: (None, "allow"), 7: ("example.net/en/", "allow"), 8: (None, "block"), 9: (None, "allow")}
 
 
+def test_relative_targets(spark):
+    base = "http://A.org/b/c/d?p=q"
+    wanted = {"index.html": "/b/c/index.html", "?id=3": "/b/c/d?id=3", "../a": "/b/a", "./": "/b/c/", "..": "/b/", "../../../x#f": "/x#f", "/q": "/q", "e/../f?u=../v": "/b/c/f?u=../v", "#s": "/b/c/d?p=q#s", "go?u=http://z.net/": "/b/c/go?u=http://z.net/"}
+    rows = [(base, f'<link rel="canonical" href="{to}">') for to in [*wanted, "mailto:x"]] + [("http://e.org", '<link rel="canonical" href="i">')]
+    got = [r.dst for r in url_filter.page_links(spark.createDataFrame(rows, "url string, html string")).collect()]
+    assert sorted(got) == sorted([*(f"http://a.org{path}" for path in wanted.values()), "http://e.org/i"])
+    page = '<meta http-equiv="refresh" content="0; url=../a">'
+    judged = url_filter.filter_urls(spark.createDataFrame([(1, "http://a.org/b/c", page), (2, "http://a.org/a", '<link rel="canonical" href="http://b.net/">')], "page_id long, url string, html string"))
+    assert {r.page_id: r.verdict for r in judged.collect()} == {1: "block", 2: "block"}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(5, 3), (3, 5), (7, 7), (None, 3), (200, 103)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
