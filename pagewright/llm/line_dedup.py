@@ -6,21 +6,26 @@ substitutions of it; the order is (doc_id, text hash, line number), so the
 earliest of a group always stays.  Blank lines always stay.
 
 1. Equal lines meet by a 128-bit hash; only hashes and positions are shuffled.
-2. Whom can an edit reach?  If two lines are one edit apart, they share the
-   first or the last ``(m - 1) // 2`` characters, m being the longer length.
-   Four such keys a line, counted by key, tell which lines need variants at
-   all and on which half of their positions; this loses no pair.
-3. Those lines emit their deletion variants as hashed keys.  A substitution at
-   position i leaves equal variants *at that position*, so its key carries i; a
-   deletion makes the longer line's variant equal to the shorter line, so its
-   key is that of whole lines.  Distinct lines that share a key are bounded by
-   the alphabet (times the length), never by the corpus.
+2. Whom can an edit reach?  If two lines are one edit apart and m is the longer
+   length, the edited position lies in one segment of 1..m, and all that stands
+   before and after that segment is equal.  A line keys its two halves that way,
+   as the longer and as the shorter line of a pair; keys are counted, and only
+   segments that another line shares go on.  These are cut into ``CUTS`` smaller
+   ones, keyed and counted again, until at most ``SEGMENT`` positions are left.
+   This loses no pair, and a line gives a few rows a round whatever its length.
+3. The positions that remain emit their deletion variants as hashed keys.  A
+   substitution at position i leaves equal variants *at that position*, so its
+   key carries i; a deletion makes the longer line's variant equal to the shorter
+   line, so its key is that of whole lines.  Distinct lines that share a key are
+   bounded by the alphabet (times the length), never by the corpus.
 4. Each line is joined with the earliest holder of its key only; the edit
    distance of that pair is verified on the texts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,6 +34,8 @@ from .common import cut, delete_path, scratch_path
 
 #: Line keys up to this many are broadcast (about 24 bytes each); beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
+#: Positions of a segment that emits variants; a longer one is cut into so many parts and keyed again.
+SEGMENT, CUTS = 8, 16
 
 
 def _hash(*parts: Column | int | str) -> Column:
@@ -44,55 +51,90 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def _half_keys() -> list[Column]:
-    """Four keys of a line: its first and last half for a longer length of n, then of n + 1."""
+def _segment_key(m: Column, first: Column, last: Column) -> Column:
+    """Hash of all that stands before and after positions first..last of the longer line of a pair, m being its length.
+
+    The line at hand has n = m characters as the longer one, m - 1 as the shorter.
+    """
     line, n = F.col("line"), F.col("n")
+    return _hash(m, first, last, F.substring(line, F.lit(1), first - 1), F.substring(line, n - m + last + 1, m - last))
+
+
+def _half_keys() -> list[Column]:
+    """Keys of the first and the last half, as the longer line of a pair, then as the shorter."""
     out = []
-    for m, half in ((n, F.expr("int((n - 1) div 2)")), (n + 1, F.expr("int(n div 2)"))):
-        out += [_hash(m, 0, F.substring(line, F.lit(1), half)), _hash(m, 1, F.substring(line, n - half + 1, half))]
+    for m in (F.col("n"), F.col("n") + 1):
+        middle = F.shiftright(m + 1, 1)
+        out += [_segment_key(m, F.lit(1), middle), _segment_key(m, middle + 1, m)]
     return out
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """``keyed`` (with ``key`` and ``longer``) where another line has the key: ``same`` one as long, ``less`` one shorter.
+
+    Rows of the shorter line stay where a longer one has the key.
+    """
+    counts = keyed.groupBy("key").agg(F.count_if("longer").alias("n_long"), F.count_if(~F.col("longer")).alias("n_short"))
+    met = keyed.join(counts.where("n_long > 1 or (n_long > 0 and n_short > 0)"), "key")
+    same, less = F.col("longer") & (F.col("n_long") > 1), F.col("longer") & (F.col("n_short") > 0)
+    return met.withColumn("same", same).withColumn("less", less).where("same or less or (not longer and n_long > 0)").drop("key", "n_long", "n_short")
+
+
 def _marked(distinct: DataFrame) -> DataFrame:
-    """``h1`` of lines that may be one edit from another, with what to emit.
+    """``(h1, halves)``: lines that share a half with another, and the halves ``(p, same, less)``.
 
-    ``same``/``less``: sides (bit 1: shared first half, bit 2: shared last half)
-    on which a line of the same length, or one shorter, shares a half;
-    ``short``: a longer line may contain this one.  The first hash alone names
-    a line here: a chance collision only marks one line more.
+    The first hash alone names a line here: a chance collision only marks one line more.
     """
-    keyed = distinct.select("h1", F.posexplode("keys").alias("p", "key")).select("key", "h1", F.col("p").cast("tinyint").alias("p"))
-    longer = F.col("p") < 2
-    shared = keyed.groupBy("key").agg(F.count_if(longer).alias("long"), F.count_if(~longer).alias("short")).where("`long` > 1 or (`long` > 0 and short > 0)")
-    met = keyed.join(shared, "key")
-    side = F.when(F.col("p") % 2 == 0, 1).otherwise(2)
-    return (
-        met.groupBy("h1")
-        .agg(
-            F.bit_or(F.when(longer & (F.col("long") > 1), side).otherwise(0)).alias("same"),
-            F.bit_or(F.when(longer & (F.col("short") > 0), side).otherwise(0)).alias("less"),
-            F.max(~longer & (F.col("long") > 0)).alias("short"),
-        )
-        .where("same > 0 or less > 0 or short")
-    )
+    keyed = distinct.select("h1", F.posexplode("keys").alias("p", "key")).select("key", "h1", F.col("p").cast("tinyint").alias("p"), (F.col("p") < 2).alias("longer"))
+    return _shared(keyed).groupBy("h1").agg(F.collect_set(F.struct("p", "same", "less")).alias("halves"))
 
 
-def _positions(sides: str) -> Column:
-    """Positions at which a deletion is to be tried, given the shared sides."""
-    half = "int((n - 1) div 2)"
-    return F.expr(
-        f"case {sides} when 1 then sequence({half} + 1, n) when 2 then sequence(1, n - {half}) when 3 then sequence(1, n) else array() end"
-    )
+def _first_segments() -> Column:
+    """The marked halves as ``(longer, first, last, same, less)``."""
+
+    def segment(h: Column) -> Column:
+        longer = h["p"] < 2
+        m = F.col("n") + F.when(longer, 0).otherwise(1)
+        middle, early = F.shiftright(m + 1, 1), h["p"] % 2 == 0
+        return F.struct(longer.alias("longer"), F.when(early, 1).otherwise(middle + 1).alias("first"), F.when(early, middle).otherwise(m).alias("last"), h["same"].alias("same"), h["less"].alias("less"))
+
+    return F.transform("halves", segment)
+
+
+def _parts(s: Column) -> Column:
+    """A segment cut into smaller ones, each with its key."""
+    m = F.col("n") + F.when(s["longer"], 0).otherwise(1)
+    step = F.ceil((s["last"] - s["first"] + 1) / CUTS).cast("int")
+    end = lambda x: F.least(x + step - 1, s["last"])
+    return F.transform(F.sequence(s["first"], s["last"], step), lambda x: F.struct(_segment_key(m, x, end(x)).alias("key"), s["longer"].alias("longer"), x.alias("first"), end(x).alias("last")))
+
+
+def _refined(texts: DataFrame) -> DataFrame:
+    """``(h1, h2, longer, first, last, same, less)``: segments of at most ``SEGMENT`` positions that another line shares."""
+    wide = lambda s: s["last"] - s["first"] >= SEGMENT
+    whole = lambda df: df.select("h1", "h2", F.inline(F.filter("segs", lambda s: ~wide(s))))
+    now, done = texts.select("h1", "h2", "line", "n", _first_segments().alias("segs")), []
+    while True:
+        done.append(whole(now))
+        left = now.select("h1", "h2", F.inline(F.flatten(F.transform(F.filter("segs", wide), _parts))))
+        found = cut(_shared(left))
+        if found.isEmpty():
+            break
+        held = found.groupBy("h1", "h2").agg(F.collect_list(F.struct("longer", "first", "last", "same", "less")).alias("segs"))
+        now = texts.select("h1", "h2", "line", "n").join(held, ["h1", "h2"])
+    return reduce(DataFrame.unionByName, done)
 
 
 def _variants(lines: DataFrame) -> DataFrame:
     """``(key, kind, at, h1, h2)``: kind 0 is a line itself, 1 a deletion, 2 a deletion with its position."""
     without = lambda i: F.concat(F.substring(F.col("line"), F.lit(1), i - 1), F.substring(F.col("line"), i + 1, F.col("n")))
-    whole = F.when(F.col("short"), F.array(F.struct(_hash(F.col("n"), 0, F.col("line")).alias("key"), F.lit(0).alias("kind")))).otherwise(F.array())
-    deleted = F.transform(_positions("less"), lambda i: F.struct(_hash(F.col("n") - 1, 0, without(i)).alias("key"), F.lit(1).alias("kind")))
-    placed = F.transform(_positions("same"), lambda i: F.struct(_hash(F.col("n"), i, without(i)).alias("key"), F.lit(2).alias("kind")))
-    rows = lines.select("at", "h1", "h2", F.explode(F.concat(whole, deleted, placed)).alias("v"))
-    return rows.select("v.key", "v.kind", "at", "h1", "h2").distinct()
+    tried = lambda flag: F.flatten(F.transform(F.filter("segs", lambda s: s["longer"] & s[flag] & (s["first"] <= s["last"])), lambda s: F.sequence(s["first"], s["last"])))
+    short = F.exists("segs", lambda s: ~s["longer"])
+    whole = F.when(short, F.array(F.struct(_hash(F.col("n"), 0, F.col("line")).alias("key"), F.lit(0).alias("kind")))).otherwise(F.array())
+    deleted = F.transform(tried("less"), lambda i: F.struct(_hash(F.col("n") - 1, 0, without(i)).alias("key"), F.lit(1).alias("kind")))
+    placed = F.transform(tried("same"), lambda i: F.struct(_hash(F.col("n"), i, without(i)).alias("key"), F.lit(2).alias("kind")))
+    rows = lines.select("at", "h1", "h2", F.explode(F.array_distinct(F.concat(whole, deleted, placed))).alias("v"))
+    return rows.select("v.key", "v.kind", "at", "h1", "h2")
 
 
 def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -100,11 +142,13 @@ def _near(lines: DataFrame, distinct: DataFrame) -> DataFrame:
     marked = cut(_marked(distinct))
     small = marked.count() <= BROADCAST_ROWS
     found = lines.join(F.broadcast(marked) if small else marked, "h1")
-    texts = cut(found.groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("line", "n", "same", "less", "short")]))
+    texts = cut(found.groupBy("h1", "h2").agg(F.min("at").alias("at"), *[F.first(c).alias(c) for c in ("line", "n", "halves")]))
+    segs = _refined(texts).groupBy("h1", "h2").agg(F.collect_list(F.struct("longer", "first", "last", "same", "less")).alias("segs"))
+    asked = texts.select("at", "h1", "h2", "line", "n").join(segs, ["h1", "h2"])
     holder = F.struct("at", "h1", "h2")
     key = Window.partitionBy("key")
     least = lambda kind: F.min(F.when(F.col("kind") == kind, holder)).over(key)
-    held = _variants(texts).select("at", "h1", "h2", "kind", least(0).alias("w"), least(1).alias("x"), least(2).alias("p"))
+    held = _variants(asked).select("at", "h1", "h2", "kind", least(0).alias("w"), least(1).alias("x"), least(2).alias("p"))
     partner = F.when(F.col("kind") == 0, F.col("x")).when(F.col("kind") == 1, F.col("w")).otherwise(F.col("p"))
     pairs = held.select("at", "h1", "h2", partner.alias("e")).where(F.col("e.at") < F.col("at")).select("h1", "h2", F.col("e.h1").alias("e1"), F.col("e.h2").alias("e2")).distinct()
     mine = texts.select("h1", "h2", F.col("line").alias("mine"))
