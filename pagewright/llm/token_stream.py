@@ -10,15 +10,15 @@ decoded alone, and its checksum tells damage.  The files are Parquet tables
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,13 +26,22 @@ from pyspark.sql.window import Window
 
 from . import rans
 from .common import delete_path, scratch_path
+from .letter_words import LetterWords
 
 #: A block ends with the document that brings it to this many ids.
 BLOCK_TOKENS = 1 << 19
 #: Words whose ids a worker remembers; the ids of further words are found anew each time.
-CACHE_WORDS = 1_200_000
-#: A comma or full stop between an ASCII letter and white space: a piece of its own in any case.
-_LOOSE = re.compile(rb"(?<=[a-z])[.,](?=[ \n]|$)")
+CACHE_WORDS = 800_000
+#: Bytes of texts that are coded together, about; a longer text is coded alone.
+GROUP_BYTES = 8 << 20
+_BYTES = np.arange(256, dtype=np.uint8)
+_LOWER = np.where((_BYTES >= ord("A")) & (_BYTES <= ord("Z")), _BYTES + 32, _BYTES).astype(np.uint8)
+#: Kinds of bytes: 1 letters, 2 digits, 3 punctuation but the apostrophe, 4 white space, 0 all others.
+_KIND = np.zeros(256, dtype=np.uint8)
+for _kind, _of in ((1, b"abcdefghijklmnopqrstuvwxyz"), (2, b"0123456789"), (3, b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'), (4, b" \t\n\v\f\r")):
+    _KIND[np.frombuffer(_of, dtype=np.uint8)] = _kind
+#: Whether a word begins between two kinds (five times the first, plus the second).
+_CUT = np.array([b != 4 and (a == 4 or (a > 0 and b > 0 and (a != b or a == 2))) for a in range(5) for b in range(5)])
 
 
 @lru_cache(maxsize=2)
@@ -45,86 +54,131 @@ def tokenizer(path: str):
 
 
 class WordCoder:
-    """Ids of texts as little-endian bytes, word by word.
+    """Ids of texts, word by word.
 
     For tokenizers that lower-case, whose normaliser and pre-tokeniser never
     join what ASCII white space separates, drop the white space itself, and
     part letters from punctuation: then a text's ids are those of its words,
-    and a word is encoded once.  ASCII capitals and loose punctuation are taken
-    off beforehand, which leaves fewer different words.
+    and a word is encoded once.  ASCII capitals are lowered and runs of ASCII letters,
+    digits and punctuation parted beforehand, which leaves fewer different words.
+    Words are told apart and numbered for many texts at once; only the different
+    ones are looked up, and ids are gathered by number.
+    ``letters``: whether ``LetterWords`` is known to hold for the tokenizer; None: not known.
     """
 
-    def __init__(self, path: str, end_id: int):
+    def __init__(self, path: str, end_id: int, letters: bool | None = None):
         self.tokenizer = tokenizer(path)
+        self.letters = None if letters is False else LetterWords.of(self.tokenizer, checked=bool(letters))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4")
-        self.end = np.array([end_id], dtype=self.dtype).tobytes()
-        self.ends = {i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")}
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        words = [self._words(t or b"") for t in texts]
-        new = set(chain.from_iterable(words)).difference(self.known)
+        #: Word 0 is a text's end; the ids of word i are ids[begin[i]:begin[i + 1]].
+        self.known: dict[bytes, int] = {}
+        self.ids = array(self.dtype.char, [end_id])
+        self.begin = array("i", [0, 1])
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, each with the end id behind it, and where each text begins (length = texts + 1)."""
+        words, ends = self._words(texts)
+        numbered = words.dictionary_encode()
+        different = numbered.dictionary.to_numpy(zero_copy_only=False)
+        size, held = len(self.ids), len(self.known)
+        number = np.fromiter(map(self.known.get, different, repeat(-1)), dtype=np.int32, count=len(different))
+        missing = np.flatnonzero(number < 0)
+        new = different[missing].tolist()
         self._learn(new)
-        find = self.known.__getitem__
-        out = [b"".join(map(find, ws)) + self.end for ws in words]
+        number[missing] = np.fromiter(map(self.known.__getitem__, new), dtype=np.int32, count=len(new))
+        row = np.insert(number[numbered.indices.to_numpy()], ends, 0)
+        begin = np.frombuffer(self.begin, dtype=np.int32)
+        sizes = begin[row + 1] - begin[row]
+        after = np.cumsum(sizes, dtype=np.int64)
+        at = np.repeat((begin[row] - after + sizes).astype(np.int32), sizes) + np.arange(after[-1], dtype=np.int32)
+        ids = np.frombuffer(self.ids, dtype=self.dtype)[at]
+        bounds = np.concatenate(([0], after[ends + np.arange(len(ends))]))
+        del begin
         if len(self.known) > CACHE_WORDS:
             for word in new:
                 del self.known[word]
-        return out
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Encode new words.  Words of Latin letters alone are one piece each: they
-        are encoded together and their ids told apart by the word-end marks."""
-        kind, plain, other = self.dtype.char, [], []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            (plain if text.isalpha() and max(text) < "\u0250" else other).append((word, text))
-        for at in range(0, len(plain), 256):
-            part = plain[at : at + 256]
-            cur, found = array(kind), []
-            for i in self.tokenizer.encode(" ".join(t for _, t in part), add_special_tokens=False).ids:
-                cur.append(i)
-                if i in self.ends:
-                    found.append(cur.tobytes())
-                    cur = array(kind)
-            if len(found) == len(part):
-                self.known.update((w, ids) for (w, _), ids in zip(part, found, strict=True))
-            else:  # a tokenizer without such marks
-                other += part
-        for at in range(0, len(other), 20_000):
-            part = other[at : at + 20_000]
-            coded = self.tokenizer.encode_batch_fast([t for _, t in part], add_special_tokens=False)
-            self.known.update((w, array(kind, e.ids).tobytes()) for (w, _), e in zip(part, coded, strict=True))
+            del self.ids[size:], self.begin[held + 2 :]
+        return ids, bounds
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encode new words: those of Latin letters alone by ``LetterWords``, others by the tokenizer."""
+        lowered = b"\n".join(new).decode("utf-8", "replace").lower().split("\n") if new else []
+        plain = [self.letters is not None and LetterWords.takes(t) for t in lowered]
+        known, some = [w for w, yes in zip(new, plain, strict=True) if yes], [t for t, yes in zip(lowered, plain, strict=True) if yes]
+        if some:
+            ids, ends = self.letters.encode(some)
+            self._add(known, ids.astype(self.dtype).tobytes(), ends)
+        other = [w for w, yes in zip(new, plain, strict=True) if not yes]
+        for low in range(0, len(other), 20_000):
+            part = other[low : low + 20_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
+            self._add(part, array(self.dtype.char, chain.from_iterable(found)).tobytes(), np.cumsum([len(x) for x in found]))
+
+    def _add(self, words: list[bytes], ids: bytes, ends: np.ndarray) -> None:
+        first, size = len(self.begin) - 1, len(self.ids)
+        self.known.update(zip(words, range(first, first + len(words)), strict=True))
+        self.ids.frombytes(ids)
+        self.begin.frombytes((ends + size).astype(np.int32).tobytes())
 
     @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        # special tokens are told by their letters' case
-        return text.split() if b"<|" in text else _LOOSE.sub(rb" \g<0>", text.lower()).split()
+    def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All words of the texts as one array, and the number of words up to each text's end."""
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        first, last = (int(bounds[0]), int(bounds[-1])) if len(texts) else (0, 0)
+        raw = np.frombuffer(texts.buffers()[2] or b"", dtype=np.uint8)[first:last]
+        bounds = bounds - first
+        data = _LOWER[raw]
+        kind = _KIND[data]
+        starts = np.empty(len(data), dtype=bool)
+        starts[1:] = _CUT[kind[:-1] * np.uint8(5) + kind[1:]]
+        space = kind == 4
+        begins = bounds[:-1][bounds[:-1] < bounds[1:]]
+        starts[begins] = ~space[begins]
+        for i in np.flatnonzero(pc.match_substring(texts, b"<|").to_numpy(zero_copy_only=False)):
+            # special tokens are told by their letters' case
+            a, b = bounds[i], bounds[i + 1]
+            data[a:b] = raw[a:b]
+            starts[a + 1 : b] = space[a : b - 1] & ~space[a + 1 : b]
+        at = np.flatnonzero(starts)
+        kept = np.cumsum(~space, dtype=np.int32)
+        offsets = np.append(kept[at] - 1, kept[-1:] if len(kept) else 0).astype(np.int64)
+        words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[~space]))])
+        return words, np.searchsorted(at, bounds[1:])
 
 
 @lru_cache(maxsize=2)
-def word_coder(path: str, end_id: int) -> WordCoder:
+def word_coder(path: str, end_id: int, letters: bool) -> WordCoder:
     """A worker's coder, with what it remembers from earlier tasks."""
-    return WordCoder(path, end_id)
+    return WordCoder(path, end_id, letters)
+
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of the batches by about ``GROUP_BYTES`` of text."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        group = (np.cumsum(sizes) - sizes) // GROUP_BYTES
+        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            if high > low:
+                yield batch.slice(low, high - low)
 
-def _tokenised(docs: DataFrame, path: str, end_id: int, vocabulary: int, id_col: str, text_col: str) -> DataFrame:
+
+def _tokenised(docs: DataFrame, path: str, end_id: int, letters: bool, vocabulary: int, id_col: str, text_col: str) -> DataFrame:
     """Rows of documents in order, and for each part one row with the counts of its ids."""
     names = ["part", "doc_id", "begin", "n", "ids", "counts"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, at = word_coder(path, end_id), TaskContext.get().partitionId(), 0
+        coder, part, at = word_coder(path, end_id, letters), TaskContext.get().partitionId(), 0
         counts = np.zeros(vocabulary, dtype=np.int64)
-        for batch in batches:
-            for low in range(0, batch.num_rows, 1_024):
-                rows = batch.slice(low, 1_024)
-                ids = coder.encode(rows.column(1).cast(pa.binary()).to_pylist())
-                sizes = np.array([len(x) // coder.dtype.itemsize for x in ids], dtype=np.int64)
-                begins = at + np.cumsum(sizes) - sizes
-                at += int(sizes.sum())
-                counts += np.bincount(np.frombuffer(b"".join(ids), dtype=coder.dtype), minlength=vocabulary)
-                parts = pa.array(np.full(len(ids), part, dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([parts, rows.column(0), pa.array(begins), pa.array(sizes), pa.array(ids, pa.binary()), pa.nulls(len(ids), pa.binary())], names=names)
+        for rows in _groups(batches):
+            ids, bounds = coder.encode(rows.column(1))
+            sizes, n = np.diff(bounds), rows.num_rows
+            counts += np.bincount(ids, minlength=vocabulary)
+            parts = pa.array(np.full(n, part, dtype=np.int32))
+            data = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((bounds * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+            yield pa.RecordBatch.from_arrays([parts, rows.column(0), pa.array(at + bounds[:-1]), pa.array(sizes), data, pa.nulls(n, pa.binary())], names=names)
+            at += int(bounds[-1])
         if at:
             one = [pa.array([part], pa.int32()), *[pa.nulls(1, pa.int64())] * 3, pa.nulls(1, pa.binary()), pa.array([counts.astype("<i8").tobytes()])]
             yield pa.RecordBatch.from_arrays(one, names=names)
@@ -194,7 +248,7 @@ def write_stream(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2
     coder = WordCoder(tokenizer_path, end_id)
     dtype, vocabulary = coder.dtype.str, max(coder.tokenizer.get_vocab_size(), end_id + 1)
     held = scratch_path(spark, "tokens")
-    _tokenised(docs, tokenizer_path, end_id, vocabulary, id_col, text_col).write.option("compression", "snappy").parquet(held)
+    _tokenised(docs, tokenizer_path, end_id, coder.letters is not None, vocabulary, id_col, text_col).write.option("compression", "snappy").parquet(held)
     stored = spark.read.parquet(held)
     tokens = stored.where("counts is null")
     _counts(stored).write.parquet(f"{out}/counts")

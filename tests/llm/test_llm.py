@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from pagewright.llm import bpe, components, licenses, line_dedup, mixing, multi_index, qalsh, queries, rans, simhash, simhash_similarity, token_stream, toxicity, url_filter
+from pagewright.llm import bpe, components, letter_words, licenses, line_dedup, mixing, multi_index, qalsh, queries, rans, simhash, simhash_similarity, token_stream, toxicity, url_filter
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -87,11 +89,37 @@ def test_token_stream_equals_the_library(spark, docs, odd, none, tmp_path):
         assert sums == {(s, zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for s, _, _, ids in got}
 
 
+def coded(coder, texts):
+    ids, bounds = coder.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def test_words_that_look_special_keep_their_case():
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    coder = token_stream.WordCoder(queries.WORD_BPE, 2)
-    for text in ("A <|endoftext|> b", "A <|ENDOFTEXT|> b.", "It's, fine!, ok.", "x,\ny. Z", "Straße, É."):
-        assert np.frombuffer(coder.encode([text.encode()])[0], "<u2").tolist() == [*plain.encode(text, add_special_tokens=False).ids, 2]
+    texts = ["A <|endoftext|> b", "A <|ENDOFTEXT|> b.", "It's, fine!, ok.", "x,\ny. Z", "Straße, É.", "a1b23.c'd,'s e.'s (f)g"]
+    assert coded(token_stream.WordCoder(queries.WORD_BPE, 2), texts) == [[*plain.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+@pytest.mark.parametrize("letters", [None, False])
+def test_odd_strings_equal_the_library(letters, monkeypatch):
+    monkeypatch.setattr(token_stream, "CACHE_WORDS", 500)  # forgotten words are found anew
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(1)
+    pieces = [*"abZ.,'!<|> \n\t\r\x0b\x0c\x1c\x85\xa0éÉßİ東😀\u0301\u0338=\x00019-_", "<|endoftext|>", "it's", " the ", "e.", "a,", "'ll", "\u212a", "ǅ", "ﬁ"]
+    texts = [None, "", *("".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(4_000))]
+    coder = token_stream.WordCoder(queries.WORD_BPE, 2, letters)
+    for low in range(0, len(texts), 333):
+        part = texts[low : low + 333]
+        assert coded(coder, part) == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in part]
+
+
+def test_letter_words_equal_the_library():
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(2)
+    words = ["".join(rng.choices(letter_words.LETTERS[: 26 if k % 2 else None], k=rng.randint(1, 14))) for k in range(20_000)] + ["a" * k for k in range(1, 300)]
+    ids, ends = letter_words.LetterWords.of(plain).encode(words)
+    want = [e.ids for e in plain.encode_batch(words, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == want
 
 
 def test_licenses_are_confirmed_by_wording(spark):
