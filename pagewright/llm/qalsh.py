@@ -21,17 +21,19 @@ from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-PROJECTIONS, THRESHOLD, CONFIDENCE = 64, 0.7, 0.8
+PROJECTIONS, THRESHOLD, CONFIDENCE = 128, 0.7, 0.8
 #: Vectors in a shard and queries in a block, about; what a task holds.
 SHARD, BLOCK = 32_768, 512
 SEED = 20
 #: The first half-width, in units of the usual distance of a k-th neighbour, and its growth.
-_START, _WIDEN = 1.2, 1.45
+_START, _WIDEN = 1.0, 1.08
 _PROBED = 16
+#: Windows that hold more than this share of the sorted arrays are counted by rank, not by listing what they hold.
+_BY_RANK = 0.1
 
 
 def directions(dim: int, projections: int = PROJECTIONS, seed: int = SEED) -> np.ndarray:
@@ -66,7 +68,10 @@ class Shard:
         placed = np.hstack([unit, rest[:, None]]) @ self.axes * math.sqrt(self.dim)
         self.order = np.ascontiguousarray(np.argsort(placed, axis=0).T)
         self.sorted = np.take_along_axis(placed.T, self.order, axis=1)
+        self.rank = np.empty(self.order.shape, dtype=np.uint16 if len(ids) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.rank, self.order, np.arange(len(ids), dtype=self.rank.dtype)[None, :], axis=1)
         self.begin: dict[int, float] = {}
+        self.verified = 0
         self.longest, self.reach = longest, _reach(projections, threshold, confidence)
 
     def _first_width(self, k: int) -> float:
@@ -83,105 +88,142 @@ class Shard:
         ends = [s.searchsorted((p - width, p + width)) for s, p in zip(self.sorted, place.tolist(), strict=True)]
         return [int(e[0]) for e in ends], [int(e[1]) for e in ends]
 
+    def _count(self, parts: list[np.ndarray]) -> np.ndarray:
+        return np.bincount(np.concatenate(parts), minlength=len(self.ids))
+
     def _collisions(self, low: list[int], high: list[int]) -> np.ndarray:
-        """Collisions of every vector, from the windows or from what they leave, whichever is shorter."""
-        n, inside = len(self.ids), sum(high) - sum(low)
-        if 2 * inside <= self.order.size:
-            return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]), minlength=n)
-        outside = [o[:a] for o, a in zip(self.order, low, strict=True)] + [o[b:] for o, b in zip(self.order, high, strict=True)]
-        return len(self.order) - np.bincount(np.concatenate(outside), minlength=n)
+        """Collisions of every vector: how many of its ranks lie within the windows."""
+        if sum(high) - sum(low) <= _BY_RANK * self.order.size:
+            return self._count([o[a:b] for o, a, b in zip(self.order, low, high, strict=True)])
+        counts, off, inside = np.zeros(len(self.ids), dtype=np.int32), np.empty_like(self.rank[0]), np.empty(len(self.ids), dtype=bool)
+        for first in range(0, len(self.rank), 255):  # as many as a byte can count
+            some = np.zeros(len(self.ids), dtype=np.uint8)
+            for rank, a, b in zip(self.rank[first : first + 255], low[first:], high[first:], strict=False):
+                np.less(np.subtract(rank, rank.dtype.type(a), out=off), rank.dtype.type(b - a), out=inside)  # ranks below a wrap round
+                np.add(some, inside.view(np.uint8), out=some)
+            counts += some
+        return counts
+
+    def _widened(self, counts: np.ndarray, low: list[int], high: list[int], new_low: list[int], new_high: list[int]) -> np.ndarray:
+        """``counts`` with what wider windows add at both ends: virtual rehashing."""
+        added = [o[a:b] for o, a, b in zip(self.order, new_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, new_high, strict=True)]
+        return counts + self._count(added)
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query, positions and measures of the best k found, best first, ties to the smaller id."""
         unit = np.hstack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))])
         places = unit @ self.axes * math.sqrt(self.dim)
-        for query_id, vector, place in zip(ids, queries, places, strict=True):
-            yield self._one(query_id, vector, place, k)
+        width = self._first_width(k)
+        ends = np.array([s.searchsorted((p - width, p + width)) for s, p in zip(self.sorted, places.T, strict=True)])
+        for query_id, vector, place, low, high in zip(ids, queries, places, ends[:, 0].T.tolist(), ends[:, 1].T.tolist(), strict=True):
+            yield self._one(query_id, vector, place, k, width, low, high)
 
-    def _one(self, query_id: int, vector: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def _one(self, query_id: int, vector: np.ndarray, place: np.ndarray, k: int, width: float, low: list[int], high: list[int]) -> tuple[np.ndarray, np.ndarray]:
         seen = self.ids == query_id
         k = min(k, len(self.ids) - int(seen.sum()))
         at, score = np.zeros(0, dtype=np.int64), np.zeros(0)
         if k == 0:
             return at, score
-        width, norm, last = self._first_width(k), float(np.linalg.norm(vector)), False
+        norm = float(np.linalg.norm(vector))
+        counts = self._collisions(low, high)
         while True:
-            low, high = self._window(place, width)
-            passed = np.flatnonzero((self._collisions(low, high) >= self.need) & ~seen)
+            passed = np.flatnonzero((counts >= self.need) & ~seen)
             if len(passed):
                 seen[passed] = True
+                self.verified += len(passed)
                 at = np.concatenate((at, passed))
                 score = np.concatenate((score, np.einsum("ij,j->i", self.vectors[passed], vector)))
                 if len(at) > k:
                     order = np.lexsort((self.ids[at], -score))[:k]
                     at, score = at[order], score[order]
-            if last or seen.all():
+            if seen.all():
                 break
             if len(at) >= k:
                 worst = math.sqrt(max(0.0, 2 - 2 * float(score.min()) / (self.longest * norm)))
                 wanted = self.reach * worst
-                last = True
                 if wanted <= width:
                     break
-                width = wanted
+                width = min(wanted, width * _WIDEN)
             else:
                 width *= _WIDEN
+            wider = self._window(place, width)
+            counts = self._widened(counts, low, high, *wider)
+            low, high = wider
         order = np.lexsort((self.ids[at], -score))[:k]
         return at[order], score[order]
 
 
-def usable(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """Rows whose vector is neither null nor zero and holds finite components only."""
+def usable_vector(vector_col: str = "embedding") -> Column:
+    """Whether a vector is neither null nor zero and holds finite components only; never null."""
     v = F.col(vector_col)
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
-    return vectors.where(v.isNotNull() & F.coalesce(F.forall(v, fine), F.lit(False)) & F.exists(v, lambda x: x != 0))
+    return v.isNotNull() & F.coalesce(F.forall(v, fine), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
+
+
+def usable(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
+    """Rows with a usable vector."""
+    return vectors.where(usable_vector(vector_col))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     return flat.reshape(len(column), -1)
 
 
+def usual_length(rows: DataFrame, vector_col: str) -> tuple[int, int, float]:
+    """The length that most vectors have (of equals the smaller), how many have it, and their largest square."""
+    square = F.aggregate(vector_col, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    found = rows.groupBy(F.size(vector_col).alias("dim")).agg(F.count("*").alias("n"), F.max(square).alias("most")).orderBy(F.desc("n"), "dim").first()
+    return tuple(found) if found else (0, 0, 0.0)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of each query, by inner product in double precision.
 
     Vectors that are null, zero or hold null or non-finite components take no
-    part, nor do rows without an id; all must have one length.  A query's own id is no candidate.  With
+    part, nor do rows without an id, nor vectors of another length than most of
+    ``vectors`` have.  A query's own id is no candidate, in whatever row.  With
     fewer than k candidates all are returned; an empty table gives no rows.
-    Rows that repeat an id are candidates each.
+    Rows that repeat an id are candidates each; of queries that repeat an id the
+    one with the smallest vector is asked.
 
     Every shard meets every block of queries, once; only the best k of each
-    pair leave a task.
+    pair leave a task.  Blocks are dealt to groups, as many as keep the cluster busy; a
+    shard's sorted arrays are built once a group, and its blocks stream past.
     """
-    clean = lambda df: usable(df, vector_col).where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    points, asked = clean(vectors), clean(queries)
-    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    n, longest = points.agg(F.count("*"), F.max(square)).first()
+    spark = vectors.sparkSession
+    kept = lambda df: df.where(usable_vector(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    dim, n, longest = usual_length(kept(vectors), "v")
+    points, asked = kept(vectors).where(F.size("v") == dim), kept(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
     m = asked.count()
     if not n or not m:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     longest = math.sqrt(longest)
     shards, blocks = -(-n // shard), -(-m // block)
+    groups = max(1, min(blocks, -(-2 * spark.sparkContext.defaultParallelism // shards)))
 
-    def packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
-        dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", F.lit(7)), F.lit(parts)).cast("int"))
-        return dealt.groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias(f"{name}_rows"))
+    def packed(rows: DataFrame, parts: int, name: str, salt: Column) -> DataFrame:
+        dealt = rows.withColumn(name, F.pmod(F.xxhash64("id", salt), F.lit(parts)).cast("int"))
+        return dealt.groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
 
-    left = packed(points, shards, "s")
-    right = packed(asked, blocks, "b").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    met = left.join(right, "s").repartition(shards * blocks, "s", "b").select("s_rows", "b_rows")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    index = packed(points, shards, "s", F.monotonically_increasing_id()).select("s", every(groups).alias("g"), F.lit(False).alias("asked"), "rows")
+    blocks_of = packed(asked, blocks, "b", F.lit(7)).select(F.col("b"), every(shards).alias("s"), "rows").select("s", F.pmod("b", F.lit(groups)).cast("int").alias("g"), F.lit(True).alias("asked"), "rows")
+    met = index.unionByName(blocks_of).repartitionById(shards * groups, F.col("s") * groups + F.col("g")).sortWithinPartitions("s", "g", "asked")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, at = None, None
         for batch in batches:
-            for points_here, asked_here in zip(*batch.columns, strict=True):
-                p, q = points_here.values, asked_here.values
-                index = Shard(p.field("id").to_numpy(), _matrix(p.field("v")), longest)
-                ids = q.field("id").to_numpy()
-                found = list(index.search(ids, _matrix(q.field("v")), k))
-                sizes = [len(at) for at, _ in found]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, sizes)), pa.array(index.ids[np.concatenate([at for at, _ in found])]), pa.array(np.concatenate([s for _, s in found]))], names=["query_id", "vec_id", "score"]
-                )
+            for s, g, is_asked, rows in zip(*(c for c in batch.columns), strict=True):
+                ids, v = rows.values.field("id").to_numpy(), _matrix(rows.values.field("v"))
+                if not is_asked.as_py():
+                    here, at = Shard(ids, v, longest), (s.as_py(), g.as_py())
+                elif (s.as_py(), g.as_py()) == at:  # else the shard holds nothing
+                    found = list(here.search(ids, v, k))
+                    sizes = [len(x[0]) for x in found]
+                    values = [np.repeat(ids, sizes), here.ids[np.concatenate([x[0] for x in found])], np.concatenate([x[1] for x in found])]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in values], names=["query_id", "vec_id", "score"])
 
     hits = met.mapInArrow(work, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

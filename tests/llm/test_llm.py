@@ -281,6 +281,75 @@ def test_nearest_recall_and_odd_rows(spark):
     assert qalsh.nearest(small.limit(0), small.limit(0)).count() == 0
 
 
+def test_nearest_with_repeated_ids_and_odd_lengths(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, [0.0, 3.0], 0), (2, [4.0, 0.0], 0), (3, [2.0, 0.0], 0), (4, [9.0, 0.0, 0.0, 0.0], 0), (5, [], 0), (None, [5.0, 5.0], 0)]
+    got = qalsh.nearest(vectors(spark, rows), vectors(spark, rows), k=4).orderBy("query_id", "rank").collect()
+    # two rows of one id are two candidates, but one query: that of the smallest vector
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 1] == [(2, 4.0), (3, 2.0), (2, 0.0)]
+    assert [(r.vec_id, r.score) for r in got if r.query_id == 2] == [(1, 0.0), (1, 0.0), (3, 0.0)]
+    assert [r.rank for r in got if r.query_id == 3] == [1, 2, 3, 4]
+    assert {r.query_id for r in got} == {1, 2, 3}
+
+
+def test_collisions_choose_few_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    shard = qalsh.Shard(np.arange(len(x)), x, 1.0)
+    found = [set(at.tolist()) for at, _ in shard.search(np.arange(30), x[:30], 20)]
+    hits = 0
+    for i, at in enumerate(found):
+        scores = x @ x[i]
+        scores[i] = -9
+        hits += len(at & set(np.argsort(-scores)[:20].tolist()))
+    assert hits >= 0.93 * 30 * 20
+    assert shard.verified <= 0.1 * 30 * len(x)
+
+
+def test_sequence_equals_a_full_sort():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((400, 10))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = multi_index.MultiIndex(x, 12, 0.9)
+    one, two = index._distances(x)
+    sums = (one[:, :, None] + two[:, None, :]).reshape(len(x), -1)
+    for visits in (1, 2, 7, 60, 144):
+        index.visits = visits
+        assert (index.sequence(x) == np.argsort(sums, axis=1, kind="stable")[:, :visits]).all()
+
+
+def brute_links(rows, threshold=0.93):
+    """For each row its number of links and the smallest id that it reaches."""
+    n, out = len(rows), []
+    fit = [v is not None and all(c is not None and np.isfinite(c) for c in v) and any(v) and k is not None and i is not None for i, v, k in rows]
+    x = [np.array(v, dtype=np.float32).astype(np.float64) if f else None for f, (_, v, _) in zip(fit, rows, strict=True)]
+    near = [[j for j in range(n) if j != i and fit[i] and fit[j] and rows[i][2] == rows[j][2] and x[i] @ x[j] / np.linalg.norm(x[i]) / np.linalg.norm(x[j]) >= threshold] for i in range(n)]
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        least = min((rows[j][0] for j in seen), default=None) if rows[i][0] is not None else None
+        out.append((rows[i][0], len(near[i]), least, least == rows[i][0]))
+    return out
+
+
+def test_links_of_repeated_rows(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 6))
+    some = [(int(i), base[i].tolist(), int(i % 2)) for i in range(40)]
+    rows = [*some, *some[:10], *((i, (base[i + 1] + 0.02).tolist(), k) for i, _, k in some[:8]), (None, base[0].tolist(), 0), (None, None, 0), (7, None, 1), (7, base[7].tolist(), None), *[(50 + i, base[3].tolist(), 1) for i in range(30)]]
+    rows = [(i, v and [float(np.float32(c)) for c in v], k) for i, v, k in rows]
+    got = [tuple(r) for r in multi_index.link_vectors(vectors(spark, rows)).collect()]
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted(brute_links(rows), key=key)
+    # vectors of another length than most have link with nothing
+    odd = multi_index.link_vectors(vectors(spark, [(1, [1.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0, 0.0, 0.0], 0), (4, [1.0], 0), (5, [], 0)])).collect()
+    assert sorted(tuple(r) for r in odd) == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True), (5, 0, 5, True)]
+    assert multi_index.link_vectors(vectors(spark, [])).count() == 0
+
+
 def test_links_equal_brute_force_with_a_hot_group(spark):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((300, 16))
