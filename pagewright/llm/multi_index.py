@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import connected_components
-from .qalsh import usable
+from .qalsh import usable_vector, usual_length
 from .runs import blocks_of_runs
 
 #: Vectors that the codebooks and the number of visits are fitted on, at most.
@@ -55,32 +55,50 @@ class MultiIndex:
     def __init__(self, sample: np.ndarray, size: int, threshold: float, recall: float = TARGET_RECALL, seed: int = 5):
         half = sample.shape[1] // 2
         self.books = (codebook(sample[:, :half], size, seed=seed), codebook(sample[:, half:], size, seed=seed + 1))
-        self.visits = len(self.books[0]) * len(self.books[1])
         rng = np.random.default_rng(seed)
         aside = rng.standard_normal(sample.shape)
         aside -= (aside * sample).sum(axis=1, keepdims=True) * sample
         norm = np.linalg.norm(aside, axis=1, keepdims=True)
         moved = threshold * sample + np.sqrt(1 - threshold**2) * aside / np.where(norm > 0, norm, 1)
         # a pair is met if either finds the other's cell
-        there = np.argmax(self.sequence(sample) == self.sequence(moved)[:, :1], axis=1)
-        back = np.argmax(self.sequence(moved) == self.sequence(sample)[:, :1], axis=1)
-        self.visits = int(np.quantile(np.minimum(there, back), recall, method="higher")) + 1
+        needed = np.minimum(self._position(sample, moved), self._position(moved, sample))
+        self.visits = min(int(np.quantile(needed, recall, method="higher")), len(self.books[0]) * len(self.books[1]))
 
-    def sequence(self, points: np.ndarray) -> np.ndarray:
-        """For each point the first ``visits`` cells in multi-sequence order; the first is its own."""
+    def _distances(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """To the centroids of either half, squared and less a constant of the point."""
         half = points.shape[1] // 2
-        parts = [((b * b).sum(axis=1) - 2 * x @ b.T) for x, b in zip((points[:, :half], points[:, half:]), self.books, strict=True)]
-        sums = (parts[0][:, :, None] + parts[1][:, None, :]).reshape(len(points), -1)
-        if self.visits < sums.shape[1]:
-            first = np.argpartition(sums, self.visits - 1, axis=1)[:, : self.visits]
-            order = np.argsort(np.take_along_axis(sums, first, axis=1), axis=1, kind="stable")
-            return np.take_along_axis(first, order, axis=1)
-        return np.argsort(sums, axis=1, kind="stable")
+        one, two = (((b * b).sum(axis=1) - 2 * x @ b.T) for x, b in zip((points[:, :half], points[:, half:]), self.books, strict=True))
+        return one, two
+
+    def _position(self, points: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """Cells that each point visits until it comes to the other's own cell, that one included."""
+        out = np.zeros(len(points), dtype=np.int64)
+        for low in range(0, len(points), 512):
+            (a, b), (x, y) = self._distances(points[low : low + 512]), self._distances(others[low : low + 512])
+            there = np.take_along_axis(a, x.argmin(axis=1)[:, None], 1)[:, 0] + np.take_along_axis(b, y.argmin(axis=1)[:, None], 1)[:, 0]
+            for i, (one, two, total) in enumerate(zip(a, np.sort(b, axis=1), there, strict=True)):
+                out[low + i] = two.searchsorted(total - one + 1e-12, "right").sum()
+        return out
+
+    def sequence(self, points: np.ndarray) -> np.ndarray:
+        """For each point the first ``visits`` cells in multi-sequence order; the first is its own.
+
+        The cell of a half's i-th and the other's j-th nearest centroid (from 1) has i * j cells
+        no farther than itself, so only cells with i * j <= visits come into question.
+        """
+        one, two = self._distances(points)
+        first, second = (np.argsort(x, axis=1, kind="stable")[:, : self.visits] for x in (one, two))
+        i, j = np.nonzero(np.outer(np.arange(1, first.shape[1] + 1), np.arange(1, second.shape[1] + 1)) <= self.visits)
+        sums = np.take_along_axis(one, first, 1)[:, i] + np.take_along_axis(two, second, 1)[:, j]
+        order = np.argsort(sums, axis=1, kind="stable")[:, : self.visits]
+        return np.take_along_axis(first[:, i] * len(self.books[1]) + second[:, j], order, 1)
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as rows; floats as doubles."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    flat = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return flat.astype(np.float64) if flat.dtype.kind == "f" else flat
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -89,16 +107,17 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 
 def _placed(classes: DataFrame, index: MultiIndex) -> DataFrame:
     """Each class with its visits, the first of them its own cell."""
+    element = classes.schema["v"].dataType.elementType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1_024):
                 part = batch.slice(low, 1_024)
-                cells = index.sequence(_unit(_matrix(part.column(2)))) if part.num_rows else np.zeros((0, index.visits), dtype=np.int64)
+                cells = index.sequence(_unit(_matrix(part.column(3)))) if part.num_rows else np.zeros((0, index.visits), dtype=np.int64)
                 visits = pa.FixedSizeListArray.from_arrays(pa.array(cells.astype(np.int32).ravel()), cells.shape[1]).cast(pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([*part.columns, visits], names=["id", "label", "v", "visits"])
+                yield pa.RecordBatch.from_arrays([*part.columns, visits], names=["id", "label", "w", "v", "visits"])
 
-    return classes.select("id", "label", "v").mapInArrow(work, "id long, label long, v array<double>, visits array<int>")
+    return classes.select("id", "label", "w", "v").mapInArrow(work, f"id long, label long, w long, v array<{element}>, visits array<int>")
 
 
 def _forest(linked: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +172,8 @@ def _verify(threshold: float):
         for table, bounds in blocks_of_runs(batches, ["label", "cell", "mc", "vc"]):
             ids, member = table.column("id").to_numpy(), table.column("member").to_numpy(zero_copy_only=False)
             weight = table.column("w").to_numpy()
-            vectors, visits = _matrix(table.column("v")), _matrix(table.column("visits"))
+            vectors = _matrix(table.column("v"))
+            visits, visitor_home = table.column("visits").combine_chunks(), table.column("home").to_numpy()
             norms = np.linalg.norm(vectors, axis=1)
             counts: list[tuple[np.ndarray, np.ndarray]] = []
             links: list[tuple[np.ndarray, np.ndarray]] = []
@@ -163,6 +183,7 @@ def _verify(threshold: float):
                 if not len(inside):
                     continue
                 # members visit their own cell too; a pair of members is seen from both sides
+                their_visits = _matrix(visits.take(pa.array(inside)))
                 for low in range(0, len(outside), CHUNK):
                     visitors = outside[low : low + CHUNK]
                     cosine = vectors[visitors] @ vectors[inside].T / (norms[visitors][:, None] * norms[inside])
@@ -175,8 +196,8 @@ def _verify(threshold: float):
                     x, y = np.nonzero(linked)
                     alone = np.zeros(len(x), dtype=bool)
                     for part in range(0, len(x), 1 << 18):
-                        own = visits[visitors[x[part : part + (1 << 18)]], 0]
-                        alone[part : part + (1 << 18)] = ~(visits[inside[y[part : part + (1 << 18)]]] == own[:, None]).any(axis=1)
+                        home = visitor_home[visitors[x[part : part + (1 << 18)]]]
+                        alone[part : part + (1 << 18)] = ~(their_visits[y[part : part + (1 << 18)]] == home[:, None]).any(axis=1)
                     if alone.any():
                         counts.append((ids[inside], np.bincount(y[alone], weights=weight[visitors[x[alone]]], minlength=len(inside)).astype(np.int64)))
             rows = [(i, n, None) for i, n in counts] + [(s, None, d) for s, d in links]
@@ -198,24 +219,31 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
 
     Two vectors link if their labels are equal and not null (without a label
     column: any) and their cosine is at least the threshold.  Vectors that are
-    null, zero or hold null or non-finite components link with nothing.
-    Equal vectors of a label link with each other.  ids are to be unique; an
-    empty table stays empty.
+    null, zero or hold null or non-finite components link with nothing, nor do
+    vectors of another length than most have, nor rows without an id.  Equal vectors
+    of a label link with each other.  Rows that repeat an id are vectors each,
+    judged by their own label and vector; an empty table stays empty.
     """
     label = F.col(label_col).cast("long") if label_col else F.lit(0).cast("long")
-    base = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    rows = usable(base, "v").where("label is not null and id is not null").withColumn("key", F.xxhash64("v"))
-    classes = cut(rows.groupBy("label", "key", "v").agg(F.min("id").alias("id"), F.count("*").alias("w")))
-    n = classes.count()
-    alone = base.select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    base = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).alias("v"))
+    fit = usable_vector("v") & F.col("label").isNotNull() & F.col("id").isNotNull()
+    dim, n, _ = usual_length(base.where(fit), "v")
+    fit = fit & (F.size("v") == dim)
+    alone = base.where(~fit).select(F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if not n:
         return alone.withColumn("kept", F.lit(True))
-    drawn = classes.orderBy(F.xxhash64("id", F.lit(3)), "id").select("v").limit(sample).toArrow()
-    size = int(np.clip(round((n / 200) ** 0.5), 2, 256))
-    index = MultiIndex(_unit(_matrix(drawn.column("v"))), size, threshold, recall)
-    placed = cut(_placed(classes, index)).join(classes.select("id", "w"), "id")
-    members = placed.withColumn("cell", F.col("visits")[0]).withColumn("member", F.lit(True))
-    visitors = placed.withColumn("cell", F.explode("visits")).withColumn("member", F.lit(False))
+    rows = base.where(fit).withColumn("key", F.xxhash64("v"))
+    equal = rows.groupBy("label", "key", "v").agg(F.min("id").alias("least"), F.count("*").alias("w"))
+    # ids may repeat, so a class has a number of its own
+    classes = cut(equal.withColumn("id", F.monotonically_increasing_id()))
+    n = classes.count()
+    drawn = classes.orderBy(F.xxhash64("least", "key", F.lit(3)), "least", "key").select("v").limit(sample).toArrow()
+    # cells hold about 200 classes, and no more however many vectors there are
+    index = MultiIndex(_unit(_matrix(drawn.column("v"))), max(2, round((n / 200) ** 0.5)), threshold, recall)
+    placed = cut(_placed(classes, index)).withColumn("home", F.col("visits")[0])
+    members = placed.withColumn("cell", F.col("home")).withColumn("member", F.lit(True))
+    # visitors need no list of their visits
+    visitors = placed.withColumn("cell", F.explode("visits")).withColumn("member", F.lit(False)).withColumn("visits", F.lit(None).cast("array<int>"))
     sizes = placed.select("label", F.posexplode("visits").alias("p", "cell")).groupBy("label", "cell").agg(F.count_if(F.col("p") == 0).alias("nm"), F.count("*").alias("nv")).where("nm > 0")
     sizes = sizes.select("label", "cell", F.ceil(F.col("nm") / chunk).cast("int").alias("gm"), F.ceil(F.col("nv") / (8 * chunk)).cast("int").alias("gv"))
 
@@ -223,16 +251,14 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
         met = side.join(sizes, ["label", "cell"])
         return met.withColumn(my_name, F.pmod(F.xxhash64("id"), F.col(mine)).cast("int")).withColumn(other_name, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
 
-    columns = ["label", "cell", "mc", "vc", "id", "w", "member", "v", "visits"]
+    columns = ["label", "cell", "mc", "vc", "id", "w", "member", "home", "v", "visits"]
     groups = dealt(members, "gm", "gv", "mc", "vc").select(columns).unionByName(dealt(visitors, "gv", "gm", "vc", "mc").select(columns))
     keys = ["label", "cell", "mc", "vc"]
     found = cut(groups.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(threshold), "id long, n long, other long"))
     counts = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("near"))
     components = connected_components(found.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst")))
-    judged = classes.select("id", "w", "key", "label").join(counts, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left")
-    judged = judged.select("id", "label", (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"), "key")
-    of_class = rows.select("id", "label", "key", "v").join(classes.select("label", "key", "v", F.col("id").alias("class")), ["label", "key", "v"])
-    linked = of_class.select(F.col("id").alias("vec_id"), "class").join(judged.withColumnRenamed("id", "class"), "class").select(F.col("vec_id").alias("__id"), "n_links", "component_id")
-    out = alone.select("vec_id").join(linked, F.col("vec_id") == F.col("__id"), "left")
-    component = F.coalesce("component_id", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
+    judged = classes.join(counts, "id", "left").join(components.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    least = judged.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = judged.join(least, "component").select("label", "key", "v", (F.coalesce("near", F.lit(0)) + F.col("w") - 1).alias("n_links"), "component_id")
+    linked = rows.select(F.col("id").alias("vec_id"), "label", "key", "v").join(of_class, ["label", "key", "v"]).select("vec_id", "n_links", "component_id")
+    return linked.unionByName(alone).withColumn("kept", F.col("component_id").eqNullSafe(F.col("vec_id")))

@@ -160,11 +160,6 @@ def usable_vector(vector_col: str = "embedding") -> Column:
     return v.isNotNull() & F.coalesce(F.forall(v, fine), F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def usable(vectors: DataFrame, vector_col: str = "embedding") -> DataFrame:
-    """Rows with a usable vector."""
-    return vectors.where(usable_vector(vector_col))
-
-
 def _matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one length as rows of doubles."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
