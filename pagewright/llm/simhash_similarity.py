@@ -12,7 +12,9 @@ As in ``simhash.py``, buckets are dealt out by pairs of chunks and give links
 that connect what is near, not all pairs: small groups all their near pairs;
 larger ones a spanning forest of the nearest, and the nearest pair between any
 two of its trees.  Confirmation breaks some of these links, so the larger groups
-are searched again for every near pair whose ends it left apart.
+are searched again for every near pair whose ends it left apart, and all of
+these are confirmed too: a near pair is either within one component already or
+put to the exact test itself, whatever the size of its group.
 """
 
 from __future__ import annotations
@@ -25,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut
 from .components import connected_components
@@ -184,7 +187,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
-    """``(a, b, d)``: pairs whose whole fingerprints differ in ``d`` bits, ``MOST`` at most: far fewer texts to fetch."""
+    """Pairs whose whole fingerprints differ in ``MOST`` bits at most: far fewer texts to fetch."""
     one, two = (prints.select(F.col("id").alias(name), F.col("fp").alias(f"f{name}")) for name in ("a", "b"))
     met = pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb")
 
@@ -192,35 +195,23 @@ def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
         for batch in batches:
             fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, WORDS) for i in (2, 3))
             d = np.bitwise_count(fa ^ fb).sum(axis=1, dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], names=["a", "b", "d"]).filter(pa.array(d <= MOST))
+            yield batch.select(["a", "b"]).filter(pa.array(d <= MOST))
 
-    return met.mapInArrow(work, "a long, b long, d int")
+    return met.mapInArrow(work, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Pairs whose shingle sets really are that similar."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    small = ids.count() <= BROADCAST_IDS
-    texts = rows.select("id", "x").join(F.broadcast(ids) if small else ids, "id").dropDuplicates(["id"])
-    met = pairs.join(texts.select(F.col("id").alias("a"), F.col("x").alias("xa")), "a").join(texts.select(F.col("id").alias("b"), F.col("x").alias("xb")), "b").select("a", "b", "xa", "xb")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = shingle_hashes(x.as_py(), shingle), shingle_hashes(y.as_py(), shingle)
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(common >= similarity * (len(one) + len(two) - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return met.mapInArrow(work, "a long, b long")
+    """Pairs whose shingle sets really are that similar.
 
-
-def _confirmed_tiles(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``_confirmed`` for many pairs of few texts: pairs are dealt over tiles, and a text goes to each of its tiles once."""
+    Pairs are dealt over tiles by both ends, and a text goes to each of its tiles
+    once; a tile that many pairs of one text crowd is split by the hash of the pair.
+    """
     side = math.ceil(math.sqrt((pairs.count() + 1) / TILE_PAIRS))
     tiled = pairs.select("a", "b", F.pmod("a", F.lit(side)).alias("i"), F.pmod("b", F.lit(side)).alias("j"))
-    needed = tiled.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    crowded = tiled.groupBy("i", "j").agg(F.count("*").alias("n")).where(F.col("n") > 4 * TILE_PAIRS)
+    parts = F.coalesce(F.ceil(F.col("n") / TILE_PAIRS), F.lit(1))
+    tiled = tiled.join(crowded, ["i", "j"], "left").select("a", "b", "i", "j", F.pmod(F.xxhash64("a", "b"), parts).alias("k"))
+    needed = tiled.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("k").alias("tk"), F.explode(F.array("a", "b")).alias("id")).distinct()
     ids = needed.select("id").distinct()
     hint = F.broadcast if ids.count() <= BROADCAST_IDS else lambda x: x
     texts = rows.select("id", "x").join(hint(ids), "id").dropDuplicates(["id"])
@@ -233,22 +224,11 @@ def _confirmed_tiles(pairs: DataFrame, rows: DataFrame, shingle: int, similarity
             keep.append(common >= similarity * (len(sets[a]) + len(sets[b]) - common))
         return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return tiled.groupBy("i", "j").cogroup(needed.join(texts, "id").groupBy("ti", "tj")).applyInArrow(work, "a long, b long")
-
-
-def _across(pairs: DataFrame, groups: DataFrame, *more) -> DataFrame:
-    """``(a, b, *more)`` of the pairs whose ends lie in different groups, ``pa`` and ``pb``."""
-    side = lambda name: groups.select(F.col("node").alias(name), F.col("component").alias(f"p{name}"))
-    met = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
-    return met.withColumn("pa", F.coalesce("pa", "a")).withColumn("pb", F.coalesce("pb", "b")).where("pa <> pb").select("a", "b", *more)
-
+    return tiled.groupBy("i", "j", "k").cogroup(needed.join(texts, "id").groupBy("ti", "tj", "tk")).applyInArrow(work, "a long, b long")
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, chunk: int = 1_024) -> DataFrame:
-    """``(doc_id, component_id)``, one row for each row of ``docs``; component_id is the smallest doc_id of its group.
 
-    Equal texts are one group; null texts count as empty ones, which form a
-    group of their own.  Rows that repeat an id are each judged by their own text.
-    """
+def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, chunk: int = 1_024) -> DataFrame:
+    """``(doc_id, id, component, component_id)``, one row for each row of ``docs``: ``id`` names its text, ``component`` the group of texts."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("x")).withColumn("id", F.xxhash64("x"))
     named = cut(rows.groupBy("id").agg(F.min("doc_id").alias("first_id")))
     prints = cut(_prints(rows, shingle))
@@ -256,37 +236,43 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = cut(blocks.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > _SMALL_GROUP))
     hint = F.broadcast if sizes.count() <= BROADCAST_IDS else lambda x: x
     found = _dealt(blocks.join(hint(sizes.where(F.col("n") > chunk)), ["t", "k"], "left"), chunk).mapInArrow(_search, "a long, b long").distinct()
-    pairs = cut(_close(found, prints).select("a", "b"))
-    # each text's pair with its least partner first; then only pairs that these leave apart
-    first = cut(_confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), rows, shingle, similarity))
-    met = connected_components(first, "a", "b")
-    rest = cut(_confirmed(cut(_across(pairs, met)), rows, shingle, similarity))
-    linked = first.unionByName(rest)
-    groups = connected_components(linked, "a", "b")
-    # what confirmation left apart in larger groups: the nearest pair of any two parts first; then all
-    labelled = prints.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "fp", F.coalesce("component", "id").alias("part"))
+    pairs = cut(_close(found, prints))
+    linked = cut(_confirmed(pairs, rows, shingle, similarity))
+    groups = cut(connected_components(linked, "a", "b").withColumnRenamed("node", "id"))
+    # what confirmation left apart in larger groups
+    labelled = prints.join(groups, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("part"))
     crowded = _blocks(labelled).join(hint(sizes), ["t", "k"])
     mixed = cut(crowded.groupBy("t", "k").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("t", "k"))
     apart = _dealt(crowded.join(hint(mixed), ["t", "k"], "left_semi"), chunk).mapInArrow(_search_apart, "a long, b long").distinct()
     late = cut(_close(apart.join(pairs, ["a", "b"], "left_anti"), prints))
     if not late.isEmpty():
-        sides = _across(late, groups, "d", F.least("pa", "pb").alias("x"), F.greatest("pa", "pb").alias("y"))
-        nearest = cut(sides.groupBy("x", "y").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b"))
-        linked = cut(linked.unionByName(_confirmed_tiles(nearest, rows, shingle, similarity)))
-        left = cut(_across(late.join(nearest, ["a", "b"], "left_anti"), connected_components(linked, "a", "b")))
-        groups = connected_components(linked.unionByName(_confirmed_tiles(left, rows, shingle, similarity)), "a", "b")
-    joined = named.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", "first_id", F.coalesce("component", "id").alias("component"))
+        groups = connected_components(linked.unionByName(_confirmed(late, rows, shingle, similarity)), "a", "b").withColumnRenamed("node", "id")
+    joined = named.join(groups, "id", "left").select("id", "first_id", F.coalesce("component", "id").alias("component"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    return rows.select("doc_id", "id").join(joined.join(least, "component").select("id", "component_id"), "id").select("doc_id", "component_id")
+    return rows.select("doc_id", "id").join(joined.join(least, "component").select("id", "component", "component_id"), "id")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``(doc_id, component_id)``, one row for each row of ``docs``; component_id is the smallest doc_id of its group.
+
+    Equal texts are one group; null texts count as empty ones, which form a
+    group of their own.  Rows that repeat an id are each judged by their own text.
+    """
+    return _judged(docs, id_col, text_col, **options).select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` with one document of each group: that of the smallest id.
 
-    Rows that repeat an id that stays are reduced to one of them.  Rows without
-    an id can't stand for a group and are always kept.
+    Where rows repeat that id, it is the one with the least text hash within the
+    group, and of rows equal in id and text that with the least hash of all columns.
+    Rows without an id can't stand for a group and are always kept.
     """
-    judged = similar_components(docs, id_col, text_col, **options)
-    keep = judged.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__pw_id")).distinct()
-    named = docs.join(keep, F.col(id_col).cast("long") == F.col("__pw_id"), "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    judged = _judged(docs, id_col, text_col, **options).where(F.col("doc_id") == F.col("component_id"))
+    keep = cut(judged.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("__pw_id"), F.col("k.id").alias("__pw_text"), (F.col("n") > 1).alias("__pw_more")))
+    hint = F.broadcast if keep.count() <= BROADCAST_IDS else lambda x: x
+    own_text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    kept = docs.join(hint(keep), (F.col(id_col).cast("long") == F.col("__pw_id")) & (own_text == F.col("__pw_text")))
+    nth = F.row_number().over(Window.partitionBy("__pw_id", "__pw_text").orderBy(F.xxhash64(*docs.columns)))
+    repeated = kept.where("__pw_more").withColumn("__pw_nth", nth).where("__pw_nth = 1")
+    return kept.where("not __pw_more").select(*docs.columns).unionByName(repeated.select(*docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
