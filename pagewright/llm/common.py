@@ -6,8 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Shared folder that is used only where the session names none (tests, laptops).
-DEFAULT_SHARED_DIR = "/tmp/checkpoints/pagewright"
+from ..session import settled, shared_dir
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,12 +14,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a default only where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or DEFAULT_SHARED_DIR).rstrip("/")
-
-
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
@@ -28,10 +21,7 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """``df.checkpoint()`` into the shared folder: replicated by the store, lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+    return settled(df)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
