@@ -113,14 +113,14 @@ def encode_documents(
     text = Window.partitionBy("key")
     order = text.orderBy("c")
     met = F.array_min(F.array_intersect(F.col("head"), F.lag("tail").over(order)))
-    stitched = scanned.withColumn("from", F.when(F.col("c") == 0, 0).otherwise(met)).withColumn("whole", F.max(F.col("from").isNull()).over(text)).withColumn("until", F.lead("from").over(order))
-    upto = F.coalesce(F.col("until") + chunk, F.length("w"))
-    spans = stitched.select(
-        "key",
-        "c",
-        F.when(F.col("whole"), F.substring("w", 1, chunk)).otherwise(F.substring("w", F.col("from") + 1, upto - F.col("from"))).alias("span"),
-        "whole",
-    )
+    # a window in which no boundary of its own meets one of the window before goes on with that one
+    placed = scanned.withColumn("from", F.when(F.col("c") == 0, 0).otherwise(met))
+    placed = placed.withColumn("until", F.lead("from").over(order)).withColumn("last", F.lead("c").over(order).isNull()).withColumn("run", F.count("from").over(order))
+    first, upto = F.coalesce("from", F.lit(0)), F.when(F.col("last"), F.length("w")).otherwise(F.coalesce("until", F.lit(0)) + chunk)
+    alone = F.col("from").isNotNull() & (F.col("last") | F.col("until").isNotNull())
+    spans = placed.select("key", "c", "run", alone.alias("alone"), F.substring("w", first + 1, upto - first).alias("span"))
+    unmet = spans.where("not alone").groupBy("key", "run").agg(F.min("c").alias("c"), F.array_sort(F.collect_list(F.struct("c", "span"))).getField("span").alias("spans"))
+    spans = spans.where("alone").select("key", "c", "span").unionByName(unmet.select("key", "c", F.array_join("spans", "").alias("span")))
 
     def encode_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
@@ -128,21 +128,16 @@ def encode_documents(
             ids = [np.asarray(bpe.encode_ordinary(s), dtype=np.int32) for s in batch.column("span").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("c"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "c", "ids"])
 
-    pieces = spans.where("not whole").drop("whole").mapInArrow(encode_spans, "key string, c int, ids array<int>")
-    parts = lambda rows, column: rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", column))).getField(column).alias("parts"))
-    joined = parts(pieces, "ids").select("key", F.flatten("parts").alias("ids"), F.lit(None).cast("string").alias("x"))
-    unmet = parts(spans.where("whole"), "span").select("key", F.lit(None).cast("array<int>").alias("ids"), F.array_join("parts", "").alias("x"))
+    pieces = spans.mapInArrow(encode_spans, "key string, c int, ids array<int>")
+    joined = pieces.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("c", "ids"))).getField("ids").alias("parts")).select("key", F.flatten("parts").alias("ids"))
 
     def finish_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(ranks_path, pattern)
         for batch in batches:
             for at in range(batch.num_rows):
                 row = batch.slice(at, 1)
-                stitched_ids = row.column("ids")[0].as_py()
-                ids = bpe.encode_ordinary(row.column("x")[0].as_py()) if stitched_ids is None else stitched_ids
-                yield _finish(["key", *names], [row.column("key")], [ids], digest, ranks_path, pattern)
+                yield _finish(["key", *names], [row.column("key")], [row.column("ids")[0].as_py()], digest, ranks_path, pattern)
 
-    finished = joined.unionByName(unmet).mapInArrow(finish_long, ", ".join(["key string", *out]))
+    finished = joined.mapInArrow(finish_long, ", ".join(["key string", *out]))
     return short.unionByName(long.select("doc_id", "key").join(finished, "key").select("doc_id", *names))
 
 
