@@ -49,9 +49,10 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], cap: int) -> Data
     return settled.select("source", "source_size", F.coalesce(target, F.col("most").cast("double")).alias("target"))
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) that depends on the id and the seed alone, for a null id on the text."""
+    unnamed = F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit(""))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), unnamed)))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
@@ -59,7 +60,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """``docs`` with ``__pw_size``, ``__pw_source_size``, ``__pw_target``, ``__pw_copies``.
 
     Null and empty texts have size 0 and a rate like the rest of their source;
-    a source of size 0 has rate 0.  Rows that repeat an id are decided alike.
+    a source of size 0 has rate 0.  Rows that repeat an id are decided alike, and
+    of rows without an id those that repeat a text.
     A null source is a source of its own.  An empty table stays empty.
     """
     sized = docs.withColumn("__pw_size", word_count(F.col(text_col)))
@@ -68,7 +70,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sources = docs.select(F.approx_count_distinct(source_col)).first()[0]
     joined = sized.join(F.broadcast(table) if sources <= BROADCAST_SOURCES else table, F.col(source_col).eqNullSafe(F.col("__pw_source"))).drop("__pw_source")
     rate = F.when(F.col("__pw_source_size") > 0, F.col("__pw_target") / F.col("__pw_source_size")).otherwise(0.0)
-    copies = F.floor(rate) + F.when(uniform(F.col(id_col), seed) < rate - F.floor(rate), 1).otherwise(0)
+    copies = F.floor(rate) + F.when(uniform(F.col(id_col), F.col(text_col), seed) < rate - F.floor(rate), 1).otherwise(0)
     return joined.withColumn("__pw_copies", copies.cast("long"))
 
 
