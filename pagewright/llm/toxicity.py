@@ -297,8 +297,11 @@ def fold(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    """Fit on at most ``max_rows`` labelled rows outside fold 2 (those with the least hash of their id)."""
-    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2)).select("doc_id", "toxic").dropDuplicates(["doc_id"])
+    """Fit on at most ``max_rows`` labelled rows outside fold 2 (those with the least hash of their id).
+
+    Of labels that differ for one id the toxic one counts.  Without labels every score is 0.
+    """
+    usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.col("text").alias("x")).join(F.broadcast(sample), "doc_id").where("x is not null").orderBy("doc_id", F.xxhash64("x")).limit(max_rows)
     found = rows.select("x", "toxic").collect()
