@@ -69,9 +69,9 @@ def page_links(pages: DataFrame) -> DataFrame:
 
     Targets that name no host are completed from the page's URL: ``/`` from its host,
     ``?`` from its path, others from the directory of its path, with ``.`` and ``..``
-    taken out.  Targets of other schemes (``mailto:``) are left out.
+    taken out; ``&amp;`` stands for ``&``.  Targets of other schemes (``mailto:``) are left out.
     """
-    named = pages.where("url is not null and html is not null").select("url", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), 1), F.regexp_extract_all("html", F.lit(_REFRESH), 1)))).alias("to"))
+    named = pages.where("url is not null and html is not null").select("url", F.explode(F.array_distinct(F.concat(F.regexp_extract_all("html", F.lit(_CANONICAL), 1), F.regexp_extract_all("html", F.lit(_REFRESH), 1)))).alias("to")).withColumn("to", F.replace(F.col("to"), F.lit("&amp;"), F.lit("&")))
     scheme = F.regexp_extract("url", r"(?s)^(.*?)://", 1)
     root = F.concat(scheme, F.lit("://"), host_of(F.col("url")))
     own = F.when(path_of(F.col("url")) == "", "/").otherwise(path_of(F.col("url")))
@@ -96,7 +96,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     blocks a target blocks its aliases too.
     """
     base = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    judged = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("key", F.xxhash64(alias_key(F.col("url"))))
+    judged = base.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).withColumn("key", F.when(F.col("host") != "", F.xxhash64(alias_key(F.col("url")))))
     links = page_links(pages)
     if redirects is not None:
         links = links.unionByName(redirects.select("src", "dst"))
@@ -107,6 +107,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     blocked_ends = ends.where(rule_of(host_of(F.col("u")), path_of(F.col("u")), rules)["verdict"] == "block").select("node").distinct()
     tainted = groups.join(blocked_ends, "node").select("component").distinct()
     blocked = groups.join(tainted, "component").select(F.col("node").alias("key")).distinct().withColumn("hit", F.lit(True))
-    decided = judged.join(blocked, "key", "left")
-    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("hit") & (F.col("host") != ""), "block"), F.lit("allow"))
+    # URLs without a host have no aliases, and no part in the join that their one key would crowd
+    named = judged.where("key is not null").join(blocked, "key", "left")
+    decided = named.unionByName(judged.where("key is null").withColumn("hit", F.lit(None).cast("boolean")))
+    verdict = F.coalesce(F.col("r.verdict"), F.when(F.col("hit"), "block"), F.lit("allow"))
     return decided.select("page_id", "host", "path", F.col("r.rule").alias("rule"), verdict.alias("verdict"))
