@@ -185,7 +185,7 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, letters: bool, vocabular
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("x"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("x"))
+    ordered = rows.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("x")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("x"))
     return ordered.mapInArrow(work, "part int, doc_id long, begin long, n long, ids binary, counts binary")
 
 
