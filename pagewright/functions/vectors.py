@@ -42,8 +42,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def hashed_words(text: Column, dim: int = DIM) -> Column:
-    """Counts of lower-cased words by bucket: a deterministic stand-in for a neural embedding."""
+    """Counts of lower-cased words by bucket: a deterministic stand-in for a neural embedding.
+
+    A bucket's count is the distance between the first places of two marks, one a
+    bucket, sorted among the words' buckets; nothing is rebuilt for each word.
+    """
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
     buckets = F.transform(tokens, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    return F.aggregate(buckets, zero, lambda counts, b: F.transform(counts, lambda x, i: F.when(i == b, x + 1.0).otherwise(x)))
+    marked = F.array_sort(F.concat(buckets, F.sequence(F.lit(0).cast("long"), F.lit(dim).cast("long"))))
+    place = lambda held, i: F.array_position(held, i)
+    counts = lambda held: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: (place(held, i + 1) - place(held, i) - 1).cast("double"))
+    return F.when(text.isNotNull(), F.transform(F.array(marked), counts)[0])

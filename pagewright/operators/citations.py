@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .retrieval import CHUNK, of_document
 
 #: A citation in an answer; section number and page.
 CITATION = r"[Ss]ection\s+(\d{1,2}(?:\.\d{1,2}){0,3})(?:[,\s]+(?:p(?:age|\.)?\.?\s*)(\d+))?"
@@ -46,8 +47,11 @@ def generate(asked: DataFrame, make: Callable[[], AnswerGenerator]) -> DataFrame
 
 
 def extractive_answers(final: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
-    """``(query_id, query, answer, failed, confidence)`` without a model: the first line of the two best chunks, cited."""
-    met = final.where("pos < 2").join(chunks.select("chunk_id", "content", "section_number", "page_start"), "chunk_id")
+    """``(query_id, query, answer, failed, confidence)`` without a model: an extract, as a stand-in.
+
+    The last line that isn't blank of the two best chunks, its first 300 characters, each with its citation.
+    """
+    met = of_document(final).where("pos < 2").join(of_document(chunks).select(*CHUNK, "content", "section_number", "page_start"), CHUNK)
     line = F.substring(F.element_at(F.filter(F.split("content", "\n"), lambda x: T.strip(x) != ""), -1), 1, 300)
     part = F.concat(line, F.lit(" (Section "), "section_number", F.lit(", page "), "page_start", F.lit(")."))
     joined = met.groupBy("query_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("pos", part.alias("p")))).getField("p"), " ").alias("answer"))
@@ -60,14 +64,14 @@ def with_confidence(answers: DataFrame) -> DataFrame:
 
 
 def extract_citations(final: DataFrame, chunks: DataFrame, least: float = 0.3) -> DataFrame:
-    """``(query_id, rank, section_number, section_title, page_start, page_end, chunk_type, confidence)``.
+    """``(query_id, rank, doc_id, section_number, section_title, page_start, page_end, chunk_type, confidence)``.
 
     The first hit of each section that scores at least ``least``, best first.
     """
-    met = final.join(chunks.select("chunk_id", "section_number", "section_title", "page_start", "page_end", "chunk_type"), "chunk_id").where(F.col("score") >= least)
-    first = met.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "section_number").orderBy("pos"))).where("rn = 1")
+    met = of_document(final).join(of_document(chunks).select(*CHUNK, "section_number", "section_title", "page_start", "page_end", "chunk_type"), CHUNK).where(F.col("score") >= least)
+    first = met.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "doc_id", "section_number").orderBy("pos"))).where("rn = 1")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pos"))
-    return first.select("query_id", rank.alias("rank"), "section_number", "section_title", "page_start", "page_end", "chunk_type", F.col("score").alias("confidence"))
+    return first.select("query_id", rank.alias("rank"), "doc_id", "section_number", "section_title", "page_start", "page_end", "chunk_type", F.col("score").alias("confidence"))
 
 
 def parse_citations(answers: DataFrame) -> DataFrame:
@@ -86,9 +90,12 @@ def claims(answers: DataFrame, cited: DataFrame) -> DataFrame:
     return met.withColumn("claim", F.coalesce(F.get(naming, F.lit(0)), F.col("answer"))).drop("answer")
 
 
-def verify_citations(answers: DataFrame, chunks: DataFrame) -> DataFrame:
+def verify_citations(answers: DataFrame, chunks: DataFrame, scope: DataFrame | None = None) -> DataFrame:
     """``(query_id, section_number, page_cited, status, grounding_score, chunk_found, page_in_range, matched_chunk_id)``.
 
+    An answer cites a section by its number alone.  ``scope (query_id, doc_id)`` names the
+    documents that an answer drew from, and only their chunks can bear it out;
+    without it any document's can.
     Candidates are the chunks of the section and all below it: each chunk is
     exploded to its number's prefixes, so the join is an equi-join.  The best
     is that with the largest word overlap, 0.1 more if the page fits; ties in
@@ -96,16 +103,21 @@ def verify_citations(answers: DataFrame, chunks: DataFrame) -> DataFrame:
     stays, the first of equals.
     """
     asked = claims(answers, parse_citations(answers))
-    first = F.min("chunk_seq").over(Window.partitionBy("section_number"))
+    first = F.min("chunk_seq").over(Window.partitionBy("doc_id", "section_number"))
     parts = F.split("section_number", r"\.")
-    rows = chunks.select("chunk_id", "chunk_seq", "section_number", "content", "page_start", F.coalesce("page_end", "page_start").alias("page_end")).withColumn("sec_first", first)
+    rows = of_document(chunks).select("doc_id", "chunk_id", "chunk_seq", "section_number", "content", "page_start", F.coalesce("page_end", "page_start").alias("page_end")).withColumn("sec_first", first)
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))
-    below = rows.select(F.explode(prefixes).alias("section_number"), "chunk_id", "chunk_seq", "sec_first", T.words(F.col("content")).alias("chunk_words"), "page_start", "page_end")
-    met = asked.withColumn("claim_words", T.words(F.col("claim"))).join(below, "section_number", "left")
+    below = rows.select(F.explode(prefixes).alias("section_number"), "doc_id", "chunk_id", "chunk_seq", "sec_first", T.words(F.col("content")).alias("chunk_words"), "page_start", "page_end")
+    asked = asked.withColumn("claim_words", T.words(F.col("claim")))
+    if scope is None:
+        met = asked.join(below, "section_number", "left")
+    else:
+        meant = asked.select("query_id", "section_number").distinct().join(scope.select("query_id", "doc_id").distinct(), "query_id")
+        met = asked.join(meant.join(below, ["doc_id", "section_number"]), ["query_id", "section_number"], "left")
     page_ok = F.coalesce(F.col("page_cited").between(F.col("page_start"), F.col("page_end")), F.lit(False))
     raw = F.when(F.col("chunk_id").isNotNull(), T.jaccard(F.col("claim_words"), F.col("chunk_words"))).otherwise(0.0)
     scored = met.withColumn("page_ok", page_ok).withColumn("raw", raw).withColumn("effective", F.col("raw") + F.when(F.col("page_ok"), 0.1).otherwise(0.0))
-    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "pos").orderBy(F.desc("effective"), "sec_first", "chunk_seq"))).where("rn = 1")
+    best = scored.withColumn("rn", F.row_number().over(Window.partitionBy("query_id", "pos").orderBy(F.desc("effective"), "doc_id", "sec_first", "chunk_seq"))).where("rn = 1")
     status = F.when(F.col("chunk_id").isNull(), "not_found").when((F.col("raw") >= 0.15) & (F.col("page_cited").isNull() | F.col("page_ok")), "verified").otherwise("partial")
     judged = best.withColumn("status", status).withColumn("grounding_score", F.round("raw", 4))
     keep = F.row_number().over(Window.partitionBy("query_id", "section_number").orderBy(F.desc("grounding_score"), "pos"))

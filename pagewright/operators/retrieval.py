@@ -1,8 +1,10 @@
 """Hybrid retrieval for a whole set of questions at once.
 
-Hits are rows ``(query_id, chunk_id, chunk_seq, score, pos, ...)``; ``pos`` is
-the place in its list, from 0, and decides ties, so no order is left to chance.
-Chunks carry ``chunk_seq``, ``section_number``, ``content``.
+Hits are rows ``(query_id, doc_id, chunk_id, chunk_seq, score, pos, ...)``; ``pos``
+is the place in its list, from 0, and decides ties, so no order is left to chance.
+Chunks carry ``doc_id``, ``chunk_seq``, ``section_number``, ``content``; chunk ids and
+section numbers name something within their document only.  Where no input carries
+``doc_id``, all are of one document.
 """
 
 from __future__ import annotations
@@ -19,6 +21,10 @@ from ..session import settled
 from . import vectors as S
 
 
+#: The columns of a hit.
+HIT = ["query_id", "doc_id", "chunk_id", "chunk_seq", "score", "pos"]
+
+
 @dataclass(frozen=True)
 class Retrieval:
     """Options of a retrieval; the defaults are those of the reference behaviour."""
@@ -32,6 +38,11 @@ class Retrieval:
     rerank: bool = True
 
 
+def of_document(df: DataFrame) -> DataFrame:
+    """``df`` with a ``doc_id``; without one its rows are of one document, 0."""
+    return df if "doc_id" in df.columns else df.withColumn("doc_id", F.lit(0).cast("long"))
+
+
 def _places(hits: DataFrame, *order: Column) -> DataFrame:
     return hits.withColumn("pos", (F.row_number().over(Window.partitionBy("query_id").orderBy(*order)) - 1).cast("long"))
 
@@ -49,18 +60,23 @@ def keyword_boost(hits: DataFrame) -> DataFrame:
     return _places(hits.withColumn("score", F.col("score") * (0.7 + 0.3 * factor)), F.desc("score"), F.col("pos"))
 
 
+#: What names a chunk, and a section, among all documents.
+CHUNK, SECTION = ["doc_id", "chunk_id"], ["doc_id", "section_number"]
+
+
 def hop_sections(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, also_visited: DataFrame | None = None) -> DataFrame:
-    """``(query_id, section_number, depth)`` reached over ``edges (source, target)`` from ``seeds (query_id, section_number)``.
+    """``(query_id, doc_id, section_number, depth)`` reached over ``edges (doc_id, source, target)`` from ``seeds (query_id, doc_id, section_number)``.
 
     Breadth first, each section at its least depth, seeds and ``also_visited``
     left out; one equi-join and one anti-join a hop.
     """
-    frontier, found = seeds.select("query_id", "section_number").distinct(), None
-    visited = frontier if also_visited is None else frontier.unionByName(also_visited.select("query_id", "section_number")).distinct()
-    links = edges.select(F.col("source").alias("section_number"), F.col("target").alias("to")).distinct()
+    edges = of_document(edges)
+    frontier, found = of_document(seeds).select("query_id", *SECTION).distinct(), None
+    visited = frontier if also_visited is None else frontier.unionByName(of_document(also_visited).select("query_id", *SECTION)).distinct()
+    links = edges.select("doc_id", F.col("source").alias("section_number"), F.col("target").alias("to")).distinct()
     for depth in range(max_hops):
-        reached = frontier.join(links, "section_number").select("query_id", F.col("to").alias("section_number")).distinct()
-        frontier = reached.join(visited, ["query_id", "section_number"], "left_anti")
+        reached = frontier.join(links, SECTION).select("query_id", "doc_id", F.col("to").alias("section_number")).distinct()
+        frontier = reached.join(visited, ["query_id", *SECTION], "left_anti")
         layer = frontier.withColumn("depth", F.lit(depth))
         found = layer if found is None else found.unionByName(layer)
         visited = visited.unionByName(frontier)
@@ -70,50 +86,52 @@ def hop_sections(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, also_vis
 def hop_hits(seeds: DataFrame, edges: DataFrame, chunks: DataFrame, max_hops: int = 2, also_visited: DataFrame | None = None) -> DataFrame:
     """All chunks of the sections that references lead to, at 0.5 x 0.7^(depth + 1)."""
     hops = hop_sections(seeds, edges, max_hops, also_visited)
-    met = hops.join(chunks.select("chunk_id", "chunk_seq", "section_number"), "section_number")
+    met = hops.join(of_document(chunks).select(*CHUNK, "chunk_seq", "section_number"), SECTION)
     scored = met.withColumn("score", 0.5 * F.pow(F.lit(0.7), F.col("depth") + 1))
-    return _places(scored, F.col("depth"), F.col("chunk_seq")).select("query_id", "chunk_id", "chunk_seq", "score", "pos")
+    return _places(scored, F.col("depth"), F.col("doc_id"), F.col("chunk_seq")).select(*HIT)
 
 
 def parent_targets(hits: DataFrame) -> DataFrame:
-    """``(query_id, parent, score, turn)``: parents to fetch for ranked hits ``(query_id, pos, section_number, score)``.
+    """``(query_id, doc_id, parent, score, turn)``: parents to fetch for ranked hits ``(query_id, doc_id, pos, section_number, score)``.
 
     One set of seen sections goes along the ranks: a section seen before, or
     without a parent, or whose parent was seen, fetches nothing; a fetched
     parent counts as seen.  An ordered fold over a question's few hits.
     """
-    one = F.struct("pos", "section_number", T.parent_number(F.col("section_number")).alias("parent_section"), "score")
-    lists = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(one)).alias("h"))
-    start = F.struct(F.array().cast("array<string>").alias("seen"), F.array().cast("array<struct<parent:string,score:double>>").alias("out"))
+    place = lambda number: F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(number, F.lit("")).alias("number"))
+    one = F.struct("pos", place(F.col("section_number")).alias("own"), place(T.parent_number(F.col("section_number"))).alias("parent"), "score")
+    lists = of_document(hits).groupBy("query_id").agg(F.array_sort(F.collect_list(one), lambda a, b: (a["pos"] - b["pos"]).cast("int")).alias("h"))
+    kind = "struct<doc_id:bigint,number:string>"
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("seen"), F.array().cast(f"array<struct<parent:{kind},score:double>>").alias("out"))
 
     def step(state: Column, x: Column) -> Column:
-        known = F.array_contains(state["seen"], x["section_number"])
-        wants = ~known & (F.length(F.coalesce(x["parent_section"], F.lit(""))) > 0)
-        with_own = F.when(known, state["seen"]).otherwise(F.concat(state["seen"], F.array(x["section_number"])))
-        fetch = wants & ~F.array_contains(with_own, F.coalesce(x["parent_section"], F.lit("")))
-        more = F.array(F.struct(x["parent_section"].alias("parent"), (x["score"] * 0.6).alias("score")))
-        return F.struct(F.when(fetch, F.concat(with_own, F.array(x["parent_section"]))).otherwise(with_own).alias("seen"), F.when(fetch, F.concat(state["out"], more)).otherwise(state["out"]).alias("out"))
+        known = F.array_contains(state["seen"], x["own"])
+        with_own = F.when(known, state["seen"]).otherwise(F.concat(state["seen"], F.array(x["own"])))
+        fetch = ~known & (x["parent"]["number"] != "") & ~F.array_contains(with_own, x["parent"])
+        more = F.array(F.struct(x["parent"].alias("parent"), (x["score"] * 0.6).alias("score")))
+        return F.struct(F.when(fetch, F.concat(with_own, F.array(x["parent"]))).otherwise(with_own).alias("seen"), F.when(fetch, F.concat(state["out"], more)).otherwise(state["out"]).alias("out"))
 
-    return lists.select("query_id", F.posexplode(F.aggregate("h", start, step, lambda s: s["out"])).alias("turn", "t")).select("query_id", F.col("t.parent").alias("parent"), F.col("t.score").alias("score"), "turn")
+    fetched = lists.select("query_id", F.posexplode(F.aggregate("h", start, step, lambda s: s["out"])).alias("turn", "t"))
+    return fetched.select("query_id", "t.parent.doc_id", F.col("t.parent.number").alias("parent"), F.col("t.score").alias("score"), "turn")
 
 
 def parent_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     targets = parent_targets(hits).withColumnRenamed("parent", "section_number")
-    met = targets.join(chunks.select("chunk_id", "chunk_seq", "section_number"), "section_number")
-    return _places(met, F.col("turn"), F.col("chunk_seq")).select("query_id", "chunk_id", "chunk_seq", "score", "pos")
+    met = targets.join(of_document(chunks).select(*CHUNK, "chunk_seq", "section_number"), SECTION)
+    return _places(met, F.col("turn"), F.col("chunk_seq")).select(*HIT)
 
 
 def fuse(*lists: DataFrame) -> DataFrame:
-    """``(query_id, chunk_id, chunk_seq, score, pos)``: each chunk once with its best score.
+    """``(query_id, doc_id, chunk_id, chunk_seq, score, pos)``: each chunk once with its best score.
 
     Sorted by score; equals stand in the order of their first appearance in the lists.
     """
     rows = None
     for stage, hits in enumerate(lists):
-        part = hits.select("query_id", "chunk_id", "chunk_seq", "score", F.struct(F.lit(stage).alias("stage"), "pos").alias("at"))
+        part = of_document(hits).select("query_id", *CHUNK, "chunk_seq", "score", F.struct(F.lit(stage).alias("stage"), "pos").alias("at"))
         rows = part if rows is None else rows.unionByName(part)
-    best = rows.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"), F.min("at").alias("first"), F.min("chunk_seq").alias("chunk_seq"))
-    return _places(best, F.desc("score"), F.col("first")).select("query_id", "chunk_id", "chunk_seq", "score", "pos")
+    best = rows.groupBy("query_id", *CHUNK).agg(F.max("score").alias("score"), F.min("at").alias("first"), F.min("chunk_seq").alias("chunk_seq"))
+    return _places(best, F.desc("score"), F.col("first")).select(*HIT)
 
 
 def rerank_factor(query: Column, content: Column, title: Column, chunk_type: Column) -> Column:
@@ -138,25 +156,33 @@ def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFram
 
     ``chunks.content_vec`` is the vector of the content alone, stored beside the context vector.
     """
-    met = hits.join(questions.select("query_id", "query", "query_vec"), "query_id").join(chunks.select("chunk_id", "content", "section_title", "chunk_type", "content_vec"), "chunk_id")
+    met = of_document(hits).join(questions.select("query_id", "query", "query_vec"), "query_id").join(of_document(chunks).select(*CHUNK, "content", "section_title", "chunk_type", "content_vec"), CHUNK)
     similar = V.cosine(F.col("query_vec"), F.col("content_vec"))
     score = (0.7 * similar + 0.3 * F.col("score")) * rerank_factor(F.col("query"), F.col("content"), F.col("section_title"), F.col("chunk_type"))
-    return _places(met.withColumn("score", score), F.desc("score"), F.col("pos")).select("query_id", "chunk_id", "chunk_seq", "score", "pos")
+    return _places(met.withColumn("score", score), F.desc("score"), F.col("pos")).select(*HIT)
+
+
+def primary_hits(questions: DataFrame, chunks: DataFrame, options: Retrieval = Retrieval()) -> DataFrame:
+    """The best chunks of each question by vector, in the hybrid strategy boosted by its section numbers and acronyms.
+
+    Ties go to the smaller document, then chunk.
+    """
+    k, chunks = options.rerank_top_k if options.rerank else options.top_k, of_document(chunks)
+    keyed = chunks.withColumn("key", F.struct("doc_id", "chunk_seq"))
+    first = S.knn(keyed, questions, k, key="key", vector="context_vec").select("query_id", "key.*", "score", (F.col("rank") - 1).cast("long").alias("pos"))
+    described = chunks.select(*CHUNK, "chunk_seq", "section_number", "content", "chunk_type")
+    primary = first.join(described, ["doc_id", "chunk_seq"]).join(questions.select("query_id", "query"), "query_id")
+    return keyword_boost(primary) if options.strategy == "hybrid" else primary
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, edges: DataFrame, options: Retrieval = Retrieval()) -> DataFrame:
-    """``(query_id, pos, stage, chunk_id, chunk_seq, score)``; stage is primary, xref, parent or final.
+    """``(query_id, pos, stage, doc_id, chunk_id, chunk_seq, score)``; stage is primary, xref, parent or final.
 
     ``questions (query_id, query, query_vec)``, ``chunks`` with ``context_vec`` and
-    ``content_vec``, ``edges (source, target)`` from text chunks' references.
+    ``content_vec``, ``edges (doc_id, source, target)`` from text chunks' references.
+    Hops and parents stay in the document of the hit that they start from.
     """
-    k = options.rerank_top_k if options.rerank else options.top_k
-    first = S.knn(chunks, questions, k, key="chunk_seq", vector="context_vec").withColumn("pos", (F.col("rank") - 1).cast("long"))
-    described = chunks.select("chunk_seq", "chunk_id", "section_number", "content", "chunk_type")
-    primary = first.join(described, "chunk_seq").join(questions.select("query_id", "query"), "query_id")
-    if options.strategy == "hybrid":
-        primary = keyword_boost(primary)
-    primary = settled(primary)  # k rows a question, read by every later stage
+    primary = settled(primary_hits(questions, chunks, options))  # k rows a question, read by every later stage
     lists, stages = [primary], ["primary"]
     if options.multi_hop:
         lists.append(hop_hits(primary.where("chunk_type = 'text'"), edges, chunks, options.max_hops, also_visited=primary))
@@ -167,7 +193,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, edges: DataFrame, options:
     final = fuse(*lists)
     if options.rerank:
         final = rerank(final, questions, chunks)
-    columns = ["query_id", "pos", "chunk_id", "chunk_seq", "score"]
+    columns = HIT
     out = final.where(F.col("pos") < options.top_k).select(*columns, F.lit("final").alias("stage"))
     for hits, stage in zip(lists, stages, strict=True):
         out = out.unionByName(hits.select(*columns, F.lit(stage).alias("stage")))
@@ -176,7 +202,7 @@ def retrieve(questions: DataFrame, chunks: DataFrame, edges: DataFrame, options:
 
 def context_text(hits: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(query_id, context, n_context)``: the final hits as one numbered text for an answer generator."""
-    met = hits.join(chunks.drop("chunk_seq"), "chunk_id")
+    met = of_document(hits).join(of_document(chunks).drop("chunk_seq"), CHUNK)
     pages = F.concat(F.col("page_start").cast("string"), F.when(F.col("page_end") != F.col("page_start"), F.concat(F.lit("-"), "page_end")).otherwise(""))
     block = F.concat(
         F.lit("[Context "), F.col("pos") + 1, F.lit("]\nSection: "), "section_number", F.lit(" - "), "section_title", F.lit("\nPage: "), pages, F.lit("\nType: "), "chunk_type",

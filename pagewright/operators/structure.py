@@ -110,6 +110,24 @@ def heading_blocks(blocks: DataFrame) -> DataFrame:
     return met.where(T.strip(F.col("text")).rlike(T.HEADING) & ((largest >= F.col("body_size") + 0.5) | bold)).drop("body_size")
 
 
+def sections_from_blocks(blocks: DataFrame) -> DataFrame:
+    """Sections of ``blocks`` told by their type: each heading block with the texts of those up to the next.
+
+    Blocks before the first heading belong to none.  A section ends on the page of its last block.
+    """
+    heads = heading_blocks(blocks).select("doc_id", "block_seq", F.lit(True).alias("head"))
+    order = Window.partitionBy("doc_id").orderBy("block_seq")
+    flagged = blocks.select("doc_id", "block_seq", "page_no", "text").join(heads, ["doc_id", "block_seq"], "left").withColumn("section_seq", F.count("head").over(order)).where("section_seq > 0")
+    heading, page = F.max(F.when(F.col("head"), T.strip(F.col("text")))), F.min(F.when(F.col("head"), F.col("page_no")))
+    body = F.array_sort(F.collect_list(F.when(F.col("head").isNull(), F.struct("block_seq", "text")))).getField("text")
+    grouped = flagged.groupBy("doc_id", "section_seq").agg(heading.alias("heading"), page.alias("page_start"), F.max("page_no").alias("page_end"), body.alias("texts"))
+    number = F.regexp_extract("heading", T.HEADING, 1)
+    return grouped.select(
+        "doc_id", "section_seq", number.alias("section_number"), T.strip(F.regexp_extract("heading", T.HEADING, 2)).alias("title"), T.strip(F.array_join("texts", "\n")).alias("content"),
+        "page_start", "page_end", T.level_of(number).alias("level"), T.parent_number(number).alias("parent_section"),
+    )
+
+
 def sections_from_items(items: DataFrame) -> DataFrame:
     """Sections of a layout parser's items ``(doc_id, seq, label, level, text, page)``: those labelled as sections.
 

@@ -64,8 +64,8 @@ def normalized(df: DataFrame, vector_col: str = "embedding", out: str = "unit")
     return df.withColumn(out, V.unit(F.col(vector_col)))
 
 
-def _questions(index: DataFrame, questions: DataFrame) -> DataFrame:
-    """Questions beside the index: broadcast only after a count."""
+def beside(questions: DataFrame) -> DataFrame:
+    """Questions to stand beside each row: broadcast only after a count."""
     return F.broadcast(questions) if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else questions
 
 
@@ -81,7 +81,7 @@ def scores(index: DataFrame, questions: DataFrame, metric: str = "cosine", key:
     lengths = F.col("__vn") * F.col("__qn")
     inner = V.dot(F.col("__v"), F.col("__q"))
     score = {"l2": 1 / (1 + V.squared_distance(F.col("__v"), F.col("__q"))), "ip": inner, "cosine": F.when(lengths > 0, inner / lengths).otherwise(0.0)}[metric]
-    return left.join(_questions(index, right)).withColumn("score", score).drop("__v", "__q", "__vn", "__qn")
+    return left.join(beside(right)).withColumn("score", score).drop("__v", "__q", "__vn", "__qn")
 
 
 def top_k(scored: DataFrame, k: int, key: str = "vec_id") -> DataFrame:

@@ -46,16 +46,14 @@ SELECT doc_id, section_seq * 2 + part AS chunk_seq, concat('chunk_', section_seq
 FROM ({SECTIONS}) s CROSS JOIN (SELECT 0 AS part UNION ALL SELECT 1) p
 WHERE part = 0 OR section_seq % 10 = 0
 """
-#: Questions: user turns of the first conversations and some that name sections and acronyms.
+#: Questions: user turns of all conversations and some that name sections and acronyms, whose ids the turns leave free.
 QUESTIONS = """
-SELECT CAST(conv_id * 100 + turn AS BIGINT) AS query_id, text AS query FROM conversations WHERE role = 'user' AND conv_id < 20
+SELECT CAST(conv_id * 100 + turn + CASE WHEN conv_id >= 9000 THEN 1000000 ELSE 0 END AS BIGINT) AS query_id, text AS query FROM conversations WHERE role = 'user'
 UNION ALL SELECT CAST(900001 AS BIGINT), 'What are the nations and suppliers of Section 1.1 and the TRL?'
 UNION ALL SELECT CAST(900002 AS BIGINT), 'Show how Section 2 and CDR or SEMP data follow'
 UNION ALL SELECT CAST(900003 AS BIGINT), 'ASIA'
 UNION ALL SELECT CAST(900004 AS BIGINT), 'What does Critical Design Review look like in 3.4?'
 """
-#: User turns of all conversations with the same special questions, whose ids the turns leave free.
-ALL_QUESTIONS = QUESTIONS.replace("conv_id * 100 + turn", "conv_id * 100 + turn + CASE WHEN conv_id >= 9000 THEN 1000000 ELSE 0 END").replace(" AND conv_id < 20", "")
 #: Answers with citations of various forms.
 ANSWERS = f"""
 SELECT section_seq AS query_id,
@@ -65,10 +63,9 @@ FROM ({SECTIONS}) s
 """
 #: Ranked hits per question: every section asks, and finds its neighbours.
 HITS = f"""
-SELECT q.section_seq AS query_id, c.chunk_id, c.chunk_seq, c.section_number, CAST((c.section_seq - q.section_seq + 5) AS BIGINT) AS pos, CAST(1.0 AS DOUBLE) / greatest(1, c.section_seq - q.section_seq + 6) AS score
+SELECT q.section_seq AS query_id, c.doc_id, c.chunk_id, c.chunk_seq, c.section_number, CAST((c.section_seq - q.section_seq + 5) AS BIGINT) AS pos, CAST(1.0 AS DOUBLE) / greatest(1, c.section_seq - q.section_seq + 6) AS score
 FROM ({SECTIONS}) q JOIN (SELECT *, CAST(FLOOR(chunk_seq / 2) AS BIGINT) AS section_seq FROM ({CHUNKS}) cc WHERE chunk_seq % 2 = 0) c
   ON c.section_seq BETWEEN q.section_seq - 5 AND q.section_seq + 5
-WHERE q.section_seq % 3 = 0
 """
 _TABLES = ("region", "nation", "supplier", "conversations", "customer", "part", "lineitem")
 
@@ -119,10 +116,6 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settled(sql(spark, sf_dir, QUESTIONS).withColumn("query_vec", V.hashed_words(F.col("query"))))
 
 
-def all_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return settled(sql(spark, sf_dir, ALL_QUESTIONS).withColumn("query_vec", V.hashed_words(F.col("query"))))
-
-
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql(spark, sf_dir, ANSWERS)
 
@@ -137,7 +130,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table fragments of order lines: a fragment for each page of three lines, some with the header repeated."""
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 2000").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     row = F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.col("l_linenumber").cast("string"))
     groups = lines.groupBy(F.col("l_orderkey").alias("doc_id"), F.floor((F.col("l_linenumber") - 1) / 3).cast("int").alias("page")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("r")))).getField("r").alias("rows"))
     header = F.array(F.lit("part"), F.lit("supplier"), F.lit("line"))

@@ -53,7 +53,7 @@ def ask(questions: DataFrame, chunks: DataFrame, edges: DataFrame, options: Retr
     answers = settled(answers)
     cited = citations.extract_citations(final, chunks, least)
     used = hits.groupBy("query_id").agg(F.count_if(F.col("stage") == "final").alias("n_context"), F.count_if(F.col("stage") == "xref").alias("n_xref"), F.count_if(F.col("stage") == "parent").alias("n_parent"))
-    return {"hits": hits, "answers": answers, "citations": cited, "verification": citations.verify_citations(answers, chunks), "used": used}
+    return {"hits": hits, "answers": answers, "citations": cited, "verification": citations.verify_citations(answers, chunks, scope=final), "used": used}
 
 
 def assess(gold: DataFrame, asked: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -197,6 +197,79 @@ def test_evaluation(spark):
     assert evaluation.summarize(results).count() == 2
 
 
+def test_two_documents_stay_apart(spark):
+    """Both documents have the same numbers and chunk ids; hops, parents and citations stay in the hit's own."""
+    edges = spark.createDataFrame([(1, "A.1", "B"), (2, "A.1", "C")], "doc_id long, source string, target string")
+    rows = [(d, f"chunk_{i}", i, x, x, f"{x} of document {d} says nothing else", 1, 1, "text") for d in (1, 2) for i, x in enumerate(("A", "A.1", "B", "C"))]
+    chunks = spark.createDataFrame(rows, "doc_id long, chunk_id string, chunk_seq long, section_number string, section_title string, content string, page_start int, page_end int, chunk_type string")
+    hits = spark.createDataFrame([(7, 1, "chunk_1", 1, 0.9, 0, "A.1"), (8, 2, "chunk_1", 1, 0.8, 0, "A.1")], "query_id long, doc_id long, chunk_id string, chunk_seq long, score double, pos long, section_number string")
+    assert {(r.query_id, r.doc_id, r.chunk_id) for r in retrieval.hop_hits(hits, edges, chunks).collect()} == {(7, 1, "chunk_2"), (8, 2, "chunk_3")}
+    assert {(r.query_id, r.doc_id, r.chunk_id) for r in retrieval.parent_hits(hits, chunks).collect()} == {(7, 1, "chunk_0"), (8, 2, "chunk_0")}
+    both = hits.withColumn("query_id", F.lit(9)).withColumn("pos", F.col("doc_id") - 1)
+    assert [(r.doc_id, r.score) for r in retrieval.fuse(both).orderBy("pos").collect()] == [(1, 0.9), (2, 0.8)]
+    assert {(r.query_id, r.parent, r.doc_id) for r in retrieval.parent_targets(both).collect()} == {(9, "A", 1), (9, "A", 2)}
+    found = citations.extract_citations(both.drop("section_number"), chunks).orderBy("rank").collect()
+    assert [(r.rank, r.doc_id, r.section_number) for r in found] == [(1, 1, "A.1"), (2, 2, "A.1")]
+    numbered = chunks.withColumn("section_number", F.lit("3")).where("chunk_seq = 0")
+    answers = spark.createDataFrame([(7, "A of document 2 says nothing else. See Section 3.")], "query_id long, answer string")
+    scope = spark.createDataFrame([(7, 2)], "query_id long, doc_id long")
+    own = citations.verify_citations(answers, numbered, scope).first()
+    assert own.chunk_found and citations.verify_citations(answers, numbered, scope.limit(0)).first().status == "not_found"
+    vector = F.array(F.lit(1.0), F.col("doc_id").cast("double"))
+    asked = spark.createDataFrame([(1, "what", [1.0, 1.0])], "query_id long, query string, query_vec array<double>")
+    final = retrieval.retrieve(asked, chunks.withColumn("context_vec", vector).withColumn("content_vec", vector), edges).where("stage = 'final'")
+    assert final.select("doc_id", "chunk_id").distinct().count() == final.count() == 5
+
+
+def test_hashed_words_count_buckets(spark):
+    from pagewright.functions import vectors as V
+
+    text = "One two two THREE three three " * 50
+    got = spark.createDataFrame([(text,), ("",), (None,)], "t string").select(V.hashed_words(F.col("t")).alias("v")).collect()
+    assert sorted(x for x in got[0].v if x) == [50.0, 100.0, 150.0] and len(got[0].v) == V.DIM
+    assert got[1].v == [0.0] * V.DIM and got[2].v is None
+
+
+def test_parsers_turn_failures_into_rows(spark, tmp_path):
+    from pagewright.sources import parsers
+
+    class Pages:
+        def pages(self, content):
+            if content == b"bad":
+                raise ValueError("not a document")
+            return content.decode().split("|")
+
+        def items(self, content):
+            return [{"label": "section_header", "text": x, "page": 1} for x in self.pages(content)]
+
+        def describe(self, image, caption):
+            if not image:
+                raise ValueError("no image")
+            return f"VISUALIZATION_TYPE: {caption}"
+
+    (tmp_path / "a.bin").write_bytes(b"one|two")
+    (tmp_path / "b.bin").write_bytes(b"bad")
+    (tmp_path / "c.txt").write_bytes(b"other")
+    files = parsers.binary_files(spark, str(tmp_path), "*.bin")
+    rows = parsers.parse_pages(files, Pages).collect()
+    assert sorted((r.page_no, r.text or "", r.error or "") for r in rows) == [(1, "", "not a document"), (1, "one", ""), (2, "two", "")]
+    items = parsers.parse_layout(files, Pages).where("error is null")
+    assert sorted((r.seq, r.label, r.level, r.text) for r in items.collect()) == [(0, "section_header", None, "one"), (1, "section_header", None, "two")]
+    assert {r.section_number for r in structure.sections_from_items(items).collect()} == {"1", "2"}
+    images = spark.createDataFrame([(1, bytearray(b"x"), "flow"), (2, None, None)], "i int, image binary, caption string")
+    described = {r.i: (r.analysis and r.analysis.kind, r.describe_error) for r in parsers.describe_images(images, Pages).collect()}
+    assert described == {1: ("flow", None), 2: (None, "no image")}
+    assert parsers.parse_pages(files.limit(0), Pages).count() == 0
+
+
+def test_sections_by_type_size(spark):
+    block = "doc_id long, block_seq long, page_no int, text string, spans array<struct<size:double,flags:int>>"
+    body = [(10.0, 0)]
+    rows = [(1, 0, 1, "cover", body), (1, 1, 1, "1 Start here", [(14.0, 0)]), (1, 2, 1, "first text", body), (1, 3, 2, "second text", body), (1, 4, 2, "1.1 Bold one", [(10.0, 16)]), (1, 5, 3, "2 not large", body)]
+    got = structure.sections_from_blocks(spark.createDataFrame(rows, block)).orderBy("section_seq").collect()
+    assert [(r.section_number, r.title, r.content, r.page_start, r.page_end) for r in got] == [("1", "Start here", "first text\nsecond text", 1, 2), ("1.1", "Bold one", "2 not large", 2, 3)]
+
+
 def test_failures_become_data(spark):
     class Fails:
         dim = 2
