@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
@@ -19,12 +20,19 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 
-#: Questions up to this many are broadcast to the index; more are joined in blocks.
+#: Questions up to this many are broadcast to the index; more are dealt into blocks.
 BROADCAST_QUESTIONS = 10_000
+#: Rows of an index and questions that one task of a search in blocks holds.
+PART_ROWS, BLOCK_QUESTIONS = 16_384, 2_048
+#: Tasks that share a cell of an index in a search with many visits.
+SALTS = 16
 #: Rows by which the number of probes of a recall is measured.
 SAMPLE = 500
 
 
+METRICS = ("cosine", "ip", "l2")
+
+
 class Embedder(Protocol):
     """Turns a batch of texts into vectors of one length; None for a text that failed."""
 
@@ -64,9 +72,14 @@ def normalized(df: DataFrame, vector_col: str = "embedding", out: str = "unit")
     return df.withColumn(out, V.unit(F.col(vector_col)))
 
 
+def few(questions: DataFrame) -> bool:
+    """Whether questions may be broadcast; counts no more of them than that takes."""
+    return questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS
+
+
 def beside(questions: DataFrame) -> DataFrame:
     """Questions to stand beside each row: broadcast only after a count."""
-    return F.broadcast(questions) if questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS else questions
+    return F.broadcast(questions) if few(questions) else questions
 
 
 def scores(index: DataFrame, questions: DataFrame, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -74,7 +87,7 @@ def scores(index: DataFrame, questions: DataFrame, metric: str = "cosine", key:
 
     cosine: inner product of unit vectors; ip: inner product; l2: 1 / (1 + squared distance).
     """
-    if metric not in ("cosine", "ip", "l2"):
+    if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}")
     left = index.select(key, *keep, V.doubles(F.col(vector)).alias("__v"), V.norm(F.col(vector)).alias("__vn"))
     right = questions.select("query_id", *[c for c in questions.columns if c.startswith("want_")], V.doubles(F.col("query_vec")).alias("__q"), V.norm(F.col("query_vec")).alias("__qn"))
@@ -90,9 +103,56 @@ def top_k(scored: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
+    """Rows by about ``size`` in one array each, in the order of their first column."""
+    groups = max(1, -(-rows.count() // size))
+    dealt = rows.withColumn("__g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+    return dealt.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(name)).drop("__g")
+
+
+def _knn_in_blocks(rows: DataFrame, questions: DataFrame, k: int, metric: str, key: str, vector: str, keep: tuple[str, ...]) -> DataFrame:
+    """``top_k`` of ``scores`` for many questions: a part of the index meets a block of questions as two matrices.
+
+    Only the k best of each pair leave a task.  Scores may differ from those of ``scores`` in the last bits.
+    """
+    wanted = [c for c in questions.columns if c.startswith("want_")]
+    held = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), *keep, V.doubles(F.col(vector)).alias("v"))
+    asked = questions.where("query_vec is not null").select("query_id", *wanted, V.doubles(F.col("query_vec")).alias("q"))
+    pairs = _packed(held, PART_ROWS, "rows").crossJoin(_packed(asked, BLOCK_QUESTIONS, "asked"))
+    out = held.select(F.lit(0).cast(asked.schema["query_id"].dataType).alias("query_id"), F.col("key").alias(key), *keep, F.lit(0.0).alias("score"))
+    out = out.select(*[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in wanted], "*")
+    schema, order = out.schema, out.columns
+
+    def matrix(column: pa.Array) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some_rows, some_asked in zip(batch.column("rows"), batch.column("asked"), strict=True):
+                r, a = some_rows.values, some_asked.values
+                v, q = matrix(r.field("v")), matrix(a.field("q"))
+                inner = np.einsum("ij,kj->ik", q, v)  # each element is summed in the same order, so equal vectors tie
+                if metric == "l2":
+                    score = 1 / (1 + np.array([((v - x) * (v - x)).sum(axis=1) for x in q]))
+                elif metric == "cosine":
+                    lengths = np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * np.sqrt(np.einsum("ij,ij->i", v, v))
+                    score = np.divide(inner, lengths, out=np.zeros_like(inner), where=lengths > 0)
+                else:
+                    score = inner
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+                whose, which = pa.array(np.repeat(np.arange(len(q)), best.shape[1])), pa.array(best.ravel())
+                values = {"score": pa.array(np.take_along_axis(score, best, 1).ravel()), key: r.field("key").take(which)}
+                values |= {c: r.field(c).take(which) for c in keep} | {c: a.field(c).take(whose) for c in ("query_id", *wanted)}
+                yield pa.RecordBatch.from_arrays([values[c] for c in order], names=order)
+
+    return top_k(pairs.mapInArrow(work, schema), k, key)
+
+
 def knn(index: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
     """Exact search; ``where`` filters the index before it is ranked."""
     rows = index if where is None else index.where(where)
+    if metric in METRICS and not few(questions):
+        return _knn_in_blocks(rows, questions, k, metric, key, vector, keep)
     return top_k(scores(rows, questions, metric, key, vector, keep), k, key)
 
 
@@ -159,8 +219,16 @@ class IvfIndex:
         return asked.join(F.broadcast(self.centres)).select("query_id", "q", "cell", F.row_number().over(Window.partitionBy("query_id").orderBy(distance, "cell")).alias("rn"))
 
     def search(self, questions: DataFrame, k: int = 5, probes: int = 1, key: str = "vec_id") -> DataFrame:
-        near = self._ranked_cells(questions).where(F.col("rn") <= probes)
-        met = self.rows.select(key, "cell", "unit").join(near.select("query_id", "q", "cell"), "cell")
+        """The k best rows of the cells nearest to each question, ``probes`` of them.
+
+        Few visits are broadcast, so the index stays where it is; many meet it by cell, each cell dealt to ``SALTS`` tasks.
+        """
+        near = self._ranked_cells(questions).where(F.col("rn") <= probes).select("query_id", "q", "cell")
+        if questions.limit(BROADCAST_QUESTIONS // probes + 1).count() * probes <= BROADCAST_QUESTIONS:
+            met = self.rows.select(key, "cell", "unit").join(F.broadcast(near), "cell")
+        else:
+            salted = self.rows.select(key, "cell", "unit", F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("salt"))
+            met = salted.join(near.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["cell", "salt"])
         return top_k(met.withColumn("score", V.dot(F.col("unit"), F.col("q"))).select("query_id", key, "score"), k, key)
 
     def probes_for(self, k: int = 5, recall: float = 0.9, key: str = "vec_id", sample: int = SAMPLE, seed: int = 1) -> int:

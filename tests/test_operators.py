@@ -221,6 +221,29 @@ def test_two_documents_stay_apart(spark):
     assert final.select("doc_id", "chunk_id").distinct().count() == final.count() == 5
 
 
+@pytest.mark.parametrize("metric", ["cosine", "ip", "l2"])
+def test_search_in_blocks_finds_the_same(spark, monkeypatch, metric):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "label", F.when(F.col("vec_id") == 20, F.array_repeat(F.lit(0.0), 64)).otherwise(F.col("embedding").cast("array<double>")).alias("embedding"))
+    vectors = vectors.unionByName(vectors.where("vec_id < 30").withColumn("vec_id", F.col("vec_id") + 10_000)).withColumn("key", F.struct("label", "vec_id"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"), F.col("vec_id").alias("want_id"))
+    found = lambda: S.knn(vectors, asked, 5, metric, key="key", keep=("label",)).select("query_id", "want_id", "key", "label", "rank", F.round("score", 9).alias("score")).orderBy("query_id", "rank").collect()
+    wanted = found()
+    monkeypatch.setattr(S, "BROADCAST_QUESTIONS", 0)
+    monkeypatch.setattr(S, "PART_ROWS", 100)
+    monkeypatch.setattr(S, "BLOCK_QUESTIONS", 7)
+    assert found() == wanted and len(wanted) > 100
+
+
+def test_cells_dealt_to_many_tasks_give_the_same(spark, monkeypatch):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    asked = vectors.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    index = S.build_index(vectors, "ivf")
+    found = lambda: sorted((r.query_id, r.rank, r.vec_id) for r in index.search(asked, 5, probes=3).collect())
+    wanted = found()
+    monkeypatch.setattr(S, "BROADCAST_QUESTIONS", 10)
+    assert found() == wanted
+
+
 def test_hashed_words_count_buckets(spark):
     from pagewright.functions import vectors as V
 
