@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -70,34 +70,22 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 
 def _prints(rows: DataFrame, shingle: int) -> DataFrame:
-    """``(id, fp)``: the wide fingerprint of each row's text, as bytes; texts without words have none."""
+    """``(id, keys, f0..)``: the wide fingerprint of each row's text, as its blocks and as the words compared first; texts without words have none."""
+    names = ["id", "keys", *[f"f{i}" for i in range(COMPARED)]]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = [wide_fingerprint(shingle_hashes(x.as_py(), shingle)).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.binary())], names=["id", "fp"])
+            prints = np.array([wide_fingerprint(shingle_hashes(x.as_py(), shingle)) for x in batch.column(1)], dtype=np.uint64).reshape(-1, WORDS)
+            keys = pa.FixedSizeListArray.from_arrays(pa.array(prints.view(np.int16).ravel()), WORDS * 4).cast(pa.list_(pa.int16()))
+            some = np.ascontiguousarray(prints[:, :: WORDS // COMPARED].view(np.int64).T)
+            yield pa.RecordBatch.from_arrays([batch.column(0), keys, *map(pa.array, some)], names=names)
 
-    worded = rows.where(F.col("x").rlike(r"[^\x20\x09-\x0D]"))
-    return worded.select("id", "x").mapInArrow(work, "id long, fp binary").dropDuplicates(["id"])
+    return rows.where("x <> ''").select("id", "x").mapInArrow(work, "id long, keys array<smallint>, " + ", ".join(f"{x} long" for x in names[2:])).dropDuplicates(["id"])
 
 
 def _blocks(prints: DataFrame) -> DataFrame:
-    """``(t, k, id, f0.., *what follows fp)``: a row for each block of each fingerprint."""
-    more = prints.columns[2:]
-    names = ["t", "k", "id", *[f"f{i}" for i in range(COMPARED)], *more]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                words = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
-                keys = words.view(np.uint16).astype(np.int32)
-                n = keys.shape[1]
-                some = np.repeat(words[:, :: WORDS // COMPARED].view(np.int64), n, axis=0)
-                columns = [np.tile(np.arange(n, dtype=np.int32), len(keys)), keys.ravel(), np.repeat(part.column(0).to_numpy(), n), *np.ascontiguousarray(some.T), *[np.repeat(c.to_numpy(), n) for c in part.columns[2:]]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-    return prints.mapInArrow(work, "t int, k int, id long, " + ", ".join(f"{x} long" for x in names[3:]))
+    """``(t, k, id, f0.., *more)``: a row for each block of each fingerprint, with what else ``prints`` has."""
+    return prints.select(F.posexplode("keys").alias("t", "k"), *[c for c in prints.columns if c != "keys"])
 
 
 def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
@@ -188,13 +176,13 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """Pairs whose whole fingerprints differ in ``MOST`` bits at most: far fewer texts to fetch."""
-    one, two = (prints.select(F.col("id").alias(name), F.col("fp").alias(f"f{name}")) for name in ("a", "b"))
-    met = pairs.join(one, "a").join(two, "b").select("a", "b", "fa", "fb")
+    one, two = (prints.select(F.col("id").alias(name), F.col("keys").alias(f"k{name}")) for name in ("a", "b"))
+    met = pairs.join(one, "a").join(two, "b").select("a", "b", "ka", "kb")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fa, fb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), dtype=np.uint64).reshape(-1, WORDS) for i in (2, 3))
-            d = np.bitwise_count(fa ^ fb).sum(axis=1, dtype=np.int32)
+            one, two = (np.ascontiguousarray(batch.column(i).flatten().to_numpy()).view(np.uint64).reshape(-1, WORDS) for i in (2, 3))
+            d = np.bitwise_count(one ^ two).sum(axis=1, dtype=np.int32)
             yield batch.select(["a", "b"]).filter(pa.array(d <= MOST))
 
     return met.mapInArrow(work, "a long, b long")
@@ -211,7 +199,8 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: floa
     crowded = tiled.groupBy("i", "j").agg(F.count("*").alias("n")).where(F.col("n") > 4 * TILE_PAIRS)
     parts = F.coalesce(F.ceil(F.col("n") / TILE_PAIRS), F.lit(1))
     tiled = tiled.join(crowded, ["i", "j"], "left").select("a", "b", "i", "j", F.pmod(F.xxhash64("a", "b"), parts).alias("k"))
-    needed = tiled.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("k").alias("tk"), F.explode(F.array("a", "b")).alias("id")).distinct()
+    ends = lambda name: tiled.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("k").alias("tk"), F.col(name).alias("id")).distinct()
+    needed = ends("a").unionByName(ends("b")).distinct()
     ids = needed.select("id").distinct()
     hint = F.broadcast if ids.count() <= BROADCAST_IDS else lambda x: x
     texts = rows.select("id", "x").join(hint(ids), "id").dropDuplicates(["id"])
@@ -227,9 +216,14 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: floa
     return tiled.groupBy("i", "j", "k").cogroup(needed.join(texts, "id").groupBy("ti", "tj", "tk")).applyInArrow(work, "a long, b long")
 
 
+def _worded(text: Column) -> Column:
+    """The text, or the empty one in place of null and of texts without words: all of these are alike."""
+    return F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
+
+
 def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, similarity: float = 0.8, chunk: int = 1_024) -> DataFrame:
     """``(doc_id, id, component, component_id)``, one row for each row of ``docs``: ``id`` names its text, ``component`` the group of texts."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("x")).withColumn("id", F.xxhash64("x"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _worded(F.col(text_col)).alias("x")).withColumn("id", F.xxhash64("x"))
     named = cut(rows.groupBy("id").agg(F.min("doc_id").alias("first_id")))
     prints = cut(_prints(rows, shingle))
     blocks = _blocks(prints)
@@ -240,7 +234,7 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, simil
     linked = cut(_confirmed(pairs, rows, shingle, similarity))
     groups = cut(connected_components(linked, "a", "b").withColumnRenamed("node", "id"))
     # what confirmation left apart in larger groups
-    labelled = prints.join(groups, "id", "left").select("id", "fp", F.coalesce("component", "id").alias("part"))
+    labelled = prints.join(groups, "id", "left").select(*prints.columns, F.coalesce("component", "id").alias("part"))
     crowded = _blocks(labelled).join(hint(sizes), ["t", "k"])
     mixed = cut(crowded.groupBy("t", "k").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("t", "k"))
     apart = _dealt(crowded.join(hint(mixed), ["t", "k"], "left_semi"), chunk).mapInArrow(_search_apart, "a long, b long").distinct()
@@ -255,8 +249,8 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, simil
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(doc_id, component_id)``, one row for each row of ``docs``; component_id is the smallest doc_id of its group.
 
-    Equal texts are one group; null texts count as empty ones, which form a
-    group of their own.  Rows that repeat an id are each judged by their own text.
+    Equal texts are one group; null texts and those without words count as empty
+    ones, which form a group of their own.  Rows that repeat an id are each judged by their own text.
     """
     return _judged(docs, id_col, text_col, **options).select("doc_id", "component_id")
 
@@ -271,7 +265,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     judged = _judged(docs, id_col, text_col, **options).where(F.col("doc_id") == F.col("component_id"))
     keep = cut(judged.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("__pw_id"), F.col("k.id").alias("__pw_text"), (F.col("n") > 1).alias("__pw_more")))
     hint = F.broadcast if keep.count() <= BROADCAST_IDS else lambda x: x
-    own_text = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    own_text = F.xxhash64(_worded(F.col(text_col)))
     kept = docs.join(hint(keep), (F.col(id_col).cast("long") == F.col("__pw_id")) & (own_text == F.col("__pw_text")))
     nth = F.row_number().over(Window.partitionBy("__pw_id", "__pw_text").orderBy(F.xxhash64(*docs.columns)))
     repeated = kept.where("__pw_more").withColumn("__pw_nth", nth).where("__pw_nth = 1")
