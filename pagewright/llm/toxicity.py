@@ -48,11 +48,39 @@ _PATTERNS = {
 }
 
 
-def families(text: str) -> Counter[str]:
-    """The words of a text as ``word``, and their stems as ``stem*`` with the number of different words, 3 at most."""
-    words = set(_WORD.findall(text.lower()))
-    stems = Counter(f"{w[:k]}*" for w in words for k in STEMS if len(w) >= k)
-    return Counter(dict.fromkeys(words, 1)) | Counter({s: min(3, n) for s, n in stems.items()})
+@dataclass(frozen=True)
+class Families:
+    """Hits of all words, as ``word``, and of all stems, as ``stem*``.
+
+    A text hits a word once, and a stem as often as it has different words with
+    it, 3 times at most.  ``hits`` are those of texts with label 1, ``labelled`` is
+    the number of these texts, ``most`` the hits of a stem's commonest word.
+    """
+
+    names: list[str]
+    seen: np.ndarray
+    hits: np.ndarray
+    labelled: np.ndarray
+    most: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], labels: np.ndarray) -> Families:
+        number: dict[str, int] = {}
+        held = [np.fromiter({number.setdefault(w, len(number)) for w in _WORD.findall(text.lower())}, dtype=np.int64) for text in texts]
+        words, text = list(number), np.repeat(np.arange(len(texts)), [len(x) for x in held])
+        word, label = np.concatenate([*held, np.zeros(0, dtype=np.int64)]), (np.asarray(labels) > 0).astype(np.float64)
+        hits = np.bincount(word, label[text], len(words))
+        parts = [(words, np.bincount(word, minlength=len(words)), hits, hits, np.zeros(len(words)))]
+        for k in STEMS:
+            stems: dict[str, int] = {}
+            stem = np.array([stems.setdefault(w[:k], len(stems)) if len(w) >= k else -1 for w in words], dtype=np.int64)
+            n, most, long = len(stems), np.zeros(len(stems)), stem >= 0
+            np.maximum.at(most, stem[long], hits[long])
+            fits = stem[word] >= 0
+            pairs, times = np.unique(text[fits] * n + stem[word[fits]], return_counts=True)
+            which, times, of = pairs % max(n, 1), np.minimum(times, 3), label[pairs // max(n, 1)]
+            parts.append(([f"{s}*" for s in stems], np.bincount(which, times, n), np.bincount(which, times * of, n), np.bincount(which, of, n), most))
+        return cls([x for p in parts for x in p[0]], *(np.concatenate([p[i] for p in parts]) for i in range(1, 5)))
 
 
 def first_copies(texts: list[str], sketch: int = 32, shared: int = 6) -> list[int]:
@@ -87,29 +115,20 @@ def choose_families(texts: list[str], labels: np.ndarray) -> list[str]:
     rate = float(labels.mean()) if len(labels) else 0.0
     if not 0 < rate < 1:
         return []
-    seen, hits, labelled = Counter(), Counter(), Counter()
-    for text, label in zip(texts, labels, strict=True):
-        found = families(text)
-        seen.update(found)
-        if label:
-            hits.update(found)
-            labelled.update(found.keys())
-    bar = math.log(0.5 / max(1, sum(1 for n in seen.values() if n > 3)))
-    chance = {f: _log_tail(h, seen[f], rate) for f, h in hits.items() if h > 3 and labelled[f] > 1 and h >= 0.4 * seen[f]}
-    most = Counter()  # hits of the commonest word of a stem
-    for f in hits:
-        if not f.endswith("*"):
-            for k in STEMS:
-                most[f"{f[:k]}*"] = max(most[f"{f[:k]}*"], hits[f])
-    chosen: list[str] = []
-    for f in sorted((f for f, c in chance.items() if c < bar), key=lambda f: (chance[f], len(f), f)):
-        word = f.rstrip("*")
-        inside = any(f"{word[:k]}*" in chosen for k in STEMS if k < len(word) or (k == len(word) and f == word))
-        if not inside and not (f != word and most[f] >= 0.8 * hits[f]):
-            chosen.append(f)
+    found = Families.of(texts, labels)
+    bar = math.log(0.5 / max(1, int((found.seen > 3).sum())))
+    candidates = np.flatnonzero((found.hits > 3) & (found.labelled > 1) & (found.hits >= 0.4 * found.seen))
+    chance = {int(i): _log_tail(int(found.hits[i]), int(found.seen[i]), rate) for i in candidates}
+    chosen: dict[str, float] = {}
+    for i in sorted((i for i, c in chance.items() if c < bar), key=lambda i: (chance[i], len(found.names[i]), found.names[i])):
+        name = found.names[i]
+        word = name.rstrip("*")
+        inside = any(f"{word[:k]}*" in chosen for k in STEMS if k < len(word) or (k == len(word) and name == word))
+        if not inside and not (name != word and found.most[i] >= 0.8 * found.hits[i]):
+            chosen[name] = found.hits[i] / found.seen[i]
         if len(chosen) == FAMILIES:
             break
-    return sorted(chosen, key=lambda f: (-hits[f] / seen[f], f))
+    return sorted(chosen, key=lambda f: (-chosen[f], f))
 
 
 def _log_tail(hits: int, n: int, rate: float) -> float:
