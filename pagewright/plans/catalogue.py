@@ -252,11 +252,11 @@ def section_ctx(spark, sf_dir):
 
 
 _REFS = f"""s AS ({corpus.SECTIONS}), b AS (SELECT section_seq, section_number AS source, content || ' ' || title AS body FROM s),
-x AS (SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)see\\s+Section\\s+(\\d+(?:\\.\\d+)*)', 1)) AS target, 'explicit' AS kind FROM b
- UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)(?:described|discussed|shown|defined)\\s+in\\s+Section\\s+(\\d+(?:\\.\\d+)*)', 1)), 'explicit' FROM b
- UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)Section\\s+(\\d+(?:\\.\\d+)*)', 1)), 'implicit' FROM b
- UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)Chapter\\s+(\\d+)', 1)), 'implicit' FROM b
- UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)refer\\s+to\\s+Section\\s+(\\d+(?:\\.\\d+)*)', 1)), 'see_also' FROM b)"""
+x AS (SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)see\\s+Section\\s+(\\d+(?:\\.\\d+)*)', 1)) AS target, 'explicit' AS kind, 0 AS pattern FROM b
+ UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)(?:described|discussed|shown|defined)\\s+in\\s+Section\\s+(\\d+(?:\\.\\d+)*)', 1)), 'explicit', 1 FROM b
+ UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)Section\\s+(\\d+(?:\\.\\d+)*)', 1)), 'implicit', 2 FROM b
+ UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)Chapter\\s+(\\d+)', 1)), 'implicit', 3 FROM b
+ UNION ALL SELECT section_seq, source, unnest(regexp_extract_all(body, '(?i)refer\\s+to\\s+Section\\s+(\\d+(?:\\.\\d+)*)', 1)), 'see_also', 4 FROM b)"""
 
 
 @query(f"WITH {_REFS} SELECT source, target, kind, count(*) AS n FROM x GROUP BY ALL")
@@ -264,9 +264,10 @@ def xref_extract(spark, sf_dir):
     return metadata.cross_references(corpus.sections(spark, sf_dir)).groupBy("source", "target", "kind").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_REFS} SELECT DISTINCT source, target, kind FROM x")
+@query(f"WITH {_REFS} SELECT source, target, kind, min(pattern) AS pattern FROM x GROUP BY 1, 2, 3")
 def xref_dedup(spark, sf_dir):
-    return corpus.references(spark, sf_dir).select("source", "target", "kind")
+    """The first reference of each section, target and kind."""
+    return corpus.references(spark, sf_dir).select("source", "target", "kind", "pattern")
 
 
 @query(
@@ -628,9 +629,13 @@ def eval_agg(spark, sf_dir):
     return evaluation.summarize(_evaluated(spark, sf_dir)).select("category", "total_queries", "successful_answers", *[_six(c) for c in ("citation_accuracy", "avg_confidence", "performance")])
 
 
-@query(f"WITH {_EVAL} SELECT query_id, CASE WHEN overall_score > 0.7 THEN '✓' WHEN overall_score > 0.5 THEN '⚠' ELSE '✗' END AS mark FROM ev")
+@query(
+    f"""WITH {_EVAL}, m AS (SELECT *, CASE WHEN overall_score > 0.7 THEN '✓' WHEN overall_score > 0.5 THEN '⚠' ELSE '✗' END AS mark FROM ev)
+SELECT query_id, mark, mark || printf(' Query %2d (%-20s): Score=%.2f, Section Recall=%.2f, Term Coverage=%.2f', query_id, category, round(overall_score, 2), round(section_recall, 2), round(term_coverage, 2)) AS line FROM m"""
+)
 def sink_report(spark, sf_dir):
-    return evaluation.report_lines(_evaluated(spark, sf_dir)).select("query_id", "mark")
+    """The lines of an evaluation's report."""
+    return evaluation.report_lines(_evaluated(spark, sf_dir))
 
 
 from . import catalogue_answers, catalogue_ingest  # noqa: E402, F401  they register more queries
