@@ -33,8 +33,16 @@ TEMPLATES: dict[str, str] = {
     "MIT": "Released under the MIT License.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Passages by which the texts of licences are known, as files and source headers carry them; what stands behind # tells a passage from the notice.
+PASSAGES: dict[str, str] = {
+    "Apache-2.0#header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+    "GPL-3.0#header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC#grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "MIT#grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+    "Unlicense#grant": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
+}
 #: Words without which a text is no candidate.
-CANDIDATE = r"(?i)licen[sc]|copyright|redistribution|waived all|creative commons|public domain|spdx|warrant"
+CANDIDATE = r"(?i)licen[sc]|copyright|redistribution|waived all|creative commons|public domain|spdx|warrant|hereby granted|unencumbered"
 #: Differing words that a confirmed notice may have, as a share of the template's words.
 MAX_DIFFERENCE = 0.2
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
@@ -184,12 +192,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``(doc_id, n_lines, licenses, least_differences)`` for every document id.
 
-    ``n_lines`` counts the lines where notices begin; ``licenses`` joins the sorted names with ``;`` (empty: none found),
+    ``n_lines`` counts the lines where notices begin; ``licenses`` joins the sorted names, up to any ``#``, with ``;`` (empty: none found),
     ``least_differences`` is null then.  Repeated ids give one row.
     """
     found = _scan(docs, id_col, text_col, **options)
     summed = found.groupBy("doc_id").agg(
-        F.count_if(F.col("nth") == 0).alias("n_lines"), F.array_join(F.array_sort(F.collect_set("license")), ";").alias("licenses"), F.min("differences").alias("least_differences")
+        F.count_if(F.col("nth") == 0).alias("n_lines"), F.array_join(F.array_sort(F.collect_set(F.substring_index("license", "#", 1))), ";").alias("licenses"), F.min("differences").alias("least_differences")
     )
     ids = docs.select(F.col(id_col).alias("doc_id")).distinct()
     joined = ids.join(summed.withColumnRenamed("doc_id", "__pw_id"), F.col("doc_id").eqNullSafe(F.col("__pw_id")), "left")

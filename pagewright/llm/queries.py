@@ -30,7 +30,7 @@ def op2_token_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.document_licenses(read_table(spark, sf_dir, "documents"))
+    return licenses.document_licenses(read_table(spark, sf_dir, "documents"), templates=licenses.TEMPLATES | licenses.PASSAGES)
 
 
 def op4_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

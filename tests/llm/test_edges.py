@@ -157,6 +157,24 @@ def test_licenses_against_a_plain_ranking(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("width", [5, 12, 1_000])
+def test_passages_of_license_texts(spark, width):
+    """Reflowed grants and headers, some words changed, under a heading and above other text."""
+    rng = np.random.default_rng(width)
+    rows = []
+    for name, text in licenses.PASSAGES.items():
+        for changed in (0, 2, 40):
+            mine = text.split()
+            for at in rng.choice(len(mine), min(changed, len(mine)), replace=False):
+                mine[at] = "other"
+            lines = [" * " + " ".join(mine[i : i + width]) for i in range(0, len(mine), width)]
+            rows.append((len(rows), name.split("#")[0] if changed < 40 else "", "\n".join(["/*", " * Copyright some one", *lines, " */", "code();"])))
+    both = licenses.TEMPLATES | licenses.PASSAGES
+    got = {r.doc_id: r.licenses for r in licenses.document_licenses(spark.createDataFrame(rows, "doc_id long, wanted string, text string"), templates=both).collect()}
+    assert {i: wanted for i, wanted, _ in rows if wanted} == {i: got[i] for i, wanted, _ in rows if wanted}
+    assert all("Apache" in got[i] or not got[i] for i, wanted, _ in rows if not wanted)
+
+
 def test_urls_of_every_kind(spark):
     page = '<link rel="canonical" href="http://b.net/?a=1&amp;b=2">'
     rows = [(1, "http://a.org/x", page), (1, "http://a.org/x", page), (2, None, page), (3, "nothing", page), (4, "http://c.org/" + "p" * 300_000, "x" * 300_000), (5, "http://b.net/?a=1&b=2", None), (None, "http://d.org/", None), (6, "", ""), (7, "://", None)]
