@@ -40,7 +40,7 @@ SURE, POSSIBLE = 40, 57
 MOST = 190
 #: Groups up to this size give all their near pairs.
 _SMALL_GROUP = 12
-#: Ids up to this many are broadcast when their texts are fetched; more are shuffled.
+#: Ids or blocks up to this many are broadcast to what they are joined with; more are shuffled.
 BROADCAST_IDS = 200_000
 #: Pairs of a tile on average.
 TILE_PAIRS = 1_000
@@ -92,8 +92,8 @@ def _distances(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return np.bitwise_count(many ^ one).sum(axis=-1, dtype=np.int32)
 
 
-def _connect(prints: np.ndarray) -> list[tuple[int, int]]:
-    """Positions of links for a larger group."""
+def _connect(prints: np.ndarray) -> tuple[list[tuple[int, int]], bool]:
+    """Positions of links for a larger group, and whether they stand for more near pairs than they are."""
     n, tree, out = len(prints), np.full(len(prints), -1), []
     left = np.arange(n)
     trees = 0
@@ -109,6 +109,7 @@ def _connect(prints: np.ndarray) -> list[tuple[int, int]]:
             queue += list(found)
             left = left[~near]
         trees += 1
+    more = np.bincount(tree).max() > 2
     if trees > 1:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for at in range(n - 1):
@@ -116,9 +117,10 @@ def _connect(prints: np.ndarray) -> list[tuple[int, int]]:
             others = np.flatnonzero((gaps <= POSSIBLE) & (tree[at + 1 :] != tree[at])) + at + 1
             for x in others:
                 key = (min(tree[at], tree[x]), max(tree[at], tree[x]))
+                more |= key in best
                 best[key] = min(best.get(key, (999, 0, 0)), (int(gaps[x - at - 1]), at, int(x)))
         out += [(a, b) for _, a, b in best.values()]
-    return out
+    return out, bool(more)
 
 
 def _dealt(blocks: DataFrame, chunk: int) -> DataFrame:
@@ -135,26 +137,32 @@ def _dealt(blocks: DataFrame, chunk: int) -> DataFrame:
 
 
 def _search_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of larger groups all near pairs of different ``part``; ``_search`` gave those of small ones."""
+    """All near pairs of different ``part``, each in the first block that both share, by their whole fingerprints."""
     for table, bounds in blocks_of_runs(batches, ["t", "k", "a", "b"]):
-        ids, parts = (table.column(x).to_numpy() for x in ("id", "part"))
-        prints = np.stack([table.column(f"f{i}").to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
-        for i in np.flatnonzero(np.diff(bounds) > _SMALL_GROUP):
-            for at in range(bounds[i], bounds[i + 1] - 1):
-                others = np.flatnonzero(parts[at + 1 : bounds[i + 1]] != parts[at]) + at + 1
-                found = ids[others[_distances(prints[at], prints[others]) <= POSSIBLE]]
-                if len(found):
+        ids, parts, places = (table.column(x).to_numpy() for x in ("id", "part", "t"))
+        keys = np.ascontiguousarray(table.column("keys").combine_chunks().flatten().to_numpy()).reshape(-1, WORDS * 4)
+        prints = keys.view(np.uint64)
+        some = np.ascontiguousarray(prints[:, :: WORDS // COMPARED])
+        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+            for at in range(low, high - 1):
+                others = np.flatnonzero(parts[at + 1 : high] != parts[at]) + at + 1
+                others = others[_distances(some[at], some[others]) <= POSSIBLE]
+                others = others[_distances(prints[at], prints[others]) <= MOST]
+                others = others[(keys[others] == keys[at]).argmax(axis=1) == places[at]]
+                if len(others):
+                    found = ids[others]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], found)), pa.array(np.maximum(ids[at], found))], names=["a", "b"])
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``(a, b)`` of each bucket, and ``(t, k)`` of those whose links stand for more near pairs."""
     for table, bounds in blocks_of_runs(batches, ["t", "k", "a", "b"]):
         ids = table.column("id").to_numpy()
         prints = np.stack([table.column(f"f{i}").to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
         sizes = np.diff(bounds)
         group = np.repeat(np.arange(len(sizes)), sizes)
         small = np.flatnonzero((sizes <= _SMALL_GROUP)[group])
-        left, right = [], []
+        left, right, more = [], [], []
         for shift in range(1, _SMALL_GROUP):
             a, b = small[:-shift], small[shift:]
             same = group[a] == group[b]
@@ -165,13 +173,18 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in np.flatnonzero(sizes > _SMALL_GROUP):
             # in the order of ids, so that the tables' forests begin at the same texts and share their links
             order = np.argsort(ids[bounds[i] : bounds[i + 1]]) + bounds[i]
-            links = order[np.array(_connect(prints[order]), dtype=np.int64).reshape(-1, 2)]
+            links, crowded = _connect(prints[order])
+            links = order[np.array(links, dtype=np.int64).reshape(-1, 2)]
             left.append(ids[links[:, 0]])
             right.append(ids[links[:, 1]])
+            more += [bounds[i]] * crowded
         one, two = np.concatenate(left), np.concatenate(right)
         pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        places = table.select(["t", "k"]).take(pa.array(more, pa.int64())).combine_chunks()
+        nothing = pa.nulls(len(places), pa.int64())
+        columns = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), nothing]) for i in (0, 1)]
+        columns += [pa.concat_arrays([pa.nulls(len(pairs), kind), *places.column(name).chunks]) for name, kind in (("t", pa.int32()), ("k", pa.int16()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "t", "k"])
 
 
 def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -202,8 +215,7 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: floa
     ends = lambda name: tiled.select(F.col("i").alias("ti"), F.col("j").alias("tj"), F.col("k").alias("tk"), F.col(name).alias("id")).distinct()
     needed = ends("a").unionByName(ends("b")).distinct()
     ids = needed.select("id").distinct()
-    hint = F.broadcast if ids.count() <= BROADCAST_IDS else lambda x: x
-    texts = rows.select("id", "x").join(hint(ids), "id").dropDuplicates(["id"])
+    texts = rows.select("id", "x").join(_beside(ids), "id").dropDuplicates(["id"])
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         sets = {i: shingle_hashes(x.as_py(), shingle) for i, x in zip(right.column("id").to_pylist(), right.column("x"), strict=True)}
@@ -216,6 +228,11 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: floa
     return tiled.groupBy("i", "j", "k").cogroup(needed.join(texts, "id").groupBy("ti", "tj", "tk")).applyInArrow(work, "a long, b long")
 
 
+def _beside(few: DataFrame) -> DataFrame:
+    """A table of ids or blocks to join with: broadcast after a count."""
+    return F.broadcast(few) if few.count() <= BROADCAST_IDS else few
+
+
 def _worded(text: Column) -> Column:
     """The text, or the empty one in place of null and of texts without words: all of these are alike."""
     return F.when(text.rlike(r"[^\x20\x09-\x0D]"), text).otherwise("")
@@ -227,18 +244,18 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, simil
     named = cut(rows.groupBy("id").agg(F.min("doc_id").alias("first_id")))
     prints = cut(_prints(rows, shingle))
     blocks = _blocks(prints)
-    sizes = cut(blocks.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > _SMALL_GROUP))
-    hint = F.broadcast if sizes.count() <= BROADCAST_IDS else lambda x: x
-    found = _dealt(blocks.join(hint(sizes.where(F.col("n") > chunk)), ["t", "k"], "left"), chunk).mapInArrow(_search, "a long, b long").distinct()
-    pairs = cut(_close(found, prints))
+    sizes = cut(blocks.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > chunk))
+    found = cut(_dealt(blocks.join(_beside(sizes), ["t", "k"], "left"), chunk).mapInArrow(_search, "a long, b long, t int, k smallint").distinct())
+    pairs = cut(_close(found.where("a is not null").select("a", "b"), prints))
     linked = cut(_confirmed(pairs, rows, shingle, similarity))
     groups = cut(connected_components(linked, "a", "b").withColumnRenamed("node", "id"))
-    # what confirmation left apart in larger groups
-    labelled = prints.join(groups, "id", "left").select(*prints.columns, F.coalesce("component", "id").alias("part"))
-    crowded = _blocks(labelled).join(hint(sizes), ["t", "k"])
-    mixed = cut(crowded.groupBy("t", "k").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("t", "k"))
-    apart = _dealt(crowded.join(hint(mixed), ["t", "k"], "left_semi"), chunk).mapInArrow(_search_apart, "a long, b long").distinct()
-    late = cut(_close(apart.join(pairs, ["a", "b"], "left_anti"), prints))
+    # near pairs that links stood for, and confirmation left apart
+    crowded = found.where("t is not null").select("t", "k")
+    labelled = prints.join(groups, "id", "left").select("id", "keys", F.coalesce("component", "id").alias("part"))
+    again = labelled.select(F.posexplode("keys").alias("t", "k"), "id", "keys", "part").join(_beside(crowded), ["t", "k"])
+    mixed = again.groupBy("t", "k").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y").select("t", "k", "n")
+    late = _dealt(again.join(_beside(cut(mixed)), ["t", "k"]), chunk).mapInArrow(_search_apart, "a long, b long")
+    late = cut(late.join(pairs, ["a", "b"], "left_anti"))
     if not late.isEmpty():
         groups = connected_components(linked.unionByName(_confirmed(late, rows, shingle, similarity)), "a", "b").withColumnRenamed("node", "id")
     joined = named.join(groups, "id", "left").select("id", "first_id", F.coalesce("component", "id").alias("component"))
@@ -264,9 +281,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     judged = _judged(docs, id_col, text_col, **options).where(F.col("doc_id") == F.col("component_id"))
     keep = cut(judged.groupBy("component").agg(F.min(F.struct("doc_id", "id")).alias("k"), F.count("*").alias("n")).select(F.col("k.doc_id").alias("__pw_id"), F.col("k.id").alias("__pw_text"), (F.col("n") > 1).alias("__pw_more")))
-    hint = F.broadcast if keep.count() <= BROADCAST_IDS else lambda x: x
     own_text = F.xxhash64(_worded(F.col(text_col)))
-    kept = docs.join(hint(keep), (F.col(id_col).cast("long") == F.col("__pw_id")) & (own_text == F.col("__pw_text")))
+    kept = docs.join(_beside(keep), (F.col(id_col).cast("long") == F.col("__pw_id")) & (own_text == F.col("__pw_text")))
     nth = F.row_number().over(Window.partitionBy("__pw_id", "__pw_text").orderBy(F.xxhash64(*docs.columns)))
     repeated = kept.where("__pw_more").withColumn("__pw_nth", nth).where("__pw_nth = 1")
     return kept.where("not __pw_more").select(*docs.columns).unionByName(repeated.select(*docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))
