@@ -11,10 +11,13 @@ similarity of the texts' shingles.
 As in ``simhash.py``, buckets are dealt out by pairs of chunks and give links
 that connect what is near, not all pairs: small groups all their near pairs;
 larger ones a spanning forest of the nearest, and the nearest pair between any
-two of its trees.  Confirmation breaks some of these links, so the larger groups
-are searched again for every near pair whose ends it left apart, and all of
-these are confirmed too: a near pair is either within one component already or
-put to the exact test itself, whatever the size of its group.
+two of its trees.  Confirmation breaks some of these links.  So the texts that
+such links connect, which hold every near pair they stand for, are compared
+again where confirmation left them in several parts: dealt over tiles with their
+shingles, each near pair of different parts is put to the exact test within its
+tile, and only the links that join two parts leave it.  A near pair is either
+within one component already or put to the exact test itself, whatever the size
+of its group.
 """
 
 from __future__ import annotations
@@ -44,6 +47,8 @@ _SMALL_GROUP = 12
 BROADCAST_IDS = 200_000
 #: Pairs of a tile on average.
 TILE_PAIRS = 1_000
+#: Shingles of a chunk on average (32 MB as hashes).
+TILE_SHINGLES = 4_000_000
 _MIX = np.random.default_rng(11).integers(1 << 62, dtype=np.uint64, size=WORDS) * np.uint64(2) + np.uint64(1)
 
 
@@ -136,26 +141,8 @@ def _dealt(blocks: DataFrame, chunk: int) -> DataFrame:
     )
 
 
-def _search_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All near pairs of different ``part``, each in the first block that both share, by their whole fingerprints."""
-    for table, bounds in blocks_of_runs(batches, ["t", "k", "a", "b"]):
-        ids, parts, places = (table.column(x).to_numpy() for x in ("id", "part", "t"))
-        keys = np.ascontiguousarray(table.column("keys").combine_chunks().flatten().to_numpy()).reshape(-1, WORDS * 4)
-        prints = keys.view(np.uint64)
-        some = np.ascontiguousarray(prints[:, :: WORDS // COMPARED])
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            for at in range(low, high - 1):
-                others = np.flatnonzero(parts[at + 1 : high] != parts[at]) + at + 1
-                others = others[_distances(some[at], some[others]) <= POSSIBLE]
-                others = others[_distances(prints[at], prints[others]) <= MOST]
-                others = others[(keys[others] == keys[at]).argmax(axis=1) == places[at]]
-                if len(others):
-                    found = ids[others]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[at], found)), pa.array(np.maximum(ids[at], found))], names=["a", "b"])
-
-
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links ``(a, b)`` of each bucket, and ``(t, k)`` of those whose links stand for more near pairs."""
+    """Links ``(a, b, more)`` of each bucket; ``more`` if the bucket's links stand for more near pairs."""
     for table, bounds in blocks_of_runs(batches, ["t", "k", "a", "b"]):
         ids = table.column("id").to_numpy()
         prints = np.stack([table.column(f"f{i}").to_numpy() for i in range(COMPARED)], axis=1).view(np.uint64)
@@ -170,6 +157,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             near = _distances(prints[a], prints[b]) <= POSSIBLE
             left.append(ids[a[near]])
             right.append(ids[b[near]])
+            more.append(np.zeros(near.sum(), dtype=np.int64))
         for i in np.flatnonzero(sizes > _SMALL_GROUP):
             # in the order of ids, so that the tables' forests begin at the same texts and share their links
             order = np.argsort(ids[bounds[i] : bounds[i + 1]]) + bounds[i]
@@ -177,14 +165,10 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             links = order[np.array(links, dtype=np.int64).reshape(-1, 2)]
             left.append(ids[links[:, 0]])
             right.append(ids[links[:, 1]])
-            more += [bounds[i]] * crowded
+            more.append(np.full(len(links), int(crowded), dtype=np.int64))
         one, two = np.concatenate(left), np.concatenate(right)
-        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-        places = table.select(["t", "k"]).take(pa.array(more, pa.int64())).combine_chunks()
-        nothing = pa.nulls(len(places), pa.int64())
-        columns = [pa.concat_arrays([pa.array(pairs[:, i], pa.int64()), nothing]) for i in (0, 1)]
-        columns += [pa.concat_arrays([pa.nulls(len(pairs), kind), *places.column(name).chunks]) for name, kind in (("t", pa.int32()), ("k", pa.int16()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "t", "k"])
+        pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two), np.concatenate(more)], axis=1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64()), pa.array(pairs[:, 2] > 0)], names=["a", "b", "more"])
 
 
 def _close(pairs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -228,6 +212,65 @@ def _confirmed(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: floa
     return tiled.groupBy("i", "j", "k").cogroup(needed.join(texts, "id").groupBy("ti", "tj", "tk")).applyInArrow(work, "a long, b long")
 
 
+def _joining(similarity: float):
+    """Compares the texts of a tile: ``(a, b)`` links of that similarity that join texts of different ``part``.
+
+    In a tile of two chunks only pairs between them are compared; pairs whose
+    parts an earlier link has joined need no test.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        ids, chunks = table.column("id").to_numpy(), table.column("c").to_numpy()
+        parts = np.unique(table.column("part").to_numpy(), return_inverse=True)[1]
+        prints = np.ascontiguousarray(table.column("keys").combine_chunks().flatten().to_numpy()).view(np.uint64).reshape(-1, WORDS)
+        sets = [x.values.to_numpy() for x in table.column("hashes")]
+        sizes = np.array([len(x) for x in sets])
+        one_chunk = len(ids) > 0 and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        left, right = [], []
+        for at in range(len(ids) - 1):
+            others = np.flatnonzero((parts[at + 1 :] != parts[at]) & (one_chunk | (chunks[at + 1 :] != chunks[at]))) + at + 1
+            others = others[_distances(prints[at], prints[others]) <= MOST]
+            others = others[np.minimum(sizes[others], sizes[at]) >= similarity * np.maximum(sizes[others], sizes[at])]
+            for x in others:
+                if parts[x] == parts[at]:
+                    continue
+                common = len(np.intersect1d(sets[at], sets[x], assume_unique=True))
+                if common >= similarity * (sizes[at] + sizes[x] - common):
+                    left.append(min(ids[at], ids[x]))
+                    right.append(max(ids[at], ids[x]))
+                    parts[parts == parts[x]] = parts[at]
+        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+
+    return work
+
+
+def _joined_late(found: DataFrame, groups: DataFrame, prints: DataFrame, rows: DataFrame, shingle: int, similarity: float, chunk: int) -> DataFrame:
+    """Links ``(a, b)`` between texts of different ``groups`` that the links ``found`` of crowded buckets stood for.
+
+    All near pairs of a bucket lie within one component of its links, so these
+    components are compared where they hold several groups.  One of more than
+    ``chunk`` texts or ``TILE_SHINGLES`` shingles is dealt out by pairs of chunks.
+    """
+    near = connected_components(found.where("more"), "a", "b").select(F.col("node").alias("id"), F.col("component").alias("s"))
+    parted = cut(near.join(groups, "id", "left").select("id", "s", F.coalesce("component", "id").alias("part")))
+    mixed = parted.groupBy("s").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("s")
+    members = cut(parted.join(_beside(cut(mixed)), "s"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                sets = pa.array([shingle_hashes(batch.column(1)[row].as_py(), shingle).view(np.int64)], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), sets], names=["id", "hashes"])
+
+    texts = rows.select("id", "x").join(_beside(members.select("id")), "id").dropDuplicates(["id"])
+    held = cut(members.join(texts.mapInArrow(hashed, "id long, hashes array<long>"), "id").join(prints.select("id", "keys"), "id"))
+    wanted = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum(F.size("hashes")) / TILE_SHINGLES))
+    dealt = held.join(_beside(cut(held.groupBy("s").agg(wanted.cast("int").alias("g")))), "s").withColumn("c", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))
+    tiled = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    tiles = tiled.select("s", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "id", "part", "keys", "hashes")
+    return tiles.groupBy("s", "i", "j").applyInArrow(_joining(similarity), "a long, b long")
+
+
 def _beside(few: DataFrame) -> DataFrame:
     """A table of ids or blocks to join with: broadcast after a count."""
     return F.broadcast(few) if few.count() <= BROADCAST_IDS else few
@@ -245,19 +288,12 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, shingle: int = 5, simil
     prints = cut(_prints(rows, shingle))
     blocks = _blocks(prints)
     sizes = cut(blocks.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > chunk))
-    found = cut(_dealt(blocks.join(_beside(sizes), ["t", "k"], "left"), chunk).mapInArrow(_search, "a long, b long, t int, k smallint").distinct())
-    pairs = cut(_close(found.where("a is not null").select("a", "b"), prints))
-    linked = cut(_confirmed(pairs, rows, shingle, similarity))
+    found = cut(_dealt(blocks.join(_beside(sizes), ["t", "k"], "left"), chunk).mapInArrow(_search, "a long, b long, more boolean").groupBy("a", "b").agg(F.max("more").alias("more")))
+    linked = cut(_confirmed(cut(_close(found, prints)), rows, shingle, similarity))
     groups = cut(connected_components(linked, "a", "b").withColumnRenamed("node", "id"))
-    # near pairs that links stood for, and confirmation left apart
-    crowded = found.where("t is not null").select("t", "k")
-    labelled = prints.join(groups, "id", "left").select("id", "keys", F.coalesce("component", "id").alias("part"))
-    again = labelled.select(F.posexplode("keys").alias("t", "k"), "id", "keys", "part").join(_beside(crowded), ["t", "k"])
-    mixed = again.groupBy("t", "k").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x <> y").select("t", "k", "n")
-    late = _dealt(again.join(_beside(cut(mixed)), ["t", "k"]), chunk).mapInArrow(_search_apart, "a long, b long")
-    late = cut(late.join(pairs, ["a", "b"], "left_anti"))
+    late = cut(_joined_late(found, groups, prints, rows, shingle, similarity, chunk))
     if not late.isEmpty():
-        groups = connected_components(linked.unionByName(_confirmed(late, rows, shingle, similarity)), "a", "b").withColumnRenamed("node", "id")
+        groups = connected_components(linked.unionByName(late), "a", "b").withColumnRenamed("node", "id")
     joined = named.join(groups, "id", "left").select("id", "first_id", F.coalesce("component", "id").alias("component"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     return rows.select("doc_id", "id").join(joined.join(least, "component").select("id", "component", "component_id"), "id")
