@@ -60,7 +60,8 @@ class WordCoder:
     join what ASCII white space separates, drop the white space itself, and
     part letters from punctuation: then a text's ids are those of its words,
     and a word is encoded once.  ASCII capitals are lowered and runs of ASCII letters,
-    digits and punctuation parted beforehand, which leaves fewer different words.
+    digits and punctuation parted beforehand, which leaves fewer different words.  Words with
+    other bytes keep their capitals: a normaliser may join a capital and a mark before it lowers.
     Words are told apart and numbered for many texts at once; only the different
     ones are looked up, and ids are gathered by number.
     ``letters``: whether ``LetterWords`` is known to hold for the tokenizer; None: not known.
@@ -111,8 +112,11 @@ class WordCoder:
         other = [w for w, yes in zip(new, plain, strict=True) if not yes]
         for low in range(0, len(other), 20_000):
             part = other[low : low + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            self._add(part, array(self.dtype.char, chain.from_iterable(found)).tobytes(), np.cumsum([len(x) for x in found]))
+            self._add_encoded(part, [w.decode("utf-8", "replace") for w in part])
+
+    def _add_encoded(self, words: list[bytes], texts: list[str]) -> None:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self._add(words, array(self.dtype.char, chain.from_iterable(found)).tobytes(), np.cumsum([len(x) for x in found]))
 
     def _add(self, words: list[bytes], ids: bytes, ends: np.ndarray) -> None:
         first, size = len(self.begin) - 1, len(self.ids)
@@ -120,8 +124,7 @@ class WordCoder:
         self.ids.frombytes(ids)
         self.begin.frombytes((ends + size).astype(np.int32).tobytes())
 
-    @staticmethod
-    def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    def _words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All words of the texts as one array, and the number of words up to each text's end."""
         texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
         bounds = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -141,6 +144,11 @@ class WordCoder:
             data[a:b] = raw[a:b]
             starts[a + 1 : b] = space[a : b - 1] & ~space[a + 1 : b]
         at = np.flatnonzero(starts)
+        if len(at):
+            odd = np.flatnonzero(np.maximum.reduceat(raw, at) >= 0x80)
+            ends = np.append(at[1:], len(raw))[odd] - at[odd]
+            inside = np.repeat(at[odd] - np.cumsum(ends) + ends, ends) + np.arange(ends.sum())
+            data[inside] = raw[inside]
         kept = np.cumsum(~space, dtype=np.int32)
         offsets = np.append(kept[at] - 1, kept[-1:] if len(kept) else 0).astype(np.int64)
         words = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[~space]))])
@@ -153,15 +161,14 @@ def word_coder(path: str, end_id: int, letters: bool) -> WordCoder:
     return WordCoder(path, end_id, letters)
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of the batches by about ``GROUP_BYTES`` of text."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        group = (np.cumsum(sizes) - sizes) // GROUP_BYTES
-        bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
-        for low, high in zip(bounds[:-1], bounds[1:], strict=True):
-            if high > low:
-                yield batch.slice(low, high - low)
+def text_groups(batch: pa.RecordBatch, size: int = GROUP_BYTES, column: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch by about ``size`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    group = (np.cumsum(sizes) - sizes) // size
+    bounds = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(bounds[:-1], bounds[1:], strict=True):
+        if high > low:
+            yield batch.slice(low, high - low)
 
 
 def _tokenised(docs: DataFrame, path: str, end_id: int, letters: bool, vocabulary: int, id_col: str, text_col: str) -> DataFrame:
@@ -171,7 +178,7 @@ def _tokenised(docs: DataFrame, path: str, end_id: int, letters: bool, vocabular
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part, at = word_coder(path, end_id, letters), TaskContext.get().partitionId(), 0
         counts = np.zeros(vocabulary, dtype=np.int64)
-        for rows in _groups(batches):
+        for rows in (rows for batch in batches for rows in text_groups(batch)):
             ids, bounds = coder.encode(rows.column(1))
             sizes, n = np.diff(bounds), rows.num_rows
             counts += np.bincount(ids, minlength=vocabulary)

@@ -105,7 +105,7 @@ def test_odd_strings_equal_the_library(letters, monkeypatch):
     monkeypatch.setattr(token_stream, "CACHE_WORDS", 500)  # forgotten words are found anew
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(1)
-    pieces = [*"abZ.,'!<|> \n\t\r\x0b\x0c\x1c\x85\xa0éÉßİ東😀\u0301\u0338=\x00019-_", "<|endoftext|>", "it's", " the ", "e.", "a,", "'ll", "\u212a", "ǅ", "ﬁ"]
+    pieces = [*"abZ.,'!<|> \n\t\r\x0b\x0c\x1c\x85\xa0éÉßİ東😀\u0301\u0338=\x00019-_", "<|endoftext|>", "it's", " the ", "e.", "a,", "'ll", "\u212a", "ǅ", "ﬁ", *"HJTWY\u0331\u030c\u0308\u030a"]
     texts = [None, "", *("".join(rng.choices(pieces, k=rng.randint(0, 40))) for _ in range(4_000))]
     coder = token_stream.WordCoder(queries.WORD_BPE, 2, letters)
     for low in range(0, len(texts), 333):
@@ -113,6 +113,14 @@ def test_odd_strings_equal_the_library(letters, monkeypatch):
         assert coded(coder, part) == [[*plain.encode(t or "", add_special_tokens=False).ids, 2] for t in part]
 
 
+def test_capitals_before_marks_equal_the_library():
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    marks = [chr(c) for c in range(0x300, 0x370)]
+    texts = [f"{a}{m}" for a in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" for m in marks] + [f"x{a}{m}{n}y {a}{n}" for a in "HJTWYIK" for m in marks for n in marks[::9]]
+    coder = token_stream.WordCoder(queries.WORD_BPE, 2)
+    assert coded(coder, texts) == [[*e.ids, 2] for e in plain.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_letter_words_equal_the_library():
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     rng = random.Random(2)
