@@ -1,4 +1,4 @@
-"""The thin queries ``op1_*`` to ``op10_*``, each its operator over a whole table.
+"""The thin queries ``op1_*`` to ``op12_*``, each its operator over a whole table.
 
 ``queries()`` and ``oracle_sql()`` have the form of ``__spark_entry__``.
 """
@@ -11,12 +11,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, line_dedup, mixing, multi_index, qalsh, simhash, token_stream, toxicity, url_filter
+from . import bpe, licenses, line_dedup, mixing, multi_index, packing, periodic, qalsh, simhash, token_stream, toxicity, url_filter
 from .common import read_table, scratch_path
 
 #: Files of public tokenizers; the operators take them as parameters.
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,37 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"), shingle=3, seed=42, max_bits=3)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``; the words of a tenth of the documents, by the checksum h of their ids, repeat from word a on with period p."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = hashed.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), F.when(F.col("h") % 10 == 0, words).alias("w"))
+    a, n = F.col("a"), F.size("w")
+    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - a) / (3 + F.col("g") % 8)))
+    planted = F.transform("w", lambda x, i: F.when(i >= a, F.get("w", (a + (i - a) % F.col("p")).cast("int"))).otherwise(x))
+    return rows.select("doc_id", F.when(a.isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(with_planted_runs(read_table(spark, sf_dir, "documents")), min_exponent=4, min_length=6)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("s"), (-r["period"]).alias("p"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    rows = found.withColumn("best", best)
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.s")).alias("start"), F.col("best.length").alias("length"), (-F.col("best.p")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.p")).alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), BYTE_BPE, scratch_path(spark, "packed"), end_id=0, length=1024)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_bpe, op2_token_stream, op3_license_scan, op4_mix, op5_toxicity, op6_line_dedup, op7_url_filter, op8_nearest, op9_embedding_links, op10_simhash)
+    named = (op1_bpe, op2_token_stream, op3_license_scan, op4_mix, op5_toxicity, op6_line_dedup, op7_url_filter, op8_nearest, op9_embedding_links, op10_simhash, op11_periodic_runs, op12_pack)
     return {f.__name__: f for f in named}
 
 
