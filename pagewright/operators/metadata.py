@@ -6,7 +6,7 @@ Sections are rows ``(doc_id, section_seq, section_number, title, content, ...)``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -31,6 +31,16 @@ def acronym_dictionary(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(KNOWN.items()), "acronym string, definition string")
 
 
+def definition_pairs(text: Column) -> Column:
+    """``array<struct<acronym,definition>>``: a text's definitions in order, those before their acronym first."""
+
+    def found(pattern: str, acronym: int, definition: int) -> Column:
+        parts = [F.regexp_extract_all(text, F.lit(pattern), group) for group in (acronym, definition)]
+        return F.zip_with(*parts, lambda a, d: F.struct(a.alias("acronym"), d.alias("definition")))
+
+    return F.concat(found(_FORWARD, 2, 1), found(_REVERSE, 1, 2))
+
+
 def _definitions(sections: DataFrame) -> DataFrame:
     """Every definition in the sections, in reading order: forward ones before reverse ones."""
 
