@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, licenses, line_dedup, mixing, multi_index, packing, periodic, qalsh, simhash, token_stream, toxicity, url_filter
@@ -69,12 +69,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_planted_runs(docs: DataFrame) -> DataFrame:
     """``(doc_id, text)``; the words of a tenth of the documents, by the checksum h of their ids, repeat from word a on with period p."""
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    hashed = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
-    rows = hashed.select("doc_id", "text", F.floor(F.col("h") / 10).alias("g"), F.when(F.col("h") % 10 == 0, words).alias("w"))
-    a, n = F.col("a"), F.size("w")
-    rows = rows.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - a) / (3 + F.col("g") % 8)))
-    planted = F.transform("w", lambda x, i: F.when(i >= a, F.get("w", (a + (i - a) % F.col("p")).cast("int"))).otherwise(x))
-    return rows.select("doc_id", F.when(a.isNotNull(), F.array_join(planted, " ")).otherwise(F.col("text")).alias("text"))
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+
+    def repeated(w: Column) -> Column:
+        n, g = F.size(w), F.floor(hashed / 10)
+        start = g % n
+        period = 1 + F.floor((n - start) / (3 + g % 8))
+        return F.array_join(_bound(F.struct(start.alias("a"), period.alias("p")), lambda s: F.transform(w, lambda x, i: F.when(i >= s["a"], F.get(w, (s["a"] + (i - s["a"]) % s["p"]).cast("int"))).otherwise(x))), " ")
+
+    text = F.when(hashed % 10 == 0, _bound(words, lambda w: F.when(F.size(w) > 0, repeated(w)))).otherwise(F.col("text"))
+    return docs.select("doc_id", F.coalesce(text, F.col("text")).alias("text"))
+
+
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value worked out once, not at each place where ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
