@@ -64,6 +64,41 @@ def keyword_boost(hits: DataFrame) -> DataFrame:
 CHUNK, SECTION = ["doc_id", "chunk_id"], ["doc_id", "section_number"]
 
 
+def keyword_postings(chunks: DataFrame, longest: int) -> DataFrame:
+    """``(kind, term, *CHUNK, chunk_seq)``: what a question can name a chunk by, each once.
+
+    section: everything that the section's number begins with; acronym: every stretch of 2 to
+    ``longest`` capitals in the content.
+    """
+    def stretches(run: Column, at: Column) -> Column:
+        sizes = F.sequence(F.lit(2), F.least(F.lit(longest), F.length(run) - at + 1))
+        return F.transform(sizes, lambda size: F.substring(run, at, size))
+
+    rows = of_document(chunks).select(*CHUNK, "chunk_seq", "section_number", "content")
+    prefixes = F.transform(F.sequence(F.lit(1), F.length("section_number")), lambda n: F.substring(F.col("section_number"), F.lit(1), n))
+    section = rows.where(F.length("section_number") > 0).select(F.lit("section").alias("kind"), F.explode(prefixes).alias("term"), *CHUNK, "chunk_seq")
+    runs = F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Z]{2,})"), 1))
+    capitals = F.array_distinct(F.flatten(F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda at: stretches(r, at))))))
+    acronym = rows.select(F.lit("acronym").alias("kind"), F.explode(capitals).alias("term"), *CHUNK, "chunk_seq")
+    return section.unionByName(acronym)
+
+
+def boosted_pairs(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(query_id, *CHUNK, chunk_seq, factor)`` of all questions and chunks with a factor over 1, that of ``boost_factor``.
+
+    Terms that questions name meet the chunks' postings by equality, so only pairs that share one arise.
+    """
+    named = lambda kind, terms: questions.select("query_id", F.lit(kind).alias("kind"), F.explode(terms).alias("term"))
+    mentions = named("section", T.section_mentions(F.col("query"))).unionByName(named("acronym", T.acronyms(F.col("query"))))
+    asked = settled(mentions.groupBy("query_id", "kind", "term").agg(F.count("*").alias("n")))
+    longest = asked.where("kind = 'acronym'").agg(F.max(F.length("term"))).first()[0] or 2
+    terms = asked.select("kind", "term").distinct()
+    held = keyword_postings(chunks, longest).join(terms, ["kind", "term"], "left_semi")
+    met = asked.join(held, ["kind", "term"]).groupBy("query_id", *CHUNK, "chunk_seq")
+    counts = met.agg(*[F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(kind) for kind in ("section", "acronym")])
+    return counts.select("query_id", *CHUNK, "chunk_seq", (F.lit(1.0) + 0.3 * F.col("section") + 0.2 * F.col("acronym")).alias("factor"))
+
+
 def hop_sections(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, also_visited: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id, section_number, depth)`` reached over ``edges (doc_id, source, target)`` from ``seeds (query_id, doc_id, section_number)``.
 
@@ -156,7 +191,7 @@ def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFram
 
     ``chunks.content_vec`` is the vector of the content alone, stored beside the context vector.
     """
-    met = of_document(hits).join(questions.select("query_id", "query", "query_vec"), "query_id").join(of_document(chunks).select(*CHUNK, "content", "section_title", "chunk_type", "content_vec"), CHUNK)
+    met = of_document(hits).select(*HIT).join(questions.select("query_id", "query", "query_vec"), "query_id").join(of_document(chunks).select(*CHUNK, "content", "section_title", "chunk_type", "content_vec"), CHUNK)
     similar = V.cosine(F.col("query_vec"), F.col("content_vec"))
     score = (0.7 * similar + 0.3 * F.col("score")) * rerank_factor(F.col("query"), F.col("content"), F.col("section_title"), F.col("chunk_type"))
     return _places(met.withColumn("score", score), F.desc("score"), F.col("pos")).select(*HIT)

@@ -7,6 +7,10 @@ Every ordered step is partitioned by document.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -76,14 +80,13 @@ def sections_from_pages(pages: DataFrame) -> DataFrame:
     """
     lines = _lines(pages).withColumn("line", T.strip(F.col("line"))).withColumn("head", F.col("line").rlike(T.HEADING) & ~F.col("is_toc") & ~F.col("line").rlike(r"\.{3,}"))
     order = Window.partitionBy("doc_id").orderBy("page_no", "line_no")
-    heads = lines.where("head").select("doc_id", "page_no", "line_no", "line").withColumn("section_seq", F.row_number().over(order).cast("long"))
-    heads = heads.withColumn("next", F.lead(F.struct("page_no", "line_no")).over(order))
-    body = lines.select("doc_id", F.col("page_no").alias("p"), F.col("line_no").alias("l"), F.col("line").alias("x"))
-    same = F.col("p") == F.col("page_no")
-    # on its own page a section takes all that follows; on later ones what stands before the next heading
-    until = F.col("next").isNull() | (F.struct("p", "l") < F.col("next"))
-    inside = (same & (F.col("l") >= F.col("line_no"))) | ((F.col("p") > F.col("page_no")) & until)
-    met = heads.join(body, "doc_id").where(inside)
+    placed = lines.withColumn("section_seq", F.sum(F.when(F.col("head"), 1).otherwise(0)).over(order).cast("long"))
+    placed = placed.withColumn("head_page", F.max(F.when(F.col("head"), F.col("page_no"))).over(order)).where("section_seq > 0")
+    heads = placed.where("head").select("doc_id", "page_no", "line_no", "line", "section_seq").withColumn("next", F.lead(F.struct("page_no", "line_no")).over(order))
+    body = placed.select("doc_id", "section_seq", "head_page", F.col("page_no").alias("p"), F.col("line_no").alias("l"), F.col("line").alias("x"))
+    # on its own page a section takes all that follows; on later ones what stands before the next heading, so that of the last heading alone
+    on_page = body.where("p = head_page").drop("section_seq", "head_page").join(heads.select("doc_id", "section_seq", F.col("page_no").alias("p"), "line_no"), ["doc_id", "p"]).where("l >= line_no")
+    met = on_page.select("doc_id", "section_seq", "p", "l", "x").unionByName(body.where("p > head_page").drop("head_page"))
     texts = met.groupBy("doc_id", "section_seq").agg(F.array_sort(F.collect_list(F.struct("p", "l", "x"))).getField("x").alias("lines"), F.max("p").alias("last_page"))
     number = F.regexp_extract("line", T.HEADING, 1)
     return heads.join(texts, ["doc_id", "section_seq"]).select(
@@ -251,30 +254,62 @@ def table_summary() -> Column:
     return F.struct("table_id", "table_number", "caption", F.col("page_range").alias("pages"), "section_number", "section_title", F.size("rows").alias("num_rows"), F.coalesce(F.size("headers"), F.lit(0)).alias("num_columns"), "headers")
 
 
+def _sweep(sections: DataFrame, asked: DataFrame, deepest: bool) -> DataFrame:
+    """``(doc_id, page, around, before)`` for each of ``asked (doc_id, page)``, as ``struct<n,t>``.
+
+    ``around``: the section open on the page, the deepest or else the first in order, the
+    first of equals; ``before``: the last in order of those that end at or before the page.
+    Sections are rows where they open and where they end; these and the pages asked for are sorted
+    by document and page, and a task that reads them in order holds the open sections alone.
+    """
+    named = ("section_seq", "level", F.col("section_number").alias("n"), F.col("title").alias("t"), F.greatest("page_start", "page_end").alias("until"))
+    opens = sections.select("doc_id", F.col("page_start").alias("page"), F.lit(0).alias("kind"), *named)
+    ends = sections.select("doc_id", F.col("page_end").alias("page"), F.lit(1).alias("kind"), *named)
+    pages = asked.select("doc_id", "page").distinct().withColumn("kind", F.lit(2))
+    events = opens.unionByName(ends).unionByName(pages, allowMissingColumns=True).where("page is not null")
+    ordered = events.repartition("doc_id").sortWithinPartitions("doc_id", "page", "kind", "section_seq")
+    ids = asked.schema["doc_id"].dataType.simpleString()
+    name = pa.struct([("n", pa.string()), ("t", pa.string())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, opened, ended = None, [], None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                if row["doc_id"] != doc:
+                    doc, opened, ended = row["doc_id"], [], None
+                if row["kind"] == 0:
+                    heapq.heappush(opened, (-(row["level"] or 0) if deepest else 0, row["section_seq"], row["until"], row["n"], row["t"]))
+                elif row["kind"] == 1:
+                    if ended is None or row["section_seq"] > ended[0]:
+                        ended = (row["section_seq"], row["n"], row["t"])
+                else:
+                    while opened and opened[0][2] < row["page"]:
+                        heapq.heappop(opened)
+                    out.append((doc, row["page"], opened[0][3:] if opened else None, ended[1:] if ended else None))
+            names = [[None if x[i] is None else {"n": x[i][0], "t": x[i][1]} for x in out] for i in (2, 3)]
+            columns = [pa.array([x[0] for x in out], batch.schema.field("doc_id").type), pa.array([x[1] for x in out], batch.schema.field("page").type), *[pa.array(n, name) for n in names]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "page", "around", "before"])
+
+    kind = "struct<n:string,t:string>"
+    return ordered.mapInArrow(work, f"doc_id {ids}, page {events.schema['page'].dataType.simpleString()}, around {kind}, before {kind}")
+
+
 def sections_of_tables(tables: DataFrame, sections: DataFrame) -> DataFrame:
     """``tables`` with number and title of the deepest section around their first page, the first of equals.
 
-    Without one it is the last section, in order, that ends at or before that
-    page.  Pages are exploded from the sections' ranges, so the interval join is an equi-join.
+    Without one it is the last section, in order, that ends at or before that page.
     """
-    page = F.coalesce(F.get("page_range", F.lit(0)), F.lit(1))
-    asked = tables.withColumn("__page", page)
-    pages = sections.select("doc_id", "section_seq", "level", F.col("section_number").alias("n"), F.col("title").alias("t"), F.explode(F.sequence("page_start", F.greatest("page_start", "page_end"))).alias("__page"))
-    around = pages.groupBy("doc_id", "__page").agg(F.min_by(F.struct("n", "t"), F.struct(-F.col("level"), F.col("section_seq"))).alias("around"))
-    keys = asked.select("doc_id", "__page").distinct()
-    ends = sections.select("doc_id", F.col("page_end").alias("at"), F.lit(0).alias("kind"), F.struct("section_seq", F.col("section_number").alias("n"), F.col("title").alias("t")).alias("s"))
-    both = ends.unionByName(keys.select("doc_id", F.col("__page").alias("at"), F.lit(1).alias("kind")), allowMissingColumns=True)
-    order = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    before = both.withColumn("b", F.max("s").over(order)).where("kind = 1").select("doc_id", F.col("at").alias("__page"), "b")
-    met = asked.join(around, ["doc_id", "__page"], "left").join(before, ["doc_id", "__page"], "left")
-    return met.withColumn("section_number", F.coalesce("around.n", "b.n")).withColumn("section_title", F.coalesce("around.t", "b.t")).drop("around", "b", "__page")
+    asked = tables.withColumn("__page", F.coalesce(F.get("page_range", F.lit(0)), F.lit(1)))
+    found = _sweep(sections, asked.select("doc_id", F.col("__page").alias("page")), deepest=True)
+    met = asked.join(found.withColumnRenamed("page", "__page"), ["doc_id", "__page"], "left")
+    return met.withColumn("section_number", F.coalesce("around.n", "before.n")).withColumn("section_title", F.coalesce("around.t", "before.t")).drop("around", "before", "__page")
 
 
 def sections_of_diagrams(diagrams: DataFrame, sections: DataFrame) -> DataFrame:
     """``diagrams`` with number and title of the first section, in order, around their page."""
-    pages = sections.select("doc_id", "section_seq", F.col("section_number").alias("n"), F.col("title").alias("t"), F.explode(F.sequence("page_start", F.greatest("page_start", "page_end"))).alias("page"))
-    first = pages.groupBy("doc_id", "page").agg(F.min_by(F.struct("n", "t"), "section_seq").alias("s"))
-    return diagrams.join(first, ["doc_id", "page"], "left").withColumn("section_number", F.col("s.n")).withColumn("section_title", F.col("s.t")).drop("s")
+    found = _sweep(sections, diagrams, deepest=False).select("doc_id", "page", F.col("around").alias("s"))
+    return diagrams.join(found, ["doc_id", "page"], "left").withColumn("section_number", F.col("s.n")).withColumn("section_title", F.col("s.t")).drop("s")
 
 
 def pick_diagrams(captions: DataFrame, min_bytes: int = 8_000) -> DataFrame:

@@ -1,8 +1,8 @@
 """Embedding, index and search.
 
 Question sets are small beside the index; every search is one plan for all
-questions: a join of the questions with the index, ranked by
-``row_number() <= k``, which Spark cuts per partition before the shuffle.
+questions: blocks of the index meet blocks of questions (``blocks``), and what is left is
+ranked by ``row_number() <= k``, which Spark cuts per partition before the shuffle.
 """
 
 from __future__ import annotations
@@ -10,25 +10,18 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
-import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from . import blocks
 
-#: Questions up to this many are broadcast to the index; more are dealt into blocks.
-BROADCAST_QUESTIONS = 10_000
-#: Rows of an index and questions that one task of a search in blocks holds.
-PART_ROWS, BLOCK_QUESTIONS = 16_384, 2_048
-#: Tasks that share a cell of an index in a search with many visits.
-SALTS = 16
-#: Rows by which the number of probes of a recall is measured.
-SAMPLE = 500
-
+#: Questions up to this many are broadcast to the index, as are visits of cells; more meet it in a join.  The result is the same.
+BROADCAST_QUESTIONS = 100_000
+#: Most rows of an index and questions in one block.
+PART_ROWS, BLOCK_QUESTIONS = 10_000, 1_024
 
 METRICS = ("cosine", "ip", "l2")
 
@@ -77,88 +70,45 @@ def few(questions: DataFrame) -> bool:
     return questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS
 
 
-def beside(questions: DataFrame) -> DataFrame:
-    """Questions to stand beside each row: broadcast only after a count."""
-    return F.broadcast(questions) if few(questions) else questions
-
-
-def scores(index: DataFrame, questions: DataFrame, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``(query_id, key, score, *keep)`` of every question against every row.
-
-    cosine: inner product of unit vectors; ip: inner product; l2: 1 / (1 + squared distance).
-    """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric!r}")
-    left = index.select(key, *keep, V.doubles(F.col(vector)).alias("__v"), V.norm(F.col(vector)).alias("__vn"))
-    right = questions.select("query_id", *[c for c in questions.columns if c.startswith("want_")], V.doubles(F.col("query_vec")).alias("__q"), V.norm(F.col("query_vec")).alias("__qn"))
-    lengths = F.col("__vn") * F.col("__qn")
-    inner = V.dot(F.col("__v"), F.col("__q"))
-    score = {"l2": 1 / (1 + V.squared_distance(F.col("__v"), F.col("__q"))), "ip": inner, "cosine": F.when(lengths > 0, inner / lengths).otherwise(0.0)}[metric]
-    return left.join(beside(right)).withColumn("score", score).drop("__v", "__q", "__vn", "__qn")
-
-
 def top_k(scored: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """The k best of each question, ties by key, with ``rank`` from 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _packed(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Rows by about ``size`` in one array each, in the order of their first column."""
-    groups = max(1, -(-rows.count() // size))
-    dealt = rows.withColumn("__g", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
-    return dealt.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias(name)).drop("__g")
-
+def checked(metric: str) -> str:
+    if metric not in METRICS:
+        raise ValueError(f"unknown metric {metric!r}")
+    return metric
 
-def _knn_in_blocks(rows: DataFrame, questions: DataFrame, k: int, metric: str, key: str, vector: str, keep: tuple[str, ...]) -> DataFrame:
-    """``top_k`` of ``scores`` for many questions: a part of the index meets a block of questions as two matrices.
 
-    Only the k best of each pair leave a task.  Scores may differ from those of ``scores`` in the last bits.
-    """
-    wanted = [c for c in questions.columns if c.startswith("want_")]
-    held = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("key"), *keep, V.doubles(F.col(vector)).alias("v"))
-    asked = questions.where("query_vec is not null").select("query_id", *wanted, V.doubles(F.col("query_vec")).alias("q"))
-    pairs = _packed(held, PART_ROWS, "rows").crossJoin(_packed(asked, BLOCK_QUESTIONS, "asked"))
-    out = held.select(F.lit(0).cast(asked.schema["query_id"].dataType).alias("query_id"), F.col("key").alias(key), *keep, F.lit(0.0).alias("score"))
-    out = out.select(*[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in wanted], "*")
-    schema, order = out.schema, out.columns
+def row_blocks(index: DataFrame, key: str, vector: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """An index as blocks ``rows array<struct<key, *keep, v>>``, packed where its rows lie."""
+    return blocks.packed(index.select(F.col(key).alias("key"), *keep, V.doubles(F.col(vector)).alias("v")), PART_ROWS, "rows")
 
-    def matrix(column: pa.Array) -> np.ndarray:
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for some_rows, some_asked in zip(batch.column("rows"), batch.column("asked"), strict=True):
-                r, a = some_rows.values, some_asked.values
-                v, q = matrix(r.field("v")), matrix(a.field("q"))
-                inner = np.einsum("ij,kj->ik", q, v)  # each element is summed in the same order, so equal vectors tie
-                if metric == "l2":
-                    score = 1 / (1 + np.array([((v - x) * (v - x)).sum(axis=1) for x in q]))
-                elif metric == "cosine":
-                    lengths = np.sqrt(np.einsum("ij,ij->i", q, q))[:, None] * np.sqrt(np.einsum("ij,ij->i", v, v))
-                    score = np.divide(inner, lengths, out=np.zeros_like(inner), where=lengths > 0)
-                else:
-                    score = inner
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]
-                whose, which = pa.array(np.repeat(np.arange(len(q)), best.shape[1])), pa.array(best.ravel())
-                values = {"score": pa.array(np.take_along_axis(score, best, 1).ravel()), key: r.field("key").take(which)}
-                values |= {c: r.field(c).take(which) for c in keep} | {c: a.field(c).take(whose) for c in ("query_id", *wanted)}
-                yield pa.RecordBatch.from_arrays([values[c] for c in order], names=order)
-
-    return top_k(pairs.mapInArrow(work, schema), k, key)
+def question_blocks(questions: DataFrame, *more: str) -> DataFrame:
+    """Questions as blocks ``asked array<struct<query_id, *more, q>>``."""
+    rows = questions.select("query_id", *more, V.doubles(F.col("query_vec")).alias("v"))
+    return blocks.packed(rows, BLOCK_QUESTIONS, "asked").select(F.transform("asked", lambda x: F.struct(x["query_id"].alias("query_id"), *[x[c].alias(c) for c in more], x["v"].alias("q"))).alias("asked"))
 
 
 def knn(index: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Exact search; ``where`` filters the index before it is ranked."""
+    """Exact search: ``(query_id, want_*, key, *keep, score, rank)``; ``where`` filters the index before it is ranked.
+
+    cosine: inner product of unit vectors; ip: inner product; l2: 1 / (1 + squared distance).
+    Blocks of the index, packed where they lie, meet blocks of questions; only a pair's k best
+    leave a task.  ``blocks`` says which vectors take part.
+    """
     rows = index if where is None else index.where(where)
-    if metric in METRICS and not few(questions):
-        return _knn_in_blocks(rows, questions, k, metric, key, vector, keep)
-    return top_k(scores(rows, questions, metric, key, vector, keep), k, key)
+    wanted = [c for c in questions.columns if c.startswith("want_")]
+    pairs = blocks.beside_all(row_blocks(rows, key, vector, keep), question_blocks(questions, *wanted), few(questions))
+    return top_k(blocks.searched(pairs, k, checked(metric), key, keep, wanted), k, key)
 
 
 def knn_overfetch(index: DataFrame, questions: DataFrame, where: Column, k: int = 5, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Ranks first: of the 3 k best those that pass, k at most; may return fewer though more would pass."""
-    first = top_k(scores(index, questions, metric, key, vector, keep), 3 * k, key).where(where)
+    """Ranks first: of the 3 k best those that pass ``where`` (over ``key`` and ``keep``), k at most; may return fewer though more would pass."""
+    first = knn(index, questions, 3 * k, metric, None, key, vector, keep).where(where)
     return top_k(first.drop("rank"), k, key)
 
 
@@ -188,73 +138,30 @@ def chunks_of_section(chunks: DataFrame, section_number: str) -> DataFrame:
 
 
 def rank_of(index: DataFrame, questions: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(query_id, target, rank)``: 1 + how many rows score higher than the question's own target ``want_id``."""
-    scored = scores(index, questions, "cosine", key, vector)
-    own = F.max(F.when(F.col(key) == F.col("want_id"), F.col("score"))).over(Window.partitionBy("query_id"))
-    return scored.withColumn("own", own).groupBy("query_id", F.col("want_id").alias("target")).agg((F.count_if(F.col("score") > F.col("own")) + 1).alias("rank"))
-
-
-class IvfIndex:
-    """Cells of a coarse k-means over unit vectors; a search reads the nearest cells only."""
-
-    def __init__(self, rows: DataFrame, centres: DataFrame):
-        self.rows, self.centres = rows, centres
-
-    @classmethod
-    def build(cls, index: DataFrame, key: str = "vec_id", vector: str = "embedding", seed: int = 1) -> IvfIndex:
-        """At most 100 cells, a tenth of the rows for small tables, one at least."""
-        unit = index.withColumn("unit", V.unit(F.col(vector))).withColumn("features", array_to_vector("unit"))
-        cells = max(1, min(100, unit.count() // 10))
-        if cells < 2:
-            rows = unit.withColumn("cell", F.lit(0)).drop("features")
-            return cls(rows, index.sparkSession.createDataFrame([(0, None)], "cell int, centre array<double>"))
-        model = KMeans(k=cells, seed=seed, maxIter=15).fit(unit)
-        centres = index.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
-        return cls(model.transform(unit).withColumnRenamed("prediction", "cell").drop("features"), centres)
-
-    def _ranked_cells(self, questions: DataFrame) -> DataFrame:
-        """``(query_id, q, cell, rn)``: all cells of each question, the nearest with ``rn`` 1."""
-        asked = questions.select("query_id", V.unit(F.col("query_vec")).alias("q"))
-        distance = F.coalesce(V.squared_distance(F.col("centre"), F.col("q")), F.lit(0.0))
-        return asked.join(F.broadcast(self.centres)).select("query_id", "q", "cell", F.row_number().over(Window.partitionBy("query_id").orderBy(distance, "cell")).alias("rn"))
-
-    def search(self, questions: DataFrame, k: int = 5, probes: int = 1, key: str = "vec_id") -> DataFrame:
-        """The k best rows of the cells nearest to each question, ``probes`` of them.
-
-        Few visits are broadcast, so the index stays where it is; many meet it by cell, each cell dealt to ``SALTS`` tasks.
-        """
-        near = self._ranked_cells(questions).where(F.col("rn") <= probes).select("query_id", "q", "cell")
-        if questions.limit(BROADCAST_QUESTIONS // probes + 1).count() * probes <= BROADCAST_QUESTIONS:
-            met = self.rows.select(key, "cell", "unit").join(F.broadcast(near), "cell")
-        else:
-            salted = self.rows.select(key, "cell", "unit", F.pmod(F.xxhash64(key), F.lit(SALTS)).alias("salt"))
-            met = salted.join(near.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["cell", "salt"])
-        return top_k(met.withColumn("score", V.dot(F.col("unit"), F.col("q"))).select("query_id", key, "score"), k, key)
-
-    def probes_for(self, k: int = 5, recall: float = 0.9, key: str = "vec_id", sample: int = SAMPLE, seed: int = 1) -> int:
-        """The least number of cells that finds ``recall`` of the true ``k`` nearest of sampled rows.
-
-        ``sample`` rows, those of the least hashes of their keys, are asked against
-        brute force over the whole index; a true neighbour is found by as many probes
-        as the rank of its cell among those nearest to the question.
-        """
-        asked = self.rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(sample).select(F.col(key).alias("query_id"), F.col("unit").alias("query_vec"))
-        true = knn(self.rows, asked, k, "ip", key=key, vector="unit", keep=("cell",)).select("query_id", "cell")
-        ranks = true.join(self._ranked_cells(asked), ["query_id", "cell"]).groupBy("rn").agg(F.count("*").alias("n")).orderBy("rn").collect()
-        wanted, held = recall * sum(r["n"] for r in ranks), 0
-        for r in ranks:
-            held += r["n"]
-            if held >= wanted:
-                return r["rn"]
-        return 1
-
-
-def build_index(index: DataFrame, kind: str = "flat", **options) -> DataFrame | IvfIndex:
-    """flat: the rows themselves; ivf: cells; any other kind is an error."""
+    """``(query_id, target, rank)``: 1 + how many rows score higher than the question's own target ``want_id``.
+
+    First each question's own score, one row a question; then every block of the index
+    counts what is above it.  A question whose target or vector takes no part has rank 1.
+    """
+    own = index.join(questions, F.col(key) == F.col("want_id")).select("query_id", F.array(F.struct(F.lit(0).alias("key"), V.doubles(F.col(vector)).alias("v"))).alias("rows"), F.array(F.struct("query_id", V.doubles(F.col("query_vec")).alias("q"))).alias("asked"))
+    id_type = questions.schema["query_id"].dataType.simpleString()
+    mine = blocks.searched(own, 1, "cosine", "key", (), []).groupBy("query_id").agg(F.max("score").alias("own"))
+    known = questions.select("query_id", "query_vec").join(mine, "query_id")
+
+    def count(rows: pa.StructArray, asked: pa.StructArray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([asked.field("query_id"), pa.array(blocks.count_higher("cosine", rows, asked))], names=["query_id", "n"])
+
+    pairs = blocks.beside_all(row_blocks(index, key, vector), question_blocks(known, "own"), few(questions))
+    higher = blocks.each_pair(pairs, f"query_id {id_type}, n bigint", count).groupBy("query_id").agg(F.sum("n").alias("n"))
+    return questions.select("query_id", F.col("want_id").alias("target")).join(higher, "query_id", "left").select("query_id", "target", (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
+
+
+def build_index(index: DataFrame, kind: str = "flat", **options) -> DataFrame | ivf.IvfStore:
+    """flat: the rows themselves; ivf: a stored index of cells; any other kind is an error."""
     if kind == "flat":
         return index
     if kind == "ivf":
-        return IvfIndex.build(index, **options)
+        return ivf.IvfStore.build(index, **options)
     raise ValueError(f"unknown index type {kind!r}")
 
 
@@ -270,3 +177,6 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", columns: tuple
 def unanalysed_diagrams(chunks: DataFrame) -> DataFrame:
     """Diagram chunks that have no relationship analysis yet."""
     return chunks.where((F.col("chunk_type") == "diagram_ref") & ~F.coalesce(F.col("diagram_meta.has_relationship_analysis"), F.lit(False)))
+
+
+from . import ivf  # noqa: E402  it searches by this module

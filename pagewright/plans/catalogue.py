@@ -80,10 +80,10 @@ def idx_flat(spark, sf_dir):
 
 @query()
 def idx_ivf(spark, sf_dir):
-    """Search over cells, as many as find at least 0.9 of the true neighbours; 0.95 is asked of the sample, for its error."""
+    """Search of a stored index: as many cells as find at least 0.9 of the true neighbours; 0.95 is asked of the sample, for its error."""
     vectors = table(spark, sf_dir, "embeddings")
-    index = S.build_index(vectors, "ivf")
-    return index.search(_questions(vectors), 5, probes=index.probes_for(5, recall=0.95)).select("query_id", "vec_id", "rank", _six("score"))
+    index = S.build_index(vectors, "ivf", k=5, recall=0.95)
+    return index.search(_questions(vectors), 5).select("query_id", "vec_id", "rank", _six("score"))
 
 
 @query(
@@ -499,13 +499,12 @@ def parents(spark, sf_dir):
     f"""WITH q AS ({corpus.QUESTIONS}), c AS ({corpus.CHUNKS}), x AS (SELECT query_id, chunk_id, chunk_seq,
  len(list_filter(regexp_extract_all(query, '(?:Section\\s+)?(\\d+(?:\\.\\d+)*)', 1), lambda s: starts_with(section_number, s))) AS n,
  len(list_filter(regexp_extract_all(query, '[\\p{{L}}\\p{{N}}_]+'), lambda a: regexp_full_match(a, '[A-Z]{{2,}}') AND contains(content, a))) AS m FROM q CROSS JOIN c)
-SELECT query_id, chunk_id, round(0.5 * (0.7 + 0.3 * (1 + 0.3 * n + 0.2 * m)), 6)::DOUBLE AS score FROM x"""
+SELECT query_id, chunk_id, round(0.5 * (0.7 + 0.3 * (1 + 0.3 * n + 0.2 * m)), 6)::DOUBLE AS score FROM x WHERE n + m > 0"""
 )
 def kw_boost(spark, sf_dir):
-    chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "chunk_seq", "section_number", "content")
-    asked = corpus.questions(spark, sf_dir).select("query_id", "query")
-    hits = chunks.join(S.beside(asked)).withColumn("score", F.lit(0.5)).withColumn("pos", F.col("chunk_seq"))
-    return retrieval.keyword_boost(hits).select("query_id", "chunk_id", _six("score"))
+    """The boosted score of every chunk that a question names by section or acronym, from 0.5; all other pairs keep factor 1."""
+    found = retrieval.boosted_pairs(corpus.questions(spark, sf_dir), corpus.chunks(spark, sf_dir))
+    return found.select("query_id", "chunk_id", F.round(0.5 * (0.7 + 0.3 * F.col("factor")), 6).alias("score"))
 
 
 @query(
@@ -519,20 +518,6 @@ def fuse(spark, sf_dir):
     return retrieval.fuse(hits.where("pos < 6"), second).select("query_id", "chunk_id", _six("score"), "pos")
 
 
-@query(
-    f"""WITH q AS ({corpus.QUESTIONS}), c AS ({corpus.CHUNKS}), x AS (SELECT query_id, chunk_id, chunk_type, lower(query) AS q, lower(content) AS c, lower(section_title) AS t, {_WORDS.format("query")} AS qw, {_WORDS.format("regexp_extract(content, '^\\*\\*([^*]+)\\*\\*', 1)")} AS cw FROM q CROSS JOIN c),
-o AS (SELECT *, CASE WHEN chunk_type = 'table' AND len(qw) > 0 AND len(cw) > 0 THEN len(list_intersect(qw, cw))::DOUBLE / len(qw) ELSE 0 END AS ov FROM x)
-SELECT query_id, chunk_id, round((CASE WHEN contains(c, q) THEN 1.2 ELSE 1 END * CASE WHEN contains(t, q) THEN 1.15 ELSE 1 END * CASE WHEN ov >= 0.35 THEN 1 + ov * 0.6 ELSE 1 END
- * CASE WHEN chunk_type = 'table' AND contains(q, 'what are') THEN 1.1 ELSE 1 END * CASE WHEN chunk_type = 'diagram_ref' AND (contains(q, 'show') OR contains(q, 'look like')) THEN 1.15 ELSE 1 END)::DOUBLE, 6) AS factor FROM o"""
-)
-def rerank(spark, sf_dir):
-    """The keyword factor of every chunk for every question."""
-    chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "content", "section_title", "chunk_type")
-    asked = corpus.questions(spark, sf_dir).select("query_id", "query")
-    met = chunks.join(S.beside(asked))
-    return met.select("query_id", "chunk_id", F.round(retrieval.rerank_factor(F.col("query"), F.col("content"), F.col("section_title"), F.col("chunk_type")), 6).alias("factor"))
-
-
 # --- answers ----------------------------------------------------------------
 
 _CITE = "[Ss]ection\\s+(\\d{1,2}(?:\\.\\d{1,2}){0,3})(?:[,\\s]+(?:p(?:age|\\.)?\\.?\\s*)(\\d+))?"

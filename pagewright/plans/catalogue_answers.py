@@ -60,6 +60,8 @@ judged AS (SELECT query_id, chunk_id, chunk_seq, place, (0.7::DOUBLE * cosine +
  * CASE WHEN ov >= 0.35 THEN 1.0::DOUBLE + ov * 0.6::DOUBLE ELSE 1.0::DOUBLE END * CASE WHEN chunk_type = 'table' AND contains(q, 'what are') THEN 1.1::DOUBLE ELSE 1.0::DOUBLE END
  * CASE WHEN chunk_type = 'diagram_ref' AND (contains(q, 'show') OR contains(q, 'look like')) THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END) AS score FROM shared_words),
 final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) - 1 AS pos FROM judged) WHERE pos < 5)"""
+#: The first hits ranked anew: the same signals without other lists.
+_RERANKED = (_PRIMARY + ",\n" + _FINAL[_FINAL.index("signals AS") :]).replace("FROM fused f JOIN", "FROM (SELECT query_id, chunk_id, chunk_seq, score, pos AS place FROM prim) f JOIN")
 _STAGES = "SELECT query_id, 'final' AS stage, pos, chunk_id, score FROM final UNION ALL SELECT query_id, 'primary', pos, chunk_id, score FROM prim UNION ALL SELECT query_id, 'xref', pos, chunk_id, score FROM hop UNION ALL SELECT query_id, 'parent', pos, chunk_id, score FROM parent"
 _HEDGED = " OR ".join(f"contains(lower(answer), '{p}')" for p in ("cannot find", "don''t know", "unclear", "not specified", "not mentioned"))
 _CONFIDENCE = f"greatest(0.0, least(1.0, 0.5 + CASE WHEN contains(answer, 'Section') AND contains(answer, 'page') THEN 0.2 ELSE 0 END + CASE WHEN length(answer) > 100 THEN 0.1 ELSE 0 END - CASE WHEN {_HEDGED} THEN 0.3 ELSE 0 END))::DOUBLE"
@@ -84,6 +86,14 @@ def primary(spark, sf_dir):
     return retrieval.primary_hits(corpus.questions(spark, sf_dir), corpus.embedded_chunks(spark, sf_dir)).select("query_id", "chunk_id", "pos", six("score"))
 
 
+@query(f"WITH {_RERANKED} SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place) - 1 AS pos, round(score, 6) AS score FROM judged")
+def rerank(spark, sf_dir):
+    """The first 15 hits of every question in their new order."""
+    questions, chunks = corpus.questions(spark, sf_dir), corpus.embedded_chunks(spark, sf_dir)
+    hits = retrieval.primary_hits(questions, chunks)
+    return retrieval.rerank(hits, questions, chunks).select("query_id", "chunk_id", "pos", six("score"))
+
+
 @query(f"WITH {_FINAL} SELECT query_id, stage, pos, chunk_id, round(score, 6) AS score FROM ({_STAGES})")
 def retrieve(spark, sf_dir):
     """The whole retrieval for all questions, every stage."""
@@ -189,7 +199,7 @@ def build_index(spark, sf_dir):
     """The index by cells, all of which are searched: it holds every row, so it finds what an exact search does."""
     vectors = base.table(spark, sf_dir, "embeddings")
     index = S.build_index(vectors, "ivf")
-    return index.search(base._questions(vectors), 5, probes=index.centres.count()).select("query_id", "vec_id", "rank", six("score"))
+    return index.search(base._questions(vectors), 5, probes=index.settings["cells"]).select("query_id", "vec_id", "rank", six("score"))
 
 
 class Lengths:

@@ -318,7 +318,7 @@ def test_search_options(spark):
     with pytest.raises(ValueError, match="unknown index"):
         S.build_index(df, "hnsw")
     with pytest.raises(ValueError, match="unknown metric"):
-        S.scores(df, q, "manhattan")
+        S.knn(df, q, metric="manhattan")
     meta = spark.createDataFrame([("a", {"k": "1"}), ("b", {}), ("c", {"k": "2"})], "chunk_id string, metadata map<string,string>")
     assert [r.chunk_id for r in meta.where(S.chunk_filter(metadata={"k": "1"})).orderBy("chunk_id").collect()] == ["a", "b"]
 
