@@ -1,12 +1,13 @@
 """License scan by conditional compression.
 
-A candidate is a text with a licence word (native filter; the text is never
-cut).  Its lines are read on as one sequence of words, so that notices may be
-wrapped.  Every stretch that is a template up to a share of differing words is
-found by exact edit distance; runs of words in common, which
-such a stretch must have, say where to look.  A bounded window around each
-stretch is compressed alone and with the template as a raw zstandard
-dictionary; the templates are ranked by how much they save.
+A template's anchors are so many of its longest words that a notice within the bound of
+differences keeps one of them; a text without any is no candidate (native filter; the text is never
+cut).  A candidate's lines are read on as one sequence of words, so that notices may be
+wrapped, and cut into overlapping windows of which one holds any notice whole.  Each window
+with an anchor is compressed alone and with each template as a raw zstandard dictionary.
+The templates are ranked by how much of their own size they save; those that save
+``LEAST_SAVING`` of it or more are put to exact word edit distance, in that order, and what is within
+the bound is a notice.  Windows fit their templates' lengths, in classes by powers of two.
 """
 
 from __future__ import annotations
@@ -41,10 +42,10 @@ PASSAGES: dict[str, str] = {
     "MIT#grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
     "Unlicense#grant": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software",
 }
-#: Words without which a text is no candidate.
-CANDIDATE = r"(?i)licen[sc]|copyright|redistribution|waived all|creative commons|public domain|spdx|warrant|hereby granted|unencumbered"
 #: Differing words that a confirmed notice may have, as a share of the template's words.
 MAX_DIFFERENCE = 0.2
+#: What a template must save on a window to be put to the exact test, as a share of what it saves on its own words.
+LEAST_SAVING = 0.05
 _WORD = re.compile(r"[^\W_](?:\S*[^\W_])?")
 
 
@@ -53,24 +54,107 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _compressor(**more) -> zstandard.ZstdCompressor:
+    """The same parameters for all inputs and dictionaries, so that sizes can be compared."""
+    fixed = zstandard.ZstdCompressionParameters(
+        window_log=14, chain_log=12, hash_log=12, search_log=4, min_match=3, target_length=32, strategy=zstandard.STRATEGY_LAZY2, write_content_size=False, write_checksum=False
+    )
+    return zstandard.ZstdCompressor(compression_params=fixed, **more)
+
+
+class Template:
+    """A template's words, the differences it allows, its anchors, its compressor and what it saves on itself."""
+
+    def __init__(self, name: str, text: str, max_difference: float, plain: zstandard.ZstdCompressor):
+        self.name, self.words = name, words(text)
+        self.most = int(max_difference * len(self.words))
+        different = sorted(set(self.words), key=lambda w: (-len(w), w))
+        count, kept = Counter(self.words), 0
+        self.anchors: list[str] = []
+        for word in different:  # differences may take away ``most`` words, wherever they stand
+            if kept > self.most:
+                break
+            self.anchors.append(word)
+            kept += count[word]
+        data = " ".join(self.words).encode("utf-8", "surrogatepass")
+        self.primed = _compressor(dict_data=zstandard.ZstdCompressionDict(data, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) if len(data) >= 8 else plain
+        self.own = max(1, len(plain.compress(data)) - len(self.primed.compress(data)))
+        #: Words of a window half; a notice is no longer.
+        self.reach = 1 << max(3, (len(self.words) + self.most - 1).bit_length())
+
+    @property
+    def always(self) -> bool:
+        """Whether so many differences are allowed that nothing need be kept."""
+        return len(self.words) <= self.most
+
+
+class Scanner:
+    """Templates by the length of their windows."""
+
+    def __init__(self, templates: Mapping[str, str], max_difference: float):
+        self.plain = _compressor()
+        self.templates = [t for t in (Template(n, x, max_difference, self.plain) for n, x in sorted(templates.items())) if t.words and not t.always]
+        self.classes: dict[int, list[Template]] = defaultdict(list)
+        for t in self.templates:
+            self.classes[t.reach].append(t)
+
+    def pattern(self) -> str:
+        """A pattern for texts that may hold an anchor, as Spark's engine reads it."""
+        anchors = sorted({w for t in self.templates for w in t.anchors})
+        return r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join("\\Q" + w.replace("\\E", "\\E\\\\E\\Q") + "\\E" for w in anchors) + ")" if anchors else "(?!)"
+
+    def ranked(self, window: list[str], templates: list[Template]) -> list[tuple[float, int, Template]]:
+        """``(share of its own size that it saves, bytes saved, template)``, best first, ties by name."""
+        data = " ".join(window).encode("utf-8", "surrogatepass")
+        alone = len(self.plain.compress(data))
+        saved = [(alone - len(t.primed.compress(data)), t) for t in templates]
+        return sorted(((n / t.own, n, t) for n, t in saved), key=lambda x: (-x[0], x[2].name))
+
+    def notices(self, mine: list[str]) -> list[tuple[str, int, int, int, int]]:
+        """``(template, bytes saved, differing words, begin, end)`` of every confirmed stretch."""
+        out = []
+        for reach, templates in self.classes.items():
+            anchors = {w: [t for t in templates if w in t.anchors] for t in templates for w in t.anchors}
+            marked: dict[int, set[str]] = defaultdict(set)
+            for i, word in enumerate(mine):
+                for t in anchors.get(word, ()):
+                    marked[i // reach].add(t.name)
+                    if i >= reach:
+                        marked[i // reach - 1].add(t.name)
+            near: dict[str, list[tuple[int, int, int, int]]] = defaultdict(list)
+            for w, names in sorted(marked.items()):
+                window = mine[w * reach : (w + 2) * reach]
+                held = Counter(window)
+                for share, saved, t in self.ranked(window, [t for t in templates if t.name in names]):
+                    if share < LEAST_SAVING:
+                        break
+                    if (Counter(t.words) & held).total() >= len(t.words) - t.most:
+                        near[t.name] += [(cost, w * reach + a, w * reach + b, -saved) for cost, a, b in stretches(window, t.words, t.most)]
+            for name, found in near.items():
+                out += [(name, -less, cost, a, b) for cost, a, b, less in _disjoint(found)]
+        return out
+
+
 @lru_cache(maxsize=8)
-def _compressors(templates: tuple[tuple[str, str], ...]):
-    plain = zstandard.ZstdCompressor(level=3, write_content_size=False, write_checksum=False)
-    primed = {
-        name: zstandard.ZstdCompressor(
-            level=3, write_content_size=False, write_checksum=False, dict_data=zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        )
-        for name, text in templates
-    }
-    return plain, primed
+def scanner(templates: tuple[tuple[str, str], ...], max_difference: float) -> Scanner:
+    """A worker's scanner for given templates."""
+    return Scanner(dict(templates), max_difference)
 
 
 def savings(block: str, templates: Mapping[str, str] = TEMPLATES) -> list[tuple[int, str]]:
-    """``(bytes saved, template)`` by compression, best first, ties by name."""
-    plain, primed = _compressors(tuple(sorted(templates.items())))
-    data = block.encode("utf-8", "surrogatepass")
-    alone = len(plain.compress(data))
-    return sorted(((alone - len(c.compress(data)), name) for name, c in primed.items()), key=lambda x: (-x[0], x[1]))
+    """``(bytes saved, template)`` by compression of a block's words, in the order of ``Scanner.ranked``."""
+    held = scanner(tuple(sorted(templates.items())), MAX_DIFFERENCE)
+    return [(saved, t.name) for _, saved, t in held.ranked(words(block), held.templates)]
+
+
+def _disjoint(found: list[tuple]) -> list[tuple]:
+    """Of ``(differences, begin, end, …)`` that overlap the closest, the first of equals."""
+    taken: list[tuple] = []
+    for one in sorted(found):
+        at = bisect(taken, one[1], key=lambda x: x[1])
+        if (at == 0 or taken[at - 1][2] <= one[1]) and (at == len(taken) or one[2] <= taken[at][1]):
+            taken.insert(at, one)
+    return taken
 
 
 def stretches(mine: list[str], theirs: list[str], most: int) -> list[tuple[int, int, int]]:
@@ -91,49 +175,7 @@ def stretches(mine: list[str], theirs: list[str], most: int) -> list[tuple[int,
             last, first, costs[i], begins[i] = costs[i], begins[i], cost, begin
         if costs[-1] <= most and begins[-1] < j:
             near.append((costs[-1], begins[-1], j))
-    taken: list[tuple[int, int, int]] = []
-    for cost, begin, end in sorted(near):
-        at = bisect(taken, begin, key=lambda x: x[1])
-        if (at == 0 or taken[at - 1][2] <= begin) and (at == len(taken) or end <= taken[at][1]):
-            taken.insert(at, (cost, begin, end))
-    return taken
-
-
-def _places(mine: list[str], theirs: list[str], most: int, at: Mapping[tuple[str, ...], list[int]]) -> list[tuple[int, int]]:
-    """Disjoint spans of ``mine`` that hold all its stretches; ``at`` has the positions of single words and of pairs.
-
-    ``most`` differences cut what is in common into ``most + 1`` runs at most, so
-    the longest one has that share of the words left: two or more, or one.
-    """
-    left = len(theirs) - most
-    if left <= 0:
-        return [(0, len(mine))]
-    run = 2 if left > most + 1 else 1
-    reach, spans = len(theirs) + most, []
-    for p in sorted({p for i in range(len(theirs) - run + 1) for p in at.get(tuple(theirs[i : i + run]), ())}):
-        if spans and p - reach <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], min(len(mine), p + reach))
-        else:
-            spans.append((max(0, p - reach), min(len(mine), p + reach)))
-    wanted = Counter(theirs)
-    return [(a, b) for a, b in spans if (wanted & Counter(mine[a:b])).total() >= left]
-
-
-def notices(mine: list[str], templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> list[tuple[str, int, int, int]]:
-    """``(template, differing words, begin, end)`` of every stretch that is a template within the bound, all templates."""
-    at, out = defaultdict(list), []
-    known = {w for text in templates.values() for w in words(text)}
-    for i, word in enumerate(mine):
-        if word in known:
-            at[(word,)].append(i)
-            if i and mine[i - 1] in known:
-                at[(mine[i - 1], word)].append(i - 1)
-    for name, text in templates.items():
-        theirs = words(text)
-        most = int(max_difference * len(theirs))
-        for a, b in _places(mine, theirs, most, at):
-            out += [(name, edits, a + begin, a + end) for edits, begin, end in stretches(mine[a:b], theirs, most)]
-    return out
+    return _disjoint(near)
 
 
 def differences(block: str, template: str) -> int:
@@ -142,12 +184,6 @@ def differences(block: str, template: str) -> int:
     return min((x[0] for x in stretches(words(block), theirs, len(theirs))), default=len(theirs))
 
 
-def _saved(mine: list[str], name: str, begin: int, end: int, templates: Mapping[str, str]) -> int:
-    """Bytes that the template saves on a stretch with as many words again on each side."""
-    around = " ".join(mine[max(0, 2 * begin - end) : 2 * end - begin])
-    return next(saved for saved, other in savings(around, templates) if other == name)
-
-
 def scan_block(block: str, templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> list[tuple[str, int, int]]:
     """``(template, bytes saved, differing words)`` of every confirmed notice of a block, best first."""
     return sorted((x[2:] for x in scan_text(block, templates, max_difference)), key=lambda x: (x[2], -x[1], x[0]))
@@ -157,7 +193,8 @@ def scan_text(text: str, templates: Mapping[str, str] = TEMPLATES, max_differenc
     """``(line, number on that line, template, bytes saved, differing words)`` of every confirmed notice, by the line where it begins."""
     lines = [words(x) for x in text.split("\n")]
     mine, line_of = [w for line in lines for w in line], [i for i, line in enumerate(lines) for _ in line]
-    found = [(line_of[begin], edits, -_saved(mine, name, begin, end, templates), name, begin) for name, edits, begin, end in notices(mine, templates, max_difference)]
+    held = scanner(tuple(sorted(templates.items())), max_difference)
+    found = [(line_of[begin], edits, -saved, name, begin) for name, saved, edits, begin, _ in held.notices(mine)]
     out: list[tuple[int, int, str, int, int]] = []
     for line, edits, cost, name, _ in sorted(found):
         out.append((line, out[-1][1] + 1 if out and out[-1][0] == line else 0, name, -cost, edits))
@@ -165,8 +202,8 @@ def scan_text(text: str, templates: Mapping[str, str] = TEMPLATES, max_differenc
 
 
 def _scan(docs: DataFrame, id_col: str, text_col: str, templates: Mapping[str, str] = TEMPLATES, max_difference: float = MAX_DIFFERENCE) -> DataFrame:
-    # marks and line ends may stand between the words of a candidate
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE.replace(" ", r"[\W_]+")))
+    held = Scanner(templates, max_difference)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(held.pattern()))
     fixed = dict(templates)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +221,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     ``line``, from 0, is that where the notice begins.  Where templates share words,
     each one within the bound has its row.  Null and empty texts have none; rows that
-    repeat an id each give their own.
+    repeat an id each give their own; an empty table gives an empty one.
     """
     return _scan(docs, id_col, text_col, templates, max_difference).drop("nth")
 
@@ -193,7 +230,7 @@ def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """``(doc_id, n_lines, licenses, least_differences)`` for every document id.
 
     ``n_lines`` counts the lines where notices begin; ``licenses`` joins the sorted names, up to any ``#``, with ``;`` (empty: none found),
-    ``least_differences`` is null then.  Repeated ids give one row.
+    ``least_differences`` is null then.  Repeated ids give one row; an empty table gives an empty one.
     """
     found = _scan(docs, id_col, text_col, **options)
     summed = found.groupBy("doc_id").agg(
