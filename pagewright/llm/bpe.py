@@ -1,21 +1,25 @@
 """Byte-level BPE by a rank file: overlapping chunks, stitched, then encoded.
 
 Short texts are encoded where they are read.  A longer text is cut into
-windows of ``chunk`` characters plus an ``overlap`` into the next; the windows
-are pre-tokenised in parallel.  Where the piece boundaries of a window and of
+windows of ``chunk`` characters plus an ``overlap`` into the next; the windows are
+dealt out and pre-tokenised in parallel.  Where the piece boundaries of a window and of
 its successor meet inside the overlap, the scan has resynchronised: from a
 boundary on, both scans see the same text and agree for good.  The text is cut
 at the first such place (after a character that isn't white space, so that a
 run of white space is never split), and the pieces between two cuts are
-encoded, in parallel again.  A text with an overlap where nothing meets is
-encoded whole.  Decoding concatenates the bytes of the ids.
+encoded, in parallel again.  Only the boundaries of a text's windows come together in one task.
+
+A window counts as synchronised only if the one before it is.  From the first that does not
+meet its predecessor, a text is read on in order (``resume``): scanned window by window until the scan
+meets a window's own boundaries, cut where windows meet after that.  Decoding concatenates
+the bytes of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -52,6 +56,42 @@ def boundaries(window: str, pattern: regex.Pattern, first: int, last: int) -> li
     return [p for p in ends if first <= p < last and not window[p - 1].isspace()]
 
 
+def resume(rows: Iterable[tuple[str, int, bool, str, int | None]], pattern: regex.Pattern, chunk: int) -> Iterator[tuple[str, int, str]]:
+    """``(key, c, span)`` of texts' windows ``(key, c, last, w, from)`` in order, the first of each text synchronised.
+
+    While a window is synchronised, the next one's ``from`` is a place to cut.  Else the text
+    since the last cut is scanned with the window, cut at its last boundary, and the window is
+    synchronised if its own scan has one of the boundaries.  While none is found, as much
+    text again is gathered before the next scan.
+    """
+    text, held, size, enough, synced = None, [], 0, 0, True
+    for key, c, last, w, start in rows:
+        body = w if last else w[:chunk]
+        if key != text:
+            text, held, enough, synced = key, [body[start:]], 0, True
+        elif synced and start is not None:
+            yield key, c - 1, "".join(held) + w[:start]
+            held = [body[start:]]
+        else:
+            synced = False
+            if last or size + len(w) >= enough:
+                pending = "".join(held)
+                whole, most = pending + w, len(pending) + len(body)
+                ends = [p for p in boundaries(whole, pattern, 1, len(whole)) if p <= most]
+                if ends:
+                    own = set(boundaries(w, pattern, 1, len(w)))
+                    synced, enough = any(p - len(pending) in own for p in ends), 0
+                    yield key, c - 1, whole[: ends[-1]]
+                    held = [whole[ends[-1] : most]]
+                else:
+                    held, enough = [pending, body], 2 * len(whole)
+            else:
+                held.append(body)
+        size = sum(map(len, held))
+        if last and size:
+            yield key, c, "".join(held)
+
+
 def _digest(ids: list[int], ranks_path: str, pattern: str) -> tuple[int, str, str]:
     text = decode(ids, ranks_path, pattern)
     return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text).hexdigest()
@@ -73,7 +113,7 @@ def encode_documents(
 
     One row for each row of ``docs``, repeated and null ids included.  Null
     and empty texts have no ids.  ``decoded_sha256`` is that of the bytes that
-    decoding the ids gives.  Other columns of ``docs`` are not read.
+    decoding the ids gives; an empty table gives an empty one.  Other columns of ``docs`` are not read.
     """
     if not 0 < overlap < chunk:
         raise ValueError("the overlap must be positive and smaller than a chunk")
@@ -94,38 +134,55 @@ def encode_documents(
     long = base.where(F.length("x") > chunk).withColumn("key", F.sha2("x", 256))
     texts = long.select("key", "x").dropDuplicates(["key"])
     start = F.col("c") * chunk
-    windows = texts.withColumn("c", F.explode(F.sequence(F.lit(0), F.floor((F.length("x") - 1) / chunk).cast("int")))).select(
-        "key", "c", F.substring("x", start + 1, F.lit(chunk + overlap)).alias("w")
-    )
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, x in zip(batch.column("key").to_pylist(), batch.column("x"), strict=True):
+                text = x.as_py()
+                starts = range(0, len(text), chunk)
+                for low in range(0, len(starts), 32):
+                    some = starts[low : low + 32]
+                    columns = [pa.array([key] * len(some)), pa.array([s // chunk for s in some], pa.int32()), pa.array([s + chunk >= len(text) for s in some])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array([text[s : s + chunk + overlap] for s in some])], names=["key", "c", "last", "w"])
+
+    windows = texts.mapInArrow(cut, "key string, c int, last boolean, w string").repartition(tasks, "key", "c")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = regex.compile(pattern)
         for batch in batches:
             head, tail = [], []
-            for w in batch.column("w").to_pylist():
-                ends = boundaries(w, pieces, 1, chunk + overlap)
+            for w in batch.column("w"):
+                ends = boundaries(w.as_py(), pieces, 1, chunk + overlap)
                 head.append([p for p in ends if p < overlap])
                 tail.append([p - chunk for p in ends if p >= chunk])
             kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, kind), pa.array(tail, kind)], names=["key", "c", "w", "head", "tail"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("c"), pa.array(head, kind), pa.array(tail, kind)], names=["key", "c", "head", "tail"])
 
-    scanned = windows.mapInArrow(scan, "key string, c int, w string, head array<int>, tail array<int>")
+    scanned = windows.mapInArrow(scan, "key string, c int, head array<int>, tail array<int>")
     text = Window.partitionBy("key")
     order = text.orderBy("c")
     met = F.array_min(F.array_intersect(F.col("head"), F.lag("tail").over(order)))
-    # a window in which no boundary of its own meets one of the window before goes on with that one
-    placed = scanned.withColumn("from", F.when(F.col("c") == 0, 0).otherwise(met))
-    placed = placed.withColumn("until", F.lead("from").over(order)).withColumn("last", F.lead("c").over(order).isNull()).withColumn("run", F.count("from").over(order))
-    first, upto = F.coalesce("from", F.lit(0)), F.when(F.col("last"), F.length("w")).otherwise(F.coalesce("until", F.lit(0)) + chunk)
-    alone = F.col("from").isNotNull() & (F.col("last") | F.col("until").isNotNull())
-    spans = placed.select("key", "c", "run", alone.alias("alone"), F.substring("w", first + 1, upto - first).alias("span"))
-    unmet = spans.where("not alone").groupBy("key", "run").agg(F.min("c").alias("c"), F.array_sort(F.collect_list(F.struct("c", "span"))).getField("span").alias("spans"))
-    spans = spans.where("alone").select("key", "c", "span").unionByName(unmet.select("key", "c", F.array_join("spans", "").alias("span")))
+    placed = scanned.select("key", "c", F.when(F.col("c") == 0, 0).otherwise(met).alias("from")).withColumn("until", F.lead("from").over(order))
+    lost = F.min(F.when(F.col("from").isNull(), F.col("c"))).over(text)  # the first window that does not meet the one before
+    placed = placed.withColumn("in_order", F.coalesce(F.col("c") >= lost - 1, F.lit(False)))
+    found = windows.join(placed, ["key", "c"])
+    upto = F.when(F.col("last"), F.length("w")).otherwise(F.col("until") + chunk)
+    spans = found.where("not in_order").select("key", "c", F.substring("w", F.col("from") + 1, upto - F.col("from")).alias("span"))
+    resumed = found.where("in_order").select("key", "c", "last", "w", "from").repartition(tasks, "key").sortWithinPartitions("key", "c")
+
+    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = regex.compile(pattern)
+        rows = (tuple(x.as_py() for x in row) for batch in batches for row in zip(*batch.columns, strict=True))
+        for key, c, span in resume(rows, pieces, chunk):
+            yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([c], pa.int32()), pa.array([span])], names=["key", "c", "span"])
+
+    spans = spans.unionByName(resumed.mapInArrow(go_on, "key string, c int, span string").repartition(tasks, "key", "c"))
 
     def encode_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(ranks_path, pattern)
         for batch in batches:
-            ids = [np.asarray(bpe.encode_ordinary(s), dtype=np.int32) for s in batch.column("span").to_pylist()]
+            ids = [np.asarray(bpe.encode_ordinary(s.as_py()), dtype=np.int32) for s in batch.column("span")]
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("c"), pa.array(ids, pa.list_(pa.int32()))], names=["key", "c", "ids"])
 
     pieces = spans.mapInArrow(encode_spans, "key string, c int, ids array<int>")
