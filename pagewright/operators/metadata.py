@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 from ..functions.acronym_dictionary import COMMON_WORDS, KNOWN
+from ..session import settled
 
 #: Pattern, kind of reference; the pattern's place is the order of precedence.
 XREF_PATTERNS = (
@@ -88,14 +89,21 @@ def top_acronyms(counted: DataFrame, n: int = 20) -> DataFrame:
 
 
 def expand_acronyms(text, pairs):
-    """Column: for each ``(acronym, definition)`` of the array, in order, its first occurrence becomes ``definition (acronym)``."""
+    """Column: for each ``(acronym, definition)`` of the array, in order, its first occurrence becomes ``definition (acronym)``.
+
+    One pass over the text finds its acronyms; only pairs of these go on to the ordered fold, and
+    those that it can't tell of: acronyms that a definition brings in, or not made of capitals alone.
+    """
 
     def put(done, pair):
         at = F.regexp_instr(done, F.concat(F.lit(r"\b\Q"), pair["acronym"], F.lit(r"\E\b")))
         whole = F.concat(pair["definition"], F.lit(" ("), pair["acronym"], F.lit(")"))
         return F.when(at > 0, F.overlay(done, whole, at, F.length(pair["acronym"]))).otherwise(done)
 
-    return F.aggregate(pairs, text, put)
+    brought = F.flatten(F.transform(pairs, lambda p: T.acronyms(p["definition"])))
+    named = F.array_distinct(F.concat(T.acronyms(text), brought))
+    kept = lambda names: F.filter(pairs, lambda p: F.array_contains(names, p["acronym"]) | ~p["acronym"].rlike("^[A-Z]{2,}$"))
+    return F.aggregate(F.transform(F.array(named), kept)[0], text, put)
 
 
 def hierarchy(sections: DataFrame) -> DataFrame:
@@ -110,17 +118,23 @@ def hierarchy(sections: DataFrame) -> DataFrame:
     return joined.select("doc_id", "section_number", "s.title", "s.level", "s.parent", F.coalesce("children", F.array().cast("array<string>")).alias("children"))
 
 
-def section_paths(nodes: DataFrame, max_depth: int = 12) -> DataFrame:
-    """``(doc_id, section_number, path)``: numbers from the top to the section.
+def section_paths(nodes: DataFrame) -> DataFrame:
+    """``(doc_id, section_number, path)``: numbers from the top to the section, at any depth.
 
-    The walk over parents ends at the first that has no row of its own, which
-    is still part of the path.  One equi-join a level; numbers have few levels.
+    The walk over parents ends at the first that has no row of its own, which is still part of
+    the path.  Every round puts before each path that of its first section's parent, so known paths double
+    in length: one equi-join a round, as many as the depth has bits.  Parents that lead in a circle are an error.
     """
-    up = nodes.select("doc_id", F.col("section_number").alias("at"), F.col("parent").alias("above"))
-    walk = nodes.select("doc_id", "section_number", F.array("section_number").alias("path"), F.col("parent").alias("next"))
-    for _ in range(max_depth):
-        met = walk.join(up, (walk["doc_id"] == up["doc_id"]) & (walk["next"] == up["at"]), "left").select(walk["doc_id"], "section_number", "path", "next", "above")
-        walk = met.select("doc_id", "section_number", F.when(F.col("next").isNull(), F.col("path")).otherwise(F.concat(F.array("next"), F.col("path"))).alias("path"), F.col("above").alias("next"))
+    walk = settled(nodes.select("doc_id", "section_number", F.array("section_number").alias("path"), F.col("parent").alias("next")))
+    most, rounds = walk.count(), 0
+    while walk.where("next is not null").limit(1).count():
+        if 1 << rounds > 2 * most:
+            raise ValueError("sections that are their own ancestors")
+        up = walk.select("doc_id", F.col("section_number").alias("next"), F.col("path").alias("before"), F.col("next").alias("above"))
+        met = walk.join(up, ["doc_id", "next"], "left")
+        longer = F.when(F.col("next").isNotNull(), F.concat(F.coalesce("before", F.array("next")), F.col("path"))).otherwise(F.col("path"))
+        walk = settled(met.select("doc_id", "section_number", longer.alias("path"), F.col("above").alias("next")))
+        rounds += 1
     return walk.select("doc_id", "section_number", "path")
 
 

@@ -103,7 +103,7 @@ def hop_sections(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, also_vis
     """``(query_id, doc_id, section_number, depth)`` reached over ``edges (doc_id, source, target)`` from ``seeds (query_id, doc_id, section_number)``.
 
     Breadth first, each section at its least depth, seeds and ``also_visited``
-    left out; one equi-join and one anti-join a hop.
+    left out; one equi-join and one anti-join a hop, none once a hop reaches nothing new.
     """
     edges = of_document(edges)
     frontier, found = of_document(seeds).select("query_id", *SECTION).distinct(), None
@@ -111,7 +111,9 @@ def hop_sections(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, also_vis
     links = edges.select("doc_id", F.col("source").alias("section_number"), F.col("target").alias("to")).distinct()
     for depth in range(max_hops):
         reached = frontier.join(links, SECTION).select("query_id", "doc_id", F.col("to").alias("section_number")).distinct()
-        frontier = reached.join(visited, ["query_id", *SECTION], "left_anti")
+        frontier = settled(reached.join(visited, ["query_id", *SECTION], "left_anti"))
+        if found is not None and not frontier.limit(1).count():
+            break
         layer = frontier.withColumn("depth", F.lit(depth))
         found = layer if found is None else found.unionByName(layer)
         visited = visited.unionByName(frontier)

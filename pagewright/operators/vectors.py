@@ -165,12 +165,13 @@ def build_index(index: DataFrame, kind: str = "flat", **options) -> DataFrame |
     raise ValueError(f"unknown index type {kind!r}")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "chunk_id", columns: tuple[str, ...] = ("content", "embedding")) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str | tuple[str, ...] = "chunk_id", columns: tuple[str, ...] = ("content", "embedding")) -> DataFrame:
     """``old`` with the columns of ``new`` where it has the key, and the rows of ``new`` that are new."""
-    fresh = new.select(key, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))
-    joined = old.join(fresh, key, "left")
+    keys = [key] if isinstance(key, str) else list(key)
+    fresh = new.select(*keys, *[F.col(c).alias(f"__{c}") for c in columns], F.lit(True).alias("__hit"))
+    joined = old.join(fresh, keys, "left")
     changed = joined.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in old.columns])
-    added = new.join(old.select(key), key, "left_anti")
+    added = new.join(old.select(*keys), keys, "left_anti")
     return changed.unionByName(added, allowMissingColumns=True)
 
 

@@ -6,6 +6,8 @@ says the query another way; queries without SQL are tested in ``tests/``.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,7 +17,8 @@ from ..functions import vectors as V
 from ..functions.acronym_dictionary import COMMON_WORDS, KNOWN
 from ..operators import chunking, citations, evaluation, metadata, retrieval, structure
 from ..operators import vectors as S
-from ..sources.tables import table
+from ..session import shared_dir
+from ..sources.tables import load_store, merge_store, save_store, table
 from . import corpus
 from .registry import ORACLES, QUERIES, Query, query
 from .registry import six as _six
@@ -189,9 +192,14 @@ def acr_stop(spark, sf_dir):
     return metadata.drop_common_words(found).groupBy("acronym").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_KNOWN_SQL} SELECT acronym, definition FROM known")
+@query(
+    f"""WITH {_KNOWN_SQL}, w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM documents)
+SELECT acronym, definition, count(w.doc_id) AS n_docs FROM known LEFT JOIN w ON w.w = acronym GROUP BY 1, 2"""
+)
 def acr_dict(spark, sf_dir):
-    return metadata.acronym_dictionary(spark)
+    """The dictionary, with the number of documents that name each acronym."""
+    named = table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(T.acronyms(F.col("text")))).alias("acronym")).groupBy("acronym").agg(F.count("*").alias("n"))
+    return metadata.acronym_dictionary(spark).join(named, "acronym", "left").select("acronym", "definition", F.coalesce("n", F.lit(0)).alias("n_docs"))
 
 
 @query(
@@ -458,9 +466,12 @@ def by_id(spark, sf_dir):
 
 @query(f"SELECT chunk_id, CASE WHEN chunk_type = 'diagram_ref' THEN upper(content) ELSE content END AS content FROM ({corpus.CHUNKS}) c")
 def upsert_diagrams(spark, sf_dir):
+    """New descriptions of diagrams merged into stored chunks; only buckets with a diagram are written anew."""
+    path = f"{shared_dir(spark)}/catalogue-{uuid.uuid4().hex}"
     chunks = corpus.chunks(spark, sf_dir).select("chunk_id", "chunk_type", "content")
-    fresh = chunks.where("chunk_type = 'diagram_ref'").withColumn("content", F.upper("content"))
-    return S.upsert(chunks, fresh, columns=("content",)).select("chunk_id", "content")
+    save_store(chunks, path, {})
+    merge_store(spark, path, chunks.where("chunk_type = 'diagram_ref'").withColumn("content", F.upper("content")), ("content",))
+    return load_store(spark, path).select("chunk_id", "content")
 
 
 # --- retrieval --------------------------------------------------------------

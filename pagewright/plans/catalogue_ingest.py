@@ -82,6 +82,19 @@ def doc_title(spark, sf_dir):
     return structure.document_titles(docs, _items(spark, sf_dir))
 
 
+@query(
+    f"""WITH {_numbered(_HEADS + " WHERE contains(lower(label), 'section')")},
+heads AS (SELECT n.doc_id, n.seq, i.page, n.section_number, i.text FROM numbered n JOIN ({_ITEMS}) i ON i.doc_id = n.doc_id AND i.seq = n.seq),
+d AS (SELECT doc_id, page, 'diagram_' || row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS diagram_id FROM ({_ITEMS}) i WHERE lower(label) IN ('figure', 'picture'))
+SELECT d.doc_id, diagram_id, d.page, arg_min(section_number, seq) AS section_number, arg_min(text, seq) AS section_title FROM d LEFT JOIN heads h ON h.doc_id = d.doc_id AND h.page = d.page GROUP BY ALL"""
+)
+def diagram_section_docling(spark, sf_dir):
+    """Diagrams of a layout parser with the first of its sections on their page."""
+    items = _items(spark, sf_dir)
+    rows = structure.sections_of_diagrams(structure.diagrams_from_items(items), structure.sections_from_items(items))
+    return rows.select("doc_id", "diagram_id", "page", "section_number", "section_title")
+
+
 @query(f"SELECT doc_id, 'diagram_' || row_number() OVER (PARTITION BY doc_id ORDER BY seq) AS diagram_id, text AS caption, page, (seq % 9) || '-2' AS figure_number FROM ({_ITEMS}) i WHERE seq % 7 = 3 AND seq % 6 <> 0 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL WHERE FALSE")
 def diagram_docling(spark, sf_dir):
     found = structure.diagrams_from_items(_items(spark, sf_dir).where("seq % 6 <> 0"))
@@ -185,10 +198,12 @@ SELECT l_suppkey AS doc_id, l_orderkey * 10 + l_linenumber AS seq, CAST(l_linenu
 """
 
 
-@query(f"WITH i AS ({_IMAGES}), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, xref ORDER BY page, seq) AS rn FROM i WHERE n_bytes >= 10000 AND width >= 100 AND height >= 100 AND coalesce(caption, '') <> '') SELECT doc_id, seq, page, caption FROM f WHERE rn = 1")
+@query(f"WITH i AS ({_IMAGES}), f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, xref ORDER BY page, seq) AS rn FROM i WHERE n_bytes >= 10000 AND width >= 100 AND height >= 100 AND coalesce(caption, '') <> '') SELECT doc_id, seq, page, caption, md5('image ' || seq || ' of ' || xref) AS image_md5 FROM f WHERE rn = 1")
 def image_extract(spark, sf_dir):
-    """Images large enough and with a caption, one a number."""
-    return structure.pick_images(corpus.sql(spark, sf_dir, _IMAGES)).select("doc_id", "seq", "page", "caption")
+    """Images large enough and with a caption, one a number, with their bytes."""
+    image = F.encode(F.concat(F.lit("image "), "seq", F.lit(" of "), "xref"), "UTF-8")
+    found = structure.pick_images(corpus.sql(spark, sf_dir, _IMAGES).withColumn("image", image))
+    return found.select("doc_id", "seq", "page", "caption", F.md5("image").alias("image_md5"))
 
 
 @query(
@@ -379,34 +394,41 @@ def sink_chunks(spark, sf_dir):
 
 @query(f"SELECT chunk_id, chunk_type, section_number, page_start, content FROM ({corpus.CHUNKS}) c")
 def src_json_chunks(spark, sf_dir):
-    """Chunks of a JSON array in a file."""
+    """Chunks of JSON arrays, a file for the chunks of each part of the corpus."""
     path, columns = _scratch(spark), ["chunk_id", "chunk_type", "section_number", "page_start", "content"]
-    rows = corpus.chunks(spark, sf_dir).select(F.struct(*columns).alias("c"))
-    rows.agg(F.to_json(F.collect_list("c")).alias("value")).coalesce(1).write.text(path)  # a small file, as the source has it
+    rows = corpus.chunks(spark, sf_dir).select(_part(F.col("section_number")).alias("part"), F.struct(*columns).alias("c"))
+    rows.groupBy("part").agg(F.to_json(F.collect_list("c")).alias("value")).write.partitionBy("part").text(path)
     return tables.read_chunks(spark, path).select(columns)
 
 
-def _document(spark, sf_dir) -> DataFrame:
-    """The corpus as one nested document."""
-    sections = corpus.sections(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("section_seq", "section_number", "title", "content", "page_start", "page_end", "level", "parent_section"))).alias("sections"))
-    return sections.select(F.lit("Corpus").alias("title"), "sections", F.array(F.struct(F.lit("t1").alias("table_id"), F.array(F.lit("a")).alias("headers"))).alias("tables"), F.lit("raw").alias("raw_text"))
+def _part(number):
+    """The first two numbers of a section: the parts that the corpus is stored in, one document each."""
+    return F.substring_index(number, ".", 2)
 
 
-@query(f"SELECT (section_seq - 1) AS section_seq, section_number, title, content, page_start, level, parent_section FROM ({corpus.SECTIONS}) s")
+@query(
+    f"""WITH s AS (SELECT *, array_to_string(string_split(section_number, '.')[1:2], '.') AS part FROM ({corpus.SECTIONS}) x)
+SELECT part AS title, row_number() OVER (PARTITION BY part ORDER BY section_seq) - 1 AS section_seq, section_number, s.title AS section_title, content, page_start, level, parent_section FROM s"""
+)
 def src_json_doc(spark, sf_dir):
-    """Sections of a parsed document in JSON."""
-    path = _scratch(spark)
-    _document(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.text(path)
-    return tables.read_documents(spark, path)["sections"].select("section_seq", "section_number", "title", "content", "page_start", "level", "parent_section")
-
-
-@query(f"SELECT 'sections' AS part, count(*) AS n FROM ({corpus.SECTIONS}) s UNION ALL SELECT 'chunks', count(*) FROM ({corpus.CHUNKS}) c")
+    """Sections of parsed documents in JSON, one file a document."""
+    path, part = _scratch(spark), _part(F.col("section_number")).alias("part")
+    one = F.struct("section_seq", "section_number", "title", "content", "page_start", "page_end", "level", "parent_section")
+    docs = corpus.sections(spark, sf_dir).groupBy(part).agg(F.array_sort(F.collect_list(one)).alias("sections"))
+    docs = docs.select("part", F.to_json(F.struct(F.col("part").alias("title"), "sections", F.lit("raw").alias("raw_text"))).alias("value"))
+    docs.repartition("part").write.partitionBy("part").text(path)
+    held = tables.read_documents(spark, path)
+    rows = held["sections"].withColumnRenamed("title", "section_title").join(held["documents"].select("doc_id", "title"), "doc_id")
+    return rows.select("title", "section_seq", "section_number", "section_title", "content", "page_start", "level", "parent_section")
+
+
+@query(f"SELECT 'sections' AS part, section_number AS name, title, content FROM ({corpus.SECTIONS}) s UNION ALL SELECT 'chunks', chunk_id, section_title, content FROM ({corpus.CHUNKS}) c")
 def sink_doc(spark, sf_dir):
-    """The relations of documents written as one folder each, and what is found there."""
+    """The relations of documents written as one folder each, and the rows that are found there."""
     path = _scratch(spark)
     tables.write_documents({"sections": corpus.sections(spark, sf_dir), "chunks": corpus.chunks(spark, sf_dir)}, path)
-    counted = lambda name: spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("part"), F.count("*").alias("n"))
-    return counted("sections").unionByName(counted("chunks"))
+    part = lambda name, key, title: spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("part"), F.col(key).alias("name"), F.col(title).alias("title"), "content")
+    return part("sections", "section_number", "title").unionByName(part("chunks", "chunk_id", "section_title"))
 
 
 @query(base.ORACLES["xref_dedup"])
@@ -419,10 +441,12 @@ def sink_meta(spark, sf_dir):
 
 @query(f"SELECT query_id, query, 'kind' || (query_id % 5) AS category, (query_id % 5 + 1)::VARCHAR AS expected_sections FROM ({corpus.QUESTIONS}) q")
 def src_queries(spark, sf_dir):
-    """Gold questions of a JSON array."""
+    """Gold questions of JSON arrays, a file for a hundred conversations."""
     path = _scratch(spark)
-    asked = corpus.questions(spark, sf_dir).select(F.col("query_id").cast("int").alias("id"), "query", F.concat(F.lit("kind"), F.col("query_id") % 5).alias("category"), F.array((F.col("query_id") % 5 + 1).cast("string")).alias("expected_sections"))
-    asked.agg(F.to_json(F.collect_list(F.struct("*"))).alias("value")).coalesce(1).write.text(path)
+    kind, expected = F.concat(F.lit("kind"), F.col("query_id") % 5), F.array((F.col("query_id") % 5 + 1).cast("string"))
+    gold = F.struct(F.col("query_id").cast("int").alias("id"), "query", kind.alias("category"), expected.alias("expected_sections"))
+    asked = corpus.questions(spark, sf_dir).select(F.floor(F.col("query_id") / 10_000).alias("block"), gold.alias("q"))
+    asked.groupBy("block").agg(F.to_json(F.collect_list("q")).alias("value")).write.partitionBy("block").text(path)
     return tables.read_questions(spark, path).select(F.col("query_id").cast("long").alias("query_id"), "query", "category", F.array_join("expected_sections", ",").alias("expected_sections"))
 
 
@@ -484,18 +508,23 @@ def src_docling(spark, sf_dir):
 
 
 _SETTINGS = {"chunking": {"chunk_size": 500}, "retrieval": {"strategy": "vector"}}
-_PLACES = ("chunking.chunk_size", "chunking.chunk_overlap", "retrieval.strategy", "retrieval.top_k", "groq.api_key", "no.such")
 
 
-@query("SELECT * FROM (VALUES ('chunking.chunk_size', '500'), ('chunking.chunk_overlap', '150'), ('retrieval.strategy', 'vector'), ('retrieval.top_k', '5'), ('groq.api_key', 'key'), ('no.such', NULL)) t(place, value)")
+@query("SELECT doc_id, ceil((length(text) // 4) / 500)::BIGINT AS parts, (length(text) // 4) > 150 AS overlaps, 'vector' AS strategy, 5 AS top_k, 'key' AS api_key, NULL::VARCHAR AS missing FROM documents")
 def src_config(spark, sf_dir):
-    """Settings over defaults, with a key from the environment."""
+    """Settings over defaults, with a key from the environment, at work on documents."""
     held = config.Config.load(_SETTINGS, {"GROQ_API_KEY": "key"})
-    return spark.createDataFrame([(p, None if held.get(p) is None else str(held.get(p))) for p in _PLACES], "place string, value string")
+    tokens = T.token_count(F.col("text"))
+    parts, overlaps = F.ceil(tokens / held.get("chunking.chunk_size")), tokens > held.get("chunking.chunk_overlap")
+    kept = {"strategy": "retrieval.strategy", "top_k": "retrieval.top_k", "api_key": "groq.api_key"}
+    missing = F.lit(held.get("no.such")).cast("string").alias("missing")
+    return table(spark, sf_dir, "documents").select("doc_id", parts.alias("parts"), overlaps.alias("overlaps"), *[F.lit(held.get(p)).alias(n) for n, p in kept.items()], missing)
 
 
-@query("SELECT * FROM (VALUES ('yes', 'bool', 'True'), ('0', 'bool', 'False'), (' On ', 'bool', 'True'), ('12', 'int', '12'), ('0.5', 'float', '0.5'), ('x', 'str', 'x')) t(value, kind, read)")
+@query("SELECT doc_id, (length(text) // 4) >= 50 AS enough, round((length(text) // 4) * 0.5, 6)::DOUBLE AS weight, TRUE AS whole, lang FROM documents WHERE lang = 'en'")
 def src_env(spark, sf_dir):
-    """Environment strings as the kinds of their settings."""
-    rows = [("yes", bool), ("0", bool), (" On ", bool), ("12", int), ("0.5", float), ("x", str)]
-    return spark.createDataFrame([(v, k.__name__, str(config.cast(v, k))) for v, k in rows], "value string, kind string, read string")
+    """Environment strings as the kinds of their settings, at work on documents."""
+    least, share, whole = config.cast("50", int), config.cast("0.5", float), config.cast(" On ", bool)
+    tokens = T.token_count(F.col("text"))
+    rows = table(spark, sf_dir, "documents").where(F.col("lang") == config.cast("en", str))
+    return rows.select("doc_id", (tokens >= least).alias("enough"), F.round(tokens * share, 6).alias("weight"), F.lit(whole).alias("whole"), "lang")

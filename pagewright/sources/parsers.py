@@ -91,22 +91,44 @@ def parse_layout(files: DataFrame, make: Callable[[], LayoutParser]) -> DataFram
     return rows.withColumnRenamed("place", "seq")
 
 
-def describe_images(images: DataFrame, make: Callable[[], ImageDescriber], image_col: str = "image", caption_col: str = "caption") -> DataFrame:
-    """``images`` with the model's reply, told apart in parts as ``analysis``, and ``describe_error``."""
+#: What the rows say that a model was not asked for any more.
+NOT_TRIED = "not tried: the model refuses requests"
+
+
+class RateLimited(Exception):
+    """A model's way to say that it takes no more requests for now."""
+
+
+def describe_images(images: DataFrame, make: Callable[[], ImageDescriber], image_col: str = "image", caption_col: str = "caption", limit: int = 3) -> DataFrame:
+    """``images`` with the model's reply, told apart in parts as ``analysis``, and ``describe_error``.
+
+    A failure is a row's error.  After ``limit`` refusals (``RateLimited``) in a row a task asks no
+    more: its remaining rows say ``NOT_TRIED``, for ``describe_missing`` to ask later.
+    """
     kept = images.columns
     schema = images.withColumn("reply", F.lit(None).cast("string")).withColumn("describe_error", F.lit(None).cast("string")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = make()
+        model, refused = make(), 0
         for batch in batches:
             replies, errors = [], []
-            for image, caption in zip(batch.column(kept.index(image_col)).to_pylist(), batch.column(kept.index(caption_col)).to_pylist(), strict=True):
-                try:
-                    replies.append(model.describe(image or b"", caption or ""))
-                    errors.append(None)
-                except Exception as problem:  # noqa: BLE001  a failed image is data
-                    replies.append(None)
-                    errors.append(str(problem)[:500])
+            for image, caption in zip(batch.column(kept.index(image_col)), batch.column(kept.index(caption_col)), strict=True):
+                reply, error = None, NOT_TRIED
+                if refused < limit:
+                    try:
+                        reply, error, refused = model.describe(image.as_py() or b"", caption.as_py() or ""), None, 0
+                    except RateLimited as problem:
+                        error, refused = str(problem)[:500], refused + 1
+                    except Exception as problem:  # noqa: BLE001  a failed image is data
+                        error, refused = str(problem)[:500], 0
+                replies.append(reply)
+                errors.append(error)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(replies, pa.string()), pa.array(errors, pa.string())], names=[*kept, "reply", "describe_error"])
 
     return images.mapInArrow(work, schema).withColumn("analysis", F.when(F.col("reply").isNotNull(), T.split_reply(F.col("reply"))))
+
+
+def describe_missing(images: DataFrame, stored: DataFrame, make: Callable[[], ImageDescriber], key: tuple[str, ...], **options) -> DataFrame:
+    """Rows of ``describe_images`` for images without a reply among ``stored`` ones of an earlier run, told by ``key``."""
+    done = stored.where("reply is not null").select(*key).distinct()
+    return describe_images(images.join(done, list(key), "left_anti").select(*images.columns), make, **options)

@@ -6,8 +6,12 @@ import json
 import urllib.request
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
+
+from ..operators.vectors import upsert
+from ..session import settled
 
 PAGES = "doc_id bigint, page_no int, text string"
 SECTION = "struct<section_number:string,title:string,content:string,page_start:int,page_end:int,level:int,parent_section:string,subsections:array<string>>"
@@ -48,20 +52,27 @@ def page_tables(html_pages: DataFrame) -> DataFrame:
 
 
 def parse_with_fallback(first, second):
-    """A page source that turns to the second one when the first can't be read.
+    """A page source that turns to the second one where the first can't be read.
 
-    Sources are callables ``(spark, path) -> DataFrame``.  Spark is lazy, so the first row is asked for.
+    Sources are callables ``(spark, path) -> DataFrame``.  Spark is lazy, so the first one's rows are
+    worked out and kept in the shared folder: a file that fails late is noticed too.  Rows with an
+    ``error``, as ``parsers.parse_pages`` gives them, count as failed documents: these come from the second source.
     """
 
     def read(spark: SparkSession, path: str) -> DataFrame:
         try:
-            df = first(spark, path)
-            df.limit(1).collect()
-            return df
+            df = settled(first(spark, path))
         except Exception:
             if second is None:
                 raise
             return second(spark, path)
+        if second is None or "error" not in df.columns:
+            return df
+        failed = df.where("error is not null").select("doc_id").distinct()
+        if not failed.limit(1).count():
+            return df
+        other = second(spark, path).join(failed, "doc_id", "left_semi")
+        return df.join(failed, "doc_id", "left_anti").unionByName(other, allowMissingColumns=True)
 
     return read
 
@@ -101,20 +112,53 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(GOLD).option("multiLine", True).json(path).withColumnRenamed("id", "query_id")
 
 
-def save_store(chunks: DataFrame, path: str, config: dict) -> None:
-    """Chunks with their vectors as Parquet, and the settings beside them."""
-    chunks.write.mode("overwrite").parquet(f"{path}/chunks")
-    spark = chunks.sparkSession
-    spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+#: Folders that a store's chunks are dealt into.
+BUCKETS = 64
+_BUCKET = "__bucket"
+
+
+def _bucket(key: tuple[str, ...], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def save_store(chunks: DataFrame, path: str, config: dict, key: tuple[str, ...] = ("chunk_id",), buckets: int = BUCKETS) -> None:
+    """Chunks with their vectors as Parquet, a folder for each bucket of their keys, and the settings beside them."""
+    chunks.withColumn(_BUCKET, _bucket(key, buckets)).hint("rebalance", _BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(f"{path}/chunks")
+    spark, settings = chunks.sparkSession, config | {"key": list(key), "buckets": buckets, "schema": chunks.schema.json()}
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
+
+
+def _store(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    held = json.loads(spark.read.text(f"{path}/config").first()[0])
+    schema = StructType.fromJson(json.loads(held["schema"])).add(_BUCKET, IntegerType())
+    return held, spark.read.schema(schema).parquet(f"{path}/chunks")
 
 
 def load_store(spark: SparkSession, path: str, expected: dict | None = None) -> DataFrame:
     """The stored chunks; settings that differ from the expected ones are an error."""
-    held = json.loads(spark.read.text(f"{path}/config").first()[0])
+    held, rows = _store(spark, path)
     wrong = {k: (held.get(k), v) for k, v in (expected or {}).items() if held.get(k) != v}
     if wrong:
         raise ValueError(f"the store was built with other settings: {wrong}")
-    return spark.read.parquet(f"{path}/chunks")
+    return rows.drop(_BUCKET)
+
+
+def merge_store(spark: SparkSession, path: str, new: DataFrame, columns: tuple[str, ...]) -> list[int]:
+    """Put ``new`` rows into a store: ``columns`` of rows whose key it has, whole rows otherwise.  The buckets written anew.
+
+    Only the folders of buckets that hold a key of ``new`` are read and overwritten, by Spark's dynamic
+    partition overwrite, which moves finished files in at the end: the others keep their
+    files, and a run that fails before leaves the store as it was.
+    """
+    held, rows = _store(spark, path)
+    key = tuple(held["key"])
+    fresh = new.withColumn(_BUCKET, _bucket(key, held["buckets"]))
+    touched = sorted(r[0] for r in fresh.select(_BUCKET).distinct().collect())  # buckets at most
+    if touched:
+        old = rows.where(F.col(_BUCKET).isin(touched))
+        merged = settled(upsert(old, fresh, key, columns).select(*rows.columns))  # read before its folders are overwritten
+        merged.hint("rebalance", _BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_BUCKET).parquet(f"{path}/chunks")
+    return touched
 
 
 def write_report(results: DataFrame, summary: DataFrame, path: str) -> None:
