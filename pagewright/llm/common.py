@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegralType
 
 from ..session import settled, shared_dir
 
@@ -24,6 +25,22 @@ def cut(df: DataFrame) -> DataFrame:
     return settled(df)
 
 
+def no_reserved_names(df: DataFrame) -> DataFrame:
+    """``df``, if it has no column of a name that the operators add for themselves."""
+    wrong = [c for c in df.columns if c.lower().startswith("__pw_")]
+    if wrong:
+        raise ValueError(f"columns that begin with __pw_ are the operators' own: {', '.join(wrong)}")
+    return df
+
+
+def with_integer_ids(df: DataFrame, id_col: str) -> DataFrame:
+    """``df``, if its ids are integers; classes are numbered by them."""
+    kind = df.schema[id_col].dataType
+    if not isinstance(kind, IntegralType):
+        raise ValueError(f"{id_col} holds {kind.simpleString()}, not integers")
+    return df
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Remove a scratch path in whatever store holds it."""
     jvm = spark.sparkContext._jvm

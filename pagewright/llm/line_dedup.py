@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, delete_path, scratch_path
+from .common import cut, delete_path, no_reserved_names, scratch_path
 
 #: Line keys up to this many are broadcast (about 24 bytes each); beyond it the join is shuffled.
 BROADCAST_ROWS = 200_000
@@ -187,10 +187,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text stays null with 0 lines; an empty text stays.  Rows that repeat a doc_id
     and text are the same document and get the same result; a null doc_id
     comes first in the order.  ``__pw_lines`` counts the lines of a text (an
-    empty one has one), ``__pw_gone`` those taken out.
+    empty one has one), ``__pw_gone`` those taken out.  An empty table stays empty;
+    input columns named ``__pw_*`` are refused.
     """
     gone = removed_lines(docs, id_col, text_col, max_edits).select(F.col("d").alias("__pw_d"), F.col("th").alias("__pw_t"), F.col("gone").alias("__pw_list"))
-    keyed = docs.withColumn("__pw_th", F.xxhash64(text_col))
+    keyed = no_reserved_names(docs).withColumn("__pw_th", F.xxhash64(text_col))
     joined = keyed.join(gone, F.col(id_col).eqNullSafe(F.col("__pw_d")) & (F.col("__pw_th") == F.col("__pw_t")), "left").drop("__pw_d", "__pw_t", "__pw_th")
     pieces = F.split(F.col(text_col), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(pieces) - 1), F.col("__pw_list"))

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import no_reserved_names
+
 #: Source tables up to this many rows are broadcast; beyond it the join is shuffled.
 BROADCAST_SOURCES = 100_000
 SEED = "mix-1"
@@ -62,9 +64,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null and empty texts have size 0 and a rate like the rest of their source;
     a source of size 0 has rate 0.  Rows that repeat an id are decided alike, and
     of rows without an id those that repeat a text.
-    A null source is a source of its own.  An empty table stays empty.
+    A null source is a source of its own.  An empty table stays empty.  Columns named ``__pw_*`` are refused.
     """
-    sized = docs.withColumn("__pw_size", word_count(F.col(text_col)))
+    sized = no_reserved_names(docs).withColumn("__pw_size", word_count(F.col(text_col)))
     table = source_targets(sized.select(F.col(source_col).alias("source"), F.col("__pw_size").alias("size")), weights, cap)
     table = table.select(F.col("source").alias("__pw_source"), F.col("source_size").alias("__pw_source_size"), F.col("target").alias("__pw_target"))
     sources = docs.select(F.approx_count_distinct(source_col)).first()[0]

@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import with_integer_ids
+
 PROJECTIONS, THRESHOLD, CONFIDENCE = 128, 0.7, 0.8
 #: Vectors in a shard and queries in a block, about; what a task holds.
 SHARD, BLOCK = 32_768, 512
@@ -181,13 +183,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     ``vectors`` have.  A query's own id is no candidate, in whatever row.  With
     fewer than k candidates all are returned; an empty table gives no rows.
     Rows that repeat an id are candidates each; of queries that repeat an id the
-    one with the smallest vector is asked.
+    one with the smallest vector is asked.  Ids that are no integers are an error.
 
     Every shard meets every block of queries, once; only the best k of each
     pair leave a task.  Blocks are dealt to groups, as many as keep the cluster busy; a
     shard's sorted arrays are built once a group, and its blocks stream past.
     """
     spark = vectors.sparkSession
+    for df in (vectors, queries):
+        with_integer_ids(df, id_col)
     kept = lambda df: df.where(usable_vector(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     dim, n, longest = usual_length(kept(vectors), "v")
     points, asked = kept(vectors).where(F.size("v") == dim), kept(queries).where(F.size("v") == dim).groupBy("id").agg(F.min("v").alias("v"))
@@ -203,7 +207,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
         return dealt.groupBy(name).agg(F.collect_list(F.struct("id", "v")).alias("rows"))
 
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    index = packed(points, shards, "s", F.monotonically_increasing_id()).select("s", every(groups).alias("g"), F.lit(False).alias("asked"), "rows")
+    index = packed(points, shards, "s", F.xxhash64("v")).select("s", every(groups).alias("g"), F.lit(False).alias("asked"), "rows")
     blocks_of = packed(asked, blocks, "b", F.lit(7)).select(F.col("b"), every(shards).alias("s"), "rows").select("s", F.pmod("b", F.lit(groups)).cast("int").alias("g"), F.lit(True).alias("asked"), "rows")
     met = index.unionByName(blocks_of).repartitionById(shards * groups, F.col("s") * groups + F.col("g")).sortWithinPartitions("s", "g", "asked")
 
