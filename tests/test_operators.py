@@ -14,7 +14,7 @@ from pagewright.operators import vectors as S
 from pagewright.operators.chunking import ChunkSizes
 from pagewright.plans import catalogue, pipeline
 from pagewright.sources import tables as sources
-from pagewright.streaming.ingest import ingest_stream
+from pagewright.streaming.ingest import ingest_stream, stored_chunks
 
 SECTION = "doc_id long, section_seq long, section_number string, title string, content string, page_start int, page_end int, level int, parent_section string"
 
@@ -395,4 +395,24 @@ def test_stream_gives_the_batch_chunks(spark, tmp_path):
     book(spark).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(sources.PAGES).parquet(str(tmp_path / "in"))
     ingest_stream(stream, str(tmp_path / "out"), str(tmp_path / "ckpt")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == pipeline.ingest(book(spark)).chunks.count()
+    assert stored_chunks(spark, str(tmp_path / "out")).count() == pipeline.ingest(book(spark)).chunks.count()
+
+
+def test_pages_that_come_late_give_the_batch_chunks(spark, tmp_path):
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "ckpt"))
+    pages = book(spark).select("doc_id", "page_no", "text")
+    pages = pages.unionByName(pages.withColumn("doc_id", F.col("doc_id") + 1).withColumn("text", F.concat("text", F.lit(" more"))))
+    rows = lambda df: sorted(str(r) for r in df.select("doc_id", "chunk_seq", "chunk_id", "section_number", "page_start", "page_end", "content").collect())
+    numbers = sorted(r[0] for r in pages.select("page_no").distinct().collect())
+    odd = spark.createDataFrame([(None, 1, "x"), (1, None, "y")], sources.PAGES)
+    for part in ([n for n in numbers if n % 2 == 0], [n for n in numbers if n % 2 == 1]):
+        # the later pages first; the first batch brings one text that is put right afterwards
+        some = pages.where(F.col("page_no").isin(part)).withColumn("text", F.when((F.col("page_no") == part[-1]) & F.lit(part[0] % 2 == 0), "wrong").otherwise(F.col("text")))
+        some.unionByName(odd).coalesce(1).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(sources.PAGES).parquet(folder)
+        ingest_stream(stream, out, checkpoint).awaitTermination(120)
+    pages.where(F.col("page_no").isin(numbers)).where("page_no % 2 = 0").coalesce(1).write.mode("append").parquet(folder)
+    ingest_stream(spark.readStream.schema(sources.PAGES).parquet(folder), out, checkpoint).awaitTermination(120)
+    assert rows(stored_chunks(spark, out)) == rows(pipeline.ingest(pages).chunks)
+    ingest_stream(spark.readStream.schema(sources.PAGES).parquet(folder), out, checkpoint).awaitTermination(120)
+    assert rows(stored_chunks(spark, out)) == rows(pipeline.ingest(pages).chunks)
