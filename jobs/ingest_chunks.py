@@ -49,12 +49,15 @@ def run(
         if noted.where(F.col("batch_id") > batch_id).limit(1).count():
             raise ValueError(f"{out} holds later batches than {batch_id}: it was written with another checkpoint")
         key = F.sha2(F.concat_ws("\x00", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("\x01"))), 256)
-        keyed = batch.withColumn("document_key", key).dropDuplicates(["document_key"])
+        # rows of one key are equal in id and text; of several languages or sources the least pair counts
+        place = F.min(F.struct("lang", "source")).alias("place")
+        keyed = batch.withColumn("document_key", key).groupBy("document_key").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("text").alias("text"), place)
+        keyed = keyed.select("document_key", "doc_id", "text", "place.lang", "place.source")
         before = noted.where(F.col("batch_id") < batch_id).select("document_key")
         fresh = keyed.join(before, "document_key", "left_anti").persist()
         try:
-            chunk_rows(fresh, sizes, separator).write.mode("overwrite").partitionBy("lang").parquet(f"{out}/chunks/batch_id={batch_id}")
-            fresh.select("doc_id", "document_key").write.mode("overwrite").parquet(f"{out}/documents/batch_id={batch_id}")
+            chunk_rows(fresh, sizes, separator).hint("rebalance", "lang").write.mode("overwrite").partitionBy("lang").parquet(f"{out}/chunks/batch_id={batch_id}")
+            fresh.select("doc_id", "document_key").hint("rebalance").write.mode("overwrite").parquet(f"{out}/documents/batch_id={batch_id}")
         finally:
             fresh.unpersist()
         new = session.read.schema("doc_id bigint").parquet(f"{out}/documents/batch_id={batch_id}").count()

@@ -56,6 +56,14 @@ def test_a_changed_text_replaces_the_old_chunks(spark, folders):
     assert {r["doc_id"] for r in ingest_chunks.current_chunks(spark, out).collect()} == {2, None}
 
 
+def test_repeated_rows_are_taken_once(spark, folders):
+    documents, out, checkpoint = folders
+    rows = [(1, "x " * 500, "fr", "b", 0), (1, "x " * 500, "en", "z", 0), (1, "x " * 500, "en", "a", 0), (None, None, "de", "s", 0), (None, None, "de", "s", 0), (2, "x " * 500, "en", "s", 0)]
+    spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(documents)
+    assert ingest_chunks.run(spark, documents, out, checkpoint)[0] == {"batch_id": 0, "read": 6, "new": 3, "chunks": 2}
+    assert {(r["doc_id"], r["lang"], r["source"]) for r in ingest_chunks.current_chunks(spark, out).collect()} == {(1, "en", "a"), (2, "en", "s")}
+
+
 def test_a_failed_batch_is_run_again(spark, folders, monkeypatch):
     documents, out, checkpoint = folders
     docs = spark.read.parquet(f"{SF}/documents.parquet")
