@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_integer_ids
 from .components import connected_components
 from .qalsh import usable_vector, usual_length
 from .runs import blocks_of_runs
@@ -222,8 +222,11 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec
     null, zero or hold null or non-finite components link with nothing, nor do
     vectors of another length than most have, nor rows without an id.  Equal vectors
     of a label link with each other.  Rows that repeat an id are vectors each,
-    judged by their own label and vector; an empty table stays empty.
+    judged by their own label and vector; an empty table stays empty.  Ids and labels
+    that are no integers are an error.
     """
+    for name in (id_col, label_col) if label_col else (id_col,):
+        with_integer_ids(vectors, name)
     label = F.col(label_col).cast("long") if label_col else F.lit(0).cast("long")
     base = vectors.select(F.col(id_col).cast("long").alias("id"), label.alias("label"), F.col(vector_col).alias("v"))
     fit = usable_vector("v") & F.col("label").isNotNull() & F.col("id").isNotNull()

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_integer_ids
 from .components import connected_components
 from .runs import blocks_of_runs
 
@@ -143,9 +143,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reachable over links of at most ``max_bits`` differing bits, itself
     included.  Null and empty texts have fingerprint zero and link like any
     other.  Rows with equal doc_id are each judged by their own text.  A null
-    doc_id never is a component's id unless all its members are null.
+    doc_id never is a component's id unless all its members are null.  An empty table
+    stays empty; ids that are no integers are an error.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, shingle, seed))
+    prints = cut(fingerprints(with_integer_ids(docs, id_col), id_col, text_col, shingle, seed))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     groups = connected_components(close_links(classes.select("fp"), blocks, max_bits))
     named = classes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("component"))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import rans
-from .common import delete_path, scratch_path
+from .common import delete_path, scratch_path, with_integer_ids
 from .letter_words import LetterWords
 
 #: A block ends with the document that brings it to this many ids.
@@ -249,9 +249,10 @@ def write_stream(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2
     """Write the ids of all documents, each with ``end_id`` behind it, below ``out``.
 
     Documents come in ascending id order, null ids first, repeated ids by the hash of their
-    text.  Null and empty texts have the end id alone.  An empty table writes empty files.
+    text.  Null and empty texts have the end id alone.  An empty table writes empty files; ids
+    that are no integers are an error.
     """
-    spark = docs.sparkSession
+    spark = with_integer_ids(docs, id_col).sparkSession
     coder = WordCoder(tokenizer_path, end_id)
     dtype, vocabulary = coder.dtype.str, max(coder.tokenizer.get_vocab_size(), end_id + 1)
     held = scratch_path(spark, "tokens")
