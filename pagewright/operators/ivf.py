@@ -60,7 +60,9 @@ class IvfStore:
         if wanted > 1 and n:
             sample = min(n, wanted * SAMPLE_PER_CELL)
             part = rows if sample == n else rows.orderBy(F.xxhash64("key", F.lit(seed)), "key").limit(sample)
-            model = BisectingKMeans(k=wanted, seed=seed, maxIter=2).fit(part.select(array_to_vector("unit").alias("features")).cache())
+            features = part.select(array_to_vector("unit").alias("features")).persist()
+            model = BisectingKMeans(k=wanted, seed=seed, maxIter=2).fit(features)
+            features.unpersist()
             centres = np.array(model.clusterCenters())
             placed = model.transform(rows.withColumn("features", array_to_vector("unit"))).select("key", "unit", F.col("prediction").alias("cell"))
         spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centres)], "cell int, centre array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centres")

@@ -272,10 +272,26 @@ def xref_extract(spark, sf_dir):
     return metadata.cross_references(corpus.sections(spark, sf_dir)).groupBy("source", "target", "kind").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_REFS} SELECT source, target, kind, min(pattern) AS pattern FROM x GROUP BY 1, 2, 3")
+#: The patterns of references in their order, with their kinds.
+_PATTERNS = """VALUES (0, 'explicit', '(?i)see\\s+Section\\s+(\\d+(?:\\.\\d+)*)'), (1, 'explicit', '(?i)(?:described|discussed|shown|defined)\\s+in\\s+Section\\s+(\\d+(?:\\.\\d+)*)'),
+ (2, 'implicit', '(?i)Section\\s+(\\d+(?:\\.\\d+)*)'), (3, 'implicit', '(?i)Chapter\\s+(\\d+)'), (4, 'see_also', '(?i)refer\\s+to\\s+Section\\s+(\\d+(?:\\.\\d+)*)')"""
+_FOUND = " UNION ALL ".join(
+    f"SELECT section_seq, source, body, {row} AS pattern, regexp_extract_all(body, (SELECT p FROM patterns WHERE pattern = {row}), 0) AS wholes, regexp_extract_all(body, (SELECT p FROM patterns WHERE pattern = {row}), 1) AS targets FROM b"
+    for row in range(5)
+)
+_AT = """list_reduce(list_concat([{'w': '', 'past': 1::BIGINT, 'place': 0::BIGINT}], list_transform(wholes[1:pos], lambda w: {'w': w, 'past': 0::BIGINT, 'place': 0::BIGINT})),
+ lambda st, x: {'w': x.w, 'past': strpos(substr(body, st.past), x.w) + st.past - 1 + length(x.w), 'place': strpos(substr(body, st.past), x.w) + st.past - 1})"""
+
+
+@query(
+    f"""WITH s AS ({corpus.SECTIONS}), b AS (SELECT section_seq, section_number AS source, content || ' ' || title AS body FROM s), patterns(pattern, kind, p) AS ({_PATTERNS}),
+f AS ({_FOUND}), u AS (SELECT *, unnest(targets) AS target, generate_subscripts(targets, 1) AS pos FROM f), w AS (SELECT u.*, kind, {_AT} AS m FROM u JOIN patterns USING (pattern)),
+r AS (SELECT *, greatest(1, m.place - 50) AS low, row_number() OVER (PARTITION BY source, target, kind ORDER BY section_seq, pattern, pos) AS n FROM w)
+SELECT source, target, kind, pattern, regexp_replace(substr(body, low, m.past + 50 - low), '^\\s+|\\s+$', '', 'g') AS context FROM r WHERE n = 1"""
+)
 def xref_dedup(spark, sf_dir):
-    """The first reference of each section, target and kind."""
-    return corpus.references(spark, sf_dir).select("source", "target", "kind", "pattern")
+    """The first reference of each section, target and kind, with the text around it."""
+    return corpus.references(spark, sf_dir).select("source", "target", "kind", "pattern", "context")
 
 
 @query(

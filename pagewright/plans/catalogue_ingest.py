@@ -436,7 +436,7 @@ def sink_meta(spark, sf_dir):
     """Metadata written as JSON and read again."""
     path = _scratch(spark)
     tables.write_metadata({"references": corpus.references(spark, sf_dir)}, path)
-    return spark.read.json(f"{path}/references").select("source", "target", "kind", F.col("pattern").cast("int").alias("pattern"))
+    return spark.read.json(f"{path}/references").select("source", "target", "kind", F.col("pattern").cast("int").alias("pattern"), "context")
 
 
 @query(f"SELECT query_id, query, 'kind' || (query_id % 5) AS category, (query_id % 5 + 1)::VARCHAR AS expected_sections FROM ({corpus.QUESTIONS}) q")
