@@ -319,4 +319,4 @@ def test_windows_that_do_not_meet_are_joined(spark):
 
 
 def test_names_are_all_registered():
-    assert {re.match(r"op\d+", n)[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {re.match(r"op\d+", n)[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 13)}
