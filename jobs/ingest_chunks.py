@@ -35,11 +35,13 @@ def chunk_rows(documents: DataFrame, sizes: ChunkSizes, separator: str) -> DataF
 
 def run(
     spark: SparkSession, documents: str, out: str, checkpoint: str, format: str = "parquet", files_per_batch: int | None = None,
-    size: int = 800, overlap: int = 150, least: int = 200, separator: str = "\n\n",
+    files: int = 16, size: int = 800, overlap: int = 150, least: int = 200, separator: str = "\n\n",
 ) -> list[dict[str, int]]:
     """Ingest what is new below ``documents``, a folder or a pattern of paths; a summary for each batch, none if nothing was new.
 
-    A checkpoint and an output folder belong together: with a new checkpoint the output must be new.
+    A batch writes about ``files`` files for each language, of equal size also where one language has most documents
+    (streams run without adaptive execution).  A checkpoint and an output folder belong together:
+    with a new checkpoint the output must be new.
     """
     sizes, done = ChunkSizes(size, overlap, least), []
 
@@ -56,8 +58,9 @@ def run(
         before = noted.where(F.col("batch_id") < batch_id).select("document_key")
         fresh = keyed.join(before, "document_key", "left_anti").persist()
         try:
-            chunk_rows(fresh, sizes, separator).hint("rebalance", "lang").write.mode("overwrite").partitionBy("lang").parquet(f"{out}/chunks/batch_id={batch_id}")
-            fresh.select("doc_id", "document_key").hint("rebalance").write.mode("overwrite").parquet(f"{out}/documents/batch_id={batch_id}")
+            dealt = chunk_rows(fresh, sizes, separator).repartition("lang", F.pmod(F.xxhash64("doc_id", "content"), F.lit(files)))
+            dealt.write.mode("overwrite").partitionBy("lang").parquet(f"{out}/chunks/batch_id={batch_id}")
+            fresh.select("doc_id", "document_key").coalesce(files).write.mode("overwrite").parquet(f"{out}/documents/batch_id={batch_id}")
         finally:
             fresh.unpersist()
         new = session.read.schema("doc_id bigint").parquet(f"{out}/documents/batch_id={batch_id}").count()
