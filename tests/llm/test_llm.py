@@ -464,5 +464,5 @@ def test_entry_registers_all(spark):
     import __spark_entry__
 
     names = __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 13)} == {re.match(r"op\d+_", n)[0] for n in names if n.startswith("op")}
     assert "pipeline" in names
