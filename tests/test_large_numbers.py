@@ -16,3 +16,9 @@ def test_type_tells_headings_with_long_numbers(spark):
     blocks = spark.createDataFrame(rows, "doc_id long, block_seq long, page_no int, text string, spans array<struct<size:double,flags:int>>")
     got = structure.sections_from_blocks(blocks).orderBy("section_seq").select("section_number", "content").collect()
     assert [tuple(r) for r in got] == [("1.1", "body a\nbody c"), ("1.2.121.30", "body b")]
+
+
+def test_pages_have_headings_with_long_numbers(spark):
+    pages = spark.createDataFrame([(1, 1, _TEXT)], "doc_id long, page_no int, text string")
+    got = structure.sections_from_pages(pages).orderBy("section_seq").select("section_number", "content").collect()
+    assert [tuple(r) for r in got] == [("1.1", _TEXT), ("1.2.121.30", "1.2.121.30 Second\nbody b")]
