@@ -22,3 +22,9 @@ def test_pages_have_headings_with_long_numbers(spark):
     pages = spark.createDataFrame([(1, 1, _TEXT)], "doc_id long, page_no int, text string")
     got = structure.sections_from_pages(pages).orderBy("section_seq").select("section_number", "content").collect()
     assert [tuple(r) for r in got] == [("1.1", _TEXT), ("1.2.121.30", "1.2.121.30 Second\nbody b")]
+
+
+def test_text_has_headings_with_long_numbers(spark):
+    pages = spark.createDataFrame([(1, 1, _TEXT)], "doc_id long, page_no int, text string")
+    got = structure.sections_from_text(pages).orderBy("section_seq").select("section_number", "content").collect()
+    assert [tuple(r) for r in got] == [("1.1", "body a"), ("1.2.121.30", "body b")]
