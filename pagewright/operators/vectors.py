@@ -1,7 +1,7 @@
 """Embedding, index and search.
 
-Question sets are small beside the index; every search is one plan for all
-questions: blocks of the index meet blocks of questions (``blocks``), and what is left is
+Every search is one plan for all
+questions: parts of the index meet parts of the questions (``blocks``), and what is left is
 ranked by ``row_number() <= k``, which Spark cuts per partition before the shuffle.
 """
 
@@ -18,10 +18,10 @@ from pyspark.sql.window import Window
 from ..functions import vectors as V
 from . import blocks
 
-#: Questions up to this many are broadcast to the index, as are visits of cells; more meet it in a join.  The result is the same.
+#: Visits of an index's cells up to this many are broadcast; more meet it in a join.  The result is the same.
 BROADCAST_QUESTIONS = 100_000
-#: Most rows of an index and questions in one block.
-PART_ROWS, BLOCK_QUESTIONS = 10_000, 1_024
+#: Most rows in one part of an index and of questions; most questions in one block of a cell.
+PART_ROWS, BLOCK_QUESTIONS = 1 << 16, 1_024
 
 METRICS = ("cosine", "ip", "l2")
 
@@ -65,11 +65,6 @@ def normalized(df: DataFrame, vector_col: str = "embedding", out: str = "unit")
     return df.withColumn(out, V.unit(F.col(vector_col)))
 
 
-def few(questions: DataFrame) -> bool:
-    """Whether questions may be broadcast; counts no more of them than that takes."""
-    return questions.limit(BROADCAST_QUESTIONS + 1).count() <= BROADCAST_QUESTIONS
-
-
 def top_k(scored: DataFrame, k: int, key: str = "vec_id") -> DataFrame:
     """The k best of each question, ties by key, with ``rank`` from 1."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
@@ -82,28 +77,27 @@ def checked(metric: str) -> str:
     return metric
 
 
-def row_blocks(index: DataFrame, key: str, vector: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """An index as blocks ``rows array<struct<key, *keep, v>>``, packed where its rows lie."""
-    return blocks.packed(index.select(F.col(key).alias("key"), *keep, V.doubles(F.col(vector)).alias("v")), PART_ROWS, "rows")
+def _rows(index: DataFrame, key: str, vector: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """An index as ``(key, *keep, v)``."""
+    return index.select(F.col(key).alias("key"), *keep, F.col(vector).alias("v"))
 
 
-def question_blocks(questions: DataFrame, *more: str) -> DataFrame:
-    """Questions as blocks ``asked array<struct<query_id, *more, q>>``."""
-    rows = questions.select("query_id", *more, V.doubles(F.col("query_vec")).alias("v"))
-    return blocks.packed(rows, BLOCK_QUESTIONS, "asked").select(F.transform("asked", lambda x: F.struct(x["query_id"].alias("query_id"), *[x[c].alias(c) for c in more], x["v"].alias("q"))).alias("asked"))
+def _asked(questions: DataFrame, *more: str) -> DataFrame:
+    """Questions as ``(query_id, *more, q)``."""
+    return questions.select("query_id", *more, F.col("query_vec").alias("q"))
 
 
 def knn(index: DataFrame, questions: DataFrame, k: int = 5, metric: str = "cosine", where: Column | None = None, key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
     """Exact search: ``(query_id, want_*, key, *keep, score, rank)``; ``where`` filters the index before it is ranked.
 
     cosine: inner product of unit vectors; ip: inner product; l2: 1 / (1 + squared distance).
-    Blocks of the index, packed where they lie, meet blocks of questions; only a pair's k best
-    leave a task.  ``blocks`` says which vectors take part.
+    Parts of the index meet parts of the questions; only a pair's k best leave a task.
+    ``blocks`` says which vectors take part.
     """
     rows = index if where is None else index.where(where)
     wanted = [c for c in questions.columns if c.startswith("want_")]
-    pairs = blocks.beside_all(row_blocks(rows, key, vector, keep), question_blocks(questions, *wanted), few(questions))
-    return top_k(blocks.searched(pairs, k, checked(metric), key, keep, wanted), k, key)
+    found = blocks.searched_all(_rows(rows, key, vector, keep), _asked(questions, *wanted), PART_ROWS, k, checked(metric), key, keep, wanted)
+    return top_k(found, k, key)
 
 
 def knn_overfetch(index: DataFrame, questions: DataFrame, where: Column, k: int = 5, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -140,7 +134,7 @@ def chunks_of_section(chunks: DataFrame, section_number: str) -> DataFrame:
 def rank_of(index: DataFrame, questions: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, target, rank)``: 1 + how many rows score higher than the question's own target ``want_id``.
 
-    First each question's own score, one row a question; then every block of the index
+    First each question's own score, one row a question; then every part of the index
     counts what is above it.  A question whose target or vector takes no part has rank 1.
     """
     own = index.join(questions, F.col(key) == F.col("want_id")).select("query_id", F.array(F.struct(F.lit(0).alias("key"), V.doubles(F.col(vector)).alias("v"))).alias("rows"), F.array(F.struct("query_id", V.doubles(F.col("query_vec")).alias("q"))).alias("asked"))
@@ -151,8 +145,7 @@ def rank_of(index: DataFrame, questions: DataFrame, key: str = "vec_id", vector:
     def count(rows: pa.StructArray, asked: pa.StructArray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([asked.field("query_id"), pa.array(blocks.count_higher("cosine", rows, asked))], names=["query_id", "n"])
 
-    pairs = blocks.beside_all(row_blocks(index, key, vector), question_blocks(known, "own"), few(questions))
-    higher = blocks.each_pair(pairs, f"query_id {id_type}, n bigint", count).groupBy("query_id").agg(F.sum("n").alias("n"))
+    higher = blocks.met(_rows(index, key, vector), _asked(known, "own"), PART_ROWS, f"query_id {id_type}, n bigint", count).groupBy("query_id").agg(F.sum("n").alias("n"))
     return questions.select("query_id", F.col("want_id").alias("target")).join(higher, "query_id", "left").select("query_id", "target", (F.coalesce("n", F.lit(0)) + 1).alias("rank"))
 
 
