@@ -49,8 +49,12 @@ def _places(hits: DataFrame, *order: Column) -> DataFrame:
 
 def boost_factor(query: Column, section_number: Column, content: Column) -> Column:
     """1, plus 0.3 for each number in the question that the section number begins with, plus 0.2 for each acronym in the content."""
-    sections = F.size(F.filter(T.section_mentions(query), lambda s: F.startswith(section_number, s)))
-    names = F.size(F.filter(T.acronyms(query), lambda a: F.contains(content, a)))
+    return _factor(T.section_mentions(query), T.acronyms(query), section_number, content)
+
+
+def _factor(mentions: Column, acronyms: Column, section_number: Column, content: Column) -> Column:
+    sections = F.size(F.filter(mentions, lambda s: F.startswith(section_number, s)))
+    names = F.size(F.filter(acronyms, lambda a: F.contains(content, a)))
     return F.lit(1.0) + 0.3 * sections + 0.2 * names
 
 
@@ -62,6 +66,8 @@ def keyword_boost(hits: DataFrame) -> DataFrame:
 
 #: What names a chunk, and a section, among all documents.
 CHUNK, SECTION = ["doc_id", "chunk_id"], ["doc_id", "section_number"]
+#: Tasks that share all pairs of questions and chunks.
+PAIR_TASKS = 200
 
 
 def keyword_postings(chunks: DataFrame, longest: int) -> DataFrame:
@@ -99,6 +105,16 @@ def boosted_pairs(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return counts.select("query_id", *CHUNK, "chunk_seq", (F.lit(1.0) + 0.3 * F.col("section") + 0.2 * F.col("acronym")).alias("factor"))
 
 
+def boosted_all(questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``(query_id, *CHUNK, chunk_seq, factor)`` of all pairs of questions and chunks: as many rows as there are pairs.
+
+    Terms are found once a question; questions are dealt to ``PAIR_TASKS`` tasks, whose pairs leave them one by one.
+    """
+    asked = questions.select("query_id", T.section_mentions(F.col("query")).alias("mentions"), T.acronyms(F.col("query")).alias("names")).repartition(PAIR_TASKS, "query_id")
+    held = of_document(chunks).select(*CHUNK, "chunk_seq", "section_number", "content")
+    return asked.crossJoin(held).select("query_id", *CHUNK, "chunk_seq", _factor(F.col("mentions"), F.col("names"), F.col("section_number"), F.col("content")).alias("factor"))
+
+
 def hop_sections(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, also_visited: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id, section_number, depth)`` reached over ``edges (doc_id, source, target)`` from ``seeds (query_id, doc_id, section_number)``.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import blocks
+from pagewright.operators import blocks, ivf
 from pagewright.operators import vectors as S
 
 
@@ -20,3 +20,32 @@ def test_a_grid_of_cells_finds_what_one_cell_finds(spark, monkeypatch):
     assert find() == whole and len(whole) == 39 * 5 + 5
     plan = S.knn(rows, asked, 5, key="key", vector="v")._jdf.queryExecution().toString()
     assert "Broadcast" not in plan and "Cartesian" not in plan
+
+
+def test_many_visits_of_cells_find_what_few_do(spark, tmp_path, monkeypatch):
+    vectors = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    index = S.build_index(vectors, "ivf", path=str(tmp_path / "index"), cells=12)
+    asked = vectors.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    find = lambda: {tuple(r) for r in index.search(asked, 5, probes=4).select("query_id", "rank", "vec_id", "score").collect()}
+    few = find()
+    monkeypatch.setattr(S, "BROADCAST_QUESTIONS", 0)
+    monkeypatch.setattr(ivf, "VISITS", 7)
+    assert find() == few and len(few) == 500
+    plan = index.search(asked, 5, probes=12)._jdf.queryExecution().toString()
+    assert "cell" not in plan.split("FlatMapCoGroupsInArrow")[0] and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_every_pair_has_its_boosted_score(spark):
+    from pagewright.operators import retrieval
+
+    chunks = spark.createDataFrame([(1, "a", 0, "1.1", "TRL"), (1, "b", 1, "2", "none")], "doc_id long, chunk_id string, chunk_seq long, section_number string, content string")
+    asked = spark.createDataFrame([(1, "Section 1 and TRL"), (2, "nothing")], "query_id long, query string")
+    got = {(r["query_id"], r["chunk_id"]): round(r["factor"], 6) for r in retrieval.boosted_all(asked, chunks).collect()}
+    assert got == {(1, "a"): 1.5, (1, "b"): 1.0, (2, "a"): 1.0, (2, "b"): 1.0}
+
+
+def test_both_kinds_of_index_are_built_and_counted(spark):
+    from pagewright.plans import catalogue
+
+    got = catalogue.queries()["idx_unknown"](spark, "/root/testdata/sf0.001").groupBy("kind").agg(F.sum("n_rows").alias("n"), F.max("refused").alias("r")).collect()
+    assert {tuple(r) for r in got} == {("flat", 500, None), ("ivf", 500, None), ("tree", None, "unknown index type 'tree'")}
