@@ -242,13 +242,22 @@ def met(rows: DataFrame, asked: DataFrame, most: int, out: str, work: Callable[[
     cell, tasks = ["__row_part", "__asked_part"], 2 * row_parts * asked_parts
     left = rows.withColumn("__row_part", part("key", row_parts)).withColumn("__asked_part", every(asked_parts)).repartition(tasks, *cell)
     right = asked.withColumn("__asked_part", part("query_id", asked_parts)).withColumn("__row_part", every(row_parts)).repartition(tasks, *cell)
-    names = rows.columns, asked.columns
+    return _together(left, right, cell, rows.columns, asked.columns, out, work)
 
+
+def searched_by(rows: DataFrame, asked: DataFrame, by: list[str], tasks: int, k: int, metric: str, key: str) -> DataFrame:
+    """``(query_id, key, score)``: of each group ``by`` its questions' k best of its rows."""
+    names = ["key", "v"], ["query_id", "q"]
+    out, best = _found(rows.schema, asked.schema, key, (), []), _best_of(k, metric, key, (), [])
+    return _together(rows.repartition(tasks, *by), asked.repartition(tasks, *by), by, *names, out, best)
+
+
+def _together(rows: DataFrame, asked: DataFrame, by: list[str], row_names: list[str], asked_names: list[str], out: str, work: Callable[[pa.StructArray, pa.StructArray], pa.RecordBatch]) -> DataFrame:
     def run(some_rows: pa.Table, some_asked: pa.Table) -> pa.Table:
-        one = [pa.StructArray.from_arrays([_whole(t.column(c)) for c in cs], names=cs) for t, cs in zip((some_rows, some_asked), names, strict=True)]
+        one = [pa.StructArray.from_arrays([_whole(t.column(c)) for c in cs], names=cs) for t, cs in ((some_rows, row_names), (some_asked, asked_names))]
         return pa.Table.from_batches([work(*one)])
 
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInArrow(run, out)
+    return rows.groupBy(*by).cogroup(asked.groupBy(*by)).applyInArrow(run, out)
 
 
 def _whole(column: pa.ChunkedArray) -> pa.Array:

@@ -24,8 +24,8 @@ from ..session import shared_dir
 from . import blocks
 from . import vectors as S
 
-#: Rows that the cells are fitted on, for each cell; rows by which the number of visits is measured; tasks that share a cell in a large search.
-SAMPLE_PER_CELL, SAMPLE, SALTS = 64, 500, 16
+#: Rows that the cells are fitted on, for each cell; rows by which the number of visits is measured; visits of a cell that one task takes; tasks of a large search.
+SAMPLE_PER_CELL, SAMPLE, VISITS, MOST_TASKS = 64, 500, 1 << 15, 512
 
 
 def _cells_near(centres: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -110,24 +110,28 @@ class IvfStore:
         """``(query_id, key, score, rank)``: the k best rows by cosine in the cells nearest to each question.
 
         Only the files of cells that a question visits are read.  Few visits are broadcast in blocks by
-        cell, so the lists stay where they are; many meet them by cell, each cell dealt to ``SALTS`` tasks.
+        cell, so the lists stay where they are; many meet them by cell, those of a cell in parts of ``VISITS``
+        at most, about.  A search of all cells is a search of all rows: each question goes with parts of the rows, not with each cell.
         """
         key, probes = self.settings["key"], probes or self.settings["probes"]
+        if probes >= self.settings["cells"]:
+            asked = questions.select("query_id", V.unit(F.col("query_vec")).alias("query_vec"))
+            return S.knn(self.lists(), asked, k, "ip", key="key", vector="unit").select("query_id", F.col("key").alias(key), "score", "rank")
         visits = self._visits(questions, probes).select("query_id", F.col("q").alias("v"), "cell")
-        small = questions.limit(S.BROADCAST_QUESTIONS // probes + 1).count() * probes <= S.BROADCAST_QUESTIONS
-        lists = self.lists()
-        if probes < self.settings["cells"]:
-            visited = [r["cell"] for r in visits.select("cell").distinct().collect()]  # cells at most
-            lists = lists.where(F.col("cell").isin(visited))
-        rows = blocks.packed(lists.select("key", F.col("unit").alias("v"), "cell"), S.PART_ROWS, "rows", by="cell")
-        ordered = visits.repartition("cell").sortWithinPartitions("cell") if small else visits.repartition("cell", "query_id").sortWithinPartitions("cell")
-        asked = blocks.packed(ordered, S.BLOCK_QUESTIONS, "asked", by="cell").select("cell", F.transform("asked", lambda x: F.struct(x["query_id"].alias("query_id"), x["v"].alias("q"))).alias("asked"))
+        asked_n = questions.count()
+        small = asked_n * probes <= S.BROADCAST_QUESTIONS
+        visited = [r["cell"] for r in visits.select("cell").distinct().collect()]  # cells at most
+        lists = self.lists().where(F.col("cell").isin(visited)).select("key", F.col("unit").alias("v"), "cell")
         if small:
-            pairs = rows.join(F.broadcast(asked), "cell")
-        else:
-            salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-            pairs = rows.withColumn("salt", F.pmod(F.xxhash64(F.col("rows")[0]["key"]), F.lit(SALTS)).cast("int")).join(asked.withColumn("salt", salts), ["cell", "salt"])
-        return S.top_k(blocks.searched(pairs, k, "ip", key, (), []), k, key)
+            rows = blocks.packed(lists, S.PART_ROWS, "rows", by="cell")
+            ordered = visits.repartition("cell").sortWithinPartitions("cell")
+            asked = blocks.packed(ordered, S.BLOCK_QUESTIONS, "asked", by="cell").select("cell", F.transform("asked", lambda x: F.struct(x["query_id"].alias("query_id"), x["v"].alias("q"))).alias("asked"))
+            return S.top_k(blocks.searched(rows.join(F.broadcast(asked), "cell"), k, "ip", key, (), []), k, key)
+        parts = 1 + asked_n * probes // (self.settings["cells"] * VISITS)
+        left = lists.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        right = visits.withColumnRenamed("v", "q").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
+        tasks = min(self.settings["cells"] * parts, MOST_TASKS)
+        return S.top_k(blocks.searched_by(left, right, ["cell", "part"], tasks, k, "ip", key), k, key)
 
     def probes_for(self, k: int = 5, recall: float = 0.9, seed: int = 1, sample: int = SAMPLE) -> int:
         """The least number of cells that finds ``recall`` of the true ``k`` nearest of sampled rows.
