@@ -39,6 +39,8 @@ FAMILIES, LEXICONS = 400, 24
 #: Lengths of stems, in characters; a family is a stem's words or one whole word.
 STEMS = (4, 5, 6, 7, 8)
 _WORD = re.compile(r"[^\W\d_]+")
+#: A fitted model as a row.
+_FITTED = pa.schema([("chosen", pa.list_(pa.string())), ("weights", pa.list_(pa.float64())), ("shift", pa.float64())])
 _PATTERNS = {
     "shouting": re.compile(r"[A-ZÀ-ÖØ-Þ]{3,}"),
     "exclaims": re.compile(r"!{2,}|\?!"),
@@ -323,8 +325,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold() != 2)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.col("text").alias("x")).join(F.broadcast(sample), "doc_id").where("x is not null").orderBy("doc_id", F.xxhash64("x")).limit(max_rows)
-    found = rows.select("x", "toxic").collect()
-    return fit([r["x"] for r in found], np.array([float(r["toxic"] > 0) for r in found]))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            toxic += batch.column(1).to_pylist()
+        model = fit(texts, np.array([float(t > 0) for t in toxic]))
+        yield pa.RecordBatch.from_pylist([{"chosen": list(model.voters.chosen), "weights": [float(w) for w in model.weights], "shift": float(model.shift)}], _FITTED)
+
+    # the bounded sample is one partition in order; it is fitted there, and only the model comes to the driver
+    found = rows.select("x", "toxic").mapInArrow(work, "chosen array<string>, weights array<double>, shift double").first()
+    return Model(Voters(tuple(found["chosen"])), tuple(found["weights"]), found["shift"]) if found else fit([], np.array([]))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
