@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions import text as T
 from .structure import confident_rows, table_markdown, table_summary
 
+#: Tables or diagrams of one section that a task takes, about.
+SECTION_ROWS = 50_000
 _PIECE = "array<struct<content:string,tokens:int>>"
 
 
@@ -91,13 +93,27 @@ def rows_per_chunk(sizes: ChunkSizes = ChunkSizes()) -> Column:
     return F.greatest(F.lit(5), F.floor((sizes.size - 100) / F.greatest(F.lit(10), sample - 100)).cast("int"))
 
 
+def _with_section(rows: DataFrame, info: DataFrame, seq: str) -> DataFrame:
+    """``rows`` with ``info`` of their section, null where there is none.
+
+    A section that holds more than ``SECTION_ROWS`` rows is dealt to several tasks by ``seq``, its info to each of them; such
+    sections are few, one in so many rows at most.
+    """
+    key = ["doc_id", "section_number"]
+    large = rows.groupBy(*key).agg(F.count("*").alias("__n")).where(F.col("__n") > SECTION_ROWS).select(*key, F.ceil(F.col("__n") / SECTION_ROWS).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(F.broadcast(large), key, "left").withColumn("__part", F.pmod(F.xxhash64(seq), parts).cast("int")).drop("__parts")
+    held = info.join(F.broadcast(large), key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return dealt.join(held, [*key, "__part"], "left").drop("__part")
+
+
 def chunk_tables(tables: DataFrame, nodes: DataFrame, paths: DataFrame, sizes: ChunkSizes = ChunkSizes()) -> DataFrame:
     """A chunk for a table that fits and stands on one page, else parts with the header repeated."""
     scored = F.col("confidence").isNotNull() & (F.size("confidence") > 0)
     kept = confident_rows(tables.withColumn("filtered", scored)).where(F.size("rows") > 0)
     named = kept.withColumn("section_number", T.or_else(F.col("section_number"), "unknown")).withColumn("section_title", T.or_else(F.col("section_title"), "Unknown Section"))
     info = nodes.select("doc_id", "section_number", F.col("level").alias("node_level"), F.col("parent").alias("parent_section")).join(paths, ["doc_id", "section_number"])
-    joined = named.join(info, ["doc_id", "section_number"], "left").withColumn("markdown", table_markdown())
+    joined = _with_section(named, info, "table_seq").withColumn("markdown", table_markdown())
     single = (T.token_count(F.col("markdown")) <= sizes.size) & (F.size("page_range") == 1)
     step = F.when(single, F.size("rows")).otherwise(rows_per_chunk(sizes))
     parts = joined.withColumn("single", single).withColumn("step", step).select("*", F.posexplode(F.sequence(F.lit(0), F.size("rows") - 1, F.col("step"))).alias("local_seq", "first"))
@@ -120,7 +136,8 @@ def chunk_diagrams(diagrams: DataFrame, nodes: DataFrame, paths: DataFrame) -> D
     elements = F.when((T.strip(extracted) != "") & ~F.contains(F.coalesce(description, F.lit("")), extracted), F.concat(F.lit("\n**Key Elements**: "), extracted))
     content = F.concat_ws("\n", F.concat(F.lit("**"), "caption", F.lit("**")), F.concat(F.lit("\n"), description), elements, F.concat(F.lit("\n*Located on page "), "page", F.lit("*")))
     info = nodes.select("doc_id", "section_number", F.col("title").alias("node_title"), F.col("level").alias("node_level"), F.col("parent").alias("parent_section")).join(paths, ["doc_id", "section_number"])
-    named = diagrams.withColumn("section_number", T.or_else(F.col("section_number"), "unknown")).join(info, ["doc_id", "section_number"], "left").withColumn("content", content)
+    named = diagrams.withColumn("section_number", T.or_else(F.col("section_number"), "unknown"))
+    named = _with_section(named, info, "diagram_seq").withColumn("content", content)
     meta = F.struct("diagram_id", F.col("caption").alias("diagram_caption"), "figure_number", description.isNotNull().alias("has_relationship_analysis"), extracted.isNotNull().alias("has_extracted_data"))
     return named.select(
         "doc_id", F.lit(2).alias("kind_ord"), F.col("diagram_seq").cast("long").alias("kind_seq"), F.lit(0).alias("local_seq"), "content", F.lit("diagram_ref").alias("chunk_type"),

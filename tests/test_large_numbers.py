@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import functions as F
+
 from pagewright.operators import structure
 from pagewright.plans import catalogue
 
@@ -36,3 +38,27 @@ def test_small_negative_elements_keep_their_sign(spark, tmp_path):
     got = {r["vec_id"]: r["unit"] for r in catalogue.queries()["l2_normalize"](spark, str(tmp_path)).collect()}
     assert math.copysign(1, got[1][0]) == -1 and got[1] == [0.0, 1.0]
     assert all(math.isnan(x) for x in got[2]) and got[3] == [-0.6, 0.8]
+
+
+def test_a_large_section_is_dealt_to_several_tasks(spark, monkeypatch):
+    from pagewright.operators import chunking
+
+    monkeypatch.setattr(chunking, "SECTION_ROWS", 3)
+    rows = spark.createDataFrame([(1, i, "1" if i < 10 else "unknown" if i < 14 else "2") for i in range(15)], "doc_id long, table_seq long, section_number string")
+    info = spark.createDataFrame([(1, "1", "one"), (1, "2", "two"), (1, "3", "three")], "doc_id long, section_number string, name string")
+    got = chunking._with_section(rows, info, "table_seq")
+    assert got.columns == ["doc_id", "section_number", "table_seq", "name"]
+    assert {(r["table_seq"], r["name"]) for r in got.collect()} == {(i, "one" if i < 10 else None if i < 14 else "two") for i in range(15)} and got.count() == 15
+
+
+def test_counts_of_words_by_bucket_for_any_number_of_buckets(spark):
+    import hashlib
+
+    from pagewright.functions import vectors as V
+
+    words = "the cat and the dog and the bird".split()
+    frame = spark.createDataFrame([("The cat and the dog, and THE bird",), ("",), (None,)], "t string")
+    for dim in (64, 10, 7):
+        bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim  # noqa: B023, E731
+        got = [r["v"] for r in frame.select(V.hashed_words(F.col("t"), dim).alias("v")).collect()]
+        assert got == [[float(sum(bucket(w) == b for w in words)) for b in range(dim)], [0.0] * dim, None]
