@@ -44,12 +44,15 @@ def cosine(a: Column, b: Column) -> Column:
 def hashed_words(text: Column, dim: int = DIM) -> Column:
     """Counts of lower-cased words by bucket: a deterministic stand-in for a neural embedding.
 
-    A bucket's count is the distance between the first places of two marks, one a
-    bucket, sorted among the words' buckets; nothing is rebuilt for each word.
+    A bucket's count is the distance between the places of two marks, one a bucket, sorted
+    among the words' buckets; one pass finds all marks.  Words are odd numbers there, marks even ones.
     """
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
-    buckets = F.transform(tokens, lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dim)))
-    marked = F.array_sort(F.concat(buckets, F.sequence(F.lit(0).cast("long"), F.lit(dim).cast("long"))))
-    place = lambda held, i: F.array_position(held, i)
-    counts = lambda held: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: (place(held, i + 1) - place(held, i) - 1).cast("double"))
-    return F.when(text.isNotNull(), F.transform(F.array(marked), counts)[0])
+    # the last digits of the first eight say the number modulo a power of 16, and so modulo what divides it
+    digits = next((n for n in range(1, 8) if 16**n % dim == 0), 8)
+    bucket = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 9 - digits, digits), 16, 10).cast("long"), F.lit(dim))
+    marks = F.sequence(F.lit(0).cast("long"), F.lit(2 * dim).cast("long"), F.lit(2).cast("long"))
+    marked = F.array_sort(F.concat(F.transform(tokens, lambda w: bucket(w) * 2 + 1), marks))
+    places = F.filter(F.transform(marked, lambda x, i: F.when(x % 2 == 0, i)), lambda i: i.isNotNull())
+    counts = lambda held: F.zip_with(F.slice(held, 2, dim), F.slice(held, 1, dim), lambda high, low: (high - low - 1).cast("double"))
+    return F.when(text.isNotNull(), F.transform(F.array(places), counts)[0])
