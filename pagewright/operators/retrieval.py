@@ -235,7 +235,8 @@ def retrieve(questions: DataFrame, chunks: DataFrame, edges: DataFrame, options:
     ``content_vec``, ``edges (doc_id, source, target)`` from text chunks' references.
     Hops and parents stay in the document of the hit that they start from.
     """
-    primary = settled(primary_hits(questions, chunks, options))  # k rows a question, read by every later stage
+    # k rows a question, read by every later stage: without the texts of question and chunk, which none of them needs
+    primary = settled(primary_hits(questions, chunks, options).select(*HIT, "section_number", "chunk_type"))
     lists, stages = [primary], ["primary"]
     if options.multi_hop:
         lists.append(hop_hits(primary.where("chunk_type = 'text'"), edges, chunks, options.max_hops, also_visited=primary))
