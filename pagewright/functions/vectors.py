@@ -35,9 +35,9 @@ def unit(vector: Column) -> Column:
     return F.transform(F.array(norm(vector)), scaled)[0]
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity; 0 with a zero vector."""
-    lengths = norm(a) * norm(b)
+def cosine(a: Column, b: Column, lengths: Column | None = None) -> Column:
+    """Cosine similarity; 0 with a zero vector.  ``lengths``: the product of both norms, where it is known."""
+    lengths = norm(a) * norm(b) if lengths is None else lengths
     return F.when(lengths > 0, dot(a, b) / lengths).otherwise(0.0)
 
 

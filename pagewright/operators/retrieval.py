@@ -60,7 +60,10 @@ def _factor(mentions: Column, acronyms: Column, section_number: Column, content:
 
 def keyword_boost(hits: DataFrame) -> DataFrame:
     """Hits with ``query, section_number, content``: scores times 0.7 + 0.3 x boost, sorted anew."""
-    factor = boost_factor(F.col("query"), F.col("section_number"), F.col("content"))
+    return _boosted(hits, boost_factor(F.col("query"), F.col("section_number"), F.col("content")))
+
+
+def _boosted(hits: DataFrame, factor: Column) -> DataFrame:
     return _places(hits.withColumn("score", F.col("score") * (0.7 + 0.3 * factor)), F.desc("score"), F.col("pos"))
 
 
@@ -187,31 +190,48 @@ def fuse(*lists: DataFrame) -> DataFrame:
     return _places(best, F.desc("score"), F.col("first")).select(*HIT)
 
 
-def rerank_factor(query: Column, content: Column, title: Column, chunk_type: Column) -> Column:
-    """Product of the keyword signals of a hit."""
+def _asked_signals(query: Column) -> dict[str, Column]:
+    """What ``_signals_met`` takes of a question."""
     q = F.lower(query)
-    table = chunk_type == "table"
+    return {"q": q, "q_what": F.contains(q, F.lit("what are")), "q_shows": F.contains(q, F.lit("show")) | F.contains(q, F.lit("look like"))}
+
+
+def _held_signals(content: Column, title: Column, chunk_type: Column) -> dict[str, Column]:
+    """What ``_signals_met`` takes of a chunk; a caption's words of tables only."""
     caption = F.regexp_extract(T.strip(content), r"^\*\*([^*]+)\*\*", 1)
-    asked, named = T.words(query), T.words(caption)
+    return {"c": F.lower(content), "c_title": F.lower(title), "c_words": F.when(chunk_type == "table", T.words(caption)), "c_type": chunk_type}
+
+
+def _signals_met(x: dict[str, Column]) -> Column:
+    asked, named, table = T.words_of_lower(x["q"]), x["c_words"], x["c_type"] == "table"  # looked at with tables only
     overlap = F.when(table & (F.size(asked) > 0) & (F.size(named) > 0), F.size(F.array_intersect(named, asked)) / F.size(asked)).otherwise(0.0)
-    shows = F.contains(q, F.lit("show")) | F.contains(q, F.lit("look like"))
     return (
-        F.when(F.contains(F.lower(content), q), 1.2).otherwise(1.0)
-        * F.when(F.contains(F.lower(title), q), 1.15).otherwise(1.0)
+        F.when(F.contains(x["c"], x["q"]), 1.2).otherwise(1.0)
+        * F.when(F.contains(x["c_title"], x["q"]), 1.15).otherwise(1.0)
         * F.when(overlap >= 0.35, 1.0 + overlap * 0.6).otherwise(1.0)
-        * F.when(table & F.contains(q, F.lit("what are")), 1.1).otherwise(1.0)
-        * F.when((chunk_type == "diagram_ref") & shows, 1.15).otherwise(1.0)
+        * F.when(table & x["q_what"], 1.1).otherwise(1.0)
+        * F.when((x["c_type"] == "diagram_ref") & x["q_shows"], 1.15).otherwise(1.0)
     )
 
 
+def rerank_factor(query: Column, content: Column, title: Column, chunk_type: Column) -> Column:
+    """Product of the keyword signals of a hit."""
+    return _signals_met(_asked_signals(query) | _held_signals(content, title, chunk_type))
+
+
 def rerank(hits: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Hits by (0.7 x cosine of question and raw content + 0.3 x score) x keyword factor.
 
     ``chunks.content_vec`` is the vector of the content alone, stored beside the context vector.
+    Lengths of vectors and lower-cased texts are worked out once a question and once a chunk, not once a hit.
     """
-    met = of_document(hits).select(*HIT).join(questions.select("query_id", "query", "query_vec"), "query_id").join(of_document(chunks).select(*CHUNK, "content", "section_title", "chunk_type", "content_vec"), CHUNK)
-    similar = V.cosine(F.col("query_vec"), F.col("content_vec"))
-    score = (0.7 * similar + 0.3 * F.col("score")) * rerank_factor(F.col("query"), F.col("content"), F.col("section_title"), F.col("chunk_type"))
+    named = lambda columns: [c.alias(n) for n, c in columns.items()]
+    told, held = _asked_signals(F.col("query")), _held_signals(F.col("content"), F.col("section_title"), F.col("chunk_type"))
+    asked = questions.select("query_id", "query_vec", V.norm(F.col("query_vec")).alias("q_norm"), *named(told))
+    known = of_document(chunks).select(*CHUNK, "content_vec", V.norm(F.col("content_vec")).alias("c_norm"), *named(held))
+    met = of_document(hits).select(*HIT).join(asked, "query_id").join(known, CHUNK)
+    similar = V.cosine(F.col("query_vec"), F.col("content_vec"), F.col("q_norm") * F.col("c_norm"))
+    score = (0.7 * similar + 0.3 * F.col("score")) * _signals_met({n: F.col(n) for n in (*told, *held)})
     return _places(met.withColumn("score", score), F.desc("score"), F.col("pos")).select(*HIT)
 
 
@@ -224,8 +244,11 @@ def primary_hits(questions: DataFrame, chunks: DataFrame, options: Retrieval = R
     keyed = chunks.withColumn("key", F.struct("doc_id", "chunk_seq"))
     first = S.knn(keyed, questions, k, key="key", vector="context_vec").select("query_id", "key.*", "score", (F.col("rank") - 1).cast("long").alias("pos"))
     described = chunks.select(*CHUNK, "chunk_seq", "section_number", "content", "chunk_type")
-    primary = first.join(described, ["doc_id", "chunk_seq"]).join(questions.select("query_id", "query"), "query_id")
-    return keyword_boost(primary) if options.strategy == "hybrid" else primary
+    primary = first.join(described, ["doc_id", "chunk_seq"])
+    if options.strategy != "hybrid":
+        return primary.join(questions.select("query_id", "query"), "query_id")
+    named = questions.select("query_id", "query", T.section_mentions(F.col("query")).alias("mentions"), T.acronyms(F.col("query")).alias("names"))  # once a question, not once a hit
+    return _boosted(primary.join(named, "query_id"), _factor(F.col("mentions"), F.col("names"), F.col("section_number"), F.col("content"))).drop("mentions", "names")
 
 
 def retrieve(questions: DataFrame, chunks: DataFrame, edges: DataFrame, options: Retrieval = Retrieval()) -> DataFrame:

@@ -23,3 +23,22 @@ def test_retrieval_keeps_no_texts_of_its_hits(spark, monkeypatch):
     edges = spark.createDataFrame([], "doc_id long, source string, target string")
     assert retrieval.retrieve(questions, chunks, edges).where("stage = 'final'").count() == 9
     assert kept and not any({"query", "content", "query_vec"} & set(columns) for columns in kept)
+
+
+def test_signals_of_texts_are_found_before_hits_meet_them(spark):
+    questions, chunks = _inputs(spark)
+    hits = questions.select("query_id").crossJoin(chunks.select("doc_id", "chunk_id", "chunk_seq")).withColumn("score", F.lit(0.5)).withColumn("pos", F.col("chunk_seq"))
+    got = retrieval.rerank(hits, questions, chunks)
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "score" in above and "lower(" not in above
+    met = hits.join(questions, "query_id").join(chunks, ["doc_id", "chunk_id"])
+    factor = retrieval.rerank_factor(F.col("query"), F.col("content"), F.col("section_title"), F.col("chunk_type"))
+    plain = met.select("query_id", "chunk_id", ((0.7 * V.cosine(F.col("query_vec"), F.col("content_vec")) + 0.3 * F.col("score")) * factor).alias("score"))
+    rows = lambda df: sorted((r["query_id"], r["chunk_id"], r["score"]) for r in df.collect())
+    assert rows(got) == rows(plain) and len({r[2] for r in rows(plain)}) > 3
+
+
+def test_names_in_questions_are_found_before_hits_meet_them(spark):
+    questions, chunks = _inputs(spark)
+    above = retrieval.primary_hits(questions, chunks)._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert "score" in above and "regexp" not in above
