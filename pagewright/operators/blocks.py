@@ -159,7 +159,7 @@ def best_pairs(metric: str, rows: pa.StructArray, asked: pa.StructArray, k: int)
                     least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else near.min(axis=1)
                     if len(which):
                         least = np.minimum(least, score.reshape(len(some), -1)[:, -1])
-                mine, found = np.nonzero(near >= (least - 3 * wrong).astype(near.dtype)[:, None])
+                mine, found = np.divmod(np.flatnonzero(near >= (least - 3 * wrong).astype(near.dtype)[:, None]), near.shape[1])
                 which, whose = np.concatenate([which, low + found]), np.concatenate([whose, mine])
                 score = np.concatenate([score, _exact_pairs(metric, v, some, low + found, mine)])
                 kept = _firsts(whose, score, which, k)

@@ -108,7 +108,8 @@ def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with both vectors: of the context string and of the raw content."""
-    rows = chunks(spark, sf_dir).withColumn("section_path", F.array(F.substring_index("section_number", ".", 1)))
+    # numbering the sections leaves them in one task; the words of chunks are counted by several
+    rows = chunks(spark, sf_dir).repartition("chunk_seq").withColumn("section_path", F.array(F.substring_index("section_number", ".", 1)))
     return settled(rows.withColumn("context_vec", V.hashed_words(chunking.context_string(rows))).withColumn("content_vec", V.hashed_words(F.col("content"))))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pagewright.functions import vectors as V
-from pagewright.operators import retrieval
+from pagewright.operators import blocks, retrieval
 
 
 def _inputs(spark):
@@ -42,3 +44,18 @@ def test_names_in_questions_are_found_before_hits_meet_them(spark):
     questions, chunks = _inputs(spark)
     above = retrieval.primary_hits(questions, chunks)._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
     assert "score" in above and "regexp" not in above
+
+
+def test_pairs_are_found_by_slices_as_by_brute_force():
+    rng = np.random.default_rng(1)
+    v, q = rng.integers(0, 3, (9_000, 8)).astype(float), rng.integers(0, 3, (1_500, 8)).astype(float)
+    lists = lambda m: pa.ListArray.from_arrays(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32), m.ravel())
+    rows = pa.StructArray.from_arrays([pa.array(np.arange(len(v))), lists(v)], names=["key", "v"])
+    asked = pa.StructArray.from_arrays([pa.array(np.arange(len(q))), lists(q)], names=["query_id", "q"])
+    which, whose, score = blocks.best_pairs("cosine", rows, asked, 5)
+    for i in (0, 1_023, 1_024, 1_499):
+        exact = blocks.exact("cosine", v, np.broadcast_to(q[i], v.shape))
+        want = np.lexsort((np.arange(len(v)), -exact))[:5]
+        mine = np.flatnonzero(whose == i)
+        mine = mine[np.lexsort((which[mine], -score[mine]))]
+        assert which[mine].tolist() == want.tolist() and score[mine].tolist() == exact[want].tolist()
