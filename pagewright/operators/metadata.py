@@ -22,6 +22,8 @@ XREF_PATTERNS = (
     (r"Chapter\s+(\d+)", "implicit"),
     (r"refer\s+to\s+Section\s+(\d+(?:\.\d+)*)", "see_also"),
 )
+#: Characters of context on either side of a reference, and how many neighbouring matches can lie in them: none is shorter than "Section 1".
+_AROUND, _NEAR = 50, 6
 #: A definition before its acronym, and after it.
 _FORWARD = r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\s*\(([A-Z]{2,})\)"
 _REVERSE = r"\(([A-Z]{2,})\)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
@@ -174,33 +176,40 @@ def cross_references(sections: DataFrame) -> DataFrame:
     """``(doc_id, section_seq, source, target, kind, pattern, pos, context)``: every match of every pattern.
 
     ``context`` is the text up to 50 characters around the match, trimmed.
-    Matches are walked with a running offset inside the expression, so the
-    n-th match has its own context.
+    A match sees only the ends of the pieces next to it, so the work grows with
+    the text, also where one section holds all references of a document.
     """
     body = sections.select("doc_id", "section_seq", F.col("section_number").alias("source"), F.concat_ws(" ", F.coalesce("content", F.lit("")), F.coalesce("title", F.lit(""))).alias("body"))
     found = None
     for place, (pattern, kind) in enumerate(XREF_PATTERNS):
-        whole = F.regexp_extract_all("body", F.lit(f"(?i){pattern}"), 0)
-        target = F.regexp_extract_all("body", F.lit(f"(?i){pattern}"), 1)
-        start = F.struct(F.lit(1).alias("from"), F.array().cast("array<struct<target:string,at:int,len:int>>").alias("out"))
-
-        hits = F.arrays_zip(whole.alias("w"), target.alias("t"))
-        walked = _walk(hits, start)
-        rows = body.select("doc_id", "section_seq", "source", "body", F.posexplode(walked).alias("pos", "hit")).select(
-            "doc_id", "section_seq", "source", F.col("hit.target").alias("target"), F.lit(kind).alias("kind"), F.lit(place).alias("pattern"), "pos",
-            T.strip(F.expr("substring(body, greatest(1, hit.at - 50), hit.at + hit.len + 50 - greatest(1, hit.at - 50))")).alias("context"),
+        rows = body.select("doc_id", "section_seq", "source", F.posexplode(_matches(F.col("body"), f"(?i){pattern}")).alias("pos", "hit")).select(
+            "doc_id", "section_seq", "source", F.col("hit.target").alias("target"), F.lit(kind).alias("kind"), F.lit(place).alias("pattern"), "pos", F.col("hit.context").alias("context"),
         )
         found = rows if found is None else found.unionByName(rows)
     return found
 
 
-def _walk(hits, start):
-    def step(state, hit):
-        at = F.call_function("locate", hit["w"], F.col("body"), state["from"])
-        more = F.struct(hit["t"].alias("target"), at.alias("at"), F.length(hit["w"]).alias("len"))
-        return F.struct((at + F.length(hit["w"])).alias("from"), F.concat(state["out"], F.array(more)).alias("out"))
+def _matches(text: Column, pattern: str) -> Column:
+    """``array<struct<target,context>>``: the matches of ``pattern`` in order, each with the text around it.
 
-    return F.aggregate(hits, start, step, lambda s: s["out"])
+    The text is cut at its matches once.  These are bound as a lambda's argument, else each match would find them again.
+    """
+    pieces = F.split(text, pattern)  # one more than matches
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(pattern), 0).alias("whole"),
+        F.regexp_extract_all(text, F.lit(pattern), 1).alias("target"),
+        F.transform(pieces, lambda p: F.left(p, F.lit(_AROUND))).alias("begin"),
+        F.transform(pieces, lambda p: F.right(p, F.lit(_AROUND))).alias("end"),
+    )
+
+    def told(x: Column, i: Column) -> Column:
+        before = [part for k in range(_NEAR, 0, -1) for part in (F.get(x["end"], i - k), F.get(x["whole"], i - k))]
+        after = [part for k in range(1, _NEAR + 1) for part in (F.get(x["begin"], i + k), F.get(x["whole"], i + k))]
+        before, after = F.concat_ws("", *before, F.get(x["end"], i)), F.concat_ws("", *after)
+        context = F.concat(F.right(before, F.lit(_AROUND)), F.get(x["whole"], i), F.left(after, F.lit(_AROUND)))
+        return F.struct(F.get(x["target"], i).alias("target"), T.strip(context).alias("context"))
+
+    return F.transform(F.array(parts), lambda x: F.transform(x["whole"], lambda _, i: told(x, i)))[0]
 
 
 def dedup_references(refs: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
+import re
+import time
 
 from pyspark.sql import functions as F
 
-from pagewright.operators import structure
+from pagewright.operators import metadata, structure
 from pagewright.plans import catalogue
 
 #: Two sections, the second with a number of three digits.
@@ -62,3 +64,28 @@ def test_counts_of_words_by_bucket_for_any_number_of_buckets(spark):
         bucket = lambda w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dim  # noqa: B023, E731
         got = [r["v"] for r in frame.select(V.hashed_words(F.col("t"), dim).alias("v")).collect()]
         assert got == [[float(sum(bucket(w) == b for w in words)) for b in range(dim)], [0.0] * dim, None]
+
+
+_SECTION = "doc_id long, section_seq long, section_number string, content string, title string"
+
+
+def _around(body: str, pattern: str) -> list[tuple]:
+    return [(m[1], body[max(0, m.start() - 50) : m.end() + 50].strip()) for m in re.finditer(pattern, body, re.IGNORECASE | re.ASCII)]
+
+
+def test_work_on_references_grows_with_the_section(spark):
+    lines = [f"1.{i} Supplier-{i:09d}\nAs described in Section {i % 5 + 1}. See Chapter 3 and refer to Section {i}. See Section 1.{i} for it" for i in range(3000)]
+    body = "\n".join(lines)
+    metadata.cross_references(spark.createDataFrame([(1, 1, "1", lines[0], "T")], _SECTION)).count()  # workers and compiled code
+    began = time.perf_counter()
+    rows = metadata.cross_references(spark.createDataFrame([(1, 1, "1", body, "T")], _SECTION)).orderBy("pattern", "pos").collect()
+    assert time.perf_counter() - began < 40
+    want = [(i, *hit) for i, (pattern, _) in enumerate(metadata.XREF_PATTERNS) for hit in _around(f"{body} T", pattern)]
+    assert len(rows) == 21_000 and [(r["pattern"], r["target"], r["context"]) for r in rows] == want
+
+
+def test_references_side_by_side_lie_in_the_context_of_each_other(spark):
+    texts = ["Section 1" * 20, "Chapter 1" * 13 + "see", "see Section 2see\n\nsection 2.1" * 7, "\u00e9\U0001d4b3" * 30 + "Section 3" + "\U0001d4b3" * 60, "Section 4", "", "none"]
+    rows = metadata.cross_references(spark.createDataFrame([(1, i, "1", text, "Section 9") for i, text in enumerate(texts)], _SECTION)).orderBy("section_seq", "pattern", "pos").collect()
+    want = [(n, i, *hit) for n, text in enumerate(texts) for i, (pattern, _) in enumerate(metadata.XREF_PATTERNS) for hit in _around(f"{text} Section 9", pattern)]
+    assert [(r["section_seq"], r["pattern"], r["target"], r["context"]) for r in rows] == want
