@@ -6,6 +6,8 @@ import math
 import re
 import time
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from pagewright.operators import metadata, structure
@@ -89,3 +91,20 @@ def test_references_side_by_side_lie_in_the_context_of_each_other(spark):
     rows = metadata.cross_references(spark.createDataFrame([(1, i, "1", text, "Section 9") for i, text in enumerate(texts)], _SECTION)).orderBy("section_seq", "pattern", "pos").collect()
     want = [(n, i, *hit) for n, text in enumerate(texts) for i, (pattern, _) in enumerate(metadata.XREF_PATTERNS) for hit in _around(f"{text} Section 9", pattern)]
     assert [(r["section_seq"], r["pattern"], r["target"], r["context"]) for r in rows] == want
+
+
+@pytest.mark.parametrize("name", ["sections_pages"])
+def test_queries_equal_their_sql_at_keys_of_larger_tables(spark, tmp_path, name):
+    con = duckdb.connect()
+    for table in ("region", "nation"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '/root/testdata/sf0.001/{table}.parquet'")
+        con.execute(f"COPY {table} TO '{tmp_path}/{table}.parquet'")
+    keys = [0, 49, 4_949, 4_950, 5_999, 59_999, 359_999, 50_000_000]
+    con.execute(f"CREATE TABLE supplier AS SELECT k AS s_suppkey, printf('Supplier#%09d', k) AS s_name, (k % 2)::INT AS s_nationkey, 1.0::DOUBLE AS s_acctbal FROM (SELECT unnest({keys})::BIGINT AS k)")
+    con.execute(f"COPY supplier TO '{tmp_path}/supplier.parquet'")
+    rows = catalogue.queries()[name](spark, str(tmp_path))
+    cursor = con.execute(catalogue.oracle_sql()[name])
+    columns = [d[0] for d in cursor.description]
+    want = sorted(map(str, cursor.fetchall()))
+    assert sorted(columns) == sorted(rows.columns) and len(want) == 38
+    assert sorted(str(tuple(r)) for r in rows.select(*columns).collect()) == want
