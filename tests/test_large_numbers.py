@@ -93,7 +93,7 @@ def test_references_side_by_side_lie_in_the_context_of_each_other(spark):
     assert [(r["section_seq"], r["pattern"], r["target"], r["context"]) for r in rows] == want
 
 
-@pytest.mark.parametrize("name", ["sections_pages"])
+@pytest.mark.parametrize("name", ["sections_pages", "sections_regex", "chunk_doc"])
 def test_queries_equal_their_sql_at_keys_of_larger_tables(spark, tmp_path, name):
     con = duckdb.connect()
     for table in ("region", "nation"):
