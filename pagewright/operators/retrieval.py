@@ -69,8 +69,8 @@ def _boosted(hits: DataFrame, factor: Column) -> DataFrame:
 
 #: What names a chunk, and a section, among all documents.
 CHUNK, SECTION = ["doc_id", "chunk_id"], ["doc_id", "section_number"]
-#: Tasks that share all pairs of questions and chunks.
-PAIR_TASKS = 200
+#: Of all pairs of questions and chunks: the questions, or chunks, in a part; pairs that are worth a task.
+PART_ROWS, TASK_PAIRS = 1_024, 1 << 22
 
 
 def keyword_postings(chunks: DataFrame, longest: int) -> DataFrame:
@@ -111,11 +111,33 @@ def boosted_pairs(questions: DataFrame, chunks: DataFrame) -> DataFrame:
 def boosted_all(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """``(query_id, *CHUNK, chunk_seq, factor)`` of all pairs of questions and chunks: as many rows as there are pairs.
 
-    Terms are found once a question; questions are dealt to ``PAIR_TASKS`` tasks, whose pairs leave them one by one.
+    Terms are found once a question, runs of capitals once a chunk.  A question without terms has the factor 1 with all
+    chunks, so its pairs need no look at either; those of the others are looked at one by one.
     """
-    asked = questions.select("query_id", T.section_mentions(F.col("query")).alias("mentions"), T.acronyms(F.col("query")).alias("names")).repartition(PAIR_TASKS, "query_id")
-    held = of_document(chunks).select(*CHUNK, "chunk_seq", "section_number", "content")
-    return asked.crossJoin(held).select("query_id", *CHUNK, "chunk_seq", _factor(F.col("mentions"), F.col("names"), F.col("section_number"), F.col("content")).alias("factor"))
+    asked = questions.select("query_id", T.section_mentions(F.col("query")).alias("mentions"), T.acronyms(F.col("query")).alias("names"))
+    runs = F.array_join(F.array_distinct(F.regexp_extract_all("content", F.lit("([A-Z]{2,})"), 1)), " ")  # an acronym in the content lies in one of them
+    held = settled(of_document(chunks).select(*CHUNK, "chunk_seq", "section_number", runs.alias("runs")))
+    bare = F.coalesce((F.size("mentions") == 0) & (F.size("names") == 0), F.lit(False))
+    all_asked, all_bare = asked.agg(F.count("*"), F.count_if(bare)).first()
+    n = held.count()
+    columns = ["query_id", *CHUNK, "chunk_seq"]
+    plain = _paired(asked.where(bare).select("query_id"), all_bare, held.select(*CHUNK, "chunk_seq"), n).select(*columns, F.lit(1.0).alias("factor"))
+    named = _paired(asked.where(~bare), all_asked - all_bare, held, n)
+    return plain.unionByName(named.select(*columns, _factor(F.col("mentions"), F.col("names"), F.col("section_number"), F.col("runs")).alias("factor")))
+
+
+def _paired(asked: DataFrame, n_asked: int, held: DataFrame, n_held: int) -> DataFrame:
+    """All pairs of ``asked (query_id, …)`` and ``held (*CHUNK, …)``: parts of both meet in the cells of a grid, some cells a task."""
+    rows, columns = (-(-max(n, 1) // PART_ROWS) for n in (n_asked, n_held))
+    tasks = -(-max(n_asked * n_held, 1) // TASK_PAIRS)
+
+    def dealt(df: DataFrame, parts: int, keys: list[str], others: int, cell: Column) -> DataFrame:
+        split = df.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts))).repartition(parts, "part")
+        return split.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).withColumn("cell", cell).drop("part", "other").repartition(tasks, "cell")
+
+    left = dealt(held, columns, CHUNK, rows, F.col("other") * columns + F.col("part"))
+    right = dealt(asked, rows, ["query_id"], columns, F.col("part") * columns + F.col("other"))
+    return left.join(right.hint("merge"), "cell").drop("cell")
 
 
 def hop_sections(seeds: DataFrame, edges: DataFrame, max_hops: int = 2, also_visited: DataFrame | None = None) -> DataFrame:

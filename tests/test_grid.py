@@ -44,6 +44,33 @@ def test_every_pair_has_its_boosted_score(spark):
     assert got == {(1, "a"): 1.5, (1, "b"): 1.0, (2, "a"): 1.0, (2, "b"): 1.0}
 
 
+def test_all_pairs_meet_in_cells_and_those_without_terms_are_not_looked_at(spark, monkeypatch):
+    from pagewright.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "PART_ROWS", 3, raising=False)
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 20, raising=False)
+    contents = ["TRL and SEMP", "aTRLb", "XTRLY CD", "TR L", "", None, "ÄTRL C DR", "none"]
+    numbers = ["1", "1.1", "10.2", "2.3.1", "", None, "3"]
+    chunks = spark.createDataFrame([(d, f"c{n}", n, numbers[n % 7], contents[(n + d) % 8]) for d in (1, 2) for n in range(11)], "doc_id long, chunk_id string, chunk_seq long, section_number string, content string")
+    queries = ["Section 1 and TRL", "nothing", None, "TRL TRL 1 1.1", "CDR in 2.3", "", "RL CD", "what is this", "TR 3", "plain again"]
+    asked = spark.createDataFrame([(n, queries[n % 10]) for n in range(14)] + [(3, "another 1"), (1, "nothing")], "query_id long, query string")
+    found = retrieval.boosted_all(asked, chunks)
+    pairs = asked.crossJoin(chunks).select("query_id", "doc_id", "chunk_id", "chunk_seq", retrieval.boost_factor(F.col("query"), F.col("section_number"), F.col("content")).alias("factor"))
+    want, got = (sorted(map(str, df.collect())) for df in (pairs, found))
+    assert got == want and len(got) == 16 * 22
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan and "1.0 AS factor" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_no_questions_or_no_chunks_have_no_pairs(spark):
+    from pagewright.operators import retrieval
+
+    chunks = spark.createDataFrame([(1, "a", 0, "1.1", "TRL")], "doc_id long, chunk_id string, chunk_seq long, section_number string, content string")
+    asked = spark.createDataFrame([(1, "Section 1 and TRL"), (2, "nothing")], "query_id long, query string")
+    assert retrieval.boosted_all(asked.where("query_id > 2"), chunks).count() == 0 == retrieval.boosted_all(asked, chunks.where("chunk_seq > 0")).count()
+    assert {tuple(r) for r in retrieval.boosted_all(asked.where("query_id = 2"), chunks).collect()} == {(2, 1, "a", 0, 1.0)}
+
+
 def test_both_kinds_of_index_are_built_and_counted(spark):
     from pagewright.plans import catalogue
 
